@@ -170,7 +170,7 @@ def span_sql(key: str, text: str, base: str, patterns) -> str:
     for rank, (kind, pattern, token) in enumerate(patterns):
         parts.append(f"""
 SELECT {key}, {rank} AS ord, {q(kind)} AS pii_type, v[i] AS value, {q(token)} AS replacement,
-  CAST(list_sum(list_transform(g[1:i], x -> length(x))) + coalesce(list_sum(list_transform(v[1:i-1], x -> length(x))), 0) AS BIGINT) AS start
+  CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(v[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS start
 FROM (SELECT {key}, v, g, unnest(range(1, len(v) + 1)) AS i FROM
   (SELECT {key}, regexp_extract_all({text}, {q(pattern)}) AS v, string_split_regex({text}, {q(pattern)}) AS g FROM {base}))""")
     return " UNION ALL ".join(parts)
@@ -237,7 +237,7 @@ evade AS (
   SELECT log_id, original, 'unicode_homoglyph' AS attack, replace(replace(original, 'a', chr(1072)), 'e', chr(1077)) AS poisoned FROM alerts
   UNION ALL SELECT log_id, original, 'whitespace_injection', replace(original, ' ', '  ' || chr(9) || ' ') FROM alerts
   UNION ALL SELECT log_id, original, 'case_randomisation', array_to_string(list_transform(string_split(original, ''),
-    (c, i) -> CASE WHEN i % 2 = 1 THEN upper(c) ELSE lower(c) END), '') FROM alerts
+    lambda c, i: CASE WHEN i % 2 = 1 THEN upper(c) ELSE lower(c) END), '') FROM alerts
   UNION ALL SELECT log_id, original, 'benign_prefix', {q(r.BENIGN_PREFIX)} || original FROM alerts
   UNION ALL SELECT log_id, original, 'zero_width_split', replace(original, 'fail', 'f' || chr(8203) || 'ail') FROM alerts)"""
 EVADED = (
@@ -264,9 +264,9 @@ APPROACH_PAIRS = " UNION ALL ".join(
         r.APPROACHES, ["coalesce(rx, 'Unclassified')", "'Unclassified'", "coalesce(kw, 'Unclassified')", "classification"]
     )
 )
-LOGITS = """lg AS (SELECT vec_id, label, list_transform(embedding[1:10], (x, i) -> CAST(x AS DOUBLE) * 10 + CASE WHEN i - 1 = label THEN 2.0 ELSE 0.0 END) AS z FROM embeddings)"""
+LOGITS = """lg AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x, i: CAST(x AS DOUBLE) * 10 + CASE WHEN i - 1 = label THEN 2.0 ELSE 0.0 END) AS z FROM embeddings)"""
 LOSSES = f"""WITH {LOGITS}, mx AS (SELECT label, z, list_max(z) AS m FROM lg), tt AS (SELECT unnest(range(1, 51)) / 10.0 AS temperature),
-ls AS (SELECT temperature, avg(ln(list_sum(list_transform(z, v -> exp((v - m) / temperature)))) - (z[label + 1] - m) / temperature) AS loss FROM mx, tt GROUP BY 1)"""
+ls AS (SELECT temperature, avg(ln(list_sum(list_transform(z, lambda v: exp((v - m) / temperature)))) - (z[label + 1] - m) / temperature) AS loss FROM mx, tt GROUP BY 1)"""
 
 REASONED = {
     "regex": q(r.REASON_PATTERN),
@@ -276,7 +276,7 @@ REASONED = {
 }
 ENTITY_JSON = """'{' || array_to_string(list_filter([
   CASE WHEN len(ipl) > 0 THEN '"ip_addresses":["' || array_to_string(ipl, '","') || '"]' END,
-  '"http_method":"' || vb || '"', '"status_code":"' || sc || '"', '"username":"' || us || '"', '"url":"' || replace(u, '"', '\\"') || '"'], x -> x IS NOT NULL), ',') || '}'"""
+  '"http_method":"' || vb || '"', '"status_code":"' || sc || '"', '"username":"' || us || '"', '"url":"' || replace(u, '"', '\\"') || '"'], lambda x: x IS NOT NULL), ',') || '}'"""
 CLS_COLS = "round(confidence, 6) AS confidence, reasoning"
 
 ORACLE: dict[str, str] = {
@@ -348,7 +348,7 @@ ORACLE: dict[str, str] = {
         f"round(greatest(0.0::DOUBLE, least(1.0::DOUBLE, value / 500 + ({a})::DOUBLE)), 6) AS by_{m}"
         for m, a in [*r.ADJUSTMENTS.items(), ("other", 0.0)]
     ) + " FROM events",
-    "d16_temperature_softmax": f"""WITH {LOGITS}, ex AS (SELECT vec_id, list_transform(z, v -> exp((v - list_max(z)) / 1.5)) AS e FROM lg)
+    "d16_temperature_softmax": f"""WITH {LOGITS}, ex AS (SELECT vec_id, list_transform(z, lambda v: exp((v - list_max(z)) / 1.5)) AS e FROM lg)
  SELECT vec_id, i - 1 AS class, round(e[i] / s, 6) AS p FROM (SELECT vec_id, e, list_sum(e) AS s, unnest(range(1, 11)) AS i FROM ex)""",
     "d17_temperature_losses": f"{LOSSES} SELECT round(CAST(temperature AS DOUBLE), 1) AS temperature, round(loss, 6) AS loss FROM ls",
     "d17_temperature_fit": f"{LOSSES} SELECT round(CAST(temperature AS DOUBLE), 1) AS temperature, round(loss, 6) AS loss FROM ls ORDER BY ls.loss, ls.temperature LIMIT 1",

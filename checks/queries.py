@@ -338,8 +338,8 @@ def b10(spark, sf):
 def b11(spark, sf):
     usage = fm.FormatSpec(
         "usage",
-        lambda line: line.rlike(r"^\w+ usage at \d+ percent"),
-        lambda line: fm.parsed_struct(line, level=F.regexp_extract(line, r"at (\d+) percent", 1)),
+        lambda line: F.col(line).rlike(r"^\w+ usage at \d+ percent"),
+        lambda line: fm.parsed_struct(line, level=f"regexp_extract({line}, 'at ([0-9]+) percent', 1)"),
     )
     done = FORMATS.register(usage).parse_lines(logs(spark, sf))
     return done.select("log_id", "log_type", "parsed.level", "parsed.raw")
@@ -370,34 +370,38 @@ def c6(spark, sf):
 # --- D: classification ------------------------------------------------------
 
 
-def a_line() -> cl.Line:
-    text = message("log_message")
-    return cl.Line(text, F.lower(text), folded(text))
+def folded_logs(spark, sf) -> DataFrame:
+    return logs(spark, sf).withColumn("fold", folded(message("log_message")))
 
 
 @query("d1_pattern_tier")
 def d1(spark, sf):
-    label = cl.pattern_label(a_line())
-    return logs(spark, sf).select("log_id", label.alias("label")).withColumn(
+    label = cl.pattern_label("log_message", "fold")
+    return folded_logs(spark, sf).select("log_id", label.alias("label")).withColumn(
         "confidence", F.when(F.col("label").isNotNull(), 1.0).otherwise(0.0)
     )
 
 
 @query("d2_custom_patterns")
 def d2(spark, sf):
-    return logs(spark, sf).select("log_id", cl.pattern_label(a_line(), CUSTOM_PATTERNS).alias("label"))
+    return folded_logs(spark, sf).select("log_id", cl.pattern_label("log_message", "fold", CUSTOM_PATTERNS).alias("label"))
+
+
+def keyword_rows(spark, sf) -> DataFrame:
+    low = logs(spark, sf).withColumn("low", F.lower(message("log_message")))
+    return low.withColumn("k", cl.keyword_decision("low"))
 
 
 @query("d3_keyword_tier")
 def d3(spark, sf):
-    done = logs(spark, sf).withColumn("k", cl.keyword_decision(F.lower(message("log_message"))))
-    return done.select("log_id", F.col("k.category").alias("label"), r6("k.confidence").alias("confidence"))
+    return keyword_rows(spark, sf).select("log_id", F.col("k.category").alias("label"), r6("k.confidence").alias("confidence"))
 
 
 @query("d4_keyword_reasoning")
 def d4(spark, sf):
-    done = logs(spark, sf).withColumn("k", cl.keyword_decision(F.lower(message("log_message"))))
-    return done.select("log_id", "k.category", r6("k.confidence").alias("confidence"), "k.reasoning", "k.raw_response")
+    return keyword_rows(spark, sf).select(
+        "log_id", "k.category", r6("k.confidence").alias("confidence"), "k.reasoning", "k.raw_response"
+    )
 
 
 @query("d5_completion_parse")

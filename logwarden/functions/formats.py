@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logwarden import rules
-from logwarden.functions.text import CASED, first_match, message, strip_text
+from logwarden.functions.text import CASED, first_match, message, sql_text, strip_text
 
 PARSED_FIELDS = [
     "ip_address", "timestamp", "request", "http_method", "url", "protocol", "status_code", "bytes_sent",
@@ -22,44 +22,48 @@ PARSED_FIELDS = [
 ]
 
 
-def parsed_struct(raw: Column, block_ids: Column | None = None, **fields: Column) -> Column:
-    """Superset record: the given fields, NULL for the others, always ``raw``."""
-    cols = [fields.get(f, F.lit(None).cast("string")).alias(f) for f in PARSED_FIELDS]
-    blocks = F.lit(None).cast("array<string>") if block_ids is None else block_ids
-    return F.struct(*cols, blocks.alias("block_ids"), raw.alias("raw"))
+def parsed_struct(raw: str, block_ids: str | None = None, **fields: str) -> Column:
+    """Superset record: the given fields (SQL text), NULL for the others, always ``raw``."""
+    parts = [f"'{f}', {fields.get(f, 'CAST(NULL AS STRING)')}" for f in PARSED_FIELDS]
+    parts += [f"'block_ids', {block_ids or 'CAST(NULL AS ARRAY<STRING>)'}", f"'raw', {raw}"]
+    return F.expr("named_struct(" + ", ".join(parts) + ")")
 
 
 @dataclass(frozen=True)
 class FormatSpec:
+    """A format: both functions get the SQL name of the line and return a Column."""
+
     name: str
-    detect: Callable[[Column], Column]
-    parse: Callable[[Column], Column]
+    detect: Callable[[str], Column]
+    parse: Callable[[str], Column]
 
 
-def _searches(name: str) -> Callable[[Column], Column]:
-    return lambda line: line.rlike(CASED + rules.DETECT[name])
+def _searches(name: str) -> Callable[[str], Column]:
+    return lambda line: F.expr(f"{line} RLIKE {sql_text(CASED + rules.DETECT[name])}")
 
 
-def _groups(line: Column, pattern: str, names: list[str]) -> tuple[Column, dict[str, Column]]:
-    """Condition 'the line starts with pattern' and its groups by name."""
-    anchored = CASED + "^" + pattern
-    return line.rlike(anchored), {n: F.regexp_extract(line, anchored, i + 1) for i, n in enumerate(names)}
+def _groups(line: str, pattern: str, names: list[str]) -> tuple[Column, dict[str, str]]:
+    """Condition 'the line starts with pattern' and the SQL of its groups by name."""
+    anchored = sql_text(CASED + "^" + pattern)
+    groups = {n: f"regexp_extract({line}, {anchored}, {i + 1})" for i, n in enumerate(names)}
+    return F.expr(f"{line} RLIKE {anchored}"), groups
 
 
-def parse_web(line: Column) -> Column:
+def parse_web(line: str) -> Column:
     ok, g = _groups(line, rules.WEB_LINE, ["ip_address", "timestamp", "request", "status_code", "bytes_sent"])
-    parts = F.split(strip_text(g["request"]), r"(?U)\s+")
+    ends, gap = sql_text(r"(?U)^\s+|\s+\z"), sql_text(r"(?U)\s+")
+    parts = f"split(regexp_replace({g['request']}, {ends}, ''), {gap})"
     for i, part in enumerate(["http_method", "url", "protocol"]):
-        g[part] = F.coalesce(F.get(parts, F.lit(i)), F.lit(""))
+        g[part] = f"coalesce(get({parts}, {i}), '')"
     return F.when(ok, parsed_struct(line, **g)).otherwise(parsed_struct(line))
 
 
-def parse_syslog(line: Column) -> Column:
+def parse_syslog(line: str) -> Column:
     ok, g = _groups(line, rules.SYSLOG_LINE, ["timestamp", "hostname", "process", "message"])
     return F.when(ok, parsed_struct(line, **g)).otherwise(parsed_struct(line))
 
 
-def parse_security(line: Column) -> Column:
+def parse_security(line: str) -> Column:
     names = ["timestamp", "hostname", "service", "message"]
     ok, g = _groups(line, rules.SECURITY_LINE, names)
     plain_ok, plain = _groups(line, rules.SYSLOG_LINE, names)
@@ -70,13 +74,13 @@ def parse_security(line: Column) -> Column:
     )
 
 
-def parse_hdfs(line: Column) -> Column:
+def parse_hdfs(line: str) -> Column:
     ok, g = _groups(line, rules.HDFS_LINE, ["date", "time", "process_id", "level", "component", "message"])
-    blocks = F.regexp_extract_all(line, F.lit(CASED + rules.HDFS_BLOCK), F.lit(0))
+    blocks = f"regexp_extract_all({line}, {sql_text(CASED + rules.HDFS_BLOCK)}, 0)"
     return F.when(ok, parsed_struct(line, block_ids=blocks, **g)).otherwise(parsed_struct(line))
 
 
-def parse_openstack(line: Column) -> Column:
+def parse_openstack(line: str) -> Column:
     ok, g = _groups(line, rules.OPENSTACK_LINE, ["component", "process_id", "level", "name", "message"])
     return F.when(ok, parsed_struct(line, **g)).otherwise(parsed_struct(line))
 
@@ -103,14 +107,12 @@ class Formats:
         """A new list with ``spec`` placed after the known ones, before the catch-all."""
         return Formats([*self.specs, spec])
 
-    def detect(self, line: str | Column) -> Column:
-        line = message(line)
+    def detect(self, line: str) -> Column:
         cases = [(s.detect(line), F.lit(s.name)) for s in self.specs]
         return first_match(cases, F.lit(GENERIC.name)) if cases else F.lit(GENERIC.name)
 
-    def parse_as(self, line: str | Column, log_type: str | Column) -> Column:
+    def parse_as(self, line: str, log_type: str | Column) -> Column:
         """Parse with the named format; an unknown name falls back to ``raw`` only."""
-        line = message(line)
         if isinstance(log_type, str):
             known = {s.name: s for s in self.specs}
             return known.get(log_type, GENERIC).parse(line)

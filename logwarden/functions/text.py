@@ -44,23 +44,65 @@ REQUIRED_WORDS: dict[str, list[str]] = {
 _SPECIAL = set(r".^$*+?{}[]\|()")
 
 
-def any_of(conditions: list[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions)
+Text = str | Column  # SQL text (a column name, most of the time) or a Column
 
 
-def has_any(text: Column, words: list[str]) -> Column:
-    """True if ``text`` contains one of ``words`` (plain substrings)."""
-    return any_of([text.contains(w) for w in words])
+def sql_text(value: str) -> str:
+    """``value`` as a SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def message(col: str | Column) -> Column:
+def column(text: Text) -> Column:
+    return F.expr(text) if isinstance(text, str) else text
+
+
+def contains_any(text: str, words: list[str]) -> str:
+    """SQL text: ``text`` contains one of ``words`` as a plain substring.
+
+    Rule lists are put together as SQL text and handed to Spark in one piece;
+    built from Column calls, a plan with hundreds of words takes seconds to make.
+    """
+    return "(" + " OR ".join(f"contains({text}, {sql_text(w)})" for w in words) + ")"
+
+
+def has_any(text: Text, words: list[str]) -> Column:
+    if isinstance(text, str):
+        return F.expr(contains_any(text, words))
+    return reduce(lambda a, b: a | b, [text.contains(w) for w in words])
+
+
+def case_sql(cases: list[tuple[str, str]], default: str = "NULL") -> str:
+    """SQL text of a CASE; the first true condition wins."""
+    if not cases:
+        return default
+    return "CASE " + " ".join(f"WHEN {c} THEN {v}" for c, v in cases) + f" ELSE {default} END"
+
+
+def words_case(text: str, rules: list[tuple[list[str], str]], default: str = "NULL") -> str:
+    """SQL text of a CASE over word lists with string results."""
+    return case_sql([(contains_any(text, words), sql_text(value)) for words, value in rules], default)
+
+
+def record_sql(**fields: str | float | bool | None) -> str:
+    """SQL text of a struct of constants."""
+    def constant(v: str | float | bool | None) -> str:
+        if v is None:
+            return "CAST(NULL AS STRING)"
+        if isinstance(v, bool):
+            return str(v).lower()
+        return sql_text(v) if isinstance(v, str) else f"CAST({v!r} AS DOUBLE)"
+
+    return "named_struct(" + ", ".join(f"'{k}', {constant(v)}" for k, v in fields.items()) + ")"
+
+
+def message(col: Text) -> Column:
     """The line to work on; a missing line counts as an empty one."""
-    col = F.col(col) if isinstance(col, str) else col
-    return F.coalesce(col, F.lit(""))
+    return F.expr(f"coalesce({col}, '')") if isinstance(col, str) else F.coalesce(col, F.lit(""))
 
 
-def folded(text: Column) -> Column:
+def folded(text: Text) -> Column:
     """Lower-cased copy in which a caseless literal search is a substring test."""
+    text = column(text)
     odd = has_any(text, list(ODD_LETTERS))
     return F.when(odd, F.lower(F.translate(text, ODD_LETTERS, ODD_LETTERS_AS))).otherwise(F.lower(text))
 
@@ -70,13 +112,16 @@ def strip_text(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+\z", "")
 
 
-def search_first(text: Column, pattern: str, group: int, needs: Column | None = None) -> Column:
+def search_first(text: Text, pattern: str, group: int, needs: Column | None = None) -> Column:
     """First match's group, NULL without a match; ``needs`` gates the regex.
 
     The empty string of a failed search is dropped through a one-element array:
     ``nullif`` would run the regex twice.
     """
-    found = F.get(F.array_remove(F.array(F.regexp_extract(text, pattern, group)), ""), F.lit(0))
+    if isinstance(text, str):
+        found = F.expr(f"get(array_remove(array(regexp_extract({text}, {sql_text(pattern)}, {group})), ''), 0)")
+    else:
+        found = F.get(F.array_remove(F.array(F.regexp_extract(text, pattern, group)), ""), F.lit(0))
     return found if needs is None else F.when(needs, found)
 
 
@@ -117,19 +162,19 @@ def simplify_search(pattern: str) -> str:
     return "|".join(parts)
 
 
-def caseless_search(text: Column, fold: Column, pattern: str) -> Column:
-    """Case-insensitive ``search(pattern)`` as the cheapest equal expression."""
+def caseless_search(text: str, fold: str, pattern: str) -> str:
+    """SQL text: case-insensitive ``search(pattern)`` as the cheapest equal expression."""
     pattern = simplify_search(pattern)
     words = _alternatives(pattern)
     if all(w and w.isascii() and not (_SPECIAL & set(w)) for w in words):
-        return has_any(fold, [w.lower() for w in words])
-    hit = text.rlike(CASELESS + pattern)
+        return contains_any(fold, [w.lower() for w in words])
+    hit = f"{text} RLIKE {sql_text(CASELESS + pattern)}"
     needs = REQUIRED_WORDS.get(pattern)
-    return has_any(fold, needs) & hit if needs else hit
+    return f"({contains_any(fold, needs)} AND {hit})" if needs else f"({hit})"
 
 
 def first_match(cases: list[tuple[Column, Column]], default: Column | None = None) -> Column:
-    """CASE WHEN over ``(condition, value)``; the first true one wins."""
+    """CASE WHEN over ``(condition, value)`` columns; the first true one wins."""
     (cond, value), *rest = cases
     out = F.when(cond, value)
     for cond, value in rest:

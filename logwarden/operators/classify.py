@@ -24,22 +24,25 @@ from pyspark.sql import types as T
 
 from logwarden import rules
 from logwarden.functions import entities as ent
-from logwarden.functions.text import caseless_search, first_match, folded, has_any, message
+from logwarden.functions.text import (
+    Text, case_sql, caseless_search, contains_any, first_match, folded, has_any, message, record_sql, sql_text,
+)
 
 BEST = "struct<label:string,method:string,confidence:double,reasoning:string>"
 
 
 @dataclass(frozen=True)
 class Line:
-    """What an expression tier may read: the line, its lower-case and folded copies."""
+    """SQL names of what an expression tier may read: the line, its lower-case and folded copies."""
 
-    text: Column
-    lower: Column
-    fold: Column
+    text: str = "_text"
+    lower: str = "_lower"
+    fold: str = "_fold"
 
 
 # Condition, label, confidence; the first true condition of a tier decides the line.
-Case = tuple[Column, Column, Column]
+# Label and confidence are plain values where they can be, columns otherwise.
+Case = tuple[Column, str | Column, float | Column]
 
 
 @dataclass(frozen=True)
@@ -67,9 +70,14 @@ def _verdict(label: Column, confidence: Column) -> Column:
     return F.struct(label.cast("string").alias("label"), confidence.cast("double").alias("confidence"))
 
 
-def best(label: Column, method: str, raw: Column) -> Column:
-    """The final record of a decision; constant-folded when label and confidence are literals."""
-    confidence = adjust_confidence(raw, method)
+def best(label: str | Column, method: str, raw: float | Column) -> Column:
+    """The final record of a decision: label, method, adjusted confidence, wording."""
+    if isinstance(label, str) and isinstance(raw, float):
+        sure = min(1.0, max(0.0, raw + rules.ADJUSTMENTS.get(method, 0.0)))
+        said = REASONS.get(method, "")
+        return F.expr(record_sql(label=label, method=method, confidence=sure, reasoning=said % sure if "%" in said else said))
+    label = F.lit(label) if isinstance(label, str) else label
+    confidence = adjust_confidence(F.lit(raw) if isinstance(raw, float) else raw, method)
     return F.struct(
         label.cast("string").alias("label"),
         F.lit(method).alias("method"),
@@ -81,48 +89,42 @@ def best(label: Column, method: str, raw: Column) -> Column:
 # --- pattern tier -----------------------------------------------------------
 
 
-def pattern_label(line: Line, patterns: list[tuple[str, str]] | None = None) -> Column:
+def pattern_label(text: str = "_text", fold: str = "_fold", patterns: list[tuple[str, str]] | None = None) -> Column:
     """Label of the first pattern found in the line, else NULL."""
     chosen = rules.PATTERN_RULES if patterns is None else patterns
-    if not chosen:
-        return F.lit(None).cast("string")
-    return first_match([(caseless_search(line.text, line.fold, p), F.lit(label)) for p, label in chosen])
+    return F.expr(case_sql([(caseless_search(text, fold, p), sql_text(label)) for p, label in chosen])).cast("string")
 
 
 def pattern_tier(patterns: list[tuple[str, str]] | None = None) -> ColumnTier:
     chosen = rules.PATTERN_RULES if patterns is None else patterns
     return ColumnTier(
         "regex",
-        lambda line: [(caseless_search(line.text, line.fold, p), F.lit(label), F.lit(1.0)) for p, label in chosen],
+        lambda line: [(F.expr(caseless_search(line.text, line.fold, p)), label, 1.0) for p, label in chosen],
     )
 
 
 # --- keyword tier -----------------------------------------------------------
 
 
-def keyword_decision(lower: Column) -> Column:
+def keyword_decision(lower: str) -> Column:
     """Keyword label with confidence and wording; undecided lines are Unclassified."""
 
-    def answer(label: str, confidence: float, reason: str) -> Column:
-        return F.struct(
-            F.lit(label).alias("category"),
-            F.lit(confidence).alias("confidence"),
-            F.lit(rules.KEYWORD_REASON_PREFIX + reason).alias("reasoning"),
-            F.lit("").alias("raw_response"),
+    def answer(label: str, confidence: float, reason: str) -> str:
+        return record_sql(
+            category=label, confidence=confidence, reasoning=rules.KEYWORD_REASON_PREFIX + reason, raw_response=""
         )
 
     cases = [
-        (has_any(lower, words), answer(label, rules.KEYWORD_CONFIDENCE, reason))
+        (contains_any(lower, words), answer(label, rules.KEYWORD_CONFIDENCE, reason))
         for words, label, reason in rules.KEYWORD_RULES
     ]
-    return first_match(cases, answer(rules.UNCLASSIFIED, 0.0, rules.KEYWORD_NO_REASON))
+    return F.expr(case_sql(cases, answer(rules.UNCLASSIFIED, 0.0, rules.KEYWORD_NO_REASON)))
 
 
 def keyword_tier() -> ColumnTier:
     def cases(line: Line) -> list[Case]:
-        sure = F.lit(rules.KEYWORD_CONFIDENCE)
-        known = [(has_any(line.lower, words), F.lit(label), sure) for words, label, _ in rules.KEYWORD_RULES]
-        return [*known, (F.lit(True), F.lit(rules.UNCLASSIFIED), F.lit(0.0))]
+        known = [(has_any(line.lower, words), label, rules.KEYWORD_CONFIDENCE) for words, label, _ in rules.KEYWORD_RULES]
+        return [*known, (F.lit(True), rules.UNCLASSIFIED, 0.0)]
 
     return ColumnTier("llm", cases)
 
@@ -130,7 +132,7 @@ def keyword_tier() -> ColumnTier:
 # --- completion tier --------------------------------------------------------
 
 
-def prompt(text: str | Column) -> Column:
+def prompt(text: Text) -> Column:
     """The classification prompt for a line."""
     return F.concat(F.lit(rules.PROMPT_HEAD), message(text))
 
@@ -141,7 +143,7 @@ def _tag(text: Column, pattern: str, missing: str) -> Column:
     return F.when(text.rlike(pattern), inner).otherwise(F.lit(missing))
 
 
-def parse_completion(text: str | Column) -> Column:
+def parse_completion(text: Text) -> Column:
     """Read the category and reasoning tags of a completion."""
     text = message(text)
     return F.struct(
@@ -210,15 +212,13 @@ def adjust_confidence(raw: Column, method: str | Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw + shift))
 
 
+REASONS = {"regex": rules.REASON_PATTERN, "bert": rules.REASON_MODEL, "llm": rules.REASON_COMPLETION}
+
+
 def reasoning(method: str, confidence: Column) -> Column:
     """The sentence that goes with a decision."""
-    if method == "regex":
-        return F.lit(rules.REASON_PATTERN)
-    if method == "bert":
-        return F.format_string(rules.REASON_MODEL, confidence)
-    if method == "llm":
-        return F.format_string(rules.REASON_COMPLETION, confidence)
-    return F.lit("")
+    said = REASONS.get(method, "")
+    return F.format_string(said, confidence) if "%" in said else F.lit(said)
 
 
 # --- the cascade ------------------------------------------------------------
@@ -229,7 +229,7 @@ class Cascade:
     """Tiers in order; the first that gives a label decides the line."""
 
     tiers: list[Tier] = field(default_factory=lambda: [pattern_tier(), model_tier(), keyword_tier()])
-    entities: Callable[[Column, Column], Column] | None = ent.entities
+    entities: Callable[[str, str], Column] | None = ent.entities
 
     def classify(self, df: DataFrame, text: str = "log_message") -> DataFrame:
         """Add ``classification, method, confidence, reasoning`` and ``entities``.
@@ -239,9 +239,9 @@ class Cascade:
         conditions read the folded line from the projection below.
         """
         keep = df.columns
-        work = df.withColumn("_text", message(text))
-        work = work.withColumns({"_lower": F.lower("_text"), "_fold": folded(F.col("_text"))})
-        line = Line(F.col("_text"), F.col("_lower"), F.col("_fold"))
+        work = df.withColumn("_text", message(F.col(text)))
+        work = work.withColumns({"_lower": F.lower("_text"), "_fold": folded("_text")})
+        line = Line()
         decided = F.lit(None).cast(BEST)
         cases: list[tuple[Column, Column]] = []
         for tier in self.tiers:
@@ -251,7 +251,11 @@ class Cascade:
             work = work.withColumn("_best", self._settle(decided, cases))
             cases, decided = [], F.col("_best")
             work = self._frame(work, tier) if isinstance(tier, FrameTier) else self._batches(work, tier)
+        # Handed on through a generator: a later filter on the outcome cannot slip
+        # below it and make Spark work out the whole cascade a second time.
+        others = [c for c in work.columns if c != "_best"]
         work = work.withColumn("_best", self._settle(decided, cases))
+        work = work.select(*others, F.explode(F.array("_best")).alias("_best"))
 
         b = F.col("_best")
         found = {
@@ -261,7 +265,7 @@ class Cascade:
             "reasoning": F.coalesce(b["reasoning"], F.lit(rules.REASON_FALLBACK)),
         }
         if self.entities:
-            found["entities"] = self.entities(F.col("_text"), F.col("_fold"))
+            found["entities"] = self.entities("_text", "_fold")
         return work.select(*keep, *[c.alias(name) for name, c in found.items()])
 
     @staticmethod

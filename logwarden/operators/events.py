@@ -9,7 +9,7 @@ import pyarrow as pa
 
 from logwarden import rules
 from logwarden.functions import entities as ent
-from logwarden.functions.text import first_match, folded, has_any, message
+from logwarden.functions.text import case_sql, contains_any, folded, message, record_sql, sql_text, words_case
 
 EVENT_COLUMNS = [
     "event_type", "log_message", "severity", "confidence", "source_ips", "url_pattern", "attack_type",
@@ -18,49 +18,44 @@ EVENT_COLUMNS = [
 ]
 
 
-def attack_signature(lower: Column) -> Column:
+def attack_signature(lower: str) -> Column:
     """Attack type and severity of an alert line; unknown attacks are HIGH."""
+    cases = [
+        (contains_any(lower, words), record_sql(attack_type=attack, severity=severity))
+        for words, attack, severity in rules.ATTACK_SIGNATURES
+    ]
+    return F.expr(case_sql(cases, record_sql(attack_type="UNKNOWN", severity="HIGH")))
 
-    def pair(attack: str, severity: str) -> Column:
-        return F.struct(F.lit(attack).alias("attack_type"), F.lit(severity).alias("severity"))
-
-    cases = [(has_any(lower, words), pair(a, s)) for words, a, s in rules.ATTACK_SIGNATURES]
-    return first_match(cases, pair("UNKNOWN", "HIGH"))
 
+def event_verdict(label: str, lower: str, status: str) -> Column:
+    """Severity, attack type, attention flag and event type; NULL if the line is no event.
 
-def event_verdict(label: Column, lower: Column, status: Column) -> Column:
-    """Event type, severity, attack type and attention flag; NULL if the line is no event."""
+    ``label``, ``lower`` and ``status`` name columns. Type NULL inside the
+    verdict stands for the label itself.
+    """
 
-    def verdict(kind: Column, severity: Column, attack: Column, attention: bool) -> Column:
-        return F.struct(
-            kind.alias("event_type"), severity.alias("severity"), attack.alias("attack_type"),
-            F.lit(attention).alias("requires_attention"),
-        )
+    def verdict(kind: str | None, severity: str, attack: str, attention: bool) -> str:
+        return record_sql(event_type=kind, severity=severity, attack_type=attack, requires_attention=attention)
 
-    unknown = F.lit("UNKNOWN")
-    name = F.lower(label)
-    alerts = [
-        (
-            (label == "Security Alert") & has_any(lower, words),
-            verdict(F.lit("Security Alert"), F.lit(severity), F.lit(attack), True),
+    signatures = case_sql(
+        [
+            (contains_any(lower, words), verdict("Security Alert", severity, attack, True))
+            for words, attack, severity in rules.ATTACK_SIGNATURES
+        ],
+        verdict("Security Alert", "HIGH", "UNKNOWN", True),
+    )
+    name = f"lower({label})"
+    scan = verdict("Suspicious HTTP Activity", "LOW", "ENUMERATION", False)
+    return F.expr(
+        case_sql(
+            [
+                (f"{label} = 'Security Alert'", signatures),
+                (f"{label} = 'Critical Error'", verdict("Critical Error", "HIGH", "UNKNOWN", True)),
+                (contains_any(name, ["error", "fail"]), verdict(None, "MEDIUM", "UNKNOWN", False)),
+                (f"{label} = 'HTTP Status'", f"CASE WHEN startswith({status}, '4') THEN {scan} END"),
+                (contains_any(lower, rules.SUSPICIOUS_WORDS), verdict("Suspicious Activity", "MEDIUM", "UNKNOWN", True)),
+            ]
         )
-        for words, attack, severity in rules.ATTACK_SIGNATURES
-    ]
-    return first_match(
-        alerts
-        + [
-            (label == "Security Alert", verdict(F.lit("Security Alert"), F.lit("HIGH"), unknown, True)),
-            (label == "Critical Error", verdict(F.lit("Critical Error"), F.lit("HIGH"), unknown, True)),
-            (has_any(name, ["error", "fail"]), verdict(label, F.lit("MEDIUM"), unknown, False)),
-            (
-                (label == "HTTP Status") & status.startswith("4"),
-                verdict(F.lit("Suspicious HTTP Activity"), F.lit("LOW"), F.lit("ENUMERATION"), False),
-            ),
-            (
-                (label != "HTTP Status") & has_any(lower, rules.SUSPICIOUS_WORDS),
-                verdict(F.lit("Suspicious Activity"), F.lit("MEDIUM"), unknown, True),
-            ),
-        ]
     )
 
 
@@ -74,7 +69,7 @@ def judge(classified: DataFrame, label: str = "classification", text: str = "log
     else:
         status = ent.status_code(text)
     df = classified.withColumns({"_lower": F.lower(message(text)), "_status": status})
-    return df.withColumn("_event", event_verdict(F.col(label), F.col("_lower"), F.col("_status")))
+    return df.withColumn("_event", event_verdict(label, "_lower", "_status"))
 
 
 def only_events(judged: DataFrame) -> DataFrame:
@@ -105,7 +100,7 @@ def extract_events(classified: DataFrame, label: str = "classification", text: s
     ids = [c for c in ("log_id", "source") if c in classified.columns]
     return found.select(
         *ids,
-        e["event_type"].alias("event_type"),
+        F.coalesce(e["event_type"], F.col(label)).alias("event_type"),
         message(text).alias("log_message"),
         e["severity"].alias("severity"),
         F.col("confidence"),
@@ -125,11 +120,11 @@ def extract_events(classified: DataFrame, label: str = "classification", text: s
 # --- enrichment -------------------------------------------------------------
 
 
-def root_cause(lower: Column, event_type: Column) -> Column:
+def root_cause(lower: str, event_type: str) -> Column:
     """Likely cause by keyword; otherwise a sentence naming the event type."""
     head, tail = rules.ROOT_CAUSE_DEFAULT
-    cases = [(has_any(lower, words), F.lit(text)) for words, text in rules.ROOT_CAUSES]
-    return first_match(cases, F.concat(F.lit(head), event_type, F.lit(tail)))
+    default = f"concat({sql_text(head)}, {event_type}, {sql_text(tail)})"
+    return F.expr(words_case(lower, rules.ROOT_CAUSES, default))
 
 
 def attack_table(spark: SparkSession) -> DataFrame:
@@ -147,7 +142,7 @@ def attack_table(spark: SparkSession) -> DataFrame:
 
 
 def add_root_cause(events: DataFrame) -> DataFrame:
-    return events.withColumn("root_cause", root_cause(F.lower("log_message"), F.col("event_type")))
+    return events.withColumn("root_cause", root_cause("lower(log_message)", "event_type"))
 
 
 def add_technique(events: DataFrame) -> DataFrame:
@@ -157,7 +152,9 @@ def add_technique(events: DataFrame) -> DataFrame:
 
 
 def recommendation_text(severity: Column, advice: Column) -> Column:
-    prefix = first_match([(severity == s, F.lit(p)) for s, p in rules.SEVERITY_PREFIXES], F.lit(""))
+    prefix = F.lit("")
+    for level, words in reversed(rules.SEVERITY_PREFIXES):
+        prefix = F.when(severity == level, words).otherwise(prefix)
     return F.concat(prefix, F.coalesce(advice, F.lit(rules.RECOMMENDATION_DEFAULT)))
 
 
@@ -169,9 +166,9 @@ def add_recommendation(events: DataFrame) -> DataFrame:
 
 def enrich(events: DataFrame) -> DataFrame:
     """Root cause, technique and recommendation with one broadcast lookup and no shuffle."""
-    lower = F.col("_lower") if "_lower" in events.columns else F.lower("log_message")
+    lower = "_lower" if "_lower" in events.columns else "lower(log_message)"
     ids = [c for c in events.columns if c not in EVENT_COLUMNS and c != "_lower"]
-    joined = events.withColumn("root_cause", root_cause(lower, F.col("event_type"))).join(
+    joined = events.withColumn("root_cause", root_cause(lower, "event_type")).join(
         F.broadcast(attack_table(events.sparkSession)), "attack_type", "left"
     )
     joined = joined.withColumn("recommendation", recommendation_text(F.col("severity"), F.col("advice")))

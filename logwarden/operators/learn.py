@@ -45,7 +45,7 @@ def vectors(df: DataFrame, embedding: str = "embedding") -> DataFrame:
 
 def class_names(df: DataFrame, label: str) -> list[str]:
     """The labels in order. A training set's classes are few by nature."""
-    return [r[0] for r in df.select(F.col(label).cast("string").alias("l")).groupBy("l").agg().orderBy("l").collect()]
+    return [r[0] for r in df.select(F.col(label).cast("string").alias("l")).distinct().orderBy("l").collect()]
 
 
 def label_index(label: str, classes: list[str]) -> Column:

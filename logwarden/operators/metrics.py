@@ -25,7 +25,7 @@ def accuracy(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
 def label_domain(df: DataFrame, truth: str, predicted: str) -> DataFrame:
     """Every label that occurs as truth or prediction."""
     both = df.select(F.explode(F.array(F.col(truth), F.col(predicted))).alias("label"))
-    return both.groupBy("label").agg().orderBy("label")
+    return both.distinct().orderBy("label")
 
 
 def confusion_matrix(pairs: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

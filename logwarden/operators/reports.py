@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from logwarden import rules
 from logwarden.functions import entities as ent
-from logwarden.functions.text import CASELESS, first_match, has_any, message
+from logwarden.functions.text import CASELESS, first_match
 from logwarden.operators import events as ev
 
 
