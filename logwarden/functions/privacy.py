@@ -18,19 +18,25 @@ def pii_patterns(mask_ips: bool = False, custom: list[Pattern] | None = None) ->
     return [p for p in rules.PII_PATTERNS if mask_ips or p[0] != "ipv4"] + list(custom or [])
 
 
+# Each pattern's core, without the word boundaries and optional parts that make it
+# slow to search: a text without the core cannot match the pattern.
+_CORES = {
+    "ssn": r"\d{3}-\d{2}-\d{4}",
+    "credit_card": r"\d(?:[ -]*\d){12}",
+    "phone_us": r"\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4}",
+    "ipv4": r"\d\.\d",
+}
+
+
 def _possible(kind: str, text: Column) -> Column:
     """Cheap test that a text could hold such data at all."""
     if kind == "email":
         return text.contains("@")
-    if kind == "ssn":
-        return text.contains("-")
-    if kind == "ipv4":
-        return text.contains(".")
     if kind == "aws_key":
         return has_any(text, ["AKIA", "ABIA", "ACCA", "ASIA"])
     if kind == "generic_secret":
-        return has_any(folded(text), ["passw", "pwd", "secret", "token", "api"])
-    return F.lit(True)
+        return has_any(text, ["=", ":"]) & has_any(folded(text), ["passw", "pwd", "secret", "token", "api"])
+    return text.rlike(CASED + _CORES[kind]) if kind in _CORES else F.lit(True)
 
 
 def _java(pattern: str) -> str:
@@ -43,8 +49,6 @@ def _spans_of(text: Column, kind: str, pattern: str, token: str) -> Column:
     The matches and the gaps between them are read off the text; a match starts
     where the gaps and matches before it end.
     """
-    values = F.regexp_extract_all(text, F.lit(_java(pattern)), F.lit(0))
-    gaps = F.split(text, _java(pattern), -1)
     start = F.struct(F.lit(0).alias("pos"), F.lit(None).cast(SPAN).alias("spans"))
 
     def step(acc: Column, pair: Column) -> Column:
@@ -60,13 +64,16 @@ def _spans_of(text: Column, kind: str, pattern: str, token: str) -> Column:
         grown = F.concat(F.coalesce(acc["spans"], F.array().cast(SPAN)), F.array(span))
         return F.struct(end.alias("pos"), grown.alias("spans"))
 
-    pairs = F.zip_with(
-        values,
-        F.slice(gaps, F.lit(1), F.size(values)),
-        lambda v, g: F.struct(v.alias("value"), g.alias("gap")),
-    )
-    found = F.aggregate(pairs, start.cast(f"struct<pos:int,spans:{SPAN}>"), step, lambda acc: acc["spans"])
-    return F.when(_possible(kind, text), found)
+    def located(values: Column) -> Column:
+        gaps = F.slice(F.split(text, _java(pattern), -1), F.lit(1), F.size(values))
+        pairs = F.zip_with(values, gaps, lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
+        spans = F.aggregate(pairs, start.cast(f"struct<pos:int,spans:{SPAN}>"), step, lambda acc: acc["spans"])
+        return F.when(F.size(values) > 0, spans)
+
+    # The one-element array gives the matches a name, so they are searched once
+    # and a text without any is not searched for gaps.
+    matches = F.array(F.regexp_extract_all(text, F.lit(_java(pattern)), F.lit(0)))
+    return F.when(_possible(kind, text), F.get(F.transform(matches, located), F.lit(0)))
 
 
 def pii_spans(text: str | Column, patterns: list[Pattern] | None = None) -> Column:
