@@ -24,8 +24,12 @@ def require_columns(df: DataFrame, needed: list[str]) -> DataFrame:
 
 
 def file_stem() -> Column:
-    """Name of the file a row came from, without its suffix."""
-    return F.regexp_replace(F.col("_metadata.file_name"), r"\.[^.]+$", "")
+    """Name of the file a row came from, without its suffix.
+
+    Spark gives the name in URL encoding, which leaves ``+`` as it is.
+    """
+    name = F.url_decode(F.replace(F.col("_metadata.file_name"), F.lit("+"), F.lit("%2B")))
+    return F.regexp_replace(name, r"\.[^.]+$", "")
 
 
 def clean_utf8(value: str) -> Column:

@@ -96,7 +96,8 @@ def limit_stream(
 ) -> DataFrame:
     """The limiter on a stream; per address the state is its admitted times in the window.
 
-    State goes once the watermark has passed its last window.
+    State goes once the watermark has passed its last window; requests later
+    than the watermark are dropped, as in every stateful stream.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
