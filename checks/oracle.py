@@ -462,3 +462,7 @@ e AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS ws, count(*) AS event_count, co
 SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, total_logs, event_count, {NAMES} AS highest_severity,
   rk <= 1 AS requires_immediate_attention, {SUMMARY} AS summary FROM t JOIN e USING (ws)
 WHERE ws + INTERVAL 1 HOUR <= (SELECT max(ts) FROM logs) - INTERVAL 10 MINUTE"""
+
+ORACLE["j6_busy_slices"] = """WITH s AS (SELECT CAST(user_id AS VARCHAR) AS ip, CAST(floor(epoch_us(ts) / 36000000000.0) AS BIGINT) AS slice, count(*) AS n FROM events GROUP BY 1, 2),
+b AS (SELECT a.ip, a.slice, a.n + coalesce(p.n, 0) > 3 AS busy FROM s a LEFT JOIN s p ON p.ip = a.ip AND p.slice = a.slice - 1)
+SELECT b.ip, b.slice FROM b LEFT JOIN b x ON x.ip = b.ip AND x.slice = b.slice + 1 WHERE b.busy OR coalesce(x.busy, false)"""

@@ -822,7 +822,8 @@ def h5_documents(spark, sf):
 
 
 def approaches() -> dict[str, cl.Cascade]:
-    tiers = [[cl.pattern_tier()], [cl.model_tier()], [cl.keyword_tier()], [cl.pattern_tier(), cl.model_tier(), cl.keyword_tier()]]
+    pattern, model, keyword = cl.pattern_tier(), cl.model_tier(), cl.keyword_tier()
+    tiers = [[pattern], [model], [keyword], [pattern, model, keyword]]
     return {name: cl.Cascade(t, entities=None) for name, t in zip(rules.APPROACHES, tiers)}
 
 

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logwarden import rules
+from logwarden.session import stored
 from logwarden.functions.text import CASED, first_match, message, sql_text, strip_text
 
 PARSED_FIELDS = [
@@ -147,9 +148,14 @@ class Formats:
         return first.select(*batch, self.detect("first_line").alias("log_type"))
 
     def parse_batches(self, df: DataFrame, batch: list[str], order: list[str], line: str = "log_message") -> DataFrame:
-        """Parse each batch (say, a file) with the format of its first non-blank line."""
+        """Parse each batch (say, a file) with the format of its first non-blank line.
+
+        The table of batch types is written first. Its real size then decides
+        the join: broadcast if it is small, else a shuffle join; the lines are
+        never shuffled only to find out.
+        """
         lines = df.filter(strip_text(message(line)) != "")
-        typed = lines.join(self.batch_types(df, batch, order, line), on=batch, how="inner")
+        typed = lines.join(stored(self.batch_types(df, batch, order, line), "types"), on=batch, how="inner")
         return typed.withColumn("parsed", self.parse_as(line, F.col("log_type")))
 
 

@@ -268,6 +268,10 @@ class Cascade:
             found["entities"] = self.entities("_text", "_fold")
         return work.select(*keep, *[c.alias(name) for name, c in found.items()])
 
+    def column_tiers(self) -> list[ColumnTier] | None:
+        """The tiers if all of them are expressions."""
+        return self.tiers if all(isinstance(t, ColumnTier) for t in self.tiers) else None
+
     @staticmethod
     def _settle(decided: Column, cases: list[tuple[Column, Column]]) -> Column:
         return F.coalesce(decided, first_match(cases)) if cases else decided
@@ -304,6 +308,36 @@ class Cascade:
         return out.select(*others, F.coalesce(before, mine).alias("_best"))
 
 
+def label_with_each(df: DataFrame, cascades: dict[str, Cascade], text: str = "log_message") -> DataFrame:
+    """Add ``labels``, an array of ``(approach, predicted)`` with one entry per cascade.
+
+    A tier object that several cascades share is worked out once per line.
+    """
+    keep = df.columns
+    shared: dict[int, str] = {}
+    work = df.withColumn("_text", message(F.col(text)))
+    work = work.withColumns({"_lower": F.lower("_text"), "_fold": folded("_text")})
+    for cascade in cascades.values():
+        for tier in cascade.column_tiers() or []:
+            if id(tier) in shared:
+                continue
+            cases = [(cond, F.lit(label) if isinstance(label, str) else label) for cond, label, _ in tier.cases(Line())]
+            if cases:
+                shared[id(tier)] = f"_tier_{len(shared)}"
+                work = work.withColumn(shared[id(tier)], first_match(cases))
+    entries = []
+    for i, (name, cascade) in enumerate(cascades.items()):
+        if cascade.column_tiers() is None:
+            done = cascade.classify(work, text)
+            work = done.select(*work.columns, F.col("classification").alias(f"_own_{i}"))
+            label = F.col(f"_own_{i}")
+        else:
+            given = [F.col(shared[id(t)]) for t in cascade.tiers if id(t) in shared]
+            label = F.coalesce(*given, F.lit(rules.UNCLASSIFIED))
+        entries.append(F.struct(F.lit(name).alias("approach"), label.alias("predicted")))
+    return work.select(*keep, F.array(*entries).alias("labels"))
+
+
 DEFAULT_CASCADE = Cascade()
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from logwarden.operators.classify import Cascade, label_with_each
+
 
 def pair_counts(df: DataFrame, truth: str, predicted: str, by: tuple[str, ...] = ()) -> DataFrame:
     return df.groupBy(*by, F.col(truth).alias("truth"), F.col(predicted).alias("predicted")).agg(
@@ -90,21 +92,16 @@ def evaluate(df: DataFrame, truth: str, predicted: str, by: tuple[str, ...] = ()
     return averages(class_report(pair_counts(df, truth, predicted, by), by), by)
 
 
-def compare_approaches(labelled: DataFrame, approaches: dict[str, object], truth: str = "target_label", by: tuple[str, ...] = ()) -> DataFrame:
+def compare_approaches(
+    labelled: DataFrame, approaches: dict[str, Cascade], truth: str = "target_label", by: tuple[str, ...] = ()
+) -> DataFrame:
     """One metric row per approach (and group): a cascade each, all on the same scan.
 
     The cascades run side by side on each line; the line is read once and leaves
     the task only as a count.
     """
-    work = labelled
-    names = list(approaches)
-    for i, name in enumerate(names):
-        keep = work.columns
-        done = approaches[name].classify(work.select(*keep))
-        work = done.select(*keep, F.col("classification").alias(f"_pred_{i}"))
-    each = F.array(*[F.struct(F.lit(n).alias("approach"), F.col(f"_pred_{i}").alias("predicted")) for i, n in enumerate(names)])
-    long = work.select(*by, F.col(truth).alias("truth"), F.explode(each).alias("a")).select(*by, "truth", "a.*")
-    return evaluate(long, "truth", "predicted", (*by, "approach"))
+    each = label_with_each(labelled, approaches).select(*by, F.col(truth).alias("truth"), F.explode("labels").alias("a"))
+    return evaluate(each.select(*by, "truth", "a.*"), "truth", "predicted", (*by, "approach"))
 
 
 def method_distribution(classified: DataFrame, by: tuple[str, ...]) -> DataFrame:

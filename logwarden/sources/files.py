@@ -32,6 +32,23 @@ def file_stem() -> Column:
     return F.regexp_replace(name, r"\.[^.]+$", "")
 
 
+def line_order() -> Column:
+    """Place of a line in its input: file, split, position within the split.
+
+    Stands in for ``log_id`` where reports need "first seen".
+    """
+    return F.struct(
+        F.col("_metadata.file_path").alias("file_path"),
+        F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().alias("line_no"),
+    )
+
+
+def file_count(df: DataFrame) -> int:
+    """Number of input files, from the planner's listing."""
+    return len(df._jdf.inputFiles())
+
+
 def clean_utf8(value: str) -> Column:
     """The text without bytes that are not UTF-8."""
     text = F.col(value)
@@ -39,19 +56,24 @@ def clean_utf8(value: str) -> Column:
 
 
 def scan_csv(
-    spark: SparkSession, path: str | list[str], multiline: bool = True, recursive: bool = False, glob: str | None = None
+    spark: SparkSession, path: str | list[str], multiline: bool = True, recursive: bool = False,
+    glob: str | None = None, ordered: bool = False,
 ) -> DataFrame:
     """CSV lines with a header, every column a string; ``source`` defaults to the file's stem.
 
     ``multiline`` keeps quoted line breaks whole. Where the data has none, pass
-    False: Spark then splits big files over many tasks.
+    False: Spark then splits big files over many tasks. ``ordered`` adds
+    ``line_order``.
     """
     reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
     reader = reader.option("recursiveFileLookup", recursive)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     df = require_columns(reader.csv(path), ["log_message"])
-    return df if "source" in df.columns else df.withColumn("source", file_stem())
+    names = [F.col(f"`{c}`") for c in df.columns]
+    names += [] if "source" in df.columns else [file_stem().alias("source")]
+    names += [line_order().alias("line_order")] if ordered else []
+    return df.select(*names)
 
 
 def scan_text(
@@ -72,31 +94,26 @@ def scan_text(
     lines = raw.select(
         (F.lit(source) if source else file_stem()).alias("source"),
         strip_text(clean_utf8("value")).alias("log_message"),
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("line_no"),
+        line_order().alias("line_order"),
+        F.col("_metadata.file_path").alias("_file"),
     ).filter(F.col("log_message") != "")
-    types = formats.batch_types(lines, ["file_path"], ["block_start", "line_no"])
-    if len(raw.inputFiles()) <= 10_000:
+    types = formats.batch_types(lines, ["_file"], ["line_order"])
+    if file_count(raw) <= 10_000:
         types = F.broadcast(types)
-    return lines.join(types, "file_path").select("source", "log_message", "log_type", "file_path", "block_start", "line_no")
+    return lines.join(types, "_file").select("source", "log_message", "log_type", "line_order")
 
 
 def scan_directory(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """``(source, log_message)`` of all .log, .txt and .csv files of a folder."""
-    fs = spark._jvm.org.apache.hadoop.fs.Path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    files = fs.listFiles(spark._jvm.org.apache.hadoop.fs.Path(path), recursive)
-    suffixes = set()
-    while files.hasNext():
-        suffixes.add(files.next().getPath().getName().rpartition(".")[2])
+    """``source, log_message, line_order`` of all .log, .txt and .csv files of a folder."""
+    columns = ["source", "log_message", "line_order"]
+    listing = spark.read.option("recursiveFileLookup", recursive)
     parts = []
-    if suffixes & {"log", "txt"}:
-        parts.append(scan_text(spark, path, recursive=recursive, glob=TEXT_GLOB))
-    if "csv" in suffixes:
-        parts.append(scan_csv(spark, path, recursive=recursive, glob=CSV_GLOB))
+    if file_count(listing.option("pathGlobFilter", TEXT_GLOB).text(path)):
+        parts.append(scan_text(spark, path, recursive=recursive, glob=TEXT_GLOB).select(*columns))
+    if file_count(listing.option("pathGlobFilter", CSV_GLOB).text(path)):
+        parts.append(scan_csv(spark, path, recursive=recursive, glob=CSV_GLOB, ordered=True).select(*columns))
     if not parts:
         raise ValueError(f"no .log, .txt or .csv files in {path}")
-    parts = [p.select("source", "log_message") for p in parts]
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
 
 

@@ -79,10 +79,10 @@ def analysis_records(report: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame
     return report.filter(F.col("event_count") > 0).select(F.to_json(rec, ANALYSIS_OPTIONS).alias("value"))
 
 
-def analyze_micro_batch(batch: DataFrame, cascade: Cascade = DEFAULT_CASCADE) -> DataFrame:
-    """The analysis record of one micro-batch (no row if it holds no event)."""
-    keyed = batch.withColumn("log_id", F.monotonically_increasing_id())
-    return analysis_records(overview(fact_counts(cascade.classify(keyed))))
+def analyze_micro_batch(classified: DataFrame) -> DataFrame:
+    """The analysis record of one classified micro-batch (no row if it holds no event)."""
+    keyed = classified.withColumn("log_id", F.monotonically_increasing_id())
+    return analysis_records(overview(fact_counts(keyed)))
 
 
 def windowed_analysis(
@@ -148,9 +148,10 @@ def start_batches(
     """
 
     def publish(batch: DataFrame, number: int) -> None:
-        lines = classification_records(cascade.classify(batch))
-        lines.write.mode("overwrite").text(f"{path}/batch={number}/kind=classification")
-        analyze_micro_batch(batch, cascade).write.mode("overwrite").text(f"{path}/batch={number}/kind=analysis")
+        done = cascade.classify(batch).persist()
+        classification_records(done).write.mode("overwrite").text(f"{path}/batch={number}/kind=classification")
+        analyze_micro_batch(done).write.mode("overwrite").text(f"{path}/batch={number}/kind=analysis")
+        done.unpersist()
 
     writer = decoded.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()

@@ -70,3 +70,14 @@ def test_approaches_match_their_cascades(lines):
     both = {"p": cl.Cascade([cl.pattern_tier()], entities=None), "k": cl.Cascade([cl.keyword_tier()], entities=None)}
     got = {r.approach: r.accuracy for r in mt.compare_approaches(df, both).collect()}
     assert got == {"p": pytest.approx(1 / 3), "k": 0.0}
+
+
+def test_approach_with_a_python_tier(lines):
+    import pandas as pd
+
+    def always(messages: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame({"label": "X", "confidence": 1.0}, index=messages.index)
+
+    df = lines("failed login", "blue").withColumn("target_label", F.lit("X"))
+    mine = {"m": cl.Cascade([cl.pattern_tier(), cl.BatchTier("bert", always)], entities=None), "p": cl.Cascade([cl.pattern_tier()])}
+    assert {r.approach: r.accuracy for r in mt.compare_approaches(df, mine).collect()} == {"m": 0.5, "p": 0.0}
