@@ -325,6 +325,9 @@ def label_with_each(df: DataFrame, cascades: dict[str, Cascade], text: str = "lo
             if cases:
                 shared[id(tier)] = f"_tier_{len(shared)}"
                 work = work.withColumn(shared[id(tier)], first_match(cases))
+    if shared:  # through a generator, as in classify(): each label is worked out once
+        tiers = F.explode(F.array(F.struct(*shared.values()))).alias("_tiers")
+        work = work.select(*[c for c in work.columns if c not in shared.values()], tiers)
     entries = []
     for i, (name, cascade) in enumerate(cascades.items()):
         if cascade.column_tiers() is None:
@@ -332,7 +335,7 @@ def label_with_each(df: DataFrame, cascades: dict[str, Cascade], text: str = "lo
             work = done.select(*work.columns, F.col("classification").alias(f"_own_{i}"))
             label = F.col(f"_own_{i}")
         else:
-            given = [F.col(shared[id(t)]) for t in cascade.tiers if id(t) in shared]
+            given = [F.col("_tiers")[shared[id(t)]] for t in cascade.tiers if id(t) in shared]
             label = F.coalesce(*given, F.lit(rules.UNCLASSIFIED))
         entries.append(F.struct(F.lit(name).alias("approach"), label.alias("predicted")))
     return work.select(*keep, F.array(*entries).alias("labels"))
