@@ -7,9 +7,9 @@ A tier is a name plus a way to decide a line. Three kinds exist:
   tier that decides a line.
 * ``FrameTier`` – a ``DataFrame -> DataFrame`` step that adds a verdict, such as
   a fitted ``pyspark.ml`` model.
-* ``BatchTier`` – any Python function over pandas batches. Spark evaluates
-  Python functions for every row whatever a CASE says, so the cascade hands such
-  a tier only the lines nobody decided before it.
+* ``BatchTier`` – any Python function over pandas batches. Spark calls Python
+  functions for every row whatever a CASE says, so the cascade passes such a tier
+  NULL for the lines decided before it and calls it on the rest only.
 """
 
 from __future__ import annotations
@@ -20,7 +20,6 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from logwarden import rules
 from logwarden.functions import entities as ent
@@ -28,6 +27,7 @@ from logwarden.functions.text import (
     Text, case_sql, caseless_search, contains_any, first_match, folded, has_any, message, record_sql, sql_text,
 )
 
+VERDICT = "label string, confidence double"
 BEST = "struct<label:string,method:string,confidence:double,reasoning:string>"
 
 
@@ -221,6 +221,9 @@ def reasoning(method: str, confidence: Column) -> Column:
     return F.format_string(said, confidence) if "%" in said else F.lit(said)
 
 
+OUTCOME = ["classification", "method", "confidence", "reasoning", "entities"]
+
+
 # --- the cascade ------------------------------------------------------------
 
 
@@ -232,14 +235,14 @@ class Cascade:
     entities: Callable[[str, str], Column] | None = ent.entities
 
     def classify(self, df: DataFrame, text: str = "log_message") -> DataFrame:
-        """Add ``classification, method, confidence, reasoning`` and ``entities``.
+        """Add ``classification, method, confidence, reasoning`` and ``entities``, replacing columns so named.
 
         Expression tiers cost one projection and no tier shuffles. Runs of
         expression tiers share one CASE whose results are literals; its
         conditions read the folded line from the projection below.
         """
-        keep = df.columns
-        work = df.withColumn("_text", message(F.col(text)))
+        keep = [c for c in df.columns if c not in OUTCOME]
+        work = df.withColumn("_text", message(F.col(text))).select(*keep, "_text")
         work = work.withColumns({"_lower": F.lower("_text"), "_fold": folded("_text")})
         line = Line()
         decided = F.lit(None).cast(BEST)
@@ -285,27 +288,31 @@ class Cascade:
 
     @staticmethod
     def _batches(df: DataFrame, tier: BatchTier) -> DataFrame:
-        """Run a Python tier inside ``mapInPandas``, on each batch's undecided lines only."""
+        """Run a Python tier as an Arrow UDF on the undecided lines.
+
+        Only the line travels to Python, and as NULL where it is decided; the
+        other columns stay in the JVM.
+        """
         others = [c for c in df.columns if c != "_best"]
-        flat = df.select(*others, "_best.*", F.lit(None).cast("string").alias("_l"), F.lit(None).cast("double").alias("_c"))
         decide = tier.decide
 
-        def fill(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for pdf in batches:
-                undecided = pdf["label"].isna()
+        def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for lines in batches:
+                out = pd.DataFrame({"label": pd.Series(None, lines.index, object), "confidence": pd.Series(None, lines.index, float)})
+                undecided = lines.notna()
                 if undecided.any():
                     try:
-                        got = decide(pdf.loc[undecided, "_text"])
-                        pdf.loc[undecided, "_l"] = got["label"].to_numpy()
-                        pdf.loc[undecided, "_c"] = got["confidence"].astype(float).to_numpy()
+                        got = decide(lines[undecided])
+                        out.loc[undecided, "label"] = got["label"].to_numpy()
+                        out.loc[undecided, "confidence"] = got["confidence"].astype(float).to_numpy()
                     except Exception:  # a failing tier leaves its lines to the next one
-                        pdf.loc[undecided, "_l"] = None
-                yield pdf
+                        out["label"] = None
+                yield out
 
-        out = flat.mapInPandas(fill, T.StructType([T.StructField(f.name, f.dataType) for f in flat.schema.fields]))
-        before = F.when(F.col("label").isNotNull(), F.struct("label", "method", "confidence", "reasoning"))
-        mine = F.when(F.col("_l").isNotNull(), best(F.col("_l"), tier.method, F.col("_c")))
-        return out.select(*others, F.coalesce(before, mine).alias("_best"))
+        asked = F.pandas_udf(ask, VERDICT)(F.when(F.col("_best").isNull(), F.col("_text")))
+        verdict = F.col("_verdict")
+        mine = F.when(verdict["label"].isNotNull(), best(verdict["label"], tier.method, verdict["confidence"]))
+        return df.withColumn("_verdict", asked).select(*others, F.coalesce(F.col("_best"), mine).alias("_best"))
 
 
 def label_with_each(df: DataFrame, cascades: dict[str, Cascade], text: str = "log_message") -> DataFrame:
@@ -351,6 +358,6 @@ def classify(df: DataFrame, text: str = "log_message") -> DataFrame:
 
 def classified_table(df: DataFrame) -> DataFrame:
     """Input columns plus ``target_label, method, confidence, reasoning``, as the CSV export has them."""
-    keep = [c for c in df.columns if c not in ("target_label", "method", "confidence", "reasoning")]
+    keep = [c for c in df.columns if c not in ("target_label", *OUTCOME)]
     done = classify(df.select(*keep)).withColumnRenamed("classification", "target_label")
     return done.select(*keep, "target_label", "method", "confidence", "reasoning")

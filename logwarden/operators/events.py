@@ -189,13 +189,10 @@ def technique_catalogue(spark: SparkSession) -> DataFrame:
 
 def technique_coverage(events: DataFrame, order: str = "log_id") -> DataFrame:
     """Techniques seen, one row each, with the first event's id (at most 10 rows)."""
-    t = F.col("mitre_technique")
-    seen = events.filter(t.isNotNull()).select(t.alias("t"), F.col(order).alias("o"))
-    return (
-        seen.groupBy("t.technique_id")
-        .agg(F.min("o").alias("first_seen"), F.min_by("t", "o").alias("t"))
-        .select("t.*", "first_seen")
-    )
+    seen = events.select(F.col("mitre_technique.technique_id").alias("technique_id"), F.col(order).alias("_o"))
+    first = seen.filter(F.col("technique_id").isNotNull()).groupBy("technique_id").agg(F.min("_o").alias("first_seen"))
+    names = technique_catalogue(events.sparkSession).drop("attack_type").distinct()
+    return first.join(F.broadcast(names), "technique_id")
 
 
 def distinct_recommendations(events: DataFrame, order: str = "log_id") -> DataFrame:

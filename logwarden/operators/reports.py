@@ -50,7 +50,7 @@ def suspicious_ips(frequency: DataFrame) -> DataFrame:
     """Addresses seen often enough to matter, busiest first, ties by appearance."""
     kept = frequency.filter(F.col("request_count") >= rules.IP_MEDIUM)
     return kept.withColumn("suspicion_level", suspicion_level(F.col("request_count"))).orderBy(
-        F.desc("request_count"), "first_seen"
+        F.desc("request_count"), "first_seen", "ip"
     )
 
 
@@ -67,8 +67,8 @@ def top_urls(counts: DataFrame, k: int = rules.TOP_URLS) -> DataFrame:
 
     A top-k, so each task keeps k rows; the rank is numbered over those k.
     """
-    top = counts.orderBy(F.desc("n"), "first_seen").limit(k)
-    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "first_seen")))
+    order = [F.desc("n"), "first_seen", "url"]
+    return counts.orderBy(*order).limit(k).withColumn("rank", F.row_number().over(Window.orderBy(*order)))
 
 
 def unique_urls(df: DataFrame, url: Column) -> DataFrame:
@@ -104,8 +104,13 @@ def severity_rank(severity: Column) -> Column:
 
 
 def highest_severity(severity: Column) -> Column:
-    """Aggregate: the worst severity, NULL over no events."""
-    return F.min_by(severity, severity_rank(severity))
+    """Aggregate: the worst severity, NULL over no events.
+
+    Takes the least rank and names it afterwards: with a string in its buffer
+    Spark would sort all rows by group instead of hashing them.
+    """
+    names = F.array(*[F.lit(s) for s in rules.SEVERITIES])
+    return F.get(names, F.min(severity_rank(severity)))
 
 
 def immediate_attention(highest: Column) -> Column:
@@ -212,11 +217,11 @@ class Analysis:
     facts: DataFrame
 
 
-def top_per_group(counts: DataFrame, by: tuple[str, ...], k: int) -> DataFrame:
+def top_per_group(counts: DataFrame, by: tuple[str, ...], k: int, key: str) -> DataFrame:
     """The k first rows of every group by count, then by appearance."""
     if not by:
-        return counts.orderBy(F.desc("n"), "first_seen").limit(k)
-    order = Window.partitionBy(*by).orderBy(F.desc("n"), "first_seen")
+        return counts.orderBy(F.desc("n"), "first_seen", key).limit(k)
+    order = Window.partitionBy(*by).orderBy(F.desc("n"), "first_seen", key)
     # A rank limit right on the window: each task keeps k rows per group before the shuffle.
     return counts.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
 
@@ -240,7 +245,7 @@ def analyze(classified: DataFrame, by: tuple[str, ...] = (), order: str = "log_i
         events=ev.security_events(classified),
         ip_frequency=ips,
         suspicious_ips=suspicious_ips(ips),
-        top_urls=top_per_group(of("url", "url"), by, rules.TOP_URLS),
+        top_urls=top_per_group(of("url", "url"), by, rules.TOP_URLS, "url"),
         suspicious_patterns=suspicious_urls(classified, url, [*by, order]),
         label_distribution=of("label", "label").orderBy(F.desc("n"), "first_seen"),
         source_distribution=of("source", "source").orderBy(F.desc("n"), "first_seen"),

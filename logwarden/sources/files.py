@@ -33,15 +33,14 @@ def file_stem() -> Column:
 
 
 def line_order() -> Column:
-    """Place of a line in its input: file, split, position within the split.
+    """Place of a line in its file: offset of the split, then position within the split.
 
-    Stands in for ``log_id`` where reports need "first seen".
+    Stands in for ``log_id`` where reports need "first seen". A number rather
+    than a struct, so that its minimum can be kept by hash aggregation.
     """
-    return F.struct(
-        F.col("_metadata.file_path").alias("file_path"),
-        F.col("_metadata.file_block_start").alias("block_start"),
-        F.monotonically_increasing_id().alias("line_no"),
-    )
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    split = F.col("_metadata.file_block_start").cast("decimal(20,0)") * F.lit(1 << 33).cast("decimal(11,0)")
+    return (split + row.cast("decimal(11,0)")).cast("decimal(38,0)")
 
 
 def file_count(df: DataFrame) -> int:
