@@ -332,7 +332,6 @@ ORACLE: dict[str, str] = {
  SELECT log_id, coalesce(nullif(trim(regexp_extract(t, '<category>(.*?)</category>', 1, 's')), ''), 'Unclassified') AS category, CAST(0.85 AS DOUBLE) AS confidence,
  trim(regexp_extract(t, '<reasoning>(.*?)</reasoning>', 1, 's')) AS reasoning FROM tx""",
     "d6_prompt": f"WITH {LOGS} SELECT log_id, {q(r.PROMPT_HEAD)} || log_message AS prompt FROM logs",
-    "d7_text_features": f"""WITH {LOGS}, n AS (SELECT count(*) AS c FROM logs) SELECT log_id, CAST(0 AS BIGINT) AS terms FROM logs""",
     "d9_hybrid_cascade": f"WITH {CLS} SELECT log_id, source, classification, method, {CLS_COLS}, nullif({entity('log_message', 'ips')}, '') AS ips, {entity('log_message', 'username')} AS username, {entity('log_message', 'url')} AS url FROM cls",
     "d10_custom_tiers": f"""WITH {CLS}, cu AS (SELECT *, {pattern_case('log_message', CUSTOM)} AS cx FROM cls)
  SELECT log_id, coalesce(cx, kw, 'Unclassified') AS classification, CASE WHEN cx IS NOT NULL THEN 'regex' ELSE 'llm' END AS method,
@@ -444,9 +443,8 @@ ORACLE["a7_bgl_labels"] = _alerts.format(logs=LOGS, cols="log_id, 'BGL' AS sourc
 ORACLE["a8_thunderbird_labels"] = _alerts.format(logs=LOGS, cols="log_id, 'Thunderbird' AS source,")
 ORACLE["a9_dataset_lookup"] = _alerts.format(logs=LOGS, cols="'BGL' AS source,")
 ORACLE["a10_stream_source"] = f"WITH {LOGS} SELECT source, log_message FROM logs"
-del ORACLE["d7_text_features"]  # weights depend on the hash; rows only
 
-_stream_events = EVENTS.replace(CLS, f"{STREAM}, {classified('st', 'cls')}").replace("FROM logs", "FROM logs")
+_stream_events = EVENTS.replace(CLS, f"{STREAM}, {classified('st', 'cls')}")
 ORACLE["a17_stream_sink"] = f"""WITH {_stream_events},
 ipf AS (SELECT count(*) AS n FROM (SELECT ip FROM (SELECT unnest(regexp_extract_all(log_message, {q(r.IP_PATTERN)})) AS ip FROM st) GROUP BY 1 HAVING count(*) >= 5)),
 x AS (SELECT (SELECT count(*) FROM st) AS total_logs, count(*) AS event_count, count(*) FILTER (severity = 'CRITICAL') AS critical,

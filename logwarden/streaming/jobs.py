@@ -20,16 +20,19 @@ from logwarden.operators.reports import (
 MESSAGE = "source string, log_message string, message string, ts timestamp"
 
 
-def kafka_source(spark: SparkSession, servers: str, topic: str, batch: int = rules.STREAM_BATCH) -> DataFrame:
-    """JSON messages of a topic from its latest offset, at most ``batch`` per trigger."""
-    raw = (
+def kafka_source(spark: SparkSession, servers: str, topic: str, batch: int | None = None) -> DataFrame:
+    """JSON messages of a topic from its latest offset.
+
+    ``batch`` caps the messages per trigger (``rules.STREAM_BATCH`` for reports
+    on batches of 50); without it a trigger takes all that is there.
+    """
+    reader = (
         spark.readStream.format("kafka")
         .option("kafka.bootstrap.servers", servers)
         .option("subscribe", topic)
         .option("startingOffsets", "latest")
-        .option("maxOffsetsPerTrigger", batch)
-        .load()
     )
+    raw = (reader.option("maxOffsetsPerTrigger", batch) if batch else reader).load()
     return raw.select(F.col("value").cast("string").alias("value"))
 
 

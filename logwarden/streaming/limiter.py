@@ -9,8 +9,10 @@ is not busy, and that is settled with counts alone:
   into its own slice and the one before, no further. If both hold ``limit``
   requests at most, all in the slice are admitted.
 * What is left are runs of busy slices. A run, with the quiet slice in front of
-  it, stands alone; it is walked in time order in one streaming pass that holds
-  ``limit`` times and no more, never the run itself.
+  it, stands alone. Its requests are counted per point in time, and only those
+  counts are walked in time order, in a streaming pass that holds ``limit`` times
+  and no more. It tells how many requests each point in time admits; the first
+  ones there are admitted, wherever they are stored.
 """
 
 from __future__ import annotations
@@ -24,12 +26,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logwarden import rules
+from logwarden.session import stored
 
 
 def slice_plan(requests: DataFrame, ip: str, ts: str, window: int, limit: int) -> DataFrame:
     """Per address and slice: ``run``, the first slice of the busy run it is in, or NULL if quiet."""
     size = window * 1_000_000
-    counts = requests.groupBy(F.col(ip), F.floor(F.unix_micros(ts) / size).cast("bigint").alias("slice")).agg(
+    counts = requests.groupBy(F.col(ip), F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / size).cast("bigint").alias("slice")).agg(
         F.count(F.lit(1)).alias("n")
     )
     order = Window.partitionBy(ip).orderBy("slice")
@@ -49,36 +52,42 @@ def limit_requests(
 ) -> DataFrame:
     """Add ``admitted`` to a request log.
 
-    One address that never falls quiet is a single chain by definition; its task
-    streams over its requests with constant memory.
+    Whole requests are shuffled by address and time, which spreads a hot address
+    over all its points in time. One address that never falls quiet is a single
+    chain by definition; what its task walks are counts, not requests. The slice
+    plan is written first, so that its real size decides how it is joined.
     """
     size = window * 1_000_000
     keep = requests.columns
     timed = requests.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
-    timed = timed.withColumn("slice", F.floor(F.col("_us") / size).cast("bigint"))
-    plan = slice_plan(timed.withColumn("_ts", F.timestamp_micros("_us")), ip, "_ts", window, limit)
-    tagged = timed.join(plan, [ip, "slice"])
+    timed = timed.withColumn("_slice", F.floor(F.col("_us") / size).cast("bigint"))
+    plan = stored(slice_plan(requests, ip, ts, window, limit), "slices").withColumnRenamed("slice", "_slice")
+    tagged = timed.join(plan, [ip, "_slice"])
     quiet = tagged.filter(F.col("run").isNull()).select(*keep, F.lit(True).alias("admitted"))
 
     busy = tagged.filter(F.col("run").isNotNull()).select(*keep, "_us", "run")
-    busy = busy.repartition(F.col(ip), F.col("run")).sortWithinPartitions(ip, "run", "_us", order)
-    schema = T.StructType([*busy.schema.fields, T.StructField("admitted", T.BooleanType())])
+    points = busy.groupBy(ip, "run", "_us").agg(F.count(F.lit(1)).alias("n"))
+    points = points.repartition(F.col(ip), F.col("run")).sortWithinPartitions(ip, "run", "_us")
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chain, hits = None, deque()
+        chain, hits, active = None, deque(), 0
         for pdf in batches:
-            flags = []
-            for at, run, now in zip(pdf[ip], pdf["run"], pdf["_us"]):
+            admits = []
+            for at, run, now, n in zip(pdf[ip], pdf["run"], pdf["_us"], pdf["n"]):
                 if chain != (at, run):
-                    chain, hits = (at, run), deque()
-                while hits and hits[0] <= now - size:
-                    hits.popleft()
-                flags.append(len(hits) < limit)
-                if flags[-1]:
-                    hits.append(now)
-            yield pdf.assign(admitted=flags)
-
-    return quiet.unionByName(busy.mapInPandas(walk, schema).select(*keep, "admitted"))
+                    chain, hits, active = (at, run), deque(), 0
+                while hits and hits[0][0] <= now - size:
+                    active -= hits.popleft()[1]
+                admits.append(min(n, limit - active))
+                if admits[-1]:
+                    hits.append((now, admits[-1]))
+                    active += admits[-1]
+            yield pd.DataFrame({ip: pdf[ip], "_us": pdf["_us"], "_admits": admits})
+
+    schema = T.StructType([points.schema[ip], points.schema["_us"], T.StructField("_admits", T.LongType())])
+    ranked = busy.withColumn("_rank", F.row_number().over(Window.partitionBy(ip, "_us").orderBy(order)))
+    settled = ranked.join(points.mapInPandas(walk, schema), [ip, "_us"])
+    return quiet.unionByName(settled.select(*keep, (F.col("_rank") <= F.col("_admits")).alias("admitted")))
 
 
 def screen_requests(
