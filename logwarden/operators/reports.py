@@ -8,6 +8,7 @@ a key that holds a third of all lines shuffles as one row per task.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -200,23 +201,6 @@ def overview(facts: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-@dataclass(frozen=True)
-class Analysis:
-    """The outcome of an analysis as tables; nothing is computed until one is used."""
-
-    events: DataFrame
-    ip_frequency: DataFrame
-    suspicious_ips: DataFrame
-    top_urls: DataFrame
-    suspicious_patterns: DataFrame
-    label_distribution: DataFrame
-    source_distribution: DataFrame
-    recommendations: DataFrame
-    technique_coverage: DataFrame
-    overview: DataFrame
-    facts: DataFrame
-
-
 def top_per_group(counts: DataFrame, by: tuple[str, ...], k: int, key: str) -> DataFrame:
     """The k first rows of every group by count, then by appearance."""
     if not by:
@@ -226,34 +210,69 @@ def top_per_group(counts: DataFrame, by: tuple[str, ...], k: int, key: str) -> D
     return counts.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= k).drop("_r")
 
 
-def analyze(classified: DataFrame, by: tuple[str, ...] = (), order: str = "log_id", facts: DataFrame | None = None) -> Analysis:
+@dataclass(frozen=True)
+class Analysis:
+    """The outcome of an analysis; each table is planned when it is first asked for."""
+
+    classified: DataFrame
+    facts: DataFrame
+    by: tuple[str, ...] = ()
+    order: str = "log_id"
+
+    def _of(self, kind: str, name: str) -> DataFrame:
+        return self.facts.filter(F.col("kind") == kind).select(*self.by, F.col("key").alias(name), "n", "first_seen")
+
+    @cached_property
+    def overview(self) -> DataFrame:
+        return overview(self.facts, self.by)
+
+    @cached_property
+    def events(self) -> DataFrame:
+        return ev.security_events(self.classified)
+
+    @cached_property
+    def ip_frequency(self) -> DataFrame:
+        return self._of("ip", "ip").withColumnRenamed("n", "request_count")
+
+    @cached_property
+    def suspicious_ips(self) -> DataFrame:
+        return suspicious_ips(self.ip_frequency)
+
+    @cached_property
+    def top_urls(self) -> DataFrame:
+        return top_per_group(self._of("url", "url"), self.by, rules.TOP_URLS, "url")
+
+    @cached_property
+    def suspicious_patterns(self) -> DataFrame:
+        return suspicious_urls(self.classified, _url(self.classified, "log_message"), [*self.by, self.order])
+
+    @cached_property
+    def label_distribution(self) -> DataFrame:
+        return self._of("label", "label").orderBy(F.desc("n"), "first_seen")
+
+    @cached_property
+    def source_distribution(self) -> DataFrame:
+        return self._of("source", "source").orderBy(F.desc("n"), "first_seen")
+
+    @cached_property
+    def recommendations(self) -> DataFrame:
+        return self._of("recommendation", "recommendation").orderBy("first_seen")
+
+    @cached_property
+    def technique_coverage(self) -> DataFrame:
+        names = ev.technique_catalogue(self.facts.sparkSession).drop("attack_type").distinct()
+        return self._of("technique", "technique_id").join(F.broadcast(names), "technique_id").orderBy("first_seen")
+
+
+def analyze(
+    classified: DataFrame, by: tuple[str, ...] = (), order: str = "log_id", facts: DataFrame | None = None
+) -> Analysis:
     """All reports of a classified table, for the whole or per ``by`` group.
 
     Pass ``facts`` read back from storage (it is small: one row per distinct
     key) to keep the reports from counting anew for each table.
     """
-    facts = fact_counts(classified, by, order) if facts is None else facts
-
-    def of(kind: str, name: str) -> DataFrame:
-        return facts.filter(F.col("kind") == kind).select(*by, F.col("key").alias(name), "n", "first_seen")
-
-    ips = of("ip", "ip").withColumnRenamed("n", "request_count")
-    url = _url(classified, "log_message")
-    catalogue = ev.technique_catalogue(classified.sparkSession).drop("attack_type").distinct()
-    techniques = of("technique", "technique_id")
-    return Analysis(
-        events=ev.security_events(classified),
-        ip_frequency=ips,
-        suspicious_ips=suspicious_ips(ips),
-        top_urls=top_per_group(of("url", "url"), by, rules.TOP_URLS, "url"),
-        suspicious_patterns=suspicious_urls(classified, url, [*by, order]),
-        label_distribution=of("label", "label").orderBy(F.desc("n"), "first_seen"),
-        source_distribution=of("source", "source").orderBy(F.desc("n"), "first_seen"),
-        recommendations=of("recommendation", "recommendation").orderBy("first_seen"),
-        technique_coverage=techniques.join(F.broadcast(catalogue), "technique_id").orderBy("first_seen"),
-        overview=overview(facts, by),
-        facts=facts,
-    )
+    return Analysis(classified, fact_counts(classified, by, order) if facts is None else facts, by, order)
 
 
 def input_info(df: DataFrame, log_type: Column, order: str = "log_id", text: str = "log_message", by: tuple[str, ...] = ()) -> DataFrame:
