@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.llm import exact_dedup, mixing, packing, sharding, simhash, token_counts, toxicity
+from logwarden.llm import embedding_dedup, exact_dedup, language_id, mixing, packing, sharding, simhash, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -21,11 +21,20 @@ def op1_range_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_linked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.linked_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op3_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.toxicity(docs, toxicity.fit(docs, labels, toxicity.label_categories()))
 
 
+def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return language_id.identify(docs, language_id.fit(docs.where(~language_id.held_out())))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
@@ -46,7 +55,7 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_range_shards, op3_toxicity_chain, op6_token_counts, op7_exact_duplicates, op8_pareto_mix, op9_pack_documents, op10_simhash_groups)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_range_shards, op2_linked_vectors, op3_toxicity_chain, op4_language, op6_token_counts, op7_exact_duplicates, op8_pareto_mix, op9_pack_documents, op10_simhash_groups)}
 
 ORACLE: dict[str, str] = {
     "op7_exact_duplicates": """

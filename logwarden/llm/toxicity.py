@@ -15,10 +15,11 @@ from pyspark.sql import functions as F
 from logwarden.llm.common import utf8
 
 #: Labelled rows that the chain is fitted on at most, those with the smallest hashes; of a text, its first so many bytes.
-SAMPLE, SAMPLE_BYTES = 12_000, 16_384
-#: Words that a model may know: in so many sampled texts at least, the most frequent ones.
-LEAST_TEXTS, VOCABULARY = 3, 150_000
-FOLDS, ROUNDS, PENALTY = 4, 150, 2e-4
+SAMPLE, SAMPLE_BYTES = 6_000, 8192
+#: A word or prefix is a feature if its share among texts of a category is so many standard errors off; the strongest ones.
+STRENGTH, FEATURES = 4.5, 8_000
+PREFIXES = (4, 5, 6, 7)
+FOLDS, ROUNDS, PENALTY = 4, 150, 1e-4
 #: Probability of the last category from which on a document is toxic.
 THRESHOLD = 0.5
 _WORDS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -29,50 +30,67 @@ def word_set(data: bytes) -> set[bytes]:
     return set(data.translate(_WORDS).split())
 
 
+def features(word: bytes) -> list[bytes]:
+    """The word, and its beginnings, which words of one stem share."""
+    return [word, *(b"^" + word[:n] for n in PREFIXES if len(word) > n)]
+
+
 @dataclass
 class Linear:
-    """A logistic model on binary word features and the probabilities of earlier categories."""
+    """A logistic model on the presence of features and the probabilities of earlier categories."""
 
-    weights: np.ndarray
+    weights: dict[int, float]
     earlier: np.ndarray
     bias: float
 
-    def logit(self, rows: list[np.ndarray], probabilities: np.ndarray) -> np.ndarray:
-        words = np.array([self.weights[r].sum() for r in rows]) if rows else np.zeros(0)
-        return words + probabilities @ self.earlier + self.bias
+    def probability(self, rows: list[set[int]], earlier: np.ndarray) -> np.ndarray:
+        get = self.weights.get
+        z = np.array([sum(get(i, 0.0) for i in r) for r in rows]) + earlier @ self.earlier + self.bias
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def strongest(index: np.ndarray, owner: np.ndarray, y: np.ndarray, width: int) -> np.ndarray:
+    """Features whose share differs between the texts with ``y`` 1 and 0 by ``STRENGTH`` standard errors, ``FEATURES`` at most."""
+    n1, n0 = y.sum(), len(y) - y.sum()
+    with_1 = np.bincount(index, y[owner], width)
+    every = np.bincount(index, minlength=width)
+    share = every / len(y)
+    z = np.abs(with_1 / n1 - (every - with_1) / n0) / np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n1 + 1 / n0))
+    z[every < 3] = 0
+    best = np.argsort(-z, kind="stable")[:FEATURES]
+    return best[z[best] >= STRENGTH]
 
 
-def fit_linear(rows: list[np.ndarray], probabilities: np.ndarray, target: np.ndarray, width: int) -> Linear:
-    """Logistic regression by Nesterov steps on all rows; rare and frequent outcomes weigh the same in sum.
+def fit_linear(index: np.ndarray, owner: np.ndarray, earlier: np.ndarray, y: np.ndarray, width: int) -> Linear:
+    """Logistic regression on text ``owner[k]`` having feature ``index[k]``, by Nesterov steps over all texts.
 
-    Each step's size follows from a bound on the curvature, words in few texts get larger steps, and the penalty pulls
-    words that tell nothing towards zero.
+    Both outcomes weigh the same in sum. Each coordinate's step follows from the curvature that its own texts can bring.
     """
-    lengths = np.array([len(r) for r in rows])
-    index = np.concatenate(rows) if len(rows) else np.zeros(0, dtype=np.int64)
-    owner = np.repeat(np.arange(len(rows)), lengths)
-    share = target.mean() if len(target) else 0.0
+    share = y.mean() if len(y) else 0.0
     if not 0 < share < 1:
-        return Linear(np.zeros(width), np.zeros(probabilities.shape[1]), 8.0 if share == 1 else -8.0)
-    weight = np.where(target > 0, 0.5 / share, 0.5 / (1 - share)) / len(target)
-    # scale of a coordinate: the curvature that its own texts bring, with the other words of those texts
-    features = probabilities.shape[1]
-    size = weight * (lengths + 1 + (probabilities**2).sum(1))
-    step_words = 4 / (np.bincount(index, size[owner], width) + PENALTY)
-    step_earlier = 4 / ((probabilities**2 * size[:, None]).sum(0) + PENALTY)
-    step_bias = 4 / size.sum()
-    w, e, b = np.zeros(width), np.zeros(features), 0.0
+        return Linear({}, np.zeros(earlier.shape[1]), 8.0 if share == 1 else -8.0)
+    chosen = strongest(index, owner, y, width)
+    at = np.full(width, -1)
+    at[chosen] = np.arange(len(chosen))
+    owner, index = owner[at[index] >= 0], at[index[at[index] >= 0]]
+    width = len(chosen)
+    weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) / len(y)
+    size = weight * (np.bincount(owner, minlength=len(y)) + 1 + (earlier**2).sum(1))
+    step_w = 4 / (np.bincount(index, size[owner], width) + 4 * PENALTY)
+    step_e = 4 / ((earlier**2 * size[:, None]).sum(0) + 4 * PENALTY)
+    step_b = 4 / size.sum()
+    w, e, b = np.zeros(width), np.zeros(earlier.shape[1]), 0.0
     w0, e0, b0 = w, e, b
     for k in range(ROUNDS):
         m = k / (k + 3)
         vw, ve, vb = w + m * (w - w0), e + m * (e - e0), b + m * (b - b0)
-        z = np.bincount(owner, vw[index], len(rows)) + probabilities @ ve + vb
-        error = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - target)
+        z = np.bincount(owner, vw[index], len(y)) + earlier @ ve + vb
+        error = weight * (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y)
         w0, e0, b0 = w, e, b
-        w = vw - step_words * (np.bincount(index, error[owner], width) + PENALTY * vw)
-        e = ve - step_earlier * (probabilities.T @ error + PENALTY * ve)
-        b = vb - step_bias * error.sum()
-    return Linear(w, e, b)
+        w = vw - step_w * (np.bincount(index, error[owner], width) + PENALTY * vw)
+        e = ve - step_e * (earlier.T @ error + PENALTY * ve)
+        b = vb - step_b * error.sum()
+    return Linear(dict(zip(chosen.tolist(), w.tolist(), strict=True)), e, b)
 
 
 @dataclass
@@ -80,52 +98,61 @@ class Chain:
     """Categories in order, each with a linear model that also sees the probabilities of those before it."""
 
     categories: list[str]
-    words: dict[bytes, int]
+    known: dict[bytes, int]
     models: list[Linear]
 
-    def rows(self, texts: list[bytes]) -> list[np.ndarray]:
-        get = self.words.get
-        return [np.array([i for w in word_set(t) if (i := get(w)) is not None], dtype=np.int64) for t in texts]
+    def __post_init__(self):
+        self.seen: dict[bytes, tuple[int, ...]] = {}
+
+    def row(self, text: bytes) -> set[int]:
+        seen, out = self.seen, set()
+        for word in word_set(text):
+            ids = seen.get(word)
+            if ids is None:
+                ids = tuple(i for f in features(word) if (i := self.known.get(f)) is not None)
+                if len(seen) >= 300_000:
+                    seen.clear()
+                if len(word) <= 64:
+                    seen[word] = ids
+            if ids:
+                out.update(ids)
+        return out
 
     def predict(self, texts: list[bytes]) -> np.ndarray:
         """One row a text, one column a category."""
-        rows = self.rows(texts)
+        rows = [self.row(t) for t in texts]
         p = np.zeros((len(texts), 0))
         for model in self.models:
-            z = model.logit(rows, p)
-            p = np.column_stack([p, 1 / (1 + np.exp(-np.clip(z, -40, 40)))])
+            p = np.column_stack([p, model.probability(rows, p)])
         return p
 
 
 def fit_chain(texts: list[bytes], targets: dict[str, np.ndarray], folds: list[int] | None = None) -> Chain:
     """A chain over ``targets`` (category to 0/1 per text), in their order.
 
-    The probabilities that later models are trained with are out of fold: a text's come from models that haven't seen
-    its fold (``folds``, else by place), as they will be when the chain meets new texts.
+    The probabilities that later models are trained with are out of fold: a text's come from models (and features chosen)
+    that haven't seen its fold (``folds``, else by place), as they will be when the chain meets new texts.
     """
-    texts_with: dict[bytes, int] = {}
-    sets = [word_set(t) for t in texts]
-    for s in sets:
-        for w in s:
-            texts_with[w] = texts_with.get(w, 0) + 1
-    known = sorted((w for w, n in texts_with.items() if n >= LEAST_TEXTS), key=lambda w: (-texts_with[w], w))[:VOCABULARY]
-    words = {w: i for i, w in enumerate(known)}
-    rows = [np.array(sorted(words[w] for w in s if w in words), dtype=np.int64) for s in sets]
-    fold = np.array(folds if folds is not None else np.arange(len(texts))) % FOLDS
+    number: dict[bytes, int] = {}
+    rows = [np.array([number.setdefault(f, len(number)) for w in word_set(t) for f in features(w)], dtype=np.int32) for t in texts]
+    rows = [np.unique(r) for r in rows]
+    owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
+    index = np.concatenate([*rows, np.zeros(0, dtype=np.int32)])
+    fold = np.array(folds if folds is not None else np.arange(len(texts)), dtype=np.int64) % FOLDS
     outside, models = np.zeros((len(texts), 0)), []
     for target in targets.values():
         y = np.asarray(target, dtype=float)
-        models.append(fit_linear(rows, outside, y, len(words)))
+        models.append(fit_linear(index, owner, outside, y, len(number)))
         p = np.zeros(len(texts))
         for k in range(FOLDS):
             seen, held = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-            part = fit_linear([rows[i] for i in seen], outside[seen], y[seen], len(words))
-            p[held] = 1 / (1 + np.exp(-np.clip(part.logit([rows[i] for i in held], outside[held]), -40, 40)))
+            at = np.cumsum(fold != k) - 1
+            mine = (fold != k)[owner]
+            part = fit_linear(index[mine], at[owner[mine]], outside[seen], y[seen], len(number))
+            p[held] = part.probability([rows[i].tolist() for i in held], outside[held])
         outside = np.column_stack([outside, p])
-    # words that no model uses needn't travel
-    used = np.flatnonzero(np.max([np.abs(m.weights) for m in models], axis=0) > 1e-3) if models and len(words) else np.zeros(0, dtype=np.int64)
-    models = [Linear(m.weights[used], m.earlier, m.bias) for m in models]
-    return Chain(list(targets), {known[i]: j for j, i in enumerate(used)}, models)
+    used = {i for m in models for i in m.weights}
+    return Chain(list(targets), {f: i for f, i in number.items() if i in used}, models)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], limit: int = SAMPLE) -> pd.DataFrame:
@@ -159,7 +186,7 @@ def toxicity(docs: DataFrame, chain: Chain, keep_columns: bool = False, threshol
 
     With ``keep_columns`` the rows keep all columns of ``docs`` and get ``toxic__`` alone. Whole texts are read, in one pass
     without a shuffle; null and empty texts have no words, so their probability is the models' bias. Repeated rows stay; no
-    rows give no rows. The chain is broadcast; its size is bounded by ``VOCABULARY`` words.
+    rows give no rows. The chain is broadcast; its size is bounded by ``FEATURES`` a category.
     """
     sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(chain))
     n = len(chain.categories)
