@@ -39,6 +39,7 @@ class Plan:
     threshold: float
 
     def __post_init__(self):
+        self.by_dims: dict[int, tuple] = {}
         self.distance = math.sqrt(max(2 - 2 * self.threshold, 1e-12))
         collide = 2 * _phi(REACH) - 1
         same = 2 * _phi(CELL) - 1 - 2 / (math.sqrt(2 * math.pi) * CELL) * (1 - math.exp(-(CELL**2) / 2))
@@ -53,10 +54,12 @@ class Plan:
 
     def drawn(self, dims: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Projections (dims, n): counted ones, and per sort the splitting ones with their offsets; the same everywhere."""
-        rng = np.random.default_rng(1000 + dims)
-        counted = rng.normal(size=(dims, PROJECTIONS))
-        splitting = rng.normal(size=(dims, self.sorts * SPLITTING))
-        return counted, splitting, rng.random(self.sorts * SPLITTING)
+        if dims not in self.by_dims:
+            rng = np.random.default_rng(1000 + dims)
+            counted = rng.normal(size=(dims, PROJECTIONS))
+            splitting = rng.normal(size=(dims, self.sorts * SPLITTING))
+            self.by_dims[dims] = counted, splitting, rng.random(self.sorts * SPLITTING)
+        return self.by_dims[dims]
 
     def cells(self, units: np.ndarray) -> np.ndarray:
         """(vectors, sorts): a hash of the cell of each vector in each sort."""
@@ -121,15 +124,12 @@ def linked_vectors(vectors: DataFrame, threshold: float = 0.98, chunk: int = CHU
     met = met.join(reps, "row")
 
     def searched(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        keys = ["sort", "cell", "i", "j"]
         for f in whole_groups(frames, keys):
-            cut = bounds(f, keys)
-            a, b, n = [], [], []
-            for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-                if hi - lo > 1:
-                    _search(f.iloc[lo:hi], plan, a, b, n)
-            yield pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": pd.array(b, dtype="Int64"), "n": np.array(n, dtype=np.int64)})
+            for _, g in f.groupby(f["embedding"].map(len), sort=False):
+                a, b, n = _search(g, plan)
+                yield pd.DataFrame({"a": np.array(a, dtype=np.int64), "b": pd.array(b, dtype="Int64"), "n": np.array(n, dtype=np.int64)})
 
+    keys = ["sort", "cell", "i", "j"]
     spread = met.repartition("sort", "cell", "i", "j").sortWithinPartitions("sort", "cell", "i", "j", "row")
     found = stored(spread.mapInPandas(searched, "a bigint, b bigint, n bigint"), "links")
     links = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
@@ -145,45 +145,45 @@ def linked_vectors(vectors: DataFrame, threshold: float = 0.98, chunk: int = CHU
     )
 
 
-def _search(group: pd.DataFrame, plan: Plan, a: list, b: list, n: list) -> None:
-    """Adds the links among one cell's chunk, or between its two chunks: counts (a, none, n) and a forest (a, b, 0)."""
-    sort, i, j = int(group["sort"].iloc[0]), int(group["i"].iloc[0]), int(group["j"].iloc[0])
-    units = _units(group["embedding"].tolist())
-    counted, _, _ = plan.drawn(units.shape[1])
-    p = units @ counted
-    lead = p[:, sort % PROJECTIONS]
-    order = np.argsort(lead, kind="stable")
-    units, p, lead = units[order], p[order], lead[order]
-    rows, copies, own = (group[c].to_numpy()[order] for c in ("row", "copies", "own"))
+def _search(frame: pd.DataFrame, plan: Plan) -> tuple[list, list, list]:
+    """The links in whole groups of (sort, cell, i, j): counts (a, none, n) and a forest (a, b, 0)."""
+    keys = ["sort", "cell", "i", "j"]
+    units = _units(frame["embedding"].tolist())
+    p = units @ plan.drawn(units.shape[1])[0]
+    sort = frame["sort"].to_numpy()
+    lead = p[np.arange(len(p)), sort % PROJECTIONS]
+    cut = bounds(frame, keys)
+    group = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
+    order = np.lexsort((lead, group))
+    units, p, lead, sort, group = units[order], p[order], lead[order], sort[order], group[order]
+    rows, copies, own = (frame[c].to_numpy()[order] for c in ("row", "copies", "own"))
+    across = (frame["i"] != frame["j"]).to_numpy()[order]
     reach = REACH * plan.distance
-    upto = np.searchsorted(lead, lead + reach, side="right")
-    cells = None
+    cells = plan.cells(units)
     total, x, y = np.zeros(len(rows), dtype=np.int64), [], []
-    for at in range(0, len(rows), 64):  # 64 query vectors against all that stand in their windows
-        hi = min(at + 64, len(rows))
-        end = int(upto[hi - 1])
-        if end - at < 2:
-            continue
-        q, c = np.arange(at, hi), np.arange(at, end)
-        pairs = (c[None, :] > q[:, None]) & (c[None, :] < upto[at:hi, None])
-        if i != j:
-            pairs &= own[at:hi, None] != own[None, at:end]
-        if not pairs.any():
+    query, lag = np.arange(len(rows)), 0
+    while len(query):  # each query vector against the next ones in its group, as long as its window lasts
+        lag += 1
+        query = query[query + lag < len(rows)]
+        other = query + lag
+        stay = (group[query] == group[other]) & (lead[other] - lead[query] <= reach)
+        query = query[stay]
+        s, t = query, query + lag
+        new = ~(across[s] & (own[s] == own[t]))
+        s, t = s[new], t[new]
+        if not len(s):
             continue
-        collisions = np.zeros(pairs.shape, dtype=np.int16)
-        for k in range(p.shape[1]):
-            collisions += np.abs(p[at:hi, k, None] - p[None, at:end, k]) <= reach
-        pairs &= collisions >= plan.least
-        if not pairs.any():
+        collisions = (np.abs(p[s] - p[t]) <= reach).sum(axis=1)
+        s, t = s[collisions >= plan.least], t[collisions >= plan.least]
+        near = np.einsum("ij,ij->i", units[s], units[t]) >= plan.threshold
+        s, t = s[near], t[near]
+        if not len(s):
             continue
-        s, t = np.nonzero(pairs & (units[at:hi] @ units[at:end].T >= plan.threshold))
-        s, t = q[s], c[t]
-        if sort and len(s):  # seen before: same cell and window in an earlier sort
-            if cells is None:
-                cells = plan.cells(units)
-            leads = p[:, np.arange(sort) % PROJECTIONS]
-            new = ~((cells[s, :sort] == cells[t, :sort]) & (np.abs(leads[s] - leads[t]) <= reach)).any(axis=1)
-            s, t = s[new], t[new]
+        # a pair that an earlier sort sees, in one cell and window, is counted there
+        k = np.arange(plan.sorts)
+        seen = (cells[s] == cells[t]) & (np.abs(p[s] - p[t])[:, k % PROJECTIONS] <= reach) & (k[None, :] < sort[s, None])
+        new = ~seen.any(axis=1)
+        s, t = s[new], t[new]
         np.add.at(total, s, copies[t])
         np.add.at(total, t, copies[s])
         x += rows[s].tolist()
@@ -191,11 +191,9 @@ def _search(group: pd.DataFrame, plan: Plan, a: list, b: list, n: list) -> None:
         if len(x) > 200_000:
             tree = forest(x, y)
             x, y = [r[0] for r in tree], [r[1] for r in tree]
-    some = np.flatnonzero(total)
-    a += rows[some].tolist()
-    b += [None] * len(some)
-    n += total[some].tolist()
+    sums = pd.Series(total).groupby(rows).sum()
+    sums = sums[sums > 0]
     tree = forest(x, y)
-    a += [r[0] for r in tree]
-    b += [r[1] for r in tree]
-    n += [0] * len(tree)
+    a = sums.index.tolist() + [r[0] for r in tree]
+    b = [None] * len(sums) + [r[1] for r in tree]
+    return a, b, sums.tolist() + [0] * len(tree)
