@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.llm import embedding_dedup, exact_dedup, language_id, mixing, packing, sharding, simhash, token_counts, toxicity
+from logwarden.llm import embedding_dedup, exact_dedup, language_id, lm_scoring, mixing, packing, sharding, simhash, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -35,6 +35,11 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(docs, language_id.fit(docs.where(~language_id.held_out())))
 
 
+def op5_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    return lm_scoring.score_documents(docs, docs.where(~lm_scoring.held_out()))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir))
 
@@ -55,7 +60,7 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_range_shards, op2_linked_vectors, op3_toxicity_chain, op4_language, op6_token_counts, op7_exact_duplicates, op8_pareto_mix, op9_pack_documents, op10_simhash_groups)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_range_shards, op2_linked_vectors, op3_toxicity_chain, op4_language, op5_attention_scores, op6_token_counts, op7_exact_duplicates, op8_pareto_mix, op9_pack_documents, op10_simhash_groups)}
 
 ORACLE: dict[str, str] = {
     "op7_exact_duplicates": """
