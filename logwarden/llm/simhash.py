@@ -114,3 +114,48 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2, bucket: int
     smallest = labelled.groupBy("component").agg(F.min("least").alias("component_id"))
     by_print = labelled.join(smallest, "component").select("fp", "component_id")
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def _shingle_set(data: pd.Series, words: int) -> pd.Series:
+    return pd.Series([sorted({h - (1 << 64) if h >> 63 else h for hs in shingles(bytes(x), words) for h in hs}) for x in data], dtype=object)
+
+
+def similar_groups(docs: DataFrame, row: str, words: int = 5, radius: int = 4, similarity: float = 0.8, bucket: int = BUCKET) -> DataFrame:
+    """``row`` and component (the smallest ``row`` reachable) for every row of ``docs`` (``row``: bigint, text).
+
+    Candidates are documents whose fingerprints over ``words``-word shingles differ in at most ``radius`` bits; a link is
+    a candidate pair whose sets of shingles have a Jaccard similarity of at least ``similarity``, worked out exactly. A
+    similarity of s gives fingerprints that differ in about 64 * acos(2s / (1 + s)) / pi bits, so pairs well above the
+    threshold are found and pairs close to it often are not. Buckets of more than ``bucket`` fingerprints are compared
+    with their leader, another one in each table. Texts with the same words (none included) are always linked; texts with
+    fewer words than a shingle count as one shingle. Repeated rows are linked to each other. No rows give no rows.
+    """
+    prints = stored(fingerprints(docs, words, row).withColumnRenamed(row, "row"), "fingerprints")
+    distinct = prints.groupBy("fp").agg(F.min("row").alias("rep"), F.count(F.lit(1)).alias("n"))
+    distinct = stored(distinct, "distinct")
+    tables = F.explode(F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for t, m in enumerate(covering_masks(radius))]))
+    keyed = distinct.select("fp", "rep", tables.alias("k")).select("fp", "rep", "k.t", "k.key")
+    full = keyed.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n"), F.min_by(F.struct("fp", "rep"), F.xxhash64("fp", "t")).alias("leader")).where("n > 1")
+    shared = stored(keyed.join(full, ["t", "key"]), "buckets")
+    small = shared.where(F.col("n") <= bucket)
+    x = small.select("t", "key", F.col("fp").alias("fa"), F.col("rep").alias("a"))
+    y = small.select("t", "key", F.col("fp").alias("fb"), F.col("rep").alias("b"))
+    close = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= radius
+    pairs = x.join(y, ["t", "key"]).where((F.col("a") < F.col("b")) & close).select("a", "b")
+    crowd = shared.where(F.col("n") > bucket).select(F.col("leader.fp").alias("fa"), F.col("leader.rep").alias("a"), F.col("fp").alias("fb"), F.col("rep").alias("b"))
+    led = crowd.where((F.col("a") != F.col("b")) & close).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    same = prints.join(distinct.where("n > 1"), "fp").where("row <> rep").select(F.col("rep").alias("a"), F.col("row").alias("b"))
+    candidates = stored(pairs.unionByName(led).unionByName(same).distinct(), "candidates")
+    of = candidates.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    udf = F.pandas_udf(lambda data: _shingle_set(data, words), "array<bigint>")
+    sets = docs.select(F.col(row).alias("row"), "text").join(of, "row").select("row", udf(utf8("text")).alias("s"))
+    sets = stored(sets, "shingles")
+    a, b = sets.select(F.col("row").alias("a"), F.col("s").alias("sa")), sets.select(F.col("row").alias("b"), F.col("s").alias("sb"))
+    both = candidates.join(a, "a").join(b, "b")
+    common = F.size(F.array_intersect("sa", "sb"))
+    either = F.size("sa") + F.size("sb") - common
+    links = both.where((common >= similarity * either) | (either == 0)).select("a", "b")
+    found = components(links)
+    return prints.select("row").join(found.withColumnRenamed("node", "row"), "row", "left").select(
+        F.col("row").alias(row), F.coalesce("component", "row").alias("component")
+    )
