@@ -27,6 +27,16 @@ def utf8(text: str):
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
 
 
+def drawn(rows: DataFrame, limit: int, n: int | None = None) -> DataFrame:
+    """About ``limit`` of the ``n`` rows at most, by the hash in column ``h``; the same rows each time, equal hashes once.
+
+    A threshold on the hash is put to the rows first, so what leaves the tasks is bounded by ``limit``, not by the tasks.
+    """
+    share = min(1.0, 1.5 * limit / max(rows.count() if n is None else n, 1))
+    low = rows.where(F.shiftrightunsigned("h", 11) < F.lit(int(share * (1 << 53))))
+    return low.dropDuplicates(["h"]).orderBy("h").limit(limit)
+
+
 def whole_groups(frames: Iterator[pd.DataFrame], keys: list[str]) -> Iterator[pd.DataFrame]:
     """Frames cut so that no group of equal ``keys`` crosses two of them; the rows must come sorted by ``keys``.
 

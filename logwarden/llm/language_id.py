@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.llm.common import utf8
+from logwarden.llm.common import drawn, utf8
 
 #: Texts that the network is trained on at most, those with the smallest hashes; of each a stretch of so many bytes.
 SAMPLE, STRETCH = 4_000, 256
@@ -204,7 +204,7 @@ def fit(docs: DataFrame, limit: int = SAMPLE) -> Network:
     h = F.xxhash64(F.lit(23), "doc_id", "text")
     at = F.pmod(h, F.greatest(F.octet_length(data) - STRETCH, F.lit(0)) + 1).cast("int") + 1
     rows = docs.where("text is not null and lang is not null").select("lang", h.alias("h"), F.substring(data, at, F.lit(STRETCH)).alias("data"))
-    rows = rows.orderBy("h", "lang").limit(limit).toPandas()
+    rows = drawn(rows, limit).toPandas()
     return train([bytes(x) for x in rows["data"]], rows["lang"].tolist())
 
 

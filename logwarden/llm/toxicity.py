@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from logwarden.llm.common import utf8
+from logwarden.llm.common import drawn, utf8
 
 #: Labelled rows that the chain is fitted on at most, those with the smallest hashes; of a text, its first so many bytes.
 SAMPLE, SAMPLE_BYTES = 6_000, 8192
@@ -156,7 +156,7 @@ def fit_chain(texts: list[bytes], targets: dict[str, np.ndarray], folds: list[in
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], limit: int = SAMPLE) -> pd.DataFrame:
-    """At most ``limit`` labelled texts with 0/1 columns of the categories, chosen by a hash of id and text.
+    """At most ``limit`` labelled texts with 0/1 columns of the categories, chosen by a hash of id and text; repeated rows count once.
 
     ``categories`` are expressions over the labels' columns and ``text``; rows where one is null are left out. Labels with
     several rows for an id count once for each category, as the largest.
@@ -164,9 +164,12 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, Colu
     name = {c: f"category_{i}" for i, c in enumerate(categories)}
     flags = [F.max(c.cast("int")).alias(name[k]) for k, c in categories.items()]
     marked = labels.groupBy("doc_id").agg(*flags).dropna()
-    text = docs.select("doc_id", F.substring(utf8("text"), 1, SAMPLE_BYTES).alias("data"), F.xxhash64(F.lit(17), "doc_id", "text").alias("h"))
-    chosen = text.join(marked, "doc_id").orderBy("h", "doc_id").limit(limit)
-    return chosen.select("data", "h", *name.values()).toPandas().rename(columns={v: k for k, v in name.items()})
+    h = F.xxhash64(F.lit(17), "doc_id", "text").alias("h")
+    chosen = drawn(docs.select("doc_id", h).join(marked, "doc_id"), limit, marked.count())
+    # only the chosen rows' texts move; the chosen ids are at most ``limit`` rows
+    data = docs.select(h, F.substring(utf8("text"), 1, SAMPLE_BYTES).alias("data"))
+    rows = data.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).orderBy("h")
+    return rows.select("data", "h", *name.values()).toPandas().rename(columns={v: k for k, v in name.items()})
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column]) -> Chain:
