@@ -109,11 +109,11 @@ def mix(docs: DataFrame, row: str | None = None, seed: int = 5, weights: tuple[f
     need = full.where("open").select("source", "left").distinct()
     need = need.join(got, need["source"].eqNullSafe(got["source__"]), "left").select(F.col("source").alias("s"), (F.col("left") - F.coalesce("got", F.lit(0))).alias("miss"))
     others = full.where("open").join(F.broadcast(need), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") <= F.col("miss")))
-    others = others.join(taken_rows.select("row__"), "row__", "left_anti")
+    others = others.join(taken_rows.select("row__").hint("merge"), "row__", "left_anti")
     extra = others.groupBy("source").agg(F.max_by("row__", F.struct("size", "draw", "row__")).alias("row__"))
     more = taken_rows.select("row__").unionByName(extra.select("row__")).withColumn("more", F.lit(1))
     copies = F.col("whole") + F.when(F.col("chance") >= 1, F.lit(1)).otherwise(F.coalesce("more", F.lit(0)))
-    out = full.join(more, "row__", "left").withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.col("whole")).cast("bigint"))
+    out = full.join(more.hint("merge"), "row__", "left").withColumn("copies", F.when(F.col("size") > 0, copies).otherwise(F.col("whole")).cast("bigint"))
     return out.select(
         *([F.col("row__").alias(row)] if row else []),
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies",
