@@ -35,8 +35,31 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{tempfile.mkdtemp(prefix='run-', dir='/tmp')}/{name}"
 
 
+_WRITTEN: list[str] = []
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the work folder and read it back: a cut in the lineage that survives lost executors."""
+    """Write ``df`` to the work folder and read it back: a cut in the lineage that survives lost executors.
+
+    The table stays until ``release`` removes it or the folder is cleaned.
+    """
     path = work_folder(df.sparkSession, name)
+    _WRITTEN.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mark() -> int:
+    """How many tables this process has stored so far, for ``release``."""
+    return len(_WRITTEN)
+
+
+def release(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
+    """Removes tables that ``stored`` has written, those from number ``since`` to before ``until``; no result may still read them."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for i in range(since, len(_WRITTEN) if until is None else until):
+        if _WRITTEN[i]:
+            path = hadoop.Path(_WRITTEN[i])
+            path.getFileSystem(conf).delete(path, True)
+            _WRITTEN[i] = ""
