@@ -7,6 +7,9 @@ the specs, parsing another, so a mixed table is parsed in a single projection.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -156,7 +159,10 @@ class Formats:
         never shuffled only to find out.
         """
         lines = df.filter(strip_text(message(line)) != "")
-        typed = lines.join(stored(self.batch_types(df, batch, order, line), "types"), on=batch, how="inner")
+        types = stored(self.batch_types(df, batch, order, line), "types")
+        types = types.select(*[F.col(c).alias(f"{c}__type") for c in batch], "log_type")
+        same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"{c}__type")) for c in batch])
+        typed = lines.join(types, same).drop(*[f"{c}__type" for c in batch])
         return typed.withColumn("parsed", self.parse_as(line, F.col("log_type")))
 
 

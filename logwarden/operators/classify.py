@@ -296,17 +296,24 @@ class Cascade:
         others = [c for c in df.columns if c != "_best"]
         decide = tier.decide
 
+        def settle(lines: pd.Series, out: pd.DataFrame) -> None:
+            """A line on which the tier fails is left to the next tier; halving finds it, whatever the batch."""
+            try:
+                got = decide(lines)
+                label, confidence = got["label"].to_numpy(), got["confidence"].astype(float).to_numpy()
+                out.loc[lines.index, "label"], out.loc[lines.index, "confidence"] = label, confidence
+            except Exception:
+                half = len(lines) // 2
+                if half:
+                    settle(lines.iloc[:half], out)
+                    settle(lines.iloc[half:], out)
+
         def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for lines in batches:
                 out = pd.DataFrame({"label": pd.Series(None, lines.index, object), "confidence": pd.Series(None, lines.index, float)})
                 undecided = lines.notna()
                 if undecided.any():
-                    try:
-                        got = decide(lines[undecided])
-                        out.loc[undecided, "label"] = got["label"].to_numpy()
-                        out.loc[undecided, "confidence"] = got["confidence"].astype(float).to_numpy()
-                    except Exception:  # a failing tier leaves its lines to the next one
-                        out["label"] = None
+                    settle(lines[undecided], out)
                 yield out
 
         asked = F.pandas_udf(ask, VERDICT)(F.when(F.col("_best").isNull(), F.col("_text")))

@@ -112,8 +112,9 @@ def stratified_position(df: DataFrame, label: str, key: str, seed: int = 42) ->
     )
     within = Window.partitionBy(label, "_slice").orderBy("_h", key)
     ranked = sliced.withColumn("_rank", F.row_number().over(within) - 1)
-    placed = ranked.join(starts, [label, "_slice"])
-    return placed.withColumn("position", F.col("_start") + F.col("_rank")).drop("_h", "_slice", "_rank", "_start")
+    starts = starts.withColumnsRenamed({label: "_label", "_slice": "_of"})
+    placed = ranked.join(starts, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_slice") == F.col("_of")))
+    return placed.withColumn("position", F.col("_start") + F.col("_rank")).drop("_h", "_slice", "_rank", "_start", "_label", "_of")
 
 
 def assign_folds(df: DataFrame, label: str, key: str, folds: int = rules.CV_FOLDS) -> DataFrame:

@@ -56,9 +56,12 @@ def limit_requests(
     over all its points in time. One address that never falls quiet is a single
     chain by definition; what its task walks are counts, not requests. The slice
     plan is written first, so that its real size decides how it is joined.
+    Requests without an address share the address "unknown".
     """
     size = window * 1_000_000
     keep = requests.columns
+    if dict(requests.dtypes)[ip] == "string":
+        requests = requests.withColumn(ip, F.coalesce(F.col(ip), F.lit("unknown")))
     timed = requests.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
     timed = timed.withColumn("_slice", F.floor(F.col("_us") / size).cast("bigint"))
     plan = stored(slice_plan(requests, ip, ts, window, limit), "slices").withColumnRenamed("slice", "_slice")

@@ -167,3 +167,22 @@ def test_filter_on_the_outcome_does_not_repeat_the_cascade(spark, sf):
     done = cl.classify(logs(spark, sf)).filter("classification = 'Security Alert'").select("log_id", "classification")
     plan = done._jdf.queryExecution().executedPlan().toString()
     assert plan.count("authentication fail") == 2  # once per tier: the cascade is worked out once
+
+
+def test_a_tier_that_fails_on_some_lines_keeps_the_others(spark):
+    import pandas as pd
+
+    def decide(lines: pd.Series) -> pd.DataFrame:
+        if lines.str.contains("poison").any():
+            raise ValueError("poisoned")
+        return pd.DataFrame({"label": "Found", "confidence": 0.9}, index=lines.index)
+
+    rows = spark.createDataFrame([(i, "poison" if i == 7 else f"zzz {i}") for i in range(40)], "log_id bigint, log_message string").coalesce(1)
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in ("1", "4", "10000"):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            done = cl.Cascade([cl.BatchTier("bert", decide)], entities=None).classify(rows)
+            assert {r.log_id for r in done.where("classification = 'Found'").collect()} == set(range(40)) - {7}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)

@@ -82,3 +82,10 @@ def test_detection_agrees_with_python_re(spark, sf):
     for r in rows:
         want = next((n for n in rules.DETECT_ORDER if re.search(rules.DETECT[n], r.log_message)), "generic")
         assert r.t == want
+
+
+def test_batches_with_a_null_key_stay(spark):
+    from logwarden.functions.formats import DEFAULT_FORMATS
+
+    rows = spark.createDataFrame([(0, None, "plain"), (1, None, "plain too"), (2, "a", "plain")], "log_id bigint, source string, log_message string")
+    assert DEFAULT_FORMATS.parse_batches(rows, ["source"], ["log_id"]).count() == 3

@@ -179,3 +179,10 @@ def test_cross_validation_runs_on_every_fold(vectors):
     scores = learn.cross_validate(rows, "label", "vec_id", folds=2)
     assert {r.fold for r in scores.collect()} == {0, 1}
     assert sum(r.total_samples for r in scores.collect()) == rows.count()
+
+
+def test_folds_keep_rows_without_label(spark):
+    from logwarden.operators.learn import assign_folds
+
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else "a") for i in range(30)], "log_id bigint, y string")
+    assert assign_folds(rows, "y", "log_id").count() == 30

@@ -83,3 +83,11 @@ def test_sources_and_sinks_for_brokers_build(spark, folder):
         jobs.kafka_source(spark, "host:9092", "logs")
     with pytest.raises(Exception):
         jobs.start_kafka(jobs.classification_records(jobs.classify_stream(stream)), "host:9092", "out", f"{folder}/c")
+
+
+def test_limiter_keeps_requests_without_address(spark):
+    from logwarden.streaming.limiter import limit_requests
+
+    rows = spark.createDataFrame([(i, None if i % 3 == 0 else "a", 1_600_000_000 + i) for i in range(30)], "event_id bigint, ip string, s bigint")
+    rows = rows.selectExpr("event_id", "ip", "timestamp_seconds(s) AS ts")
+    assert {tuple(r) for r in limit_requests(rows).groupBy("ip").count().collect()} == {("unknown", 10), ("a", 20)}
