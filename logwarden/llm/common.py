@@ -27,6 +27,19 @@ def utf8(text: str):
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
 
 
+#: Row numbers that are sent to every task, at most (some 50 MB as a hash table).
+SENT = 1 << 21
+
+
+def by_number(rows: DataFrame, numbers: DataFrame, key: str, how: str = "left_semi", most: int = SENT) -> DataFrame:
+    """``rows`` joined with the table of distinct row ``numbers`` in its column ``key``.
+
+    Up to ``most`` numbers go to all tasks, so that the rows with their texts stay where they are; more are joined by shuffle.
+    """
+    numbers = stored(numbers.select(key), "numbers")
+    return rows.join(F.broadcast(numbers) if numbers.count() <= most else numbers, key, how)
+
+
 def drawn(rows: DataFrame, limit: int, n: int | None = None) -> DataFrame:
     """About ``limit`` of the ``n`` rows at most, by the hash in column ``h``; the same rows each time, equal hashes once.
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from logwarden.llm.common import bounds, components, utf8
+from logwarden.llm.common import bounds, by_number, components, utf8
 from logwarden.session import stored
 
 SEED = 42
@@ -247,19 +247,19 @@ def similar_groups(docs: DataFrame, row: str, words: int = 5, similarity: float
     wide_.__annotations__ = {"data": pd.Series, "return": pd.DataFrame}
     wide = F.pandas_udf(wide_, ", ".join(f"{c} bigint" for c in names))
     prints = stored(docs.select(F.col(row).alias("row"), wide(utf8("text")).alias("p")).select("row", "p.*"), "fingerprints")
-    distinct = stored(prints.groupBy(*names).agg(F.min("row").alias("node"), F.count(F.lit(1)).alias("n")), "distinct")
+    distinct = stored(prints.groupBy(*names).agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("node", F.xxhash64(*names)), "distinct")
     keyed = distinct.select("node", *names).mapInPandas(_keys, "key bigint, node bigint")
     dealt = keyed.repartition("key").sortWithinPartitions("key", "node")
     pairs = stored(dealt.mapInPandas(_bucket_pairs, "a bigint, b bigint"), "pairs").distinct()
-    left = distinct.select(F.col("node").alias("a"), *[F.col(c).alias(f"a_{c}") for c in names])
-    right = distinct.select(F.col("node").alias("b"), *[F.col(c).alias(f"b_{c}") for c in names])
+    left = distinct.select(F.col("node").alias("a"), F.col("first").alias("a_first"), *[F.col(c).alias(f"a_{c}") for c in names])
+    right = distinct.select(F.col("node").alias("b"), F.col("first").alias("b_first"), *[F.col(c).alias(f"b_{c}") for c in names])
     bits = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in names), F.lit(0))
-    close = pairs.join(left, "a").join(right, "b").where(bits <= MOST_BITS).select("a", "b")
-    same = prints.join(distinct.where("n > 1"), names).where("row <> node").select(F.col("node").alias("a"), F.col("row").alias("b"))
+    close = pairs.join(left, "a").join(right, "b").where(bits <= MOST_BITS).select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
+    same = prints.join(distinct.where("n > 1"), names).where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
     candidates = stored(close.unionByName(same), "candidates")
     of = candidates.select(F.explode(F.array("a", "b")).alias("row")).distinct()
     udf = F.pandas_udf(lambda data: _shingle_set(data, words), "array<bigint>")
-    sets = docs.select(F.col(row).alias("row"), "text").join(of, "row").select("row", udf(utf8("text")).alias("s"))
+    sets = by_number(docs.select(F.col(row).alias("row"), "text"), of, "row").select("row", udf(utf8("text")).alias("s"))
     sets = stored(sets, "shingles")
     a, b = sets.select(F.col("row").alias("a"), F.col("s").alias("sa")), sets.select(F.col("row").alias("b"), F.col("s").alias("sb"))
     both = candidates.join(a, "a").join(b, "b")
