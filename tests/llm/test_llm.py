@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from logwarden.llm import embedding_dedup, exact_dedup, language_id, lm_scoring, mixing, packing, sharding, simhash, token_counts, tokens, toxicity
-from logwarden.llm.common import ROW, components
+from logwarden.llm.common import ROW, by_number, components
 
 SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, size bigint, shard int, row bigint, h string, digest string, fp bigint, label int"
 
@@ -323,3 +323,13 @@ def test_pipeline_stages(spark, docs, rows, tmp_path):
         if name != "packing":
             assert now.columns == corpus_pipeline.COLUMNS
     assert now.count() > 0
+
+
+@pytest.mark.parametrize("most", [0, 10])
+def test_rows_by_number_sent_or_shuffled(spark, most):
+    rows = spark.createDataFrame([(i, None if i == 3 else f"t{i}") for i in range(6)], "n bigint, text string")
+    some = spark.createDataFrame([(1,), (3,), (9,)], "n bigint")
+    kept = by_number(rows, some, "n", most=most).collect()
+    assert sorted((r.n, r.text) for r in kept if r.n != 3) == [(1, "t1")] and len(kept) == 2
+    assert sorted(r.n for r in by_number(rows, some, "n", "left_anti", most).collect()) == [0, 2, 4, 5]
+    assert by_number(rows, some.limit(0), "n", "left_anti", most).count() == 6
