@@ -264,7 +264,7 @@ APPROACH_PAIRS = " UNION ALL ".join(
         r.APPROACHES, ["coalesce(rx, 'Unclassified')", "'Unclassified'", "coalesce(kw, 'Unclassified')", "classification"]
     )
 )
-LOGITS = """lg AS (SELECT vec_id, label, list_transform(embedding[1:10], lambda x, i: CAST(x AS DOUBLE) * 10 + CASE WHEN i - 1 = label THEN 2.0 ELSE 0.0 END) AS z FROM embeddings)"""
+LOGITS = """lg AS (SELECT vec_id, label, list_transform(range(0, 10), lambda k: list_sum(list_transform(list_filter(embedding, lambda x, i: (i - 1) % 10 = k), lambda x: CAST(x AS DOUBLE))) * 10 + CASE WHEN k = label THEN 2.0 ELSE 0.0 END) AS z FROM embeddings)"""
 LOSSES = f"""WITH {LOGITS}, mx AS (SELECT label, z, list_max(z) AS m FROM lg), tt AS (SELECT unnest(range(1, 51)) / 10.0 AS temperature),
 ls AS (SELECT temperature, avg(ln(list_sum(list_transform(z, lambda v: exp((v - m) / temperature)))) - (z[label + 1] - m) / temperature) AS loss FROM mx, tt GROUP BY 1)"""
 
@@ -283,7 +283,7 @@ ORACLE: dict[str, str] = {
     "flagship_severity_report": f"WITH {EVENTS} SELECT severity, ev.attack_type, technique_id, count(*) AS n FROM ev LEFT JOIN tech USING (attack_type) GROUP BY ALL",
     "a1_csv_scan": f"WITH {LOGS} SELECT log_id, source, log_message FROM logs",
     "a2_text_scan": f"WITH {LOGS} SELECT 'syslog' AS source, log_message FROM logs",
-    "a3_directory_scan": f"WITH {LOGS} SELECT log_message FROM logs",
+    "a3_directory_scan": f"WITH {LOGS} SELECT CASE WHEN source IN ('WebServer', 'Syslog') THEN 'file' ELSE source END AS source, log_message FROM logs",
     "a4_blob_lines": """SELECT doc_id, line_no, 'raw_input' AS source, log_message FROM
  (SELECT doc_id, i - 1 AS line_no, regexp_replace(l[i], '^\\s+|\\s+$', '', 'g') AS log_message FROM
   (SELECT doc_id, l, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)))

@@ -84,8 +84,13 @@ def a3(spark, sf):
     path = work_folder(spark, "folder")
     some = F.col("source").isin("WebServer", "Syslog")
     lines(spark, sf).filter(some).select("log_message").write.text(f"{path}/lines")
-    lines(spark, sf).filter(~some).write.option("header", True).option("escape", '"').csv(f"{path}/tables")
-    return files.scan_directory(spark, path, recursive=True).select("log_message")
+    tables = lines(spark, sf).filter(~some)
+    orders = [["log_id", "source", "log_message"], ["log_message", "source"], ["source", "log_id", "log_message"]]
+    for i, columns in enumerate(orders):  # files of one folder with headers of their own
+        part = tables.filter(F.col("log_id") % len(orders) == i).select(*columns)
+        part.write.mode("append").option("header", True).option("escape", '"').csv(f"{path}/tables")
+    stem = F.when(F.col("source").startswith("part-"), F.lit("file")).otherwise(F.col("source"))
+    return files.scan_directory(spark, path, recursive=True).select(stem.alias("source"), "log_message")
 
 
 @query("a4_blob_lines")
@@ -504,9 +509,13 @@ def d15(spark, sf):
 
 
 def logits(spark, sf) -> DataFrame:
-    ten = F.transform(
-        F.slice("embedding", 1, 10), lambda x, i: x.cast("double") * 10 + F.when(i == F.col("label"), 2.0).otherwise(0.0)
-    )
+    """Ten numbers per vector: the sums of every tenth component, so that all components count."""
+
+    def one(k: Column) -> Column:
+        tenths = F.filter("embedding", lambda x, i: i % 10 == k)
+        return F.aggregate(tenths, F.lit(0.0), lambda acc, x: acc + x.cast("double")) * 10 + F.when(k == F.col("label"), 2.0).otherwise(0.0)
+
+    ten = F.transform(F.sequence(F.lit(0), F.lit(9)), one)
     return table(spark, sf, "embeddings").select("vec_id", "label", ten.alias("logits"))
 
 

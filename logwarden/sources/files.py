@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
 from logwarden import rules
 from logwarden.functions.formats import DEFAULT_FORMATS, Formats
 from logwarden.functions.text import CASED, first_match, message, strip_text
+from logwarden.session import stored
 
 TEXT_GLOB = "*.{log,txt}"
 CSV_GLOB = "*.csv"
@@ -54,25 +57,57 @@ def clean_utf8(value: str) -> Column:
     return F.when(F.is_valid_utf8(text), text).otherwise(F.regexp_replace(F.make_valid_utf8(text), "\ufffd", ""))
 
 
+#: Different headers that the files of one scan may have; each is a part of the plan.
+MOST_HEADERS = 200
+
+
+def by_header(reader: DataFrameReader, path: str | list[str]) -> list[str | list[str]]:
+    """``path`` divided into paths of files with the same first line, which is read in one distributed pass.
+
+    Only the first split of each file is looked at. Files without a line are left out.
+    """
+    name = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
+    raw = reader.text(path)
+    if file_count(raw) < 2:
+        return [path]
+    lines = raw.filter(F.col("_metadata.file_block_start") == 0).select(F.url_decode(name).alias("file"), "value", line_order().alias("n"))
+    first = lines.groupBy("file").agg(F.min_by("value", "n").alias("header"))
+    groups = stored(first.groupBy("header").agg(F.collect_list("file").alias("files")), "headers")
+    found = groups.count()
+    if found > MOST_HEADERS:
+        raise ValueError(f"{found} different CSV headers; {MOST_HEADERS} at most are read at once")
+    if found < 2:
+        return [path]
+    return [[re.sub(r"([\[\]{}*?\\])", r"\\\1", f) for f in row.files] for row in groups.orderBy("header").collect()]
+
+
 def scan_csv(
     spark: SparkSession, path: str | list[str], multiline: bool = True, recursive: bool = False,
     glob: str | None = None, ordered: bool = False,
 ) -> DataFrame:
     """CSV lines with a header, every column a string; ``source`` defaults to the file's stem.
 
-    ``multiline`` keeps quoted line breaks whole. Where the data has none, pass
-    False: Spark then splits big files over many tasks. ``ordered`` adds
-    ``line_order``.
+    Every file is read by its own header; a column that a file lacks is NULL in
+    its rows, and each must have ``log_message``. ``multiline`` keeps quoted
+    line breaks whole. Where the data has none, pass False: Spark then splits
+    big files over many tasks. ``ordered`` adds ``line_order``. With multiline
+    Spark does not find files whose names hold glob characters.
     """
-    reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
-    reader = reader.option("recursiveFileLookup", recursive)
+    listing = spark.read.option("recursiveFileLookup", recursive)
     if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    df = require_columns(reader.csv(path), ["log_message"])
-    names = [F.col(f"`{c}`") for c in df.columns]
-    names += [] if "source" in df.columns else [file_stem().alias("source")]
-    names += [line_order().alias("line_order")] if ordered else []
-    return df.select(*names)
+        listing = listing.option("pathGlobFilter", glob)
+    parts = []
+    for group in by_header(listing, path):
+        reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
+        reader = reader.option("recursiveFileLookup", recursive)
+        if glob:
+            reader = reader.option("pathGlobFilter", glob)
+        df = require_columns(reader.csv(group), ["log_message"])
+        names = [F.col(f"`{c}`") for c in df.columns]
+        names += [] if "source" in df.columns else [file_stem().alias("source")]
+        names += [line_order().alias("line_order")] if ordered else []
+        parts.append(df.select(*names))
+    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def scan_text(

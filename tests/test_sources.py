@@ -114,3 +114,14 @@ def test_reports_over_files_use_the_line_order(spark, folder):
     done = cl.classify(files.scan_directory(spark, folder))
     got = rp.analyze(done, order="line_order").suspicious_ips.collect()
     assert [(r.ip, r.request_count) for r in got] == [("10.0.0.2", 6), ("10.0.0.1", 6)]
+
+
+def test_csv_files_are_read_by_their_own_headers(spark, tmp_path):
+    texts = {"a": "source,log_message\nA,first\n", "b 1%": "log_message,source\nsecond,B\n", "c+d": "id,log_message\n9,third\n", "e": ""}
+    for name, text in texts.items():
+        (tmp_path / f"{name}.csv").write_text(text)
+    got = {(r.source, r.log_message, r.id) for r in files.scan_csv(spark, str(tmp_path)).collect()}
+    assert got == {("A", "first", None), ("B", "second", None), ("c+d", "third", "9")}
+    (tmp_path / "f.csv").write_text("id,text\n1,no message\n")
+    with pytest.raises(ValueError):
+        files.scan_csv(spark, str(tmp_path))
