@@ -453,12 +453,14 @@ SELECT 'classification' AS type, source, log_message, classification AS label, m
   CAST(NULL AS BIGINT) AS event_count, NULL AS highest_severity, CAST(NULL AS BOOLEAN) AS requires_attention, NULL AS summary FROM cls
 UNION ALL SELECT 'analysis', NULL, NULL, NULL, NULL, NULL, event_count, {NAMES}, rk <= 1, {SUMMARY} FROM x"""
 
-ORACLE["j3_windowed_analysis"] = f"""WITH {EVENTS}, w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS ws, ts, log_id FROM logs),
+ORACLE["j3_windowed_analysis"] = f"""WITH {EVENTS}, {IPS}, w AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS ws, ts, log_id FROM logs),
 t AS (SELECT ws, count(*) AS total_logs FROM w GROUP BY 1),
 e AS (SELECT time_bucket(INTERVAL 1 HOUR, ts) AS ws, count(*) AS event_count, count(*) FILTER (severity = 'CRITICAL') AS critical,
-  count(*) FILTER (severity = 'HIGH') AS high, min({RANK}) AS rk, 0 AS suspicious_ip_count FROM ev GROUP BY 1)
+  count(*) FILTER (severity = 'HIGH') AS high, min({RANK}) AS rk FROM ev GROUP BY 1),
+i AS (SELECT ws, count(*) AS n FROM (SELECT ws, ip FROM ipx JOIN w USING (log_id) GROUP BY 1, 2 HAVING count(*) >= 5) GROUP BY 1),
+x AS (SELECT t.ws, total_logs, event_count, critical, high, rk, coalesce(n, 0) AS suspicious_ip_count FROM t JOIN e USING (ws) LEFT JOIN i USING (ws))
 SELECT strftime(ws, '%Y-%m-%d %H:%M:%S') AS window_start, total_logs, event_count, {NAMES} AS highest_severity,
-  rk <= 1 AS requires_immediate_attention, {SUMMARY} AS summary FROM t JOIN e USING (ws)
+  rk <= 1 AS requires_immediate_attention, {SUMMARY} AS summary FROM x
 WHERE ws + INTERVAL 1 HOUR <= (SELECT max(ts) FROM logs) - INTERVAL 10 MINUTE"""
 
 ORACLE["j6_busy_slices"] = """WITH s AS (SELECT CAST(user_id AS VARCHAR) AS ip, CAST(floor(epoch_us(ts) / 36000000000.0) AS BIGINT) AS slice, count(*) AS n FROM events GROUP BY 1, 2),

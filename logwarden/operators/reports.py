@@ -19,7 +19,7 @@ from logwarden.functions.text import CASELESS, first_match
 from logwarden.operators import events as ev
 
 
-def _ips(df: DataFrame, text: str) -> Column:
+def line_ips(df: DataFrame, text: str) -> Column:
     if "entities" in df.columns:
         return F.coalesce(F.col("entities")["ip_addresses"], F.array().cast("array<string>"))
     return ent.ip_addresses(text)
@@ -39,7 +39,7 @@ def url_path(url: Column) -> Column:
 
 def ip_frequency(df: DataFrame, text: str = "log_message", order: str = "log_id", by: tuple[str, ...] = ()) -> DataFrame:
     """Occurrences of every address over all lines, repeats in a line counted."""
-    each = df.select(*by, F.col(order).alias("_o"), F.explode(_ips(df, text)).alias("ip"))
+    each = df.select(*by, F.col(order).alias("_o"), F.explode(line_ips(df, text)).alias("ip"))
     return each.groupBy(*by, "ip").agg(F.count(F.lit(1)).alias("request_count"), F.min("_o").alias("first_seen"))
 
 
@@ -166,7 +166,7 @@ def fact_counts(classified: DataFrame, by: tuple[str, ...] = (), order: str = "l
             _fact("recommendation", ev.recommendation_text(severity, F.try_element_at(advice, attack))),
         ),
     )
-    ips = F.transform(_ips(classified, "log_message"), lambda ip: _fact("ip", ip))
+    ips = F.transform(line_ips(classified, "log_message"), lambda ip: _fact("ip", ip))
     each = judged.select(*by, F.col(order).alias("_o"), F.explode(F.concat(some.cast(FACT), ips.cast(FACT))).alias("f"))
     return (
         each.filter(F.col("f").isNotNull())

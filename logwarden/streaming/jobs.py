@@ -6,7 +6,7 @@ of them. The decode and classify steps are the batch expressions.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -14,7 +14,7 @@ from logwarden import rules
 from logwarden.operators import events as ev
 from logwarden.operators.classify import DEFAULT_CASCADE, Cascade
 from logwarden.operators.reports import (
-    highest_severity, immediate_attention, overview, fact_counts, summary_text,
+    fact_counts, immediate_attention, line_ips, overview, severity_rank, summary_text,
 )
 
 MESSAGE = "source string, log_message string, message string, ts timestamp"
@@ -91,32 +91,39 @@ def analyze_micro_batch(classified: DataFrame) -> DataFrame:
 def windowed_analysis(
     classified: DataFrame, window: str = "1 hour", late: str = "10 minutes", ts: str = "ts"
 ) -> DataFrame:
-    """Event count, worst severity and attention flag per tumbling window of event time.
+    """Event count, worst severity, attention flag and summary per tumbling window of event time.
 
-    Unlike a report per poll it does not depend on when records arrive. The
-    state is one row per open window; the watermark closes windows and drops them.
+    Unlike a report per poll it does not depend on when records arrive. Lines
+    are counted per window and address first and per window then; the state is
+    a row per address of each open window, and the watermark closes windows and
+    drops them. A window that no later record closes is not given out.
     """
     judged = ev.judge(classified)
-    severity = F.col("_event")["severity"]
-
-    def number(level: str) -> Column:
-        return F.count_if(severity == level)
-
+    addresses = F.coalesce(line_ips(judged, "log_message"), F.array().cast("array<string>"))
+    each = judged.withWatermark(ts, late).select(
+        ts, F.col("_event")["severity"].alias("severity"),
+        F.explode(F.concat(F.array(F.lit(None).cast("string")), addresses)).alias("ip"),  # NULL stands for the line itself
+    )
+    line = F.col("ip").isNull()
+    level = F.when(line, F.col("severity"))
     counted = (
-        judged.withWatermark(ts, late)
-        .groupBy(F.window(ts, window))
+        each.groupBy(F.window(ts, window), "ip")
+        .agg(
+            F.count(F.lit(1)).alias("n"), F.count(level).alias("events"), F.min(severity_rank(level)).alias("rank"),
+            F.count_if(level == "CRITICAL").alias("c"), F.count_if(level == "HIGH").alias("h"),
+        )
+        .groupBy("window")
         .agg(
-            F.count(F.lit(1)).alias("total_logs"),
-            F.count(severity).alias("event_count"),
-            number("CRITICAL").alias("critical"),
-            number("HIGH").alias("high"),
-            highest_severity(severity).alias("highest_severity"),
+            F.sum(F.when(line, F.col("n"))).alias("total_logs"), F.sum("events").alias("event_count"),
+            F.sum("c").alias("critical"), F.sum("h").alias("high"),
+            F.count_if(~line & (F.col("n") >= rules.IP_MEDIUM)).alias("ips"),
+            F.get(F.array(*[F.lit(s) for s in rules.SEVERITIES]), F.min("rank")).alias("highest_severity"),
         )
     )
     return counted.filter("event_count > 0").select(
         F.col("window.start").alias("window_start"), "total_logs", "event_count", "highest_severity",
         immediate_attention(F.col("highest_severity")).alias("requires_immediate_attention"),
-        summary_text(F.col("total_logs"), F.col("event_count"), F.col("critical"), F.col("high"), F.lit(0)).alias("summary"),
+        summary_text(*[F.col(c) for c in ("total_logs", "event_count", "critical", "high", "ips")]).alias("summary"),
     )
 
 

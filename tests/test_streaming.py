@@ -91,3 +91,17 @@ def test_limiter_keeps_requests_without_address(spark):
     rows = spark.createDataFrame([(i, None if i % 3 == 0 else "a", 1_600_000_000 + i) for i in range(30)], "event_id bigint, ip string, s bigint")
     rows = rows.selectExpr("event_id", "ip", "timestamp_seconds(s) AS ts")
     assert {tuple(r) for r in limit_requests(rows).groupBy("ip").count().collect()} == {("unknown", 10), ("a", 20)}
+
+
+@pytest.mark.parametrize("files_per_trigger", [1, 1000])
+def test_windows_name_suspicious_addresses(spark, folder, files_per_trigger):
+    line = "Failed password for root from {} port 22 ssh2"
+    times = [("2024-01-01T10:%02d:00" % i, ip) for i, ip in enumerate(["10.0.0.1"] * 5 + ["10.0.0.2"] * 4)]
+    times += [("2024-01-01T11:30:00", "10.0.0.1"), ("2024-01-01T14:00:00", "10.0.0.3")]
+    for ts, ip in times:
+        feed(spark, folder, {"source": "sshd", "log_message": line.format(ip), "ts": ts})
+    stream = jobs.decode(jobs.file_source(spark, f"{folder}/in", files_per_trigger))
+    got = run(spark, jobs.windowed_analysis(jobs.classify_stream(stream)), folder).orderBy("window_start").collect()
+    assert [r.total_logs for r in got] == [9, 1]
+    assert "1 suspicious IP address(es) identified." in got[0].summary
+    assert "suspicious" not in got[1].summary
