@@ -159,9 +159,11 @@ def start_batches(
 
     def publish(batch: DataFrame, number: int) -> None:
         done = cascade.classify(batch).persist()
-        classification_records(done).write.mode("overwrite").text(f"{path}/batch={number}/kind=classification")
-        analyze_micro_batch(done).write.mode("overwrite").text(f"{path}/batch={number}/kind=analysis")
-        done.unpersist()
+        try:
+            classification_records(done).write.mode("overwrite").text(f"{path}/batch={number}/kind=classification")
+            analyze_micro_batch(done).write.mode("overwrite").text(f"{path}/batch={number}/kind=analysis")
+        finally:
+            done.unpersist()
 
     writer = decoded.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
