@@ -116,88 +116,95 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2, bucket: int
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: Wide fingerprints: 64-bit words, parts that are covered each by themselves, bits of a part, radius of its cover.
-WORDS, PARTS, PART_BITS, PART_RADIUS = 3, 4, 48, 4
-#: Candidates differ in no more bits of all than this: beyond the reach of a similarity of 0.8, far below chance.
-MOST_BITS = 45
-#: A bucket of more fingerprints isn't compared pair by pair.
-LEADERS = 6
+#: A key of more texts isn't compared pair by pair at once.
+CROWD = 24
+#: Texts whose shingles are counted for the order of shingles: so many, or this share of all; shingles kept of them.
+COUNTED, COUNTED_SHARE, FREQUENT = 20_000, 1 / 16, 500_000
+#: 64-bit words of parity bits of a shingle set.
+PARITY = 8
 
 
-def wide_fingerprint(data: bytes, words: int) -> list[int]:
-    """``WORDS`` times 64 majority bits: of the shingles' hashes, and of these mixed with further constants."""
-    total, n = np.zeros(64 * WORDS, dtype=np.int64), 0
-    for hashes in shingles(data, words):
-        h = np.array(hashes, dtype="<u8")
-        mixed = [h]
-        for k in range(1, WORDS):
-            x = h + np.uint64((0x9E3779B97F4A7C15 * k) & ((1 << 64) - 1))
-            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-            mixed.append(x ^ (x >> np.uint64(31)))
-        bits = np.unpackbits(np.stack(mixed, axis=1).view(np.uint8), axis=1, bitorder="little")
-        whole = len(bits) // 255 * 255
-        if whole:
-            total += np.add.reduce(bits[:whole].reshape(-1, 255, bits.shape[1]), axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
-        total += bits[whole:].sum(axis=0, dtype=np.int64)
-        n += len(h)
-    return np.packbits(total * 2 > n, bitorder="little").view("<i8").tolist()
+def shingle_set(data: bytes, words: int) -> np.ndarray:
+    """The text's different shingle hashes as sorted signed numbers."""
+    return np.unique(np.array([h for hs in shingles(data, words) for h in hs], dtype="<u8").view("<i8"))
+
+
+def least_common(size: np.ndarray, other: np.ndarray, similarity: float) -> np.ndarray:
+    """Common shingles that sets of these sizes need at least for the Jaccard similarity."""
+    return np.ceil(similarity / (1 + similarity) * (size + other) - 1e-6)
+
 
+def _frequent(docs: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in three or more of some of the texts, sorted, with their counts; ``FREQUENT`` at most, the most frequent ones."""
+    n = docs.count()
+    share = min(1.0, max(COUNTED / max(n, 1), COUNTED_SHARE))
+    some = docs.where(F.pmod(F.xxhash64(F.lit(31), "row"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    udf = F.pandas_udf(lambda data: pd.Series([shingle_set(bytes(x), words) for x in data], dtype=object), "array<bigint>")
+    counts = some.select(F.explode(udf(utf8("text"))).alias("key")).groupBy("key").agg(F.count(F.lit(1)).cast("int").alias("n"))
+    rows = counts.where("n > 2").orderBy(F.desc("n"), "key").limit(FREQUENT).toPandas().sort_values("key")
+    return rows["key"].to_numpy(dtype="i8"), rows["n"].to_numpy(dtype="i4")
 
-def part_masks() -> np.ndarray:
-    """(tables, ``WORDS``) masks: every part's bits have a cover of ``PART_RADIUS`` of their own.
 
-    Two fingerprints that differ in at most PARTS * (PART_RADIUS + 1) - 1 bits differ in at most PART_RADIUS in some part,
-    so they are equal under one of its masks.
+def _keys(frames: Iterator[pd.DataFrame], words: int, similarity: float, sent) -> Iterator[pd.DataFrame]:
+    """(key, row, size, place): the first shingles of each text in one order of all shingles, rare ones first.
+
+    Sets of s shingles that are similar enough share at least similarity * s of them, so each has a common one among its first
+    s - similarity * s + 1 in any order; the order only decides how many other texts share a key.
     """
-    top = 1 << (PART_RADIUS + 1)
-    masks = []
-    for part in range(PARTS):
-        vector = np.random.default_rng(100 + part).permutation(PART_BITS) % (top - 1) + 1
-        for v in range(1, top):
-            bits = np.zeros(64 * WORDS, dtype=bool)
-            bits[part * PART_BITS : (part + 1) * PART_BITS] = [bin(int(x) & v).count("1") % 2 for x in vector]
-            masks.append(np.packbits(bits, bitorder="little").view("<u8"))
-    return np.array(masks)
-
-
-def _keys(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """(key, node) for every table: a hash of the table and of what its mask leaves."""
-    masks = part_masks()
-    table = np.arange(len(masks), dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+    known, count = sent.value
     for frame in frames:
-        for lo in range(0, len(frame), 2048):
-            f = frame.iloc[lo : lo + 2048]
-            key = np.broadcast_to(table, (len(f), len(masks))).copy()
-            for k in range(WORDS):
-                key ^= f[f"w{k}"].to_numpy().view(np.uint64)[:, None] & masks[None, :, k]
-                key *= np.uint64(0x9E3779B97F4A7C15)
-                key ^= key >> np.uint64(32)
-            yield pd.DataFrame({"key": key.view(np.int64).ravel(), "node": np.repeat(f["node"].to_numpy(), len(masks))})
-
-
-def _bucket_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of nodes with one key, of rows sorted by key; more than ``LEADERS`` nodes are paired with one of them only."""
+        key, row, size, place = [], [], [], []
+        for r, data in zip(frame["row"].tolist(), frame["data"], strict=True):
+            s = shingle_set(bytes(data), words)
+            if not len(s):
+                continue
+            n = np.zeros(len(s), dtype="i4")
+            if len(known):
+                at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                n = np.where(known[at] == s, count[at], 0)
+            first = s[np.lexsort((s, n))[: len(s) - int(np.ceil(similarity * len(s) - 1e-6)) + 1]]
+            key.append(first)
+            row.append(np.full(len(first), r))
+            size.append(np.full(len(first), len(s), dtype="i4"))
+            place.append(np.arange(len(first), dtype="i4"))
+        if key:
+            yield pd.DataFrame({"key": np.concatenate(key), "row": np.concatenate(row), "size": np.concatenate(size), "place": np.concatenate(place)})
+
+
+def _possible(size: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> np.ndarray:
+    """Whether sets i and j can be similar enough if the key is the first shingle that they share."""
+    after = np.minimum(size[i] - place[i], size[j] - place[j])
+    return after >= least_common(size[i], size[j], similarity)
+
+
+def _bucket_pairs(frames: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+    """Pairs (a, b) of rows with one key that can be similar, of rows sorted by key and size.
+
+    The rows of a key with more than ``CROWD`` are paired with the row before and with one leader only.
+    """
     key_now, leader = None, None
     for frame in _with_key_runs(frames):
-        key, node = frame["key"].to_numpy(), frame["node"].to_numpy()
+        key, row = frame["key"].to_numpy(), frame["row"].to_numpy()
+        size_, place = frame["size"].to_numpy(), frame["place"].to_numpy()
         cut = bounds(frame, ["key"])
         size = np.repeat(np.diff(cut), np.diff(cut))
+        crowded = (size > CROWD) | (key == key_now if key_now is not None else False)
         a, b, lag = [], [], 0
-        at = np.flatnonzero(size <= LEADERS)
+        at = np.flatnonzero(~crowded)
         while len(at):
             lag += 1
             at = at[at + lag < len(key)]
             at = at[key[at] == key[at + lag]]
-            a.append(node[at])
-            b.append(node[at + lag])
-        order = node.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+            ok = at[_possible(size_, place, at, at + lag, similarity)]
+            a.append(row[ok])
+            b.append(row[ok + lag])
+        order = row.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
-            if hi - lo > LEADERS:
+            if crowded[lo]:
                 if key[lo] != key_now:
-                    key_now, leader = key[lo], node[lo:hi][order[lo:hi].argmin()]
-                a.append(np.full(hi - lo, leader))
-                b.append(node[lo:hi])
+                    key_now, leader = key[lo], row[lo:hi][order[lo:hi].argmin()]
+                a += [np.full(hi - lo, leader), row[lo : hi - 1]]
+                b += [row[lo:hi], row[lo + 1 : hi]]
         a, b = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
         pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
         yield pairs[pairs["a"] != pairs["b"]].drop_duplicates()
@@ -223,50 +230,61 @@ def _with_key_runs(frames: Iterator[pd.DataFrame], most: int = 100_000) -> Itera
         yield rest[0]
 
 
-def _shingle_set(data: pd.Series, words: int) -> pd.Series:
-    return pd.Series([sorted({h - (1 << 64) if h >> 63 else h for hs in shingles(bytes(x), words) for h in hs}) for x in data], dtype=object)
+def _sets(data: pd.Series, words: int) -> pd.DataFrame:
+    """A text's shingle set, its size, and for each of 64 * ``PARITY`` classes of shingles whether the set has an odd number of them."""
+    sets = [shingle_set(bytes(x), words) for x in data]
+    odd = np.zeros((len(sets), 64 * PARITY), dtype=np.uint8)
+    for i, s in enumerate(sets):
+        odd[i] = np.bincount(s & (64 * PARITY - 1), minlength=64 * PARITY) & 1
+    bits = np.packbits(odd, axis=1, bitorder="little").view("<i8")
+    return pd.DataFrame({"s": pd.Series(sets, dtype=object), "n": [len(s) for s in sets], **{f"p{k}": bits[:, k] for k in range(PARITY)}})
+
+
+def _links(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) -> DataFrame:
+    """Those of the distinct ``pairs`` whose shingle sets have the similarity.
+
+    Sets that differ in d shingles differ in at most d parity bits, so only pairs that fail for sure are left out before
+    the sets themselves meet.
+    """
+    pairs = stored(pairs, "pairs")
+    of = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+    parity = [f"p{k}" for k in range(PARITY)]
+
+    def sets_(data: pd.Series) -> pd.DataFrame:
+        return _sets(data, words)
+
+    sets_.__annotations__ = {"data": pd.Series, "return": pd.DataFrame}
+    udf = F.pandas_udf(sets_, "s array<bigint>, n int, " + ", ".join(f"{c} bigint" for c in parity))
+    sets = stored(by_number(docs, of, "row").select("row", udf(utf8("text")).alias("x")).select("row", "x.*"), "shingles")
+    side = lambda x, columns: sets.select(F.col("row").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in columns])
+    differing = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in parity), F.lit(0))
+    most = (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + 1e-6
+    close = pairs.join(side("a", ["n", *parity]), "a").join(side("b", ["n", *parity]), "b").where(differing <= most).select("a", "b")
+    both = stored(close, "close").join(side("a", ["s"]), "a").join(side("b", ["s"]), "b")
+    common = F.size(F.array_intersect("a_s", "b_s"))
+    either = F.size("a_s") + F.size("b_s") - common
+    return stored(both.where(common >= similarity * either).select("a", "b"), "links")
 
 
 def similar_groups(docs: DataFrame, row: str, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``row`` and component (the smallest ``row`` reachable) for every row of ``docs`` (``row``: bigint, text).
 
-    A link is a candidate pair whose sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity``,
-    worked out exactly. Candidates share a bucket of the parts' covers over wide fingerprints and differ in at most
-    ``MOST_BITS`` bits: all pairs within PARTS * (PART_RADIUS + 1) - 1 bits, most of those a little further. A similarity of
-    s makes each bit differ with chance acos(2s / (1 + s)) / pi, so about 0.43 of the pairs at 0.8 are found, 0.67 at 0.85,
-    0.9 at 0.9 and nearly all from 0.95 on. In a bucket of more than ``LEADERS`` fingerprints all are compared with one of
-    them, the first in a fixed random order, so the number of candidates is linear in the rows; a dense group meets the
-    same few leaders in all tables and is joined through them. Texts with the same words (none included) are always
-    linked; texts with fewer words than a shingle count as one shingle. No rows give no rows.
+    A link is a pair of texts whose sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity``.
+    Candidates share one of their first shingles in an order that puts frequent shingles last (prefix filter), which every
+    link does; the sizes and the shingle's places tell which of them can be links, the sets tell which are. The
+    rows of a key with more than ``CROWD`` texts are compared with the row before and one leader. Texts without words
+    are linked; texts with fewer words than a shingle count as one shingle. No rows give no rows.
     """
-    names = [f"w{k}" for k in range(WORDS)]
-
-    def wide_(data: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([wide_fingerprint(bytes(x), words) for x in data], columns=names, dtype="int64")
-
-    wide_.__annotations__ = {"data": pd.Series, "return": pd.DataFrame}
-    wide = F.pandas_udf(wide_, ", ".join(f"{c} bigint" for c in names))
-    prints = stored(docs.select(F.col(row).alias("row"), wide(utf8("text")).alias("p")).select("row", "p.*"), "fingerprints")
-    distinct = stored(prints.groupBy(*names).agg(F.min("row").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("node", F.xxhash64(*names)), "distinct")
-    keyed = distinct.select("node", *names).mapInPandas(_keys, "key bigint, node bigint")
-    dealt = keyed.repartition("key").sortWithinPartitions("key", "node")
-    pairs = stored(dealt.mapInPandas(_bucket_pairs, "a bigint, b bigint"), "pairs").distinct()
-    left = distinct.select(F.col("node").alias("a"), F.col("first").alias("a_first"), *[F.col(c).alias(f"a_{c}") for c in names])
-    right = distinct.select(F.col("node").alias("b"), F.col("first").alias("b_first"), *[F.col(c).alias(f"b_{c}") for c in names])
-    bits = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in names), F.lit(0))
-    close = pairs.join(left, "a").join(right, "b").where(bits <= MOST_BITS).select(F.col("a_first").alias("a"), F.col("b_first").alias("b"))
-    same = prints.join(distinct.where("n > 1"), names).where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
-    candidates = stored(close.unionByName(same), "candidates")
-    of = candidates.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    udf = F.pandas_udf(lambda data: _shingle_set(data, words), "array<bigint>")
-    sets = by_number(docs.select(F.col(row).alias("row"), "text"), of, "row").select("row", udf(utf8("text")).alias("s"))
-    sets = stored(sets, "shingles")
-    a, b = sets.select(F.col("row").alias("a"), F.col("s").alias("sa")), sets.select(F.col("row").alias("b"), F.col("s").alias("sb"))
-    both = candidates.join(a, "a").join(b, "b")
-    common = F.size(F.array_intersect("sa", "sb"))
-    either = F.size("sa") + F.size("sb") - common
-    links = both.where((common >= similarity * either) | (either == 0)).select("a", "b")
-    found = components(links)
-    return prints.select("row").join(found.withColumnRenamed("node", "row"), "row", "left").select(
+    docs = docs.select(F.col(row).alias("row"), "text")
+    sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words))
+    texts = docs.select("row", utf8("text").alias("data"))
+    keyed = texts.mapInPandas(partial(_keys, words=words, similarity=similarity, sent=sent), "key bigint, row bigint, size int, place int")
+    dealt = keyed.repartition("key").sortWithinPartitions("key", "size", "row")
+    pairs = dealt.mapInPandas(partial(_bucket_pairs, similarity=similarity), "a bigint, b bigint").distinct()
+    links = _links(docs, pairs, words, similarity)
+    empty = stored(docs.where(F.coalesce("text", F.lit("")).rlike(r"\A[ \t\n\r\x0b\f]*\z")).select("row"), "empty")
+    least = empty.agg(F.min("row")).first()[0]
+    found = components(links.unionByName(empty.select(F.lit(least).cast("bigint").alias("a"), F.col("row").alias("b"))))
+    return docs.select("row").join(found.withColumnRenamed("node", "row"), "row", "left").select(
         F.col("row").alias(row), F.coalesce("component", "row").alias("component")
     )

@@ -139,6 +139,50 @@ def test_similar_groups(spark):
     assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3, 5: 5, 6: 5}
 
 
+def shingles_of(t, n=5):
+    w = utf8(t).lower().split()
+    return {b" ".join(w[i : i + n]) for i in range(len(w) - n + 1)} if len(w) >= n else {b" ".join(w)}
+
+
+def edited(w, n, rng):
+    """The words with ``n`` of them replaced, far enough apart that each changes five shingles."""
+    w = list(w)
+    for k in rng.sample(range(len(w) // 6), n):
+        w[6 * k + 2] = f"new{rng.random()}"
+    return w
+
+
+def similar_pairs(texts):
+    sets = [shingles_of(t) for t in texts]
+    pairs = [(i, j, len(sets[i] & sets[j]) / len(sets[i] | sets[j])) for i in range(len(sets)) for j in range(i)]
+    return [(i, j, s) for i, j, s in pairs if s >= 0.8]
+
+
+def recall(spark, texts, links):
+    """Share of the links whose ends get one component; nothing else may be joined."""
+    d = spark.createDataFrame(list(enumerate(texts)), f"{ROW} bigint, text string").repartition(5)
+    got = {r[ROW]: r.component for r in simhash.similar_groups(d, ROW).collect()}
+    want = roots(range(len(texts)), [(i, j) for i, j, _ in links])
+    assert all(want[i] == want[got[i]] for i in got)
+    found = sum(got[i] == got[j] for i, j, _ in links) / max(len(links), 1)
+    print(f"{len(links)} links, recall {found:.3f}")
+    if found == 1:
+        assert got == want
+    return found
+
+
+def test_similar_pairs_against_brute_force(spark):
+    rng = random.Random(21)
+    texts = []
+    for _ in range(150):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.randint(150, 450))]
+        least, most = len(base) // 100, len(base) // 44
+        texts += [" ".join(base), " ".join(edited(base, rng.randint(least, most), rng))]
+    links = similar_pairs(texts)
+    assert sum(s < 0.85 for *_, s in links) > 20 and sum(s < 0.95 for *_, s in links) > 100
+    assert recall(spark, texts, links) == 1
+
+
 def test_targets_are_the_fixed_point(spark):
     sizes = {"b": 10, "a": 1000, None: 500, "c": 40, "d": 0}
     names = sorted((s for s in sizes if s is not None)) + [None]
