@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from logwarden.llm.common import bounds, by_number, components, utf8
+from logwarden.llm.common import bounds, by_number, components, utf8, whole_groups
 from logwarden.session import stored
 
 SEED = 42
@@ -116,8 +116,8 @@ def simhash_groups(docs: DataFrame, words: int = 3, radius: int = 2, bucket: int
     return prints.join(by_print, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-#: A key of more texts isn't compared pair by pair at once.
-CROWD = 24
+#: A key of more texts isn't compared pair by pair at once; what is left of it is, in chunks of about so many texts.
+CROWD, CHUNK = 24, 512
 #: Texts whose shingles are counted for the order of shingles: so many, or this share of all; shingles kept of them.
 COUNTED, COUNTED_SHARE, FREQUENT = 20_000, 1 / 16, 500_000
 #: 64-bit words of parity bits of a shingle set.
@@ -177,10 +177,11 @@ def _possible(size: np.ndarray, place: np.ndarray, i: np.ndarray, j: np.ndarray,
     return after >= least_common(size[i], size[j], similarity)
 
 
-def _bucket_pairs(frames: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+def _bucket_pairs(frames: Iterator[pd.DataFrame], similarity: float, crowd: int = CROWD) -> Iterator[pd.DataFrame]:
     """Pairs (a, b) of rows with one key that can be similar, of rows sorted by key and size.
 
-    The rows of a key with more than ``CROWD`` are paired with the row before and with one leader only.
+    The rows of a key with more than ``crowd`` are paired with the row before and with one leader only, and come once more
+    with their key, size and place, without b.
     """
     key_now, leader = None, None
     for frame in _with_key_runs(frames):
@@ -188,7 +189,7 @@ def _bucket_pairs(frames: Iterator[pd.DataFrame], similarity: float) -> Iterator
         size_, place = frame["size"].to_numpy(), frame["place"].to_numpy()
         cut = bounds(frame, ["key"])
         size = np.repeat(np.diff(cut), np.diff(cut))
-        crowded = (size > CROWD) | (key == key_now if key_now is not None else False)
+        crowded = (size > crowd) | (key == key_now if key_now is not None else False)
         a, b, lag = [], [], 0
         at = np.flatnonzero(~crowded)
         while len(at):
@@ -207,7 +208,49 @@ def _bucket_pairs(frames: Iterator[pd.DataFrame], similarity: float) -> Iterator
                 b += [row[lo:hi], row[lo + 1 : hi]]
         a, b = np.concatenate([*a, np.zeros(0, np.int64)]), np.concatenate([*b, np.zeros(0, np.int64)])
         pairs = pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-        yield pairs[pairs["a"] != pairs["b"]].drop_duplicates()
+        pairs = pairs[pairs["a"] != pairs["b"]].drop_duplicates()
+        left = frame.loc[crowded, ["row", "key", "size", "place"]].rename(columns={"row": "a"})
+        for part in (pairs.assign(key=None, size=None, place=None), left.assign(b=None)):
+            if len(part):
+                types = {"a": "Int64", "b": "Int64", "key": "Int64", "size": "Int32", "place": "Int32"}
+                yield part[list(types)].astype(types)
+
+
+def _chunk_pairs(frames: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
+    """Pairs (a, b) of rows that can be similar and aren't in one component yet: those of chunks c and d of a key (of one chunk where c = d)."""
+    for frame in whole_groups(frames, ["key", "c", "d"]):
+        cut = bounds(frame, ["key", "c", "d"])
+        row, own, component = (frame[x].to_numpy() for x in ("row", "own", "component"))
+        size, place = frame["size"].to_numpy(), frame["place"].to_numpy()
+        c, d = frame["c"].to_numpy(), frame["d"].to_numpy()
+        for lo, hi in zip(cut[:-1], cut[1:], strict=True):
+            at = np.arange(lo, hi)
+            first, second = (at, at) if c[lo] == d[lo] else (at[own[at] == c[lo]], at[own[at] == d[lo]])
+            for block in range(0, len(first), 256):
+                i, j = np.meshgrid(first[block : block + 256], second, indexing="ij")
+                i, j = i.ravel(), j.ravel()
+                ok = (component[i] != component[j]) & _possible(size, place, i, j, similarity)
+                ok &= (row[i] < row[j]) if c[lo] == d[lo] else True
+                if ok.any():
+                    i, j = i[ok], j[ok]
+                    yield pd.DataFrame({"a": np.minimum(row[i], row[j]), "b": np.maximum(row[i], row[j])})
+
+
+def _crowd_pairs(crowd: DataFrame, found: DataFrame, similarity: float, chunk: int) -> DataFrame:
+    """Distinct pairs of rows of different components that share a key in ``crowd`` (key, row, size, place) and can be similar.
+
+    The rows of a key are dealt into chunks by a hash, and each two chunks meet in a task of their own. Keys whose rows
+    are all in one component are left out.
+    """
+    crowd = crowd.join(found.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
+    crowd = stored(crowd, "crowd")
+    open_ = crowd.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
+    chunks = F.ceil(F.col("n") / chunk).cast("int")
+    rows = crowd.join(open_.select("key", chunks.alias("chunks")), "key").withColumn("own", F.pmod(F.xxhash64(F.lit(37), "row"), "chunks").cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    rows = rows.select("key", F.least("own", "other").alias("c"), F.greatest("own", "other").alias("d"), "own", "row", "size", "place", "component")
+    dealt = rows.repartition("key", "c", "d").sortWithinPartitions("key", "c", "d", "row")
+    return dealt.mapInPandas(partial(_chunk_pairs, similarity=similarity), "a bigint, b bigint").distinct()
 
 
 def _with_key_runs(frames: Iterator[pd.DataFrame], most: int = 100_000) -> Iterator[pd.DataFrame]:
@@ -266,25 +309,30 @@ def _links(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) ->
     return stored(both.where(common >= similarity * either).select("a", "b"), "links")
 
 
-def similar_groups(docs: DataFrame, row: str, words: int = 5, similarity: float = 0.8) -> DataFrame:
+def similar_groups(docs: DataFrame, row: str, words: int = 5, similarity: float = 0.8, crowd: int = CROWD, chunk: int = CHUNK) -> DataFrame:
     """``row`` and component (the smallest ``row`` reachable) for every row of ``docs`` (``row``: bigint, text).
 
     A link is a pair of texts whose sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity``.
     Candidates share one of their first shingles in an order that puts frequent shingles last (prefix filter), which every
     link does; the sizes and the shingle's places tell which of them can be links, the sets tell which are. The
-    rows of a key with more than ``CROWD`` texts are compared with the row before and one leader. Texts without words
-    are linked; texts with fewer words than a shingle count as one shingle. No rows give no rows.
+    rows of a key with more than ``crowd`` texts are first compared with the row before and one leader; then those that aren't
+    joined by that with each other, so no link is lost. That work grows with the square of the rows of a key that are not similar
+    enough to be joined. Texts without words are linked; texts with fewer words than a shingle count as one shingle. No rows give no rows.
     """
     docs = docs.select(F.col(row).alias("row"), "text")
     sent = docs.sparkSession.sparkContext.broadcast(_frequent(docs, words))
     texts = docs.select("row", utf8("text").alias("data"))
     keyed = texts.mapInPandas(partial(_keys, words=words, similarity=similarity, sent=sent), "key bigint, row bigint, size int, place int")
     dealt = keyed.repartition("key").sortWithinPartitions("key", "size", "row")
-    pairs = dealt.mapInPandas(partial(_bucket_pairs, similarity=similarity), "a bigint, b bigint").distinct()
-    links = _links(docs, pairs, words, similarity)
+    met = stored(dealt.mapInPandas(partial(_bucket_pairs, similarity=similarity, crowd=crowd), "a bigint, b bigint, key bigint, size int, place int"), "met")
+    links = _links(docs, met.where("key is null").select("a", "b").distinct(), words, similarity)
     empty = stored(docs.where(F.coalesce("text", F.lit("")).rlike(r"\A[ \t\n\r\x0b\f]*\z")).select("row"), "empty")
     least = empty.agg(F.min("row")).first()[0]
-    found = components(links.unionByName(empty.select(F.lit(least).cast("bigint").alias("a"), F.col("row").alias("b"))))
+    found = stored(components(links.unionByName(empty.select(F.lit(least).cast("bigint").alias("a"), F.col("row").alias("b")))), "components")
+    members = met.where("key is not null").select("key", F.col("a").alias("row"), "size", "place")
+    more = _links(docs, _crowd_pairs(members, found, similarity, chunk), words, similarity)
+    if not more.isEmpty():
+        found = components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
     return docs.select("row").join(found.withColumnRenamed("node", "row"), "row", "left").select(
         F.col("row").alias(row), F.coalesce("component", "row").alias("component")
     )

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pandas as pd
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -158,10 +159,10 @@ def similar_pairs(texts):
     return [(i, j, s) for i, j, s in pairs if s >= 0.8]
 
 
-def recall(spark, texts, links):
+def recall(spark, texts, links, **how):
     """Share of the links whose ends get one component; nothing else may be joined."""
     d = spark.createDataFrame(list(enumerate(texts)), f"{ROW} bigint, text string").repartition(5)
-    got = {r[ROW]: r.component for r in simhash.similar_groups(d, ROW).collect()}
+    got = {r[ROW]: r.component for r in simhash.similar_groups(d, ROW, **how).collect()}
     want = roots(range(len(texts)), [(i, j) for i, j, _ in links])
     assert all(want[i] == want[got[i]] for i in got)
     found = sum(got[i] == got[j] for i, j, _ in links) / max(len(links), 1)
@@ -183,6 +184,43 @@ def test_similar_pairs_against_brute_force(spark):
     assert recall(spark, texts, links) == 1
 
 
+@pytest.fixture(scope="module")
+def crowd():
+    """Copies of few texts, edited at places of their own, and copies of some copies: one key has many texts, few of them are similar."""
+    rng = random.Random(22)
+    texts = []
+    for _ in range(3):
+        base = [f"w{rng.randrange(5000)}" for _ in range(300)]
+        for _ in range(50):
+            copy = edited(base, rng.randint(6, 9), rng)
+            texts.append(" ".join(copy))
+            if rng.random() < 0.4:
+                texts.append(" ".join(edited(copy, rng.randint(3, 6), rng)))
+    return texts, similar_pairs(texts)
+
+
+@pytest.mark.parametrize("most, chunk", [(24, 512), (1, 9)])
+def test_crowded_keys_against_brute_force(spark, crowd, most, chunk):
+    texts, links = crowd
+    assert len(links) > 40 and max(Counter(s for t in texts for s in shingles_of(t)).values()) > 24
+    assert recall(spark, texts, links, crowd=most, chunk=chunk) == 1
+
+
+def test_a_key_over_several_frames_keeps_its_leader():
+    key, row = np.zeros(60, np.int64), np.arange(60)
+    frame = pd.DataFrame({"key": key, "row": row, "size": np.full(60, 9, np.int32), "place": np.zeros(60, np.int32)})
+    runs = simhash._with_key_runs
+    cut = [frame.iloc[:50], frame.iloc[50:]]
+    simhash._with_key_runs = lambda frames: runs(frames, most=40)
+    try:
+        out = pd.concat(list(simhash._bucket_pairs(iter(cut), 0.8)))
+    finally:
+        simhash._with_key_runs = runs
+    pairs = out[out["key"].isna()]
+    counts = Counter([*pairs["a"], *pairs["b"]])
+    assert counts.most_common(1)[0][1] >= 59 and sorted(out[~out["key"].isna()]["a"]) == row.tolist()
+
+
 def test_targets_are_the_fixed_point(spark):
     sizes = {"b": 10, "a": 1000, None: 500, "c": 40, "d": 0}
     names = sorted((s for s in sizes if s is not None)) + [None]
