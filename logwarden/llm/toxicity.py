@@ -8,14 +8,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from logwarden.llm.common import drawn, utf8
+from logwarden.session import stored
 
-#: Labelled rows that the chain is fitted on at most, those with the smallest hashes; of a text, its first so many bytes.
-SAMPLE, SAMPLE_BYTES = 6_000, 8192
+#: Labelled rows that the chain is fitted on at most, those with the smallest hashes, with their whole texts.
+SAMPLE = 6_000
 #: A word or prefix is a feature if its share among texts of a category is so many standard errors off; the strongest ones.
 STRENGTH, FEATURES = 4.5, 8_000
 PREFIXES = (4, 5, 6, 7)
@@ -30,9 +31,14 @@ def word_set(data: bytes) -> set[bytes]:
     return set(data.translate(_WORDS).split())
 
 
-def features(word: bytes) -> list[bytes]:
-    """The word, and its beginnings, which words of one stem share."""
-    return [word, *(b"^" + word[:n] for n in PREFIXES if len(word) > n)]
+def features(word: bytes) -> list[int]:
+    """Hashes of the word and of its beginnings, which words of one stem share."""
+    return [xxhash.xxh64_intdigest(f) - (1 << 63) for f in (word, *(b"^" + word[:n] for n in PREFIXES if len(word) > n))]
+
+
+def feature_set(data: bytes) -> np.ndarray:
+    """The different features of a whole text."""
+    return np.unique(np.array([f for w in word_set(data) for f in features(w)], dtype=np.int64))
 
 
 @dataclass
@@ -98,7 +104,7 @@ class Chain:
     """Categories in order, each with a linear model that also sees the probabilities of those before it."""
 
     categories: list[str]
-    known: dict[bytes, int]
+    known: dict[int, int]
     models: list[Linear]
 
     def __post_init__(self):
@@ -128,35 +134,42 @@ class Chain:
 
 
 def fit_chain(texts: list[bytes], targets: dict[str, np.ndarray], folds: list[int] | None = None) -> Chain:
-    """A chain over ``targets`` (category to 0/1 per text), in their order.
+    """A chain over ``targets`` (category to 0/1 per text), in their order."""
+    return fit_features([feature_set(t) for t in texts], targets, folds)
+
+
+def fit_features(rows: list[np.ndarray], targets: dict[str, np.ndarray], folds: list[int] | None = None) -> Chain:
+    """A chain over ``targets`` (category to 0/1 per text), in their order, from the texts' feature sets.
 
     The probabilities that later models are trained with are out of fold: a text's come from models (and features chosen)
     that haven't seen its fold (``folds``, else by place), as they will be when the chain meets new texts.
     """
-    number: dict[bytes, int] = {}
-    rows = [np.array([number.setdefault(f, len(number)) for w in word_set(t) for f in features(w)], dtype=np.int32) for t in texts]
-    rows = [np.unique(r) for r in rows]
+    names, index = np.unique(np.concatenate([*rows, np.zeros(0, dtype=np.int64)]), return_inverse=True)
+    index = index.astype(np.int32)
+    rows = np.split(index, np.cumsum([len(r) for r in rows])[:-1]) if rows else []
     owner = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
-    index = np.concatenate([*rows, np.zeros(0, dtype=np.int32)])
-    fold = np.array(folds if folds is not None else np.arange(len(texts)), dtype=np.int64) % FOLDS
-    outside, models = np.zeros((len(texts), 0)), []
+    fold = np.array(folds if folds is not None else np.arange(len(rows)), dtype=np.int64) % FOLDS
+    outside, models = np.zeros((len(rows), 0)), []
     for target in targets.values():
         y = np.asarray(target, dtype=float)
-        models.append(fit_linear(index, owner, outside, y, len(number)))
-        p = np.zeros(len(texts))
+        models.append(fit_linear(index, owner, outside, y, len(names)))
+        p = np.zeros(len(rows))
         for k in range(FOLDS):
             seen, held = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
             at = np.cumsum(fold != k) - 1
             mine = (fold != k)[owner]
-            part = fit_linear(index[mine], at[owner[mine]], outside[seen], y[seen], len(number))
+            part = fit_linear(index[mine], at[owner[mine]], outside[seen], y[seen], len(names))
             p[held] = part.probability([rows[i].tolist() for i in held], outside[held])
         outside = np.column_stack([outside, p])
     used = {i for m in models for i in m.weights}
-    return Chain(list(targets), {f: i for f, i in number.items() if i in used}, models)
+    return Chain(list(targets), {int(names[i]): i for i in sorted(used)}, models)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], limit: int = SAMPLE) -> pd.DataFrame:
-    """At most ``limit`` labelled texts with 0/1 columns of the categories, chosen by a hash of id and text; repeated rows count once.
+    """Features and 0/1 columns of the categories for at most ``limit`` labelled texts, chosen by a hash of id and text; repeated rows count once.
+
+    Features are those of the whole text that ``strongest`` can choose for a category, over all rows or without a fold; they are
+    found and counted in the tasks, so the driver gets neither texts nor the features that no model uses.
 
     ``categories`` are expressions over the labels' columns and ``text``; rows where one is null are left out. Labels with
     several rows for an id count once for each category, as the largest.
@@ -167,14 +180,40 @@ def training_rows(docs: DataFrame, labels: DataFrame, categories: dict[str, Colu
     h = F.xxhash64(F.lit(17), "doc_id", "text").alias("h")
     chosen = drawn(docs.select("doc_id", h).join(marked, "doc_id"), limit, marked.count())
     # only the chosen rows' texts move; the chosen ids are at most ``limit`` rows
-    data = docs.select(h, F.substring(utf8("text"), 1, SAMPLE_BYTES).alias("data"))
-    rows = data.join(F.broadcast(chosen), "h").dropDuplicates(["h"]).orderBy("h")
-    return rows.select("data", "h", *name.values()).toPandas().rename(columns={v: k for k, v in name.items()})
+    udf = F.pandas_udf(lambda data: pd.Series([feature_set(bytes(x)) for x in data], dtype=object), "array<bigint>")
+    data = docs.select(h, utf8("text").alias("data")).join(F.broadcast(chosen), "h")
+    rows = stored(data.select("h", *name.values(), udf("data").alias("features")).dropDuplicates(["h"]), "features")
+    strong = np.sort(np.array([r[0] for r in _strong(rows, list(name.values())).collect()], dtype=np.int64))
+    sent = docs.sparkSession.sparkContext.broadcast(strong)
+    keep = F.pandas_udf(lambda sets: pd.Series([x[np.isin(x, sent.value)] for x in sets], dtype=object), "array<bigint>")
+    return rows.orderBy("h").select(keep("features").alias("features"), "h", *name.values()).toPandas().rename(columns={v: k for k, v in name.items()})
+
+
+def _strong(rows: DataFrame, flags: list[str]) -> DataFrame:
+    """The features that pass ``strongest``'s count and standard errors for some category, over all ``rows`` or without one fold."""
+    fold = F.pmod("h", F.lit(FOLDS))
+    one = {c: F.lit(1) if c == "n" else F.col(c) for c in ("n", *flags)}
+    sums = [F.sum(F.when(fold == k, x).otherwise(0)).alias(f"{c}_{k}") for c, x in one.items() for k in range(FOLDS)]
+    total = rows.agg(*sums).first()
+    counts = rows.select(F.explode("features").alias("feature"), "h", *flags).groupBy("feature").agg(*sums)
+    passes = F.lit(False)
+    for without in (None, *range(FOLDS)):
+        folds = [k for k in range(FOLDS) if k != without]
+        n = sum(total[f"n_{k}"] or 0 for k in folds)
+        every = sum((F.col(f"n_{k}") for k in folds), F.lit(0))
+        for c in flags:
+            n1 = sum(total[f"{c}_{k}"] or 0 for k in folds)
+            if 0 < n1 < n:
+                with_1, share = sum((F.col(f"{c}_{k}") for k in folds), F.lit(0)), every / n
+                error = F.sqrt(F.greatest(share * (1 - share), F.lit(1e-12)) * (1 / n1 + 1 / (n - n1)))
+                passes |= (every >= 3) & (F.abs(with_1 / n1 - (every - with_1) / (n - n1)) / error >= STRENGTH - 1e-6)
+    return counts.where(passes).select("feature")
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column]) -> Chain:
     rows = training_rows(docs, labels, categories)
-    return fit_chain([bytes(x) for x in rows["data"]], {c: rows[c].to_numpy() for c in categories}, [int(h) % FOLDS for h in rows["h"]])
+    sets = [np.array(x, dtype=np.int64) for x in rows["features"]]
+    return fit_features(sets, {c: rows[c].to_numpy() for c in categories}, [int(h) % FOLDS for h in rows["h"]])
 
 
 

@@ -339,6 +339,20 @@ def test_toxicity_chain(spark, docs, nothing):
     assert toxicity.toxicity(docs, empty).where("toxic").count() == 0
 
 
+def test_toxicity_learns_from_whole_texts(spark):
+    rng = random.Random(8)
+    texts = [(words(1500, rng) + (" vile nasty" if i % 3 == 0 else " calm kind") + f" {words(20, rng)}").encode() for i in range(300)]
+    flags = np.array([int(i % 3 == 0) for i in range(300)])
+    assert min(t.find(b"vile") for t in texts[::3]) > 8192
+    d = spark.createDataFrame([(i, t.decode()) for i, t in enumerate(texts)], "doc_id bigint, text string").repartition(3)
+    labels = spark.createDataFrame([(i, 1 - i % 2, int(f)) for i, f in enumerate(flags)], "doc_id bigint, quality int, toxic int")
+    chain = toxicity.fit(d, labels, toxicity.label_categories())
+    assert ((chain.predict(texts)[:, 1] > 0.5) == (flags == 1)).all()
+    rows = toxicity.training_rows(d, labels, toxicity.label_categories())
+    whole = toxicity.fit_chain([texts[i] for i in range(300)], {"low_quality": np.arange(300) % 2, "toxic": flags})
+    assert len(rows) == 300 and set(whole.known) & set(toxicity.features(b"vile")) and max(len(x) for x in rows["features"]) < 40
+
+
 def test_language(spark, docs, nothing):
     en, de = "the cat and the dog of that house were there ", "der hund und die katze sind nicht mit ihnen ich "
     net = language_id.train([(en if i % 2 else de).encode()[k : k + 64] * 2 for i in range(40) for k in (0,)], ["en", "de"] * 0 + ["de" if i % 2 == 0 else "en" for i in range(40)], steps=120)
