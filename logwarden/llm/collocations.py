@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from logwarden.session import stored
 
-#: Windows counted together in a task before they are sent; bounds its memory.
+#: Words counted together in a task before they are sent; bounds its memory.
 BLOCK = 1 << 20
+#: Words with a short code, at most (of 64 bytes at most): the frequent ones. Others are written out.
+CODED, WORD_BYTES = 1 << 18, 64
+#: Bits of the filter that tells which of the other words may be frequent.
+FILTER = 1 << 24
 #: A language's phrases are ranked in so many parts first, so that no task ranks them all.
 PARTS = 64
 _STOP = "."
@@ -29,43 +34,8 @@ def _words(batch: pa.RecordBatch) -> tuple[pa.Array, pa.Array]:
     return flat.filter(full), batch.column("lang").take(of.filter(full))
 
 
-def _counted(words: pa.Array, langs: pa.Array, positions: int) -> Iterator[pa.RecordBatch]:
-    """Counts of the windows that begin at the first ``positions`` words: each word with its three leads, padded at a stop.
-
-    Windows go out in order, so neighbours in a shuffled block share their first words and compress well.
-    """
-    coded, lang = words.dictionary_encode(), langs.slice(0, positions).dictionary_encode()
-    order = pc.sort_indices(coded.dictionary)
-    names = pa.concat_arrays([pa.array([""]), coded.dictionary.take(order)])
-    rank = np.empty(len(order), dtype=np.int64)
-    rank[order.to_numpy()] = np.arange(1, len(order) + 1)
-    stop = pc.index(names, _STOP).as_py()
-    first = rank[coded.indices.to_numpy()]
-    first[first == stop] = 0
-    padded = np.append(first, [0, 0, 0])
-    columns = [padded[:positions]]
-    for lead in (1, 2, 3):  # what follows a pad is pad
-        columns.append(np.where(columns[-1] == 0, 0, padded[lead : lead + positions]))
-    at = np.flatnonzero(columns[0])
-    w1, w2, w3, w4 = (c[at] for c in columns)
-    base = len(names)
-    left = (lang.indices.to_numpy()[at].astype(np.int64) * base + w1) * base + w2
-    right = w3 * base + w4
-    by = np.lexsort((right, left))
-    left, right = left[by], right[by]
-    new = np.ones(len(by), dtype=bool)
-    new[1:] = (left[1:] != left[:-1]) | (right[1:] != right[:-1])
-    starts = np.flatnonzero(new)
-    n = np.diff(np.append(starts, len(by)))
-    left, right = left[starts], right[starts]
-    ids = [left // base % base, left % base, right // base, right % base]
-    for lo in range(0, len(n), 1 << 16):
-        part = slice(lo, lo + (1 << 16))
-        arrays = [lang.dictionary.take(pa.array((left // base // base)[part])), *[names.take(pa.array(i[part])) for i in ids], pa.array(n[part])]
-        yield pa.RecordBatch.from_arrays(arrays, ["lang", "w1", "w2", "w3", "w4", "n"])
-
-
-def _windows(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.RecordBatch]:
+def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[tuple[pa.Array, pa.Array, int]]:
+    """(words, languages, n) with about ``block`` words; the first n are this block's, the rest is what follows them."""
     words, langs, held = [], [], 0
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
@@ -74,47 +44,187 @@ def _windows(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[pa.Recor
             if held < block:
                 continue
             w, of = pa.concat_arrays(words), pa.concat_arrays(langs)
-            while len(w) >= block:  # three words more than are counted: the last windows reach into them
-                yield from _counted(w.slice(0, block), of.slice(0, block), block - 3)
+            while len(w) >= block:  # the last windows reach into three words of the next block
+                yield w.slice(0, block), of.slice(0, block), block - 3
                 w, of = w.slice(block - 3), of.slice(block - 3)
             words, langs, held = [w], [of], len(w)
     if held:
-        yield from _counted(pa.concat_arrays(words), pa.concat_arrays(langs), held)
+        yield pa.concat_arrays(words), pa.concat_arrays(langs), held
+
+
+def _keyed(words: pa.Array, langs: pa.Array) -> tuple[np.ndarray, list[str]]:
+    """Each word's number in the list of distinct "word, tab, language", -1 for a stop."""
+    w, of = words.dictionary_encode(), langs.dictionary_encode()
+    at, to = w.indices.to_numpy().astype(np.int64), of.indices.to_numpy()
+    keys, number = np.unique(at * len(of.dictionary) + to, return_inverse=True)
+    ws, ls = w.dictionary.to_pylist(), of.dictionary.to_pylist()
+    names = [f"{ws[k // len(ls)]}\t{ls[k % len(ls)]}" for k in keys.tolist()]
+    return np.where(at == pc.index(w.dictionary, _STOP).as_py(), -1, number), names
+
 
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
 
-def windows(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """lang, w1, w2, w3, w4, n: how often each window of four words begins in ``docs`` (lang, text), by task and block.
 
-    A window holds a word and the three after it in its piece; the places past the piece's end are empty strings.
+def word_counts(docs: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
+    """lang, word, n of words with at least ``least`` occurrences in their language; the empty word has all occurrences."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, langs, positions in _blocks(batches, block):
+            number, names = _keyed(words.slice(0, positions), langs.slice(0, positions))
+            n = np.bincount(number[number >= 0], minlength=len(names))
+            at = np.flatnonzero(n)
+            pairs = [names[i].split("\t", 1) for i in at.tolist()]
+            word, lang = pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string())
+            counted = pa.table({"lang": lang, "word": word, "n": pa.array(n[at], pa.int64())})
+            total = counted.group_by("lang").aggregate([("n", "sum")]).rename_columns(["lang", "n"])
+            total = total.append_column("word", pa.array([""] * total.num_rows, pa.string())).select(["lang", "word", "n"])
+            yield from pa.concat_tables([counted, total]).combine_chunks().to_batches(1 << 16)
+
+    sent = _texts(docs).mapInArrow(count, "lang string, word string, n bigint")
+    counts = sent.groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return stored(counts.where((F.col("n") >= least) | (F.col("word") == "")), "words")
+
+
+class Book:
+    """Codes of frequent words: 1, 2, ... for those in the book, none for words that can't be frequent."""
+
+    def __init__(self, codes: dict[str, int], bits: np.ndarray):
+        self.codes, self.bits = codes, bits
+
+    def code(self, key: str) -> int:
+        """The word's code, 0 if it isn't frequent, -1 if it has to be written out."""
+        known = self.codes.get(key)
+        if known is not None:
+            return known
+        if not len(self.bits):
+            return 0
+        at = xxhash.xxh64_intdigest(key.encode(), 42) % FILTER
+        return -int(self.bits[at >> 6] >> np.uint64(at & 63) & np.uint64(1))
+
+
+def code_book(words: DataFrame, coded: int = CODED) -> tuple[Book, DataFrame]:
+    """The ``coded`` most frequent of ``words``, and as a table (code, lang, word).
+
+    The other frequent words set bits of a filter of ``FILTER`` bits, so what is gathered is bounded for any corpus.
     """
-    texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    return texts.mapInArrow(lambda it: _windows(it, block), "lang string, w1 string, w2 string, w3 string, w4 string, n bigint")
+    words = words.where("word <> ''")
+    short = words.where(F.octet_length("word") + F.octet_length("lang") <= WORD_BYTES)
+    top = short.orderBy(F.desc("n"), "lang", "word").limit(coded).select("lang", "word").toPandas()
+    book = {f"{w}\t{x}": i + 1 for i, (x, w) in enumerate(zip(top["lang"], top["word"], strict=True))}
+    bits = np.zeros(0, dtype=np.uint64)
+    rows = [(i + 1, x, w) for i, (x, w) in enumerate(zip(top["lang"], top["word"], strict=True))]
+    table = words.sparkSession.createDataFrame(rows, "code bigint, lang string, word string")
+    if words.count() > len(book):
+        others = words.join(F.broadcast(table), ["lang", "word"], "left_anti")
+        place = F.pmod(F.xxhash64(F.concat_ws("\t", "word", "lang")), F.lit(FILTER))
+        mask = F.expr("bit_or(shiftleft(1L, cast(place & 63 as int)))")
+        set_ = others.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("at")).agg(mask.alias("mask")).toPandas()
+        bits = np.zeros(FILTER >> 6, dtype=np.uint64)
+        bits[set_["at"].to_numpy()] = set_["mask"].to_numpy().astype(np.int64).view(np.uint64)
+    return Book(book, bits), table
 
 
-def phrase_counts(docs: DataFrame, least: int = 30, block: int = BLOCK) -> DataFrame:
+def _leads(code: np.ndarray, positions: int) -> list[np.ndarray]:
+    """The first ``positions`` codes with the three that follow each; past a 0 all is 0."""
+    padded = np.append(code, [0, 0, 0])
+    columns = [padded[:positions]]
+    for lead in (1, 2, 3):
+        columns.append(np.where(columns[-1] == 0, 0, padded[lead : lead + positions]))
+    return columns
+
+
+def _runs(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows in order, with how often each comes."""
+    by = np.lexsort(columns[::-1])
+    columns = [c[by] for c in columns]
+    new = np.zeros(len(by), dtype=bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    starts = np.flatnonzero(new)
+    return [c[starts] for c in columns], np.diff(np.append(starts, len(by)))
+
+
+def _coded_windows(words: pa.Array, langs: pa.Array, positions: int, book: Book) -> Iterator[pa.RecordBatch]:
+    """(left, right, n): the block's windows of coded words, two codes in a number, in order, so that neighbours compress."""
+    number, names = _keyed(words, langs)
+    code = np.array([max(book.code(k), 0) for k in names] + [0], dtype=np.int64)
+    w1, w2, w3, w4 = _leads(code[number], positions)
+    at = np.flatnonzero(w1)
+    (left, right), n = _runs([w1[at] << 32 | w2[at], w3[at] << 32 | w4[at]])
+    whole = pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(n, pa.int64())], ["left", "right", "n"])
+    for lo in range(0, len(n), 1 << 16):
+        yield whole.slice(lo, 1 << 16)
+
+
+def _written_windows(words: pa.Array, langs: pa.Array, positions: int, book: Book) -> Iterator[pa.RecordBatch]:
+    """(lang, w1, w2, w3, w4, n): windows with a word that has no code but may be frequent; such words begin with a tab."""
+    number, names = _keyed(words, langs)
+    code = np.array([book.code(k) for k in names] + [0], dtype=np.int64)
+    loose = code < 0
+    code = np.where(code == 0, 0, np.arange(1, len(code) + 1))
+    columns = _leads(code[number], positions)
+    loose = np.append(False, loose)
+    at = np.flatnonzero((columns[0] != 0) & np.logical_or.reduce([loose[c] for c in columns]))
+    if not len(at):
+        return
+    columns, n = _runs([c[at] for c in columns])
+    pairs = [k.split("\t", 1) for k in names]
+    name = pa.array(["", *[f"\t{w}" if x else w for (w, _), x in zip(pairs, loose[1:], strict=False)]], pa.string())
+    lang = pa.array(["", *[x for _, x in pairs]], pa.string()).take(pa.array(columns[0]))
+    arrays = [lang, *[name.take(pa.array(c)) for c in columns], pa.array(n, pa.int64())]
+    whole = pa.RecordBatch.from_arrays(arrays, ["lang", "w1", "w2", "w3", "w4", "n"])
+    for lo in range(0, len(n), 1 << 16):
+        yield whole.slice(lo, 1 << 16)
+
+
+def _windows(docs: DataFrame, book: Book, make: Callable, schema: str, block: int) -> DataFrame:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, langs, positions in _blocks(batches, block):
+            yield from make(words, langs, positions, book)
+
+    return _texts(docs).mapInArrow(cut, schema)
+
+
+def _prefixes(four: DataFrame, least: int) -> DataFrame:
+    """Counts of four columns w1..w4, and of their prefixes as ROLLUP sums them: (w1, w2, w3, w4, f), what is past a prefix null."""
+    often = F.col("f") >= least
+    short = four.rollup("w1", "w2", "w3").agg(F.sum("f").alias("f")).where(often & F.col("w1").isNotNull())
+    return four.where(often).unionByName(short, allowMissingColumns=True)
+
+
+def phrase_counts(docs: DataFrame, least: int = 30, coded: int = CODED, block: int = BLOCK) -> DataFrame:
     """lang, phrase, size, f: every phrase of 1 to 4 words with at least ``least`` occurrences in its language.
 
-    Rows of ``size`` 0 hold the number of all word occurrences of a language. Only longest windows are counted. One
-    shuffle by their first three words brings windows with that prefix together, so four and three words are summed
-    where they lie; ROLLUP sums the shorter prefixes up to the language. Counts combine in the tasks before each shuffle.
+    Rows of ``size`` 0 hold the number of all word occurrences of a language.
+
+    A first pass counts words, for codes: a word that isn't frequent can't be in a frequent phrase, so it ends a window
+    as a piece's end does, and the most frequent ones get numbers, which makes a window two numbers. Of phrases only the
+    longest windows are counted, a word and its three leads padded past the end, in each block and then in one shuffle;
+    ROLLUP sums the shorter prefixes. Frequent words beyond the book (``coded``) are written out, in windows of their own
+    that are counted the same way; a phrase is counted there if it holds such a word, else with the coded ones.
     """
-    dealt = windows(docs, block).repartition("lang", "w1", "w2", "w3")
-    four = dealt.groupBy("lang", "w1", "w2", "w3", "w4").agg(F.sum("n").alias("f"))
-    three = dealt.groupBy("lang", "w1", "w2", "w3").agg(F.sum("n").alias("f"))
-    short = docs.sparkSession.sql(
-        "SELECT lang, w1, w2, grouping_id() AS level, sum(f) AS f FROM {three} GROUP BY lang, ROLLUP (w1, w2)", three=three
-    )
-    name, often = F.concat_ws(" ", "w1", "w2", "w3", "w4"), F.col("f") >= least
-    counts = (
-        four.where((F.col("w4") != "") & often).select("lang", name.alias("phrase"), F.lit(4).alias("size"), "f")
-        .unionByName(three.where((F.col("w3") != "") & often).select("lang", F.concat_ws(" ", "w1", "w2", "w3").alias("phrase"), F.lit(3).alias("size"), "f"))
-        .unionByName(
-            short.where((F.col("level") == 3) | ((F.coalesce("w2", F.lit("-")) != "") & often)).select(
-                "lang", F.concat_ws(" ", "w1", "w2").alias("phrase"),
-                F.when(F.col("level") == 3, 0).when(F.col("level") == 1, 1).otherwise(2).alias("size"), "f",
-            )
-        )
-    )
+    words = word_counts(docs, least, block)
+    book, table = code_book(words, coded)
+    windows = _windows(docs, book, _coded_windows, "left bigint, right bigint, n bigint", block)
+    four = windows.repartition("left", "right").groupBy("left", "right").agg(F.sum("n").alias("f"))
+    code = {"w1": F.shiftright("left", 32), "w2": F.col("left").bitwiseAND(F.lit(0xFFFFFFFF)), "w3": F.shiftright("right", 32), "w4": F.col("right").bitwiseAND(F.lit(0xFFFFFFFF))}
+    found = stored(_prefixes(four.select(*[c.alias(n) for n, c in code.items()], "f"), least), "prefixes")
+    found = found.where("coalesce(w2, 1) <> 0 and coalesce(w3, 1) <> 0 and coalesce(w4, 1) <> 0")
+    for i in range(1, 5):
+        name = table.select(F.col("code").alias(f"w{i}"), F.col("word").alias(f"word{i}"), *([F.col("lang")] if i == 1 else []))
+        found = found.join(F.broadcast(name), f"w{i}", "left")
+    named = [F.concat_ws(" ", *[f"word{i}" for i in range(1, 5)]).alias("phrase"), sum((F.col(f"w{i}").isNotNull().cast("int") for i in range(2, 5)), F.lit(1)).alias("size")]
+    counts = found.select("lang", *named, "f").unionByName(words.where("word = ''").select("lang", F.lit("").alias("phrase"), F.lit(0).alias("size"), F.col("n").alias("f")))
+    if len(book.bits):
+        loose = _windows(docs, book, _written_windows, "lang string, w1 string, w2 string, w3 string, w4 string, n bigint", block)
+        four = loose.groupBy("lang", "w1", "w2", "w3", "w4").agg(F.sum("n").alias("f"))
+        found = _prefixes(four.select(F.struct("lang", "w1").alias("w1"), "w2", "w3", "w4", "f"), least)
+        found = found.where("coalesce(w2, '-') <> '' and coalesce(w3, '-') <> '' and coalesce(w4, '-') <> ''")
+        phrase = F.concat_ws(" ", "w1.w1", "w2", "w3", "w4")
+        found = found.where(phrase.contains("\t")).select("w1.lang", F.translate(phrase, "\t", "").alias("phrase"), "f")
+        counts = counts.unionByName(found.withColumn("size", F.size(F.split("phrase", " "))))
     return stored(counts, "phrases")
 
 
@@ -156,7 +266,7 @@ def maximal(counts: DataFrame, phrases: DataFrame, share: int = 80) -> DataFrame
     return kept.where(F.coalesce(100 * _wide("longer") < share * _wide("a"), F.lit(True))).drop("longer")
 
 
-def collocations(docs: DataFrame, least: int = 30, share: int = 80, first: int = 2000, block: int = BLOCK) -> DataFrame:
+def collocations(docs: DataFrame, least: int = 30, share: int = 80, first: int = 2000, coded: int = CODED, block: int = BLOCK) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: the ``first`` best phrases of each language of ``docs`` (lang, text).
 
     Texts are lower-cased (A-Z only), cut into pieces at ``.,;:!?`` and line ends, and pieces into words at spaces and
@@ -164,7 +274,7 @@ def collocations(docs: DataFrame, least: int = 30, share: int = 80, first: int =
     empty, a null language ``und``; empty texts add nothing. Repeated rows count each. A text of any length is counted
     in blocks. Other columns are not looked at; no rows give no rows, and so does a language without frequent phrases.
     """
-    counts = phrase_counts(docs, least, block)
+    counts = phrase_counts(docs, least, coded, block)
     best = maximal(counts, scored(counts), share)
     order = [F.desc("score"), F.desc("a"), "phrase"]
     part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))
