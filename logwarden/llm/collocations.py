@@ -19,6 +19,8 @@ BLOCK = 1 << 20
 CODED, WORD_BYTES = 1 << 18, 64
 #: Bits of the filter that tells which of the other words may be frequent.
 FILTER = 1 << 24
+#: A word with this share of all words is hot; windows that begin with three hot words are dealt out by their fourth, too.
+HOT, SALT = 1 / 256, 6
 #: A language's phrases are ranked in so many parts first, so that no task ranks them all.
 PARTS = 64
 _STOP = "."
@@ -87,10 +89,10 @@ def word_counts(docs: DataFrame, least: int, block: int = BLOCK) -> DataFrame:
 
 
 class Book:
-    """Codes of frequent words: 1, 2, ... for those in the book, none for words that can't be frequent."""
+    """Codes of frequent words: 1, 2, ... for those in the book, ``hot`` of them hot; none for words that can't be frequent."""
 
-    def __init__(self, codes: dict[str, int], bits: np.ndarray):
-        self.codes, self.bits = codes, bits
+    def __init__(self, codes: dict[str, int], hot: int, bits: np.ndarray):
+        self.codes, self.hot, self.bits = codes, hot, bits
 
     def code(self, key: str) -> int:
         """The word's code, 0 if it isn't frequent, -1 if it has to be written out."""
@@ -108,9 +110,10 @@ def code_book(words: DataFrame, coded: int = CODED) -> tuple[Book, DataFrame]:
 
     The other frequent words set bits of a filter of ``FILTER`` bits, so what is gathered is bounded for any corpus.
     """
+    total = words.where("word = ''").agg(F.sum("n")).first()[0] or 0
     words = words.where("word <> ''")
     short = words.where(F.octet_length("word") + F.octet_length("lang") <= WORD_BYTES)
-    top = short.orderBy(F.desc("n"), "lang", "word").limit(coded).select("lang", "word").toPandas()
+    top = short.orderBy(F.desc("n"), "lang", "word").limit(coded).toPandas()
     book = {f"{w}\t{x}": i + 1 for i, (x, w) in enumerate(zip(top["lang"], top["word"], strict=True))}
     bits = np.zeros(0, dtype=np.uint64)
     rows = [(i + 1, x, w) for i, (x, w) in enumerate(zip(top["lang"], top["word"], strict=True))]
@@ -122,7 +125,7 @@ def code_book(words: DataFrame, coded: int = CODED) -> tuple[Book, DataFrame]:
         set_ = others.select(place.alias("place")).groupBy(F.shiftright("place", 6).alias("at")).agg(mask.alias("mask")).toPandas()
         bits = np.zeros(FILTER >> 6, dtype=np.uint64)
         bits[set_["at"].to_numpy()] = set_["mask"].to_numpy().astype(np.int64).view(np.uint64)
-    return Book(book, bits), table
+    return Book(book, int((top["n"] >= HOT * total).sum()), bits), table
 
 
 def _leads(code: np.ndarray, positions: int) -> list[np.ndarray]:
@@ -147,13 +150,20 @@ def _runs(columns: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray]:
 
 
 def _coded_windows(words: pa.Array, langs: pa.Array, positions: int, book: Book) -> Iterator[pa.RecordBatch]:
-    """(left, right, n): the block's windows of coded words, two codes in a number, in order, so that neighbours compress."""
+    """(left, mid, w4, n): the block's windows of coded words, in order, so that neighbours compress.
+
+    ``left`` is the first two codes, ``mid`` the third over a salt, which is 0 unless the first three words are hot.
+    """
     number, names = _keyed(words, langs)
     code = np.array([max(book.code(k), 0) for k in names] + [0], dtype=np.int64)
     w1, w2, w3, w4 = _leads(code[number], positions)
     at = np.flatnonzero(w1)
-    (left, right), n = _runs([w1[at] << 32 | w2[at], w3[at] << 32 | w4[at]])
-    whole = pa.RecordBatch.from_arrays([pa.array(left), pa.array(right), pa.array(n, pa.int64())], ["left", "right", "n"])
+    w1, w2, w3, w4 = w1[at], w2[at], w3[at], w4[at]
+    hot = (np.maximum(np.maximum(w1, w2), w3) <= book.hot) & (w3 > 0)
+    mid = w3 << SALT | np.where(hot, 1 + w4 % ((1 << SALT) - 1), 0)
+    (left, right), n = _runs([w1 << 32 | w2, mid << 32 | w4])
+    arrays = [pa.array(x, pa.int64()) for x in (left, right >> 32, right & 0xFFFFFFFF, n)]
+    whole = pa.RecordBatch.from_arrays(arrays, ["left", "mid", "w4", "n"])
     for lo in range(0, len(n), 1 << 16):
         yield whole.slice(lo, 1 << 16)
 
@@ -187,11 +197,34 @@ def _windows(docs: DataFrame, book: Book, make: Callable, schema: str, block: in
     return _texts(docs).mapInArrow(cut, schema)
 
 
-def _prefixes(four: DataFrame, least: int) -> DataFrame:
-    """Counts of four columns w1..w4, and of their prefixes as ROLLUP sums them: (w1, w2, w3, w4, f), what is past a prefix null."""
-    often = F.col("f") >= least
-    short = four.rollup("w1", "w2", "w3").agg(F.sum("f").alias("f")).where(often & F.col("w1").isNotNull())
-    return four.where(often).unionByName(short, allowMissingColumns=True)
+def _coded_counts(windows: DataFrame, least: int) -> DataFrame:
+    """w1, w2, w3, w4, f: frequent phrases of coded words; what is past a phrase is null.
+
+    Windows of the same three words lie together (but for hot ones, by salt), so four and three words are summed there.
+    """
+    dealt = windows.repartition("left", "mid")
+    often, w3 = F.col("f") >= least, F.shiftright("mid", SALT)
+    first = [F.shiftright("left", 32).alias("w1"), F.col("left").bitwiseAND(F.lit(0xFFFFFFFF)).alias("w2")]
+    four = dealt.groupBy("left", "mid", "w4").agg(F.sum("n").alias("f")).where(often & (F.col("w4") > 0))
+    # reads w4 so that both sums have the same columns shuffled, once
+    three = dealt.groupBy("left", "mid").agg(F.sum(F.when(F.col("w4") >= 0, F.col("n"))).alias("f"))
+    salted = F.col("mid").bitwiseAND(F.lit((1 << SALT) - 1)) > 0
+    longer = three.where((often | salted) & (F.col("mid") > 0)).groupBy("left", w3.alias("w3")).agg(F.sum("f").alias("f")).where(often)
+    short = three.select(*first, "f").rollup("w1", "w2").agg(F.sum("f").alias("f"))
+    short = short.where(often & F.col("w1").isNotNull() & (F.coalesce("w2", F.lit(1)) > 0))
+    found = four.select(*first, w3.alias("w3"), "w4", "f").unionByName(longer.select(*first, "w3", "f"), allowMissingColumns=True)
+    return found.unionByName(short, allowMissingColumns=True)
+
+
+def _written_counts(windows: DataFrame, least: int) -> DataFrame:
+    """lang, phrase, f: frequent phrases that hold a word without a code."""
+    four = windows.groupBy("lang", "w1", "w2", "w3", "w4").agg(F.sum("n").alias("f"))
+    four = four.select(F.struct("lang", "w1").alias("w1"), "w2", "w3", "w4", "f")
+    short = four.rollup("w1", "w2", "w3").agg(F.sum("f").alias("f")).where(F.col("w1").isNotNull())
+    found = four.unionByName(short, allowMissingColumns=True).where(F.col("f") >= least)
+    found = found.where("coalesce(w2, '-') <> '' and coalesce(w3, '-') <> '' and coalesce(w4, '-') <> ''")
+    phrase = F.concat_ws(" ", "w1.w1", "w2", "w3", "w4")
+    return found.where(phrase.contains("\t")).select("w1.lang", F.translate(phrase, "\t", "").alias("phrase"), "f")
 
 
 def phrase_counts(docs: DataFrame, least: int = 30, coded: int = CODED, block: int = BLOCK) -> DataFrame:
@@ -201,17 +234,14 @@ def phrase_counts(docs: DataFrame, least: int = 30, coded: int = CODED, block: i
 
     A first pass counts words, for codes: a word that isn't frequent can't be in a frequent phrase, so it ends a window
     as a piece's end does, and the most frequent ones get numbers, which makes a window two numbers. Of phrases only the
-    longest windows are counted, a word and its three leads padded past the end, in each block and then in one shuffle;
-    ROLLUP sums the shorter prefixes. Frequent words beyond the book (``coded``) are written out, in windows of their own
+    longest windows are counted, a word and its three leads padded past the end, in each block and then in one shuffle by
+    the first three words; ROLLUP sums the shorter prefixes. Frequent words beyond the book (``coded``) are written out, in windows of their own
     that are counted the same way; a phrase is counted there if it holds such a word, else with the coded ones.
     """
     words = word_counts(docs, least, block)
     book, table = code_book(words, coded)
-    windows = _windows(docs, book, _coded_windows, "left bigint, right bigint, n bigint", block)
-    four = windows.repartition("left", "right").groupBy("left", "right").agg(F.sum("n").alias("f"))
-    code = {"w1": F.shiftright("left", 32), "w2": F.col("left").bitwiseAND(F.lit(0xFFFFFFFF)), "w3": F.shiftright("right", 32), "w4": F.col("right").bitwiseAND(F.lit(0xFFFFFFFF))}
-    found = stored(_prefixes(four.select(*[c.alias(n) for n, c in code.items()], "f"), least), "prefixes")
-    found = found.where("coalesce(w2, 1) <> 0 and coalesce(w3, 1) <> 0 and coalesce(w4, 1) <> 0")
+    windows = _windows(docs, book, _coded_windows, "left bigint, mid bigint, w4 bigint, n bigint", block)
+    found = stored(_coded_counts(windows, least), "coded")
     for i in range(1, 5):
         name = table.select(F.col("code").alias(f"w{i}"), F.col("word").alias(f"word{i}"), *([F.col("lang")] if i == 1 else []))
         found = found.join(F.broadcast(name), f"w{i}", "left")
@@ -219,11 +249,7 @@ def phrase_counts(docs: DataFrame, least: int = 30, coded: int = CODED, block: i
     counts = found.select("lang", *named, "f").unionByName(words.where("word = ''").select("lang", F.lit("").alias("phrase"), F.lit(0).alias("size"), F.col("n").alias("f")))
     if len(book.bits):
         loose = _windows(docs, book, _written_windows, "lang string, w1 string, w2 string, w3 string, w4 string, n bigint", block)
-        four = loose.groupBy("lang", "w1", "w2", "w3", "w4").agg(F.sum("n").alias("f"))
-        found = _prefixes(four.select(F.struct("lang", "w1").alias("w1"), "w2", "w3", "w4", "f"), least)
-        found = found.where("coalesce(w2, '-') <> '' and coalesce(w3, '-') <> '' and coalesce(w4, '-') <> ''")
-        phrase = F.concat_ws(" ", "w1.w1", "w2", "w3", "w4")
-        found = found.where(phrase.contains("\t")).select("w1.lang", F.translate(phrase, "\t", "").alias("phrase"), "f")
+        found = _written_counts(loose, least)
         counts = counts.unionByName(found.withColumn("size", F.size(F.split("phrase", " "))))
     return stored(counts, "phrases")
 

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from logwarden.llm import collocations, embedding_dedup, exact_dedup, language_id, lm_scoring, mixing, packing, sharding, simhash, token_counts, toxicity
+from logwarden.llm import alignment, collocations, embedding_dedup, exact_dedup, language_id, lm_scoring, mixing, order_minhash, packing
+from logwarden.llm import sharding, simhash, token_counts, toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -64,7 +65,15 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_range_shards, op2_linked_vectors, op3_toxicity_chain, op4_language, op5_attention_scores, op6_token_counts, op7_exact_duplicates, op8_pareto_mix, op9_pack_documents, op10_simhash_groups, op11_collocations)}
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.aligned(documents(spark, sf_dir))
+
+
+def op13_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_minhash.fingerprints(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_range_shards, op2_linked_vectors, op3_toxicity_chain, op4_language, op5_attention_scores, op6_token_counts, op7_exact_duplicates, op8_pareto_mix, op9_pack_documents, op10_simhash_groups, op11_collocations, op12_token_alignment, op13_order_minhash)}
 
 ORACLE: dict[str, str] = {
     "op7_exact_duplicates": """
