@@ -328,10 +328,10 @@ def aligned(docs: DataFrame, chunk: int = CHUNK, bytes_path: str | None = None,
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     chunks = linked_chunks(docs, chunk, bytes_path, pieces_path)
-    answers = counted_pairs(chunks).select("chunk", "at", "n", "best")
+    answers = counted_pairs(chunks).select(F.col("chunk").alias("asked"), "at", "n", "best")
     held = chunks.drop("a", "b", "docs")
     schema = f"doc_id {kind}, {', '.join(f'{s} bigint' for s in _SUMS)}, groups_sha256 string, n_best bigint, count_sum bigint"
-    return held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_totals, schema)
+    return held.groupBy("chunk").cogroup(answers.groupBy("asked")).applyInArrow(_totals, schema)
 
 
 def overlap_links(docs: DataFrame, bytes_path: str | None = None, pieces_path: str | None = None) -> DataFrame:
