@@ -203,15 +203,19 @@ def _coded_counts(windows: DataFrame, least: int) -> DataFrame:
     Windows of the same three words lie together (but for hot ones, by salt), so four and three words are summed there.
     """
     dealt = windows.repartition("left", "mid")
-    often, w3 = F.col("f") >= least, F.shiftright("mid", SALT)
+    w3 = F.shiftright("mid", SALT)
     first = [F.shiftright("left", 32).alias("w1"), F.col("left").bitwiseAND(F.lit(0xFFFFFFFF)).alias("w2")]
-    four = dealt.groupBy("left", "mid", "w4").agg(F.sum("n").alias("f")).where(often & (F.col("w4") > 0))
+
+    def often(word: Column) -> Column:  # not a test of the word alone, which would go below one reader's shuffle
+        return F.coalesce(F.col("f") * (word > 0).cast("bigint"), F.lit(0)) >= least
+
+    four = dealt.groupBy("left", "mid", "w4").agg(F.sum("n").alias("f")).where(often(F.col("w4")))
     # reads w4 so that both sums have the same columns shuffled, once
     three = dealt.groupBy("left", "mid").agg(F.sum(F.when(F.col("w4") >= 0, F.col("n"))).alias("f"))
     salted = F.col("mid").bitwiseAND(F.lit((1 << SALT) - 1)) > 0
-    longer = three.where((often | salted) & (F.col("mid") > 0)).groupBy("left", w3.alias("w3")).agg(F.sum("f").alias("f")).where(often)
+    longer = three.where((F.col("f") >= least) | salted).groupBy("left", w3.alias("w3")).agg(F.sum("f").alias("f")).where(often(F.col("w3")))
     short = three.select(*first, "f").rollup("w1", "w2").agg(F.sum("f").alias("f"))
-    short = short.where(often & F.col("w1").isNotNull() & (F.coalesce("w2", F.lit(1)) > 0))
+    short = short.where((F.col("f") >= least) & F.col("w1").isNotNull() & (F.coalesce("w2", F.lit(1)) > 0))
     found = four.select(*first, w3.alias("w3"), "w4", "f").unionByName(longer.select(*first, "w3", "f"), allowMissingColumns=True)
     return found.unionByName(short, allowMissingColumns=True)
 
