@@ -9,10 +9,17 @@ is not busy, and that is settled with counts alone:
   into its own slice and the one before, no further. If both hold ``limit``
   requests at most, all in the slice are admitted.
 * What is left are runs of busy slices. A run, with the quiet slice in front of
-  it, stands alone. Its requests are counted per point in time, and only those
-  counts are walked in time order, in a streaming pass that holds ``limit`` times
-  and no more. It tells how many requests each point in time admits; the first
-  ones there are admitted, wherever they are stored.
+  it, stands alone. Its requests are counted per point in time and the points
+  gathered in short chunks, all in parallel. What a chunk does to the chain is
+  decided by at most ``limit`` admissions, each of which counts until one window
+  later: a chunk before the oldest of them ends is skipped as a whole, and inside
+  a chunk the walk leaps from one admitting point to the next. So the one ordered
+  pass takes as many steps as there are admissions, at most ``limit`` in a window
+  however many requests come in it.
+* The points that admit go back to the requests. Where a point admits some of
+  its requests, those first by ``order`` are admitted.
+
+A request without a time can't be judged: ``admitted`` is NULL and it doesn't count.
 """
 
 from __future__ import annotations
@@ -20,21 +27,30 @@ from __future__ import annotations
 from collections import deque
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from logwarden import rules
 from logwarden.session import stored
 
+#: Microseconds of a chunk at most, and so points in time that it can hold.
+CHUNK = 1 << 17
+NOBODY = "unknown"
+
+
+def _who(ip: str) -> Column:
+    return F.coalesce(F.col(ip).cast("string"), F.lit(NOBODY))
+
 
 def slice_plan(requests: DataFrame, ip: str, ts: str, window: int, limit: int) -> DataFrame:
     """Per address and slice: ``run``, the first slice of the busy run it is in, or NULL if quiet."""
     size = window * 1_000_000
-    counts = requests.groupBy(F.col(ip), F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / size).cast("bigint").alias("slice")).agg(
-        F.count(F.lit(1)).alias("n")
-    )
+    at = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / size).cast("bigint")
+    counts = requests.where(F.col(ts).isNotNull()).groupBy(_who(ip).alias(ip), at.alias("slice")).agg(F.count(F.lit(1)).alias("n"))
     order = Window.partitionBy(ip).orderBy("slice")
     before = F.when(F.lag("slice").over(order) == F.col("slice") - 1, F.lag("n").over(order))
     busy = counts.withColumn("busy", F.col("n") + F.coalesce(before, F.lit(0)) > limit)
@@ -46,51 +62,101 @@ def slice_plan(requests: DataFrame, ip: str, ts: str, window: int, limit: int) -
     return starts.select(ip, "slice", run.alias("run"))
 
 
+class Chain:
+    """One address's admissions of the last window: ``limit`` of them at most."""
+
+    def __init__(self, size: int, limit: int):
+        self.size, self.limit = size, limit
+        self.hits: deque[tuple[int, int]] = deque()
+        self.active = 0
+
+    def pass_chunk(self, times: np.ndarray, counts: np.ndarray) -> list[tuple[int, int, bool]]:
+        """(time, admitted, not all) of the points of a chunk, sorted by time, that admit requests."""
+        out, hits, i, end = [], self.hits, 0, len(times)
+        while i < end:
+            now = int(times[i])
+            while hits and hits[0][0] <= now - self.size:
+                self.active -= hits.popleft()[1]
+            free = self.limit - self.active
+            if free <= 0:  # nothing is admitted before the oldest admission ends
+                i = int(np.searchsorted(times, hits[0][0] + self.size)) if hits else end
+                continue
+            n = int(counts[i])
+            taken = min(n, free)
+            hits.append((now, taken))
+            self.active += taken
+            out.append((now, taken, taken < n))
+            i += 1
+        return out
+
+
+def admitting_points(points: DataFrame, window: int, limit: int) -> DataFrame:
+    """who, us, admits, partly: points in time that admit requests, from counted ``points`` (who, run, us, n) of busy runs.
+
+    Points are gathered in chunks of ``CHUNK`` microseconds in parallel; one ordered pass per run reads these.
+    """
+    size = window * 1_000_000
+    step = max(1, min(CHUNK, size // 64))
+    sorted_points = F.array_sort(F.collect_list(F.struct("us", "n")))
+    chunks = points.groupBy("who", "run", F.floor(F.col("us") / step).alias("chunk")).agg(sorted_points.alias("p"))
+    chunks = chunks.select("who", "run", "chunk", F.col("p.us").alias("us"), F.col("p.n").alias("n"))
+    chunks = chunks.repartition("who", "run").sortWithinPartitions("who", "run", "chunk")
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, chain = None, Chain(size, limit)
+        for batch in batches:
+            who, run = batch.column("who").to_pylist(), batch.column("run").to_pylist()
+            times, counts = batch.column("us"), batch.column("n")
+            us, n = times.flatten().to_numpy(), counts.flatten().to_numpy()
+            ends = np.append(0, np.cumsum(times.value_lengths().to_numpy()))
+            owners, rows = [], []
+            for i, key in enumerate(zip(who, run, strict=True)):
+                if key != at:
+                    at, chain = key, Chain(size, limit)
+                found = chain.pass_chunk(us[ends[i] : ends[i + 1]], n[ends[i] : ends[i + 1]])
+                rows += found
+                owners += [key[0]] * len(found)
+            columns = [pa.array(owners, pa.string()), *[pa.array([r[c] for r in rows], k) for c, k in enumerate((pa.int64(), pa.int64(), pa.bool_()))]]
+            yield pa.RecordBatch.from_arrays(columns, ["who", "us", "admits", "partly"])
+
+    return chunks.mapInArrow(walk, "who string, us bigint, admits bigint, partly boolean")
+
+
 def limit_requests(
     requests: DataFrame, ip: str = "ip", ts: str = "ts", order: str = "event_id",
     window: int = rules.RATE_WINDOW_SECONDS, limit: int = rules.RATE_LIMIT,
 ) -> DataFrame:
-    """Add ``admitted`` to a request log.
+    """Add ``admitted`` to a request log; every request comes back once.
 
     Whole requests are shuffled by address and time, which spreads a hot address
-    over all its points in time. One address that never falls quiet is a single
-    chain by definition; what its task walks are counts, not requests. The slice
-    plan is written first, so that its real size decides how it is joined.
-    Requests without an address share the address "unknown".
+    over all its points in time. The slice plan and the busy requests are written
+    first, so that their real size decides how they are joined. Requests without
+    an address share the address "unknown" (a string column says so); those
+    without a time get NULL.
     """
     size = window * 1_000_000
     keep = requests.columns
     if dict(requests.dtypes)[ip] == "string":
-        requests = requests.withColumn(ip, F.coalesce(F.col(ip), F.lit("unknown")))
-    timed = requests.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp")))
+        requests = requests.withColumn(ip, _who(ip))
+    timed = requests.where(F.col(ts).isNotNull()).withColumns({"_who": _who(ip), "_us": F.unix_micros(F.col(ts).cast("timestamp"))})
     timed = timed.withColumn("_slice", F.floor(F.col("_us") / size).cast("bigint"))
-    plan = stored(slice_plan(requests, ip, ts, window, limit), "slices").withColumnRenamed("slice", "_slice")
-    tagged = timed.join(plan, [ip, "_slice"])
+    untimed = requests.where(F.col(ts).isNull()).withColumn("admitted", F.lit(None).cast("boolean"))
+    plan = stored(slice_plan(requests, ip, ts, window, limit).select(F.col(ip).alias("_who"), F.col("slice").alias("_slice"), "run"), "slices")
+    tagged = timed.join(plan, ["_who", "_slice"])
     quiet = tagged.filter(F.col("run").isNull()).select(*keep, F.lit(True).alias("admitted"))
 
-    busy = tagged.filter(F.col("run").isNotNull()).select(*keep, "_us", "run")
-    points = busy.groupBy(ip, "run", "_us").agg(F.count(F.lit(1)).alias("n"))
-    points = points.repartition(F.col(ip), F.col("run")).sortWithinPartitions(ip, "run", "_us")
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        chain, hits, active = None, deque(), 0
-        for pdf in batches:
-            admits = []
-            for at, run, now, n in zip(pdf[ip], pdf["run"], pdf["_us"], pdf["n"]):
-                if chain != (at, run):
-                    chain, hits, active = (at, run), deque(), 0
-                while hits and hits[0][0] <= now - size:
-                    active -= hits.popleft()[1]
-                admits.append(min(n, limit - active))
-                if admits[-1]:
-                    hits.append((now, admits[-1]))
-                    active += admits[-1]
-            yield pd.DataFrame({ip: pdf[ip], "_us": pdf["_us"], "_admits": admits})
-
-    schema = T.StructType([points.schema[ip], points.schema["_us"], T.StructField("_admits", T.LongType())])
-    ranked = busy.withColumn("_rank", F.row_number().over(Window.partitionBy(ip, "_us").orderBy(order)))
-    settled = ranked.join(points.mapInPandas(walk, schema), [ip, "_us"])
-    return quiet.unionByName(settled.select(*keep, (F.col("_rank") <= F.col("_admits")).alias("admitted")))
+    busy = tagged.filter(F.col("run").isNotNull()).select(*keep, "_who", "_us", "run")
+    busy = stored(busy.withColumn("_id", F.monotonically_increasing_id()), "busy").withColumn("_at", F.struct(order, "_id"))
+    points = busy.groupBy(F.col("_who").alias("who"), "run", F.col("_us").alias("us")).agg(F.count(F.lit(1)).alias("n"))
+    admits = admitting_points(points, window, limit)
+    admits = stored(admits.select(F.col("who").alias("_who"), F.col("us").alias("_us"), "admits", "partly"), "admits")
+    # The last request that is admitted, where not all of a point are; no more than ``limit`` of a point are ranked.
+    ranked = busy.select("_who", "_us", "_at").join(admits.where("partly"), ["_who", "_us"])
+    ranked = ranked.withColumn("_rank", F.row_number().over(Window.partitionBy("_who", "_us").orderBy("_at")))
+    last = ranked.where(F.col("_rank") <= limit).where(F.col("_rank") == F.col("admits")).select("_who", "_us", F.col("_at").alias("_last"))
+    settled = busy.join(admits, ["_who", "_us"], "left").join(last, ["_who", "_us"], "left")
+    admitted = F.when(F.col("partly"), F.col("_at") <= F.col("_last")).otherwise(F.col("admits").isNotNull())
+    return quiet.unionByName(settled.select(*keep, admitted.alias("admitted"))).unionByName(untimed)
 
 
 def screen_requests(
@@ -109,12 +175,17 @@ def limit_stream(
     """The limiter on a stream; per address the state is its admitted times in the window.
 
     State goes once the watermark has passed its last window; requests later
-    than the watermark are dropped, as in every stateful stream.
+    than the watermark are dropped, as in every stateful stream. Requests without
+    an address share one; those without a time pass with ``admitted`` NULL.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     size = window * 1_000_000
-    timed = stream.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late)
+    stream = stream.withColumn(ts, F.col(ts).cast("timestamp"))
+    if dict(stream.dtypes)[ip] == "string":
+        stream = stream.withColumn(ip, _who(ip))
+    untimed = stream.where(F.col(ts).isNull()).withColumn("admitted", F.lit(None).cast("boolean"))
+    timed = stream.where(F.col(ts).isNotNull()).withWatermark(ts, late)
     schema = T.StructType([*timed.schema.fields, T.StructField("admitted", T.BooleanType())])
     names = timed.columns
 
@@ -136,6 +207,7 @@ def limit_stream(
         state.setTimeoutTimestamp(max(expires, state.getCurrentWatermarkMs() + 1))
         yield pdf.assign(admitted=flags)[[*names, "admitted"]]
 
-    return timed.groupBy(ip).applyInPandasWithState(
+    done = timed.groupBy(ip).applyInPandasWithState(
         step, schema, "hits array<bigint>", "append", GroupStateTimeout.EventTimeTimeout
     )
+    return done.unionByName(untimed)

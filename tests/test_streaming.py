@@ -93,6 +93,38 @@ def test_limiter_keeps_requests_without_address(spark):
     assert {tuple(r) for r in limit_requests(rows).groupBy("ip").count().collect()} == {("unknown", 10), ("a", 20)}
 
 
+def test_limiter_keeps_every_request(spark):
+    rows = [(i, None if i % 3 == 0 else i % 3, None if i % 5 == 0 else 1_600_000_000 + i % 7) for i in range(30)]
+    df = spark.createDataFrame(rows, "event_id bigint, ip int, s bigint").selectExpr("event_id", "ip", "timestamp_seconds(s) AS ts")
+    done = limiter.limit_requests(df, limit=2).collect()
+    assert sorted(r.event_id for r in done) == list(range(30))
+    assert {r.event_id for r in done if r.admitted is None} == {i for i in range(30) if i % 5 == 0}
+    assert {r.event_id: r.ip for r in done} == {i: ip for i, ip, _ in rows}
+    want = brute([(i, ip, s * 1_000_000) for i, ip, s in rows if s is not None], 60, 2)
+    assert {r.event_id: r.admitted for r in done if r.admitted is not None} == want
+
+
+def test_points_that_admit_some_of_their_requests(spark):
+    rows = [(i, "hot", 1_700_000_000_000_000 + (i // 50) * 20_000_000) for i in range(600)] * 2  # ids repeat: ties
+    df = spark.createDataFrame(rows, "event_id bigint, ip string, us bigint").select("event_id", "ip", F.timestamp_micros("us").alias("ts")).repartition(5)
+    done = limiter.limit_requests(df, limit=70)
+    per = {r.ts: r.n for r in done.groupBy("ts").agg(F.count_if("admitted").alias("n")).collect()}
+    assert [n for _, n in sorted(per.items())] == [70, 0, 0] * 4 and done.count() == 1200
+    first = done.where("admitted").groupBy("ts").agg((F.max("event_id") - F.min("event_id")).alias("d")).collect()
+    assert {r.d for r in first} == {34}
+
+
+def test_a_chain_takes_steps_for_admissions_only():
+    import numpy as np
+
+    chain = limiter.Chain(60_000_000, 120)
+    steps = 0
+    for chunk in range(600):  # a request every 10 microseconds for 60 chunks of a second, ten times over
+        times = np.arange(chunk * 1_000_000, (chunk + 1) * 1_000_000, 10)
+        steps += len(chain.pass_chunk(times, np.ones(len(times), dtype=int)))
+    assert steps == 10 * 120
+
+
 @pytest.mark.parametrize("files_per_trigger", [1, 1000])
 def test_windows_name_suspicious_addresses(spark, folder, files_per_trigger):
     line = "Failed password for root from {} port 22 ssh2"
