@@ -111,35 +111,43 @@ def _path_length(n: np.ndarray) -> np.ndarray:
     return np.where(n <= 1, 0.0, np.where(n == 2, 1.0, long))
 
 
+class Scorer:
+    """``-2^(-E(h)/c)`` of vectors under a forest, on any machine."""
+
+    def __init__(self, forest: Forest):
+        self.trees = []
+        for _, t in forest.nodes.sort_values(["tree", "node"]).groupby("tree"):
+            leaf = t["depth"].to_numpy() + _path_length(t["size"].to_numpy())
+            columns = [t[c].to_numpy() for c in ("feature", "threshold", "left", "right")]
+            self.trees.append((*columns, leaf))
+        self.norm = float(_path_length(np.array([forest.sample]))[0]) or 1.0
+        self.steps = int(forest.nodes["depth"].max()) if len(forest.nodes) else 0
+
+    def score(self, x: np.ndarray) -> np.ndarray:
+        depth = np.zeros(len(x))
+        rows = np.arange(len(x))
+        for feature, threshold, left, right, leaf in self.trees:
+            at = np.zeros(len(x), dtype=int)
+            for _ in range(self.steps):
+                inner = feature[at] >= 0
+                value = x[rows, np.maximum(feature[at], 0)]
+                down = np.where(value <= threshold[at], left[at], right[at])
+                at = np.where(inner, down, at)
+            depth += leaf[at]
+        return -np.power(2.0, -depth / len(self.trees) / self.norm)
+
+
 def raw_score(df: DataFrame, forest: Forest, embedding: str = "embedding", name: str = "raw_score") -> DataFrame:
-    """Add ``-2^(-E(h)/c)``: near -1 for outliers, near 0 for the crowd."""
-    trees = []
-    for _, t in forest.nodes.sort_values(["tree", "node"]).groupby("tree"):
-        leaf = t["depth"].to_numpy() + _path_length(t["size"].to_numpy())
-        trees.append(
-            (t["feature"].to_numpy(), t["threshold"].to_numpy(), t["left"].to_numpy(), t["right"].to_numpy(), leaf)
-        )
-    norm = float(_path_length(np.array([forest.sample]))[0]) or 1.0
-    steps = int(forest.nodes["depth"].max()) if len(forest.nodes) else 0
-    shared = df.sparkSession.sparkContext.broadcast(trees)
+    """Add ``-2^(-E(h)/c)``: near -1 for outliers, near 0 for the crowd; NULL where there is no vector."""
+    shared = df.sparkSession.sparkContext.broadcast(Scorer(forest))
 
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for vectors in batches:
-            if not len(vectors):
-                yield pd.Series([], dtype=float)
-                continue
-            x = np.stack(vectors.to_numpy()).astype(float)
-            depth = np.zeros(len(x))
-            rows = np.arange(len(x))
-            for feature, threshold, left, right, leaf in shared.value:
-                at = np.zeros(len(x), dtype=int)
-                for _ in range(steps):
-                    inner = feature[at] >= 0
-                    value = x[rows, np.maximum(feature[at], 0)]
-                    down = np.where(value <= threshold[at], left[at], right[at])
-                    at = np.where(inner, down, at)
-                depth += leaf[at]
-            yield pd.Series(-np.power(2.0, -depth / len(shared.value) / norm))
+            out = pd.Series(np.nan, vectors.index)
+            given = vectors[vectors.notna()]
+            if len(given):
+                out[given.index] = shared.value.score(np.stack(given.to_numpy()).astype(float))
+            yield out.where(vectors.notna(), None)
 
     return df.withColumn(name, F.pandas_udf(score, "double")(F.col(embedding)))
 
@@ -176,13 +184,23 @@ def score_anomalies(df: DataFrame, forest: Forest | None, embedding: str = "embe
 
 
 def anomaly_tier(forest: Forest | None, embedding: str = "embedding"):
-    """The forest as a cascade tier: outliers are labelled ``Anomaly``, the rest declined."""
-    from logwarden.operators.classify import FrameTier
+    """The forest as a cascade tier: outliers are labelled ``Anomaly``, the rest declined.
 
-    def decide(df: DataFrame) -> DataFrame:
-        scored = score_anomalies(df, forest, embedding)
-        label = F.when(F.col("is_anomaly"), F.lit("Anomaly"))
-        verdict = F.struct(label.alias("label"), F.col("anomaly_score").alias("confidence"))
-        return scored.withColumn("_verdict", verdict).drop("is_anomaly", "anomaly_score")
+    Only vectors of undecided lines are scored; one that can't be is a failure of its line.
+    """
+    from logwarden.operators.classify import BatchTier, ColumnTier
 
-    return FrameTier("anomaly", decide)
+    if forest is None:
+        return ColumnTier("anomaly", lambda line: [])
+    scorer, offset = Scorer(forest), forest.offset
+
+    def decide(vectors: pd.Series) -> pd.DataFrame:
+        x = np.stack(vectors.to_numpy()).astype(float)
+        if not np.isfinite(x).all():
+            raise ValueError("not a number in a vector")
+        decision = scorer.score(x) - offset
+        found = decision < 0
+        confidence = np.where(found, np.clip(0.5 - decision, 0.0, 1.0), 0.0)
+        return pd.DataFrame({"label": np.where(found, "Anomaly", None), "confidence": confidence}, index=vectors.index)
+
+    return BatchTier("anomaly", decide, embedding)

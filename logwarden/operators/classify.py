@@ -6,19 +6,28 @@ A tier is a name plus a way to decide a line. Three kinds exist:
   probabilities). A row of such tiers becomes one CASE, which stops at the first
   tier that decides a line.
 * ``FrameTier`` – a ``DataFrame -> DataFrame`` step that adds a verdict, such as
-  a fitted ``pyspark.ml`` model.
-* ``BatchTier`` – any Python function over pandas batches. Spark calls Python
+  a fitted ``pyspark.ml`` model. The columns it names in ``reads`` are NULL on
+  the lines decided before it, so the model has nothing to work out there. A step
+  that can't be built on the table is left out and counted.
+* ``BatchTier`` – any Python function over batches of one column: the line, or
+  another one it names in ``reads``, such as an embedding. Spark calls Python
   functions for every row whatever a CASE says, so the cascade passes such a tier
-  NULL for the lines decided before it and calls it on the rest only.
+  NULL for the lines decided before it and calls it on the rest only. A line on
+  which it fails goes to the next tier and is counted.
+
+``Failures`` holds these counts, one accumulator a tier.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark import Accumulator
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logwarden import rules
@@ -54,18 +63,41 @@ class ColumnTier:
 @dataclass(frozen=True)
 class FrameTier:
     method: str
-    decide: Callable[[DataFrame], DataFrame]  # reads the text column, adds struct "_verdict"
+    decide: Callable[[DataFrame], DataFrame]  # adds struct "_verdict"
+    reads: tuple[str, ...] = ()  # columns that are NULL where a line is decided
 
 
 @dataclass(frozen=True)
 class BatchTier:
+    """``tries``: calls per batch at most while failing lines are looked for; then the rest goes to the next tier."""
+
     method: str
-    decide: Callable[[pd.Series], pd.DataFrame]  # messages -> label, confidence
+    decide: Callable[[pd.Series], pd.DataFrame]  # messages or values of ``reads`` -> label, confidence
+    reads: str = "_text"
+    tries: int = 1000
 
 
 Tier = ColumnTier | FrameTier | BatchTier
 
 
+class Failures:
+    """Lines that a tier failed on, by method, and tiers that couldn't be built; counted while results are worked out.
+
+    A task that runs again counts again, so these are for watching, not for accounts.
+    """
+
+    def __init__(self, spark: SparkSession):
+        self._context = spark.sparkContext
+        self._lines: dict[str, Accumulator] = {}
+        self.not_built: dict[str, str] = {}
+
+    def of(self, method: str) -> Accumulator:
+        return self._lines.setdefault(method, self._context.accumulator(0))
+
+    def lines(self) -> dict[str, int]:
+        return {m: a.value for m, a in self._lines.items()}
+
+
 def _verdict(label: Column, confidence: Column) -> Column:
     return F.struct(label.cast("string").alias("label"), confidence.cast("double").alias("confidence"))
 
@@ -186,7 +218,10 @@ def model_tier(
     model=None, labels: list[str] | None = None, threshold: float = rules.MODEL_THRESHOLD,
     text_column: str = "log_message",
 ) -> Tier:
-    """A fitted text model as a tier; with no model it declines every line."""
+    """A fitted text model as a tier; with no model it declines every line.
+
+    It reads ``text_column``, NULL (no words) on decided lines.
+    """
     if model is None:
         return ColumnTier("bert", lambda line: [])
 
@@ -197,7 +232,30 @@ def model_tier(
         scored = model.transform(df).withColumn("_p", vector_to_array("probability"))
         return scored.select(*keep, probability_verdict(F.col("_p"), labels, threshold).alias("_verdict"))
 
-    return FrameTier("bert", decide)
+    return FrameTier("bert", decide, (text_column,))
+
+
+def vector_tier(
+    weights: np.ndarray, bias: np.ndarray, labels: list[str], threshold: float = rules.MODEL_THRESHOLD,
+    embedding: str = "embedding",
+) -> BatchTier:
+    """A linear model over an embedding column as a tier: ``weights`` has a row per class, ``bias`` a number.
+
+    A vector of another length, or with parts that are no numbers, is a failure of its line alone.
+    """
+    names = np.array(labels, dtype=object)
+
+    def decide(vectors: pd.Series) -> pd.DataFrame:
+        x = np.stack(vectors.to_numpy()).astype(float)
+        if not np.isfinite(x).all():
+            raise ValueError("not a number in a vector")
+        margins = x @ weights.T + bias
+        p = np.exp(margins - margins.max(axis=1, keepdims=True))
+        p /= p.sum(axis=1, keepdims=True)
+        top = p.max(axis=1)
+        return pd.DataFrame({"label": np.where(top >= threshold, names[p.argmax(axis=1)], None), "confidence": top}, index=vectors.index)
+
+    return BatchTier("bert", decide, embedding)
 
 
 # --- confidence and wording -------------------------------------------------
@@ -234,7 +292,7 @@ class Cascade:
     tiers: list[Tier] = field(default_factory=lambda: [pattern_tier(), model_tier(), keyword_tier()])
     entities: Callable[[str, str], Column] | None = ent.entities
 
-    def classify(self, df: DataFrame, text: str = "log_message") -> DataFrame:
+    def classify(self, df: DataFrame, text: str = "log_message", failures: Failures | None = None) -> DataFrame:
         """Add ``classification, method, confidence, reasoning`` and ``entities``, replacing columns so named.
 
         Expression tiers cost one projection and no tier shuffles. Runs of
@@ -251,14 +309,10 @@ class Cascade:
             if isinstance(tier, ColumnTier):
                 cases += [(cond, best(label, tier.method, conf)) for cond, label, conf in tier.cases(line)]
                 continue
-            work = work.withColumn("_best", self._settle(decided, cases))
+            work = self._once(work, self._settle(decided, cases))
             cases, decided = [], F.col("_best")
-            work = self._frame(work, tier) if isinstance(tier, FrameTier) else self._batches(work, tier)
-        # Handed on through a generator: a later filter on the outcome cannot slip
-        # below it and make Spark work out the whole cascade a second time.
-        others = [c for c in work.columns if c != "_best"]
-        work = work.withColumn("_best", self._settle(decided, cases))
-        work = work.select(*others, F.explode(F.array("_best")).alias("_best"))
+            work = (self._frame if isinstance(tier, FrameTier) else self._batches)(work, tier, failures)
+        work = self._once(work, self._settle(decided, cases))
 
         b = F.col("_best")
         found = {
@@ -275,48 +329,74 @@ class Cascade:
         """The tiers if all of them are expressions."""
         return self.tiers if all(isinstance(t, ColumnTier) for t in self.tiers) else None
 
+    @staticmethod
+    def _once(df: DataFrame, outcome: Column) -> DataFrame:
+        """Add ``_best``, handed on through a generator: neither what reads it nor a later filter on it can slip below
+        and make Spark work out the whole cascade a second time."""
+        others = [c for c in df.columns if c != "_best"]
+        return df.withColumn("_best", outcome).select(*others, F.explode(F.array("_best")).alias("_best"))
+
     @staticmethod
     def _settle(decided: Column, cases: list[tuple[Column, Column]]) -> Column:
         return F.coalesce(decided, first_match(cases)) if cases else decided
 
     @staticmethod
-    def _frame(df: DataFrame, tier: FrameTier) -> DataFrame:
+    def _frame(df: DataFrame, tier: FrameTier, failures: Failures | None) -> DataFrame:
+        """Apply the step with what it reads hidden on decided lines, and put the columns back behind it."""
         others = [c for c in df.columns if c != "_best"]
+        hidden = [c for c in tier.reads if c in others]
+        work = df.withColumns({f"_own_{c}": F.col(c) for c in hidden})
+        work = work.withColumns({c: F.when(F.col("_best").isNull(), F.col(c)) for c in hidden})
         verdict = F.col("_verdict")
         mine = F.when(verdict["label"].isNotNull(), best(verdict["label"], tier.method, verdict["confidence"]))
-        return tier.decide(df).select(*others, F.coalesce(F.col("_best"), mine).alias("_best"))
+        back = [F.col(f"_own_{c}").alias(c) if c in hidden else F.col(c) for c in others]
+        try:
+            return tier.decide(work).select(*back, F.coalesce(F.col("_best"), mine).alias("_best"))
+        except Exception as why:
+            warnings.warn(f"tier {tier.method} is left out: {why}", stacklevel=2)
+            if failures:
+                failures.not_built[tier.method] = str(why)
+            return df
 
     @staticmethod
-    def _batches(df: DataFrame, tier: BatchTier) -> DataFrame:
+    def _batches(df: DataFrame, tier: BatchTier, failures: Failures | None) -> DataFrame:
         """Run a Python tier as an Arrow UDF on the undecided lines.
 
-        Only the line travels to Python, and as NULL where it is decided; the
-        other columns stay in the JVM.
+        Only the column it reads travels to Python, and as NULL where the line is
+        decided; the other columns stay in the JVM.
         """
         others = [c for c in df.columns if c != "_best"]
-        decide = tier.decide
+        decide, tries = tier.decide, tier.tries
+        failed = failures.of(tier.method) if failures else None
 
-        def settle(lines: pd.Series, out: pd.DataFrame) -> None:
+        def settle(values: pd.Series, out: pd.DataFrame) -> None:
             """A line on which the tier fails is left to the next tier; halving finds it, whatever the batch."""
-            try:
-                got = decide(lines)
-                label, confidence = got["label"].to_numpy(), got["confidence"].astype(float).to_numpy()
-                out.loc[lines.index, "label"], out.loc[lines.index, "confidence"] = label, confidence
-            except Exception:
-                half = len(lines) // 2
-                if half:
-                    settle(lines.iloc[:half], out)
-                    settle(lines.iloc[half:], out)
+            todo, left = [values], tries
+            while todo:
+                part = todo.pop()
+                left -= 1
+                try:
+                    if left < 0:
+                        raise RuntimeError("no more tries")
+                    got = decide(part)
+                    label, confidence = got["label"].to_numpy(), got["confidence"].astype(float).to_numpy()
+                    out.loc[part.index, "label"], out.loc[part.index, "confidence"] = label, confidence
+                except Exception:
+                    half = len(part) // 2
+                    if half and left >= 0:
+                        todo += [part.iloc[half:], part.iloc[:half]]
+                    elif failed is not None:
+                        failed.add(len(part))
 
         def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            for lines in batches:
-                out = pd.DataFrame({"label": pd.Series(None, lines.index, object), "confidence": pd.Series(None, lines.index, float)})
-                undecided = lines.notna()
+            for values in batches:
+                out = pd.DataFrame({"label": pd.Series(None, values.index, object), "confidence": pd.Series(None, values.index, float)})
+                undecided = values.notna()
                 if undecided.any():
-                    settle(lines[undecided], out)
+                    settle(values[undecided], out)
                 yield out
 
-        asked = F.pandas_udf(ask, VERDICT)(F.when(F.col("_best").isNull(), F.col("_text")))
+        asked = F.pandas_udf(ask, VERDICT)(F.when(F.col("_best").isNull(), F.col(tier.reads)))
         verdict = F.col("_verdict")
         mine = F.when(verdict["label"].isNotNull(), best(verdict["label"], tier.method, verdict["confidence"]))
         return df.withColumn("_verdict", asked).select(*others, F.coalesce(F.col("_best"), mine).alias("_best"))

@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -155,6 +156,68 @@ def test_model_tier_in_the_cascade(lines, text_model):
     assert [r.method for r in rows] == ["bert" if t >= line else "llm" for t in tops]
 
 
+def test_models_see_undecided_lines_only(spark, lines, text_model):
+    _, model = text_model
+    df = lines("Backup completed successfully.", "zzz qqq", "a crash of the sky")
+    fits = cl.Cascade([cl.pattern_tier(), cl.model_tier(model.model, model.classes, threshold=0.0), cl.keyword_tier()], entities=None)
+    done = fits.classify(df)
+    plan = done._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"CASE WHEN isnull\(_best#\d+\) THEN log_message#\d+", plan)
+    alone = {r.log_id: r.predicted for r in model.predict(df).collect()}
+    rows = done.orderBy("log_id").collect()
+    assert [(r.classification, r.method) for r in rows] == [("System Notification", "regex"), (alone[1], "bert"), (alone[2], "bert")]
+    assert [r.log_message for r in rows] == ["Backup completed successfully.", "zzz qqq", "a crash of the sky"]
+
+
+def test_vector_tier_keeps_bad_vectors_apart(spark):
+    import numpy as np
+
+    seen = spark.sparkContext.accumulator(0)
+    tier = cl.vector_tier(np.array([[1.0, 0.0], [0.0, 1.0]]), np.zeros(2), ["left", "right"], threshold=0.6)
+    watched = cl.BatchTier(tier.method, lambda v: (seen.add(len(v)), tier.decide(v))[1], tier.reads)
+    vectors = [[4.0, 0.0], [0.0, 3.0], [1.0, 1.0], [1.0], [float("nan"), 1.0], None, [5.0, 1.0]]
+    messages = ["q"] * 6 + ["Backup started"]
+    df = spark.createDataFrame(list(zip(range(7), messages, vectors)), "log_id int, log_message string, embedding array<double>").coalesce(1)
+    failures = cl.Failures(spark)
+    done = cl.Cascade([cl.pattern_tier(), watched, cl.keyword_tier()], entities=None).classify(df, failures=failures).collect()
+    assert [r.classification for r in done] == ["left", "right", "Unclassified", "Unclassified", "Unclassified", "Unclassified", "System Notification"]
+    assert failures.lines() == {"bert": 2} and seen.value > 5
+    assert done[0].confidence == pytest.approx(1 / (1 + math.exp(-4)) - 0.05)
+
+
+def test_a_broken_tier_is_asked_a_set_number_of_times(spark):
+    calls = spark.sparkContext.accumulator(0)
+
+    def down(lines):
+        calls.add(1)
+        raise RuntimeError("down")
+
+    df = spark.range(500).select(F.col("id").alias("log_id"), F.lit("zzz").alias("log_message")).coalesce(1)
+    failures = cl.Failures(spark)
+    tiers = [cl.BatchTier("bert", down, tries=20), cl.keyword_tier()]
+    done = cl.Cascade(tiers, entities=None).classify(df, failures=failures)
+    assert {r.method for r in done.collect()} == {"llm"}
+    assert calls.value == 20 and failures.lines() == {"bert": 500}
+
+
+def test_a_step_that_cannot_be_built_is_left_out(spark, lines):
+    failures = cl.Failures(spark)
+    tiers = [cl.FrameTier("bert", lambda df: df.select("no_such_column")), cl.keyword_tier()]
+    with pytest.warns(UserWarning, match="left out"):
+        done = cl.Cascade(tiers).classify(lines("zzz"), failures=failures)
+    assert done.first().method == "llm" and list(failures.not_built) == ["bert"]
+
+
+def test_anomaly_tier_scores_undecided_lines_only(spark, vectors):
+    forest = anomaly.fit_forest(vectors)
+    df = vectors.withColumn("log_message", F.when(F.col("vec_id") % 2 == 0, "Backup started").otherwise("quiet"))
+    done = cl.Cascade([cl.pattern_tier(), anomaly.anomaly_tier(forest), cl.keyword_tier()], entities=None).classify(df)
+    want = anomaly.score_anomalies(vectors, forest).where("is_anomaly and vec_id % 2 = 1").select("vec_id").collect()
+    got = done.where("classification = 'Anomaly'").select("vec_id").collect()
+    assert sorted(got) == sorted(want) and got
+    assert done.where("vec_id % 2 = 0 and method <> 'regex'").count() == 0
+
+
 def test_word_importance_equals_masking(lines, text_model):
     _, model = text_model
     df = lines("task failed: job 7 timed out", "Backup", "memory usage at 9 percent memory", "", "  a   b ")
