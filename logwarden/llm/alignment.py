@@ -27,7 +27,7 @@ BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Texts are linked in chunks of so many bytes; a chunk asks for the count of each of its id pairs once.
 CHUNK = 8 << 20
 #: Products of matrices are worked out for so many terms at a time.
-TERMS = 1 << 22
+TERMS = 1 << 19
 SPACE = "▁"
 _TWO_SPACES = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
@@ -192,12 +192,15 @@ def _chunk(pair: Pair, number: int, ids: pa.Array, texts: list[str], schema: pa.
     a, b = pair.ids(list(known))
     lost = np.array([x is None for x in b], dtype=bool)
     linked = Linked(pair, [[] if x is None else y for x, y in zip(b, a, strict=True)], [x or [] for x in b])
+    del a, b, of
+    width = max(len(known), 1)
+    del known
     found = list(linked.links())
     segment, left, right, n = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, dtype=np.int64) for i in range(4))
     pairs, pair_at = np.unique(left << 32 | right, return_inverse=True)
     by = np.argsort(segment, kind="stable")
     segment, pair_at, n = segment[by], pair_at[by], n[by]
-    sums = [np.bincount(x, w, minlength=len(known)) for x, w in ((linked.a_of, None), (linked.b_of, None), (linked.group_of, None), (segment, n), (linked.a_of[linked.overlaps[0]], None))]
+    sums = [np.bincount(x, w, minlength=width) for x, w in ((linked.a_of, None), (linked.b_of, None), (linked.group_of, None), (segment, n), (linked.a_of[linked.overlaps[0]], None))]
     # documents in which B loses bytes have no tokens
     doc = np.repeat(np.arange(len(texts)), np.diff(np.append(0, ends)))
     bad = np.zeros(len(texts), dtype=bool)
@@ -206,10 +209,9 @@ def _chunk(pair: Pair, number: int, ids: pa.Array, texts: list[str], schema: pa.
     part, doc = part[stay], doc[stay]
     ends = np.searchsorted(doc, np.arange(len(texts)), side="right")
     # how many of the chunk's documents hold each id pair
-    width = max(len(known), 1)
     once = np.unique(doc * np.int64(width) + part)
     of_doc, of_part = once // width, once % width
-    at = np.searchsorted(segment, np.arange(len(known) + 1))
+    at = np.searchsorted(segment, np.arange(width + 1))
     size = np.diff(at)[of_part]
     doc_at = np.searchsorted(of_doc, np.arange(len(texts) + 1))
     upto, docs, lo = np.append(0, np.cumsum(size))[doc_at], np.zeros(len(pairs), dtype=np.int64), 0
