@@ -1,7 +1,15 @@
-"""Personal data: spans, masking, audit — all as column expressions."""
+"""Personal data: spans, masking, audit — all as column expressions.
+
+Masking and counting are native. Spans need every match's place: that is one Arrow
+pass over the texts that can hold such data at all, linear in their matches.
+Patterns mean the same to both engines.
+"""
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -43,45 +51,36 @@ def _java(pattern: str) -> str:
     return CASED + pattern.replace("(?i)", "(?ui)")
 
 
-def _spans_of(text: Column, kind: str, pattern: str, token: str) -> Column:
-    """Spans of one pattern.
+def _finder(patterns: list[Pattern]):
+    """Arrow function (texts, bits of the patterns that are possible) -> spans."""
+    kind = pa.struct([("pii_type", pa.string()), ("value", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("replacement", pa.string())])
 
-    The matches and the gaps between them are read off the text; a match starts
-    where the gaps and matches before it end.
-    """
-    start = F.struct(F.lit(0).alias("pos"), F.lit(None).cast(SPAN).alias("spans"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        begin = acc["pos"] + F.length(pair["gap"])
-        end = begin + F.length(pair["value"])
-        span = F.struct(
-            F.lit(kind).alias("pii_type"),
-            pair["value"].alias("value"),
-            begin.alias("start"),
-            end.alias("end"),
-            F.lit(token).alias("replacement"),
-        )
-        grown = F.concat(F.coalesce(acc["spans"], F.array().cast(SPAN)), F.array(span))
-        return F.struct(end.alias("pos"), grown.alias("spans"))
-
-    def located(values: Column) -> Column:
-        gaps = F.slice(F.split(text, _java(pattern), -1), F.lit(1), F.size(values))
-        pairs = F.zip_with(values, gaps, lambda v, g: F.struct(v.alias("value"), g.alias("gap")))
-        spans = F.aggregate(pairs, start.cast(f"struct<pos:int,spans:{SPAN}>"), step, lambda acc: acc["spans"])
-        return F.when(F.size(values) > 0, spans)
-
-    # The one-element array gives the matches a name, so they are searched once
-    # and a text without any is not searched for gaps.
-    matches = F.array(F.regexp_extract_all(text, F.lit(_java(pattern)), F.lit(0)))
-    return F.when(_possible(kind, text), F.get(F.transform(matches, located), F.lit(0)))
+    def find(texts: pa.Array, possible: pa.Array) -> pa.Array:
+        compiled = [(1 << i, k, re.compile(p), token) for i, (k, p, token) in enumerate(patterns)]
+        columns: list[list] = [[], [], [], [], []]
+        ends = [0]
+        for text, bits in zip(texts.to_pylist(), possible.to_pylist(), strict=True):
+            if bits:
+                for bit, k, search, token in compiled:
+                    if bits & bit:
+                        for m in search.finditer(text):
+                            for column, x in zip(columns, (k, m[0], m.start(), m.end(), token), strict=True):
+                                column.append(x)
+            ends.append(len(columns[0]))
+        flat = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, kind, strict=True)], fields=list(kind))
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
+
+    return F.arrow_udf(find, SPAN)
 
 
 def pii_spans(text: str | Column, patterns: list[Pattern] | None = None) -> Column:
     """All spans, pattern by pattern, each pattern's in text order."""
+    chosen = pii_patterns() if patterns is None else patterns
     text = message(text)
-    found = [_spans_of(text, *p) for p in (pii_patterns() if patterns is None else patterns)]
-    empty = F.array().cast(SPAN)
-    return F.concat(empty, *[F.coalesce(f, empty) for f in found])
+    possible = F.lit(0).cast("bigint")
+    for i, (kind, _, _) in enumerate(chosen):
+        possible = possible + F.when(_possible(kind, text), F.lit(1 << i)).otherwise(0)
+    return _finder(chosen)(F.when(possible > 0, text), possible)
 
 
 def mask_pii(text: str | Column, patterns: list[Pattern] | None = None) -> Column:

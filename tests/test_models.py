@@ -229,6 +229,27 @@ def test_word_importance_equals_masking(lines, text_model):
     assert [(r.word, r.importance) for r in one] == [("Backup", 1.0)]
 
 
+def test_word_hash_is_the_featurizers(spark):
+    from pyspark.ml.feature import HashingTF
+
+    words = ["a", "ab", "abc", "abcd", "Übung", "日本", "👍🏽 x", "memory", "z" * 31]
+    rows = spark.createDataFrame([([w],) for w in words], "w array<string>")
+    got = HashingTF(inputCol="w", outputCol="v", numFeatures=4096).transform(rows).collect()
+    signed = lambda h: h - (1 << 32) if h >> 31 else h
+    assert [int(r.v.indices[0]) for r in got] == [signed(explain.word_hash(r.w[0].encode())) % 4096 for r in got]
+
+
+def test_explained_where_the_line_is(lines, text_model):
+    _, model = text_model
+    df = lines("task failed: job 7 timed out", "Backup", "memory usage at 9 percent memory", "", "  a   b ", None)
+    done = explain.explain_batch(df, model, n=3)
+    plan = done._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("Generate") == 1
+    words = explain.explain_words(df, model)
+    want = explain.top_words(words, n=3).select(done.columns).collect()
+    assert sorted(map(str, done.collect())) == sorted(map(str, want)) and want
+
+
 def test_top_words_order(spark):
     rows = [(1, p, w, i) for p, (w, i) in enumerate([("a", 0.1), ("b", -0.3), ("c", 0.1), ("d", 0.0005), ("e", 0.3)])]
     df = spark.createDataFrame(rows, "log_id int, pos int, word string, importance double")

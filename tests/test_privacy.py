@@ -85,3 +85,18 @@ def test_mask_events_leaves_other_columns(spark):
     df = spark.createDataFrame([("a@b.com", "c@d.com", "e@f.com")], "log_message string, root_cause string, username string")
     row = pv.mask_events(df).first()
     assert tuple(row) == ("[EMAIL_REDACTED]", "[EMAIL_REDACTED]", "e@f.com")
+
+
+def test_very_many_spans(spark):
+    import re
+
+    from logwarden.functions import privacy
+
+    text = "mail a@b.io or call 555-123-4567, id 123-45-6789; " * 6000
+    df = spark.createDataFrame([(1, text), (2, "nothing here"), (3, None), (4, text[:500] + "é" * 9 + text[:200])], "id int, t string")
+    got = {r.id: r.s for r in df.select("id", privacy.pii_spans("t").alias("s")).collect()}
+    assert got[2] == got[3] == []
+    for i, t in ((1, text), (4, text[:500] + "é" * 9 + text[:200])):
+        want = [(k, m[0], m.start(), m.end(), x) for k, p, x in privacy.pii_patterns() for m in re.finditer(p, t)]
+        assert list(map(tuple, got[i])) == want
+    assert len(got[1]) >= 18000
