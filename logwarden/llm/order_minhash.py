@@ -14,12 +14,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Code points of a k-mer, components of a fingerprint, k-mers chosen for each.
+#: UTF-8 bytes of a k-mer, components of a fingerprint, k-mers chosen for each.
 K, COMPONENTS, CHOSEN = 8, 64, 2
 #: Rows of a range of ids, and ranges at most (their borders are broadcast, 8 bytes each).
 RANGE_ROWS, MOST_RANGES = 4096, 1 << 20
-#: Code points of a block, out of which k-mers are cut.
-BLOCK = 64
 _PLACE = 31  # bits of a place; the 32 above hold a hash
 _LOW = (1 << _PLACE) - 1
 
@@ -49,16 +47,15 @@ def _numbers(first: Column, last: Column) -> Column:
 
 def _kmers(text: Column, k: int) -> Column:
     """Every k-mer's hash over its place from 1 on, sorted. A text shorter than k is one k-mer."""
-    blocks = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{1,{BLOCK + k - 1}}})).{{1,{BLOCK}}}"), F.lit(1))
+    data, size = text.cast("binary"), F.octet_length(text)
 
-    def hashed(block: Column, number: Column) -> Column:
-        starts = _numbers(F.lit(1), F.least(F.lit(BLOCK), F.length(block) - (k - 1)))
-        return F.transform(starts, lambda i: _packed(F.xxhash64(F.substring(block, i, F.lit(k))), (number * BLOCK + i).cast("bigint")))
+    def hashed(data: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(1), F.greatest(size - (k - 1), F.lit(1))),
+            lambda i: _packed(F.xxhash64(F.substring(data, i, F.lit(k))), i.cast("bigint")),
+        )
 
-    short = F.array(_packed(F.xxhash64(text), F.lit(1).cast("bigint")))
-    none = F.array().cast("array<bigint>")
-    length = F.length(text)
-    return F.sort_array(F.when(length >= k, F.flatten(F.transform(blocks, hashed))).when(length > 0, short).otherwise(none))
+    return F.sort_array(F.when(size > 0, _let(data, hashed)).otherwise(F.array().cast("array<bigint>")))
 
 
 def _repeated(rest: Column) -> Column:
@@ -85,23 +82,33 @@ def with_fingerprint(rows: DataFrame, text: str, name: str, k: int = K, componen
     An empty text's fingerprint is the empty string. Work is linear in the text but for sorting its k-mers' hashes.
     """
     held = rows.columns
-    all_, first, rest, points, marked = (f"{name}__{i}" for i in range(5))
+    all_, first, rest, points, steps = (f"{name}__{i}" for i in range(5))
     # what a step makes is a column that the next one reads more than once, so that steps aren't merged
     rows = rows.withColumn(all_, _kmers(F.coalesce(F.col(text), F.lit("")), k))
-    rows = rows.withColumn(first, F.filter(all_, lambda x, i: (i == 0) | (_hash(x) != _hash(F.get(F.col(all_), i - 1)))))
+    new = F.filter(all_, lambda x, i: x.bitwiseXOR(F.get(F.col(all_), i - 1)) > _LOW)  # another hash than the one before
+    rows = rows.withColumn(first, F.concat(F.slice(all_, 1, 1), new))
     rows = rows.withColumn(rest, F.array_except(all_, first))
     rows = rows.withColumn(points, F.sort_array(F.concat(F.col(first), _repeated(F.col(rest)))))
-    marks = F.array(*[F.lit((j << 32) // components << _PLACE).cast("bigint") for j in range(components)])
-    rows = rows.withColumn(marked, F.sort_array(F.concat(F.col(points), marks)))
     n = F.size(points)
-    at = F.filter(_numbers(F.lit(0), F.size(marked) - 1), lambda i: _place(F.get(F.col(marked), i)) == 0)
+    rows = rows.withColumn(steps, F.filter(F.array(*[F.lit(1 << i) for i in range(30, -1, -1)]), lambda s: s <= n))
 
-    def component(mark: Column, j: Column) -> Column:
-        taken = F.transform(F.sequence(F.lit(0), F.least(F.lit(chosen), n) - 1), lambda t: F.get(F.col(points), F.pmod(mark - j + t, n)))
-        placed = F.array_sort(F.transform(taken, lambda x: F.shiftleft(_place(x), 32) + _hash(x)))
-        code = F.xxhash64(F.transform(placed, lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))))
-        return F.lpad(F.lower(F.hex(code.bitwiseAND(F.lit(0xFFFF)))), 4, "0")
+    def below(mark: Column) -> Column:
+        """How many points lie below the mark, by halving."""
+        def step(found: Column, by: Column) -> Column:
+            return F.when((found + by <= n) & (F.get(F.col(points), found + by - 1) < mark), found + by).otherwise(found)
 
+        return F.aggregate(steps, F.lit(0), step)
+
+    def component(mark: Column) -> Column:
+        def hashed(start: Column) -> Column:
+            taken = F.transform(F.sequence(F.lit(0), F.least(F.lit(chosen), n) - 1), lambda t: F.get(F.col(points), F.pmod(start + t, n)))
+            placed = F.array_sort(F.transform(taken, lambda x: F.shiftleft(_place(x), 32) + _hash(x)))
+            code = F.xxhash64(F.transform(placed, lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))))
+            return F.lpad(F.lower(F.hex(code.bitwiseAND(F.lit(0xFFFF)))), 4, "0")
+
+        return _let(below(mark), hashed)
+
+    at = F.array(*[F.lit((j << 32) // components << _PLACE).cast("bigint") for j in range(components)])
     return rows.select(*held, F.when(n > 0, F.array_join(F.transform(at, component), "")).otherwise("").alias(name))
 
 

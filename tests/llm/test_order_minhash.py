@@ -29,10 +29,11 @@ def chained(*numbers: int) -> int:
 def fingerprint(text, k=om.K, components=om.COMPONENTS, chosen=om.CHOSEN):
     if not text:
         return ""
-    kmers = [text[i : i + k] for i in range(max(1, len(text) - k + 1))]
+    data = text.encode()
+    kmers = [data[i : i + k] for i in range(max(1, len(data) - k + 1))]
     seen, points = Counter(), []
     for place, kmer in enumerate(kmers, 1):
-        h = signed(kmer.encode()) >> 32
+        h = signed(kmer) >> 32
         points.append(((chained(h, seen[h]) >> 32) if seen[h] else h, place))
         seen[h] += 1
     points.sort()
