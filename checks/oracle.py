@@ -298,7 +298,6 @@ ORACLE: dict[str, str] = {
     "a15_classified_rows": f"""WITH {CLS}, en AS (SELECT *, regexp_extract_all(log_message, {q(r.IP_PATTERN)}) AS ipl, {entity('log_message', 'http_method')} AS vb,
  {entity('log_message', 'status_code')} AS sc, {entity('log_message', 'username')} AS us, {entity('log_message', 'url')} AS u FROM cls)
  SELECT log_id, source, log_message, classification, method, {ENTITY_JSON} AS entities, {CLS_COLS} FROM en""",
-    "a16_analysis_json": overview("source", OVERVIEW_ROWS),
     "a18_feedback_append": f"WITH {FB} SELECT is_correct, 'analyst' AS analyst_id, count(*) AS n, count(*) AS ids FROM fb GROUP BY 1",
     "a19_feedback_clear": f"WITH {FB} SELECT count(*) AS n_before, CAST(0 AS BIGINT) AS n_after FROM fb",
     "b1_detect_format": f"WITH {LOGS} SELECT log_id, {DETECT} AS log_type FROM logs",
@@ -466,3 +465,71 @@ WHERE ws + INTERVAL 1 HOUR <= (SELECT max(ts) FROM logs) - INTERVAL 10 MINUTE"""
 ORACLE["j6_busy_slices"] = """WITH s AS (SELECT CAST(user_id AS VARCHAR) AS ip, CAST(floor(epoch_us(ts) / 36000000000.0) AS BIGINT) AS slice, count(*) AS n FROM events GROUP BY 1, 2),
 b AS (SELECT a.ip, a.slice, a.n + coalesce(p.n, 0) > 3 AS busy FROM s a LEFT JOIN s p ON p.ip = a.ip AND p.slice = a.slice - 1)
 SELECT b.ip, b.slice FROM b LEFT JOIN b x ON x.ip = b.ip AND x.slice = b.slice + 1 WHERE b.busy OR coalesce(x.busy, false)"""
+
+# --- reports per source ------------------------------------------------------
+
+_per_source = f"""WITH {EVENTS}, {IPS}, {URLS},
+ipf AS (SELECT source, ip, count(*) AS request_count, min(log_id) AS first_seen FROM ipx GROUP BY ALL),
+urls AS (SELECT source, split_part(u, '?', 1) AS url, count(*) AS n, min(log_id) AS first_seen FROM ux WHERE u IS NOT NULL GROUP BY ALL),
+top AS (SELECT * FROM urls QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, first_seen, url) <= 20),
+bad AS (SELECT *, CASE WHEN request_count >= 10 THEN 'HIGH' ELSE 'MEDIUM' END AS suspicion_level FROM ipf WHERE request_count >= 5),
+labels AS (SELECT source, classification AS label, count(*) AS n, min(log_id) AS first_seen FROM cls GROUP BY ALL),
+sources AS (SELECT source, count(*) AS n, min(log_id) AS first_seen FROM logs GROUP BY ALL),
+recs AS (SELECT source, recommendation, count(*) AS n, min(log_id) AS first_seen FROM ev GROUP BY ALL),
+techs AS (SELECT source, technique_id, name, tactic, url, count(*) AS n, min(log_id) AS first_seen FROM ev JOIN tech USING (attack_type) GROUP BY ALL),
+patterns AS (""" + " UNION ALL ".join(
+    f"SELECT source, log_id, u AS url, {q(n)} AS pattern FROM ux WHERE regexp_matches(u, {q(p)}, 'i')" for p, n in r.URL_RULES
+) + ")"
+
+
+def _listed(table: str, text: str, order: str, name: str, sep: str = ";") -> str:
+    return f"coalesce((SELECT string_agg({text}, {q(sep)} ORDER BY {order}) FROM {table} y WHERE y.source = x.k), '') AS {name}"
+
+
+_report = overview("source", f"""SELECT x.k AS source, event_count, total_logs, total_unique_urls, suspicious_ip_count AS suspicious_count, highest_severity,
+ coalesce(highest_severity IN ('CRITICAL', 'HIGH'), false) AS requires_immediate_attention, {SUMMARY} AS summary,
+ {_listed("bad", "ip || ':' || request_count || ':' || suspicion_level", "request_count DESC, first_seen, ip", "suspicious")},
+ {_listed("top", "url || ':' || n", "n DESC, first_seen, url", "top_urls")},
+ {_listed("labels", "label || ':' || n", "n DESC, first_seen, label", "labels")},
+ {_listed("sources", "y.source || ':' || n", "n DESC, first_seen", "sources")},
+ {_listed("recs", "recommendation", "first_seen, recommendation", "recommendations", "|")},
+ {_listed("techs", "technique_id || ':' || name || ':' || tactic || ':' || url", "first_seen, technique_id", "techniques")}
+FROM x""")
+_report = _report.replace(f"WITH {EVENTS}, {IPS}, {URLS}", _per_source, 1)
+ORACLE |= {
+    "a16_analysis_json": _report,
+    "e20_report": _report,
+    "a16_analysis_tables": _per_source + " " + " UNION ALL ".join(
+        f"SELECT source, count(*) AS n, {q(name)} AS name FROM {table} GROUP BY ALL"
+        for name, table in (("events", "ev"), ("ip_frequency", "ipf"), ("suspicious_ips", "bad"), ("suspicious_patterns", "patterns"), ("source_distribution", "sources"))
+    ),
+    "a17_failing_sink": ORACLE["a17_stream_sink"],
+    "e20_events": f"WITH {EVENTS} SELECT log_id, source, event_type, severity, attack_type, root_cause, technique_id, recommendation FROM ev LEFT JOIN tech USING (attack_type)",
+    "e20_ip_frequency": f"{_per_source} SELECT * FROM ipf",
+    "e20_suspicious_ips": f"{_per_source} SELECT * FROM bad",
+    "e20_top_urls": f"{_per_source} SELECT * FROM top",
+    "e20_suspicious_patterns": f"{_per_source} SELECT * FROM patterns",
+    "e20_label_distribution": f"{_per_source} SELECT * FROM labels",
+    # the column that reports are split by and the one that is counted are the same here
+    "e20_recommendations": f"{_per_source} SELECT * FROM recs",
+    "e20_technique_coverage": f"{_per_source} SELECT * FROM techs",
+    "e13_unique_urls_sketch": f"""WITH {LOGS}, {URLS} SELECT coalesce(source, 'all') AS source, count(DISTINCT split_part(u, '?', 1)) AS exact, true AS close
+ FROM ux GROUP BY ROLLUP (source)""",
+    "d9_all_three_tiers": f"WITH {CLS} SELECT log_id, rx AS pattern_label, true AS as_expected FROM cls",
+    "k3_custom_entities": rf"""WITH {LOGS} SELECT log_id, CAST(len(regexp_extract_all(log_message, '\d+')) AS BIGINT) AS numbers, length(log_message) AS length FROM logs""",
+    "k5_completion_function": f"""WITH {CLS} SELECT log_id, CASE WHEN rx IS NOT NULL THEN rx WHEN contains(log_message, 'percent') THEN classification
+  WHEN contains(log_message, 'job') THEN 'Workflow Error' ELSE 'HTTP Status' END AS classification, method,
+ round(CAST(CASE WHEN rx IS NOT NULL THEN 1.0 WHEN contains(log_message, 'percent') THEN confidence ELSE 0.75 END AS DOUBLE), 6) AS confidence FROM cls""",
+    "i1_forms_agree": f"""WITH {LOGS} SELECT CAST(sum(greatest(1, len(list_filter(regexp_split_to_array(log_message, '\s+'), lambda w: w <> '')))) AS BIGINT) AS words,
+ CAST(0 AS BIGINT) AS differing FROM logs""",
+}
+
+# Each request of an address after the other: the times admitted before it, those that still count, the verdict.
+ORACLE["j6_request_limiter"] = """WITH RECURSIVE r AS (SELECT event_id, CAST(user_id AS VARCHAR) AS ip, epoch_us(ts) AS us,
+   row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+ walk AS (SELECT event_id, ip, k, [us] AS hits, true AS admitted FROM r WHERE k = 1
+  UNION ALL
+  SELECT event_id, ip, k, CASE WHEN len(now) < 3 THEN list_append(now, us) ELSE now END, len(now) < 3
+  FROM (SELECT r.event_id, r.ip, r.k, r.us, list_filter(w.hits, lambda h: h > r.us - 36000000000) AS now FROM walk w JOIN r ON r.ip = w.ip AND r.k = w.k + 1))
+SELECT event_id, ip, admitted FROM walk"""
+ORACLE["j6_stream_limiter"] = ORACLE["j6_request_limiter"]

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -238,13 +240,48 @@ OVERVIEW = [
 ]
 
 
-@query("a16_analysis_json")
-def a16(spark, sf):
-    path = work_folder(spark, "analysis")
+def flat_report(report: DataFrame) -> DataFrame:
+    """A nested report with its lists as text."""
+
+    def joined(list_: str, *fields: str, sep: str = ";") -> Column:
+        return F.array_join(F.transform(list_, lambda x: F.concat_ws(":", *[x[f].cast("string") for f in fields]) if fields else x), sep)
+
+    return report.select(
+        "source", "event_count", "time_analysis.total_logs", "url_analysis.total_unique_urls", "ip_analysis.suspicious_count",
+        "highest_severity", "requires_immediate_attention", "summary",
+        joined("ip_analysis.suspicious", "ip", "request_count", "suspicion_level").alias("suspicious"),
+        joined("url_analysis.top_urls", "url", "n").alias("top_urls"),
+        joined("time_analysis.label_distribution", "label", "n").alias("labels"),
+        joined("time_analysis.source_distribution", "source", "n").alias("sources"),
+        joined("recommendations", sep="|").alias("recommendations"),
+        joined("mitre_coverage", "technique_id", "name", "tactic", "url").alias("techniques"),
+    )
+
+
+def full_analysis(spark, sf) -> rp.Analysis:
     done = classified(spark, sf)
     facts = stored(rp.fact_counts(done, ("source",)), "facts")
-    sinks.write_analysis_json(rp.analyze(done, ("source",), facts=facts), path)
-    return spark.read.json(f"{path}/overview").select("source", *OVERVIEW)
+    return rp.analyze(done, ("source",), facts=facts, lines=logs(spark, sf))
+
+
+@query("a16_analysis_json")
+def a16(spark, sf):
+    analysis = full_analysis(spark, sf)
+    folder = sinks.write_analysis_json(analysis, work_folder(spark, "analysis"))
+    return flat_report(spark.read.schema(analysis.report.schema).json(f"{folder}/report"))
+
+
+@query("a16_analysis_tables")
+def a16_tables(spark, sf):
+    """Rows and keys of the tables that are written beside the reports."""
+    analysis = full_analysis(spark, sf)
+    folder = sinks.write_analysis_json(analysis, work_folder(spark, "analysis"))
+    counts = None
+    for name in sinks.LONG_TABLES:
+        rows = spark.read.schema(getattr(analysis, name).schema).json(f"{folder}/{name}")
+        mine = rows.groupBy("source").agg(F.count(F.lit(1)).alias("n")).withColumn("name", F.lit(name))
+        counts = mine if counts is None else counts.unionByName(mine)
+    return counts
 
 
 RECORD = (
@@ -262,6 +299,32 @@ def a17(spark, sf):
     return rec.withColumn("confidence", r6("confidence"))
 
 
+@query("a17_failing_sink")
+def a17_failing(spark, sf):
+    """The sink fails once, between its two writes; the stream is started again."""
+    stream, base = stream_of(spark, sf, "failing")
+    write, failed = jobs.file_sink(f"{base}/out"), []
+
+    def sink(records: DataFrame, number: int, kind: str) -> None:
+        if kind == "analysis" and not failed:
+            failed.append(number)
+            raise ConnectionError("the sink is gone")
+        # a folder of its own for every call: a write that comes twice would show
+        write(records, number, f"{kind}-{uuid.uuid4().hex}")
+
+    for _ in range(2):
+        running = jobs.start_publishing(jobs.decode(stream), sink, f"{base}/commits", f"{base}/check", once=True)
+        try:
+            running.awaitTermination()
+        except StreamingQueryException:
+            pass
+    if not failed:
+        raise AssertionError("the sink has not failed")
+    out = spark.read.option("recursiveFileLookup", True).text(f"{base}/out")
+    rec = out.select(F.from_json("value", RECORD).alias("r")).select("r.*")
+    return rec.withColumn("confidence", r6("confidence"))
+
+
 @query("a18_feedback_append")
 def a18(spark, sf):
     path = work_folder(spark, "append")
@@ -455,6 +518,48 @@ def d9(spark, sf):
     )
 
 
+@query("d9_all_three_tiers")
+def d9_all(spark, sf):
+    """Patterns, a fitted text model on what they leave, keywords on what the model declines."""
+    rows, model = log_model(spark, sf)
+    cascade = cl.Cascade([cl.pattern_tier(), cl.model_tier(model.model, model.classes), cl.keyword_tier()], entities=None)
+    done = cascade.classify(rows.select("log_id", "log_message"))
+    alone = model.predict(rows.select("log_id", "log_message")).select(F.col("log_id").alias("id"), "predicted", F.array_max("probabilities").alias("sure"))
+    done = done.join(alone, F.col("log_id") == F.col("id"))
+    sure = F.col("sure") >= rules.MODEL_THRESHOLD
+    model_right = (F.col("classification") == F.col("predicted")) & (F.abs(F.col("confidence") - F.col("sure") + 0.05) < 1e-9)
+    regex = F.col("method") == "regex"
+    return done.select(
+        "log_id", F.when(regex, F.col("classification")).alias("pattern_label"),
+        F.when(regex, True).when(sure, (F.col("method") == "bert") & model_right).otherwise(F.col("method") == "llm").alias("as_expected"),
+    )
+
+
+@query("k3_custom_entities")
+def k3(spark, sf):
+    """An entity function of one's own: sums of digits in place of addresses."""
+
+    def entities(text: str, fold: str) -> Column:
+        numbers = F.regexp_extract_all(F.col(text), F.lit(r"\d+"), F.lit(0))
+        return F.struct(F.size(numbers).alias("numbers"), F.length(fold).alias("length"))
+
+    done = cl.Cascade([cl.pattern_tier()], entities=entities).classify(lines(spark, sf))
+    return done.select("log_id", F.col("entities.numbers").cast("bigint").alias("numbers"), F.col("entities.length").cast("bigint").alias("length"))
+
+
+@query("k5_completion_function")
+def k5(spark, sf):
+    """A completion function of one's own on the lines that no pattern decides; it falls over on some of them."""
+
+    def complete(prompts: pd.Series) -> pd.Series:
+        if prompts.str.contains("percent").any():
+            raise TimeoutError("no answer")
+        return "<category>" + prompts.str.contains("job").map({True: "Workflow Error", False: "HTTP Status"}) + "</category>"
+
+    done = cl.Cascade([cl.pattern_tier(), cl.completion_tier(complete), cl.keyword_tier()], entities=None).classify(lines(spark, sf))
+    return done.select("log_id", "classification", "method", r6("confidence").alias("confidence"))
+
+
 def labels_of(df: DataFrame) -> DataFrame:
     return df.select("log_id", "classification", "method", r6("confidence").alias("confidence"), "reasoning")
 
@@ -647,6 +752,18 @@ def e13(spark, sf):
     return rp.unique_urls(logs(spark, sf), ent.url("log_message"))
 
 
+@query("e13_unique_urls_sketch")
+def e13_sketch(spark, sf):
+    """Distinct paths per source and over all, from sketches that merge, within 5 % of the exact numbers."""
+    each = logs(spark, sf).select("source", rp.url_path(ent.url("log_message")).alias("path"))
+    sketches = stored(rp.url_sketches(each, ("source",)), "sketches")
+    exact = each.groupBy("source").agg(F.countDistinct("path").alias("exact"))
+    parts = rp.sketched_urls(sketches, ("source",)).join(exact, "source")
+    whole = rp.sketched_urls(sketches).crossJoin(each.agg(F.countDistinct("path").alias("exact"))).withColumn("source", F.lit("all"))
+    done = parts.unionByName(whole)
+    return done.select("source", F.col("exact"), (F.abs(F.col("unique_urls") - F.col("exact")) <= 0.05 * F.col("exact")).alias("close"))
+
+
 @query("e14_suspicious_urls")
 def e14(spark, sf):
     return rp.suspicious_urls(logs(spark, sf), ent.url("log_message"), ["log_id"])
@@ -690,6 +807,27 @@ def e20(spark, sf):
     return rp.analyze(classified(spark, sf), ("source",)).overview.select("source", *OVERVIEW)
 
 
+@query("e20_report")
+def e20_report(spark, sf):
+    return flat_report(rp.report_rows(rp.fact_counts(classified(spark, sf), ("source",)), ("source",)))
+
+
+@query("e20_events")
+def e20_events(spark, sf):
+    done = full_analysis(spark, sf).events
+    return done.select("log_id", "source", "event_type", "severity", "attack_type", "root_cause", "mitre_technique.technique_id", "recommendation")
+
+
+def analysis_table(name: str) -> None:
+    @query(f"e20_{name}")
+    def one(spark, sf):
+        return getattr(full_analysis(spark, sf), name)
+
+
+for _name in ("ip_frequency", "suspicious_ips", "top_urls", "suspicious_patterns", "label_distribution", "recommendations", "technique_coverage"):
+    analysis_table(_name)
+
+
 @query("e21_input_info")
 def e21(spark, sf):
     return rp.input_info(logs(spark, sf), FORMATS.detect("first_line"), by=("source",))
@@ -967,10 +1105,22 @@ def i1(spark, sf):
     return explain.explain_words(rows, model).withColumn("confidence", r6("confidence"))
 
 
+@query("i1_forms_agree")
+def i1_forms(spark, sf):
+    """The fast form against scoring every shortened text, word by word."""
+    rows, model = log_model(spark, sf)
+    fast = explain.explain_words(rows, model)
+    slow = explain.explain_masked(rows, model.predict, model.classes)
+    both = fast.alias("f").join(slow.alias("s"), ["log_id", "pos"], "full")
+    same = (F.col("f.word") == F.col("s.word")) & (F.col("f.predicted_label") == F.col("s.predicted_label"))
+    same &= F.abs(F.col("f.importance") - F.col("s.importance")) < 0.00011  # both are rounded to 4 places
+    return both.agg(F.count(F.lit(1)).alias("words"), F.count_if(~F.coalesce(same, F.lit(False))).alias("differing"))
+
+
 @query("i2_top_words")
 def i2(spark, sf):
     rows, model = log_model(spark, sf)
-    return explain.top_words(explain.explain_words(rows, model), n=10).withColumn("confidence", r6("confidence"))
+    return explain.explain_batch(rows, model, n=10).withColumn("confidence", r6("confidence"))
 
 
 @query("i3_explain_batch")
@@ -1033,6 +1183,14 @@ def j6(spark, sf):
     return done.select("event_id", "ip", "admitted")
 
 
+@query("j6_stream_limiter")
+def j6_stream(spark, sf):
+    base = work_folder(spark, "limited")
+    requests(spark, sf).write.parquet(f"{base}/in")
+    stream = spark.readStream.schema("event_id bigint, ip string, ts timestamp").parquet(f"{base}/in")
+    return drained(spark, limiter.limit_stream(stream, window=36_000, limit=3), base).select("event_id", "ip", "admitted")
+
+
 @query("j6_busy_slices")
 def j6_slices(spark, sf):
     return limiter.screen_requests(requests(spark, sf), window=36_000, limit=3)

@@ -58,8 +58,16 @@ def suspicious_ips(frequency: DataFrame) -> DataFrame:
 # --- URLs -------------------------------------------------------------------
 
 
+def _with_url(df: DataFrame, url: Column, keys: list[str]) -> DataFrame:
+    """``keys`` and ``url`` of the lines that have one.
+
+    Handed on through a generator, so that the filter doesn't go below it and search the line a second time.
+    """
+    return df.select(*keys, F.explode(F.array(url)).alias("url")).filter(F.col("url").isNotNull())
+
+
 def url_counts(df: DataFrame, url: Column, order: str = "log_id") -> DataFrame:
-    each = df.select(url_path(url).alias("url"), F.col(order).alias("_o")).filter(F.col("url").isNotNull())
+    each = _with_url(df, url_path(url), [F.col(order).alias("_o")])
     return each.groupBy("url").agg(F.count(F.lit(1)).alias("n"), F.min("_o").alias("first_seen"))
 
 
@@ -76,6 +84,17 @@ def unique_urls(df: DataFrame, url: Column) -> DataFrame:
     return df.agg(F.countDistinct(url_path(url)).alias("total_unique_urls"))
 
 
+def url_sketches(df: DataFrame, by: tuple[str, ...], path: str = "path") -> DataFrame:
+    """Per group a sketch of its distinct paths (about 2 % off at worst, 4 KB each): kept, they merge into any total later."""
+    return df.groupBy(*by).agg(F.hll_sketch_agg(path, 12).alias("paths"))
+
+
+def sketched_urls(sketches: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
+    """Distinct paths per ``by`` from sketches of finer groups."""
+    merged = sketches.groupBy(*by).agg(F.hll_union_agg("paths").alias("paths"))
+    return merged.select(*by, F.hll_sketch_estimate("paths").alias("unique_urls"))
+
+
 def suspicious_url_rules(url: Column) -> Column:
     """Names of the URL rules that hit, in rule order."""
     hits = [F.when(url.rlike(CASELESS + p), F.lit(name)) for p, name in rules.URL_RULES]
@@ -84,7 +103,7 @@ def suspicious_url_rules(url: Column) -> Column:
 
 def suspicious_urls(df: DataFrame, url: Column, keys: list[str]) -> DataFrame:
     """One row per line and rule that its URL breaks."""
-    named = df.select(*keys, url.alias("url")).filter(F.col("url").isNotNull())
+    named = _with_url(df, url, keys)
     return named.select(*keys, "url", F.explode(suspicious_url_rules(F.col("url"))).alias("pattern"))
 
 
@@ -212,12 +231,17 @@ def top_per_group(counts: DataFrame, by: tuple[str, ...], k: int, key: str) -> D
 
 @dataclass(frozen=True)
 class Analysis:
-    """The outcome of an analysis; each table is planned when it is first asked for."""
+    """The outcome of an analysis; each table is planned when it is first asked for.
+
+    With ``by`` every table is per group (an input file, a source): first seen,
+    ranks and limits are the group's own.
+    """
 
     classified: DataFrame
     facts: DataFrame
     by: tuple[str, ...] = ()
     order: str = "log_id"
+    lines: DataFrame | None = None
 
     def _of(self, kind: str, name: str) -> DataFrame:
         return self.facts.filter(F.col("kind") == kind).select(*self.by, F.col("key").alias(name), "n", "first_seen")
@@ -244,7 +268,9 @@ class Analysis:
 
     @cached_property
     def suspicious_patterns(self) -> DataFrame:
-        return suspicious_urls(self.classified, _url(self.classified, "log_message"), [*self.by, self.order])
+        """Reads the lines without the cascade's columns where they were handed in."""
+        df = self.classified if self.lines is None else self.lines
+        return suspicious_urls(df, _url(df, "log_message"), [*self.by, self.order])
 
     @cached_property
     def label_distribution(self) -> DataFrame:
@@ -252,7 +278,8 @@ class Analysis:
 
     @cached_property
     def source_distribution(self) -> DataFrame:
-        return self._of("source", "source").orderBy(F.desc("n"), "first_seen")
+        """Lines per source; the column is ``line_source`` where reports are split by source."""
+        return self._of("source", "line_source" if "source" in self.by else "source").orderBy(F.desc("n"), "first_seen")
 
     @cached_property
     def recommendations(self) -> DataFrame:
@@ -263,16 +290,67 @@ class Analysis:
         names = ev.technique_catalogue(self.facts.sparkSession).drop("attack_type").distinct()
         return self._of("technique", "technique_id").join(F.broadcast(names), "technique_id").orderBy("first_seen")
 
+    @cached_property
+    def report(self) -> DataFrame:
+        return report_rows(self.facts, self.by)
+
+
+#: Entries of a list in a report row, at most; the tables beside it hold them all.
+LISTED = 1000
+
+
+def report_rows(facts: DataFrame, by: tuple[str, ...] = (), urls: int = rules.TOP_URLS, listed: int = LISTED) -> DataFrame:
+    """One nested row per report: the overview, and of each list its first entries.
+
+    ``ip_analysis`` holds the suspicious addresses, busiest first, ``url_analysis``
+    the ``urls`` busiest paths, ``time_analysis`` labels and sources, busiest first;
+    recommendations and techniques come in order of appearance. Lists are cut at
+    ``listed`` entries, which only addresses and sources can reach. A rank limit
+    in each task comes before the shuffle, so a task sees no more than the
+    entries of a list times the tasks, whatever the size of an input.
+    """
+    busy = (F.col("kind") != "ip") | (F.col("n") >= rules.IP_MEDIUM)
+    appears = F.col("kind").isin("recommendation", "technique")
+    kinds = F.col("kind").isin("ip", "url", "label", "source", "recommendation", "technique")
+    place = F.row_number().over(Window.partitionBy(*by, "kind").orderBy(F.when(appears, 0).otherwise(-F.col("n")), "first_seen", "key"))
+    first = facts.where(kinds & busy).withColumn("place", place).where(F.col("place") <= listed)
+    first = first.where((F.col("kind") != "url") | (F.col("place") <= urls))
+    entry = F.struct("place", "key", "n")
+    lists = first.groupBy(*by).agg(
+        *[F.array_sort(F.collect_list(F.when(F.col("kind") == k, entry))).alias(f"_{k}") for k in ("ip", "url", "label", "source", "recommendation", "technique")]
+    )
+    known = {t: (t, n, c, rules.TECHNIQUE_URL + t) for _, t, n, c in rules.TECHNIQUES}
+    names = {t: F.struct(*[F.lit(v).alias(k) for k, v in zip(("technique_id", "name", "tactic", "url"), row, strict=True)]) for t, row in known.items()}
+    technique = F.create_map(*[x for t, s in names.items() for x in (F.lit(t), s)])
+
+    def counted(kind: str, name: str) -> Column:
+        return F.transform(f"_{kind}", lambda x: F.struct(x["key"].alias(name), x["n"].alias("n")))
+
+    whole = overview(facts, by)
+    joined = whole.join(lists, [*by], "left") if by else whole.join(lists, F.lit(True), "left")
+    suspicious = F.transform("_ip", lambda x: F.struct(x["key"].alias("ip"), x["n"].alias("request_count"), suspicion_level(x["n"]).alias("suspicion_level")))
+    return joined.select(
+        *by, "event_count",
+        F.struct(F.col("suspicious_ip_count").alias("suspicious_count"), suspicious.alias("suspicious")).alias("ip_analysis"),
+        F.struct(counted("url", "url").alias("top_urls"), "total_unique_urls").alias("url_analysis"),
+        F.struct("total_logs", counted("label", "label").alias("label_distribution"), counted("source", "source").alias("source_distribution")).alias("time_analysis"),
+        "highest_severity", "requires_immediate_attention", "summary",
+        F.transform("_recommendation", lambda x: x["key"]).alias("recommendations"),
+        F.transform("_technique", lambda x: F.element_at(technique, x["key"])).alias("mitre_coverage"),
+    )
+
 
 def analyze(
-    classified: DataFrame, by: tuple[str, ...] = (), order: str = "log_id", facts: DataFrame | None = None
+    classified: DataFrame, by: tuple[str, ...] = (), order: str = "log_id", facts: DataFrame | None = None,
+    lines: DataFrame | None = None,
 ) -> Analysis:
     """All reports of a classified table, for the whole or per ``by`` group.
 
     Pass ``facts`` read back from storage (it is small: one row per distinct
-    key) to keep the reports from counting anew for each table.
+    key) to keep the reports from counting anew for each table, and ``lines``,
+    the table before its classification, to spare ``suspicious_patterns`` it.
     """
-    return Analysis(classified, fact_counts(classified, by, order) if facts is None else facts, by, order)
+    return Analysis(classified, fact_counts(classified, by, order) if facts is None else facts, by, order, lines)
 
 
 def input_info(df: DataFrame, log_type: Column, order: str = "log_id", text: str = "log_message", by: tuple[str, ...] = ()) -> DataFrame:

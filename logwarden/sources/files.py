@@ -83,15 +83,16 @@ def by_header(reader: DataFrameReader, path: str | list[str]) -> list[str | list
 
 def scan_csv(
     spark: SparkSession, path: str | list[str], multiline: bool = True, recursive: bool = False,
-    glob: str | None = None, ordered: bool = False,
+    glob: str | None = None, ordered: bool = False, keep_file: bool = False,
 ) -> DataFrame:
     """CSV lines with a header, every column a string; ``source`` defaults to the file's stem.
 
     Every file is read by its own header; a column that a file lacks is NULL in
     its rows, and each must have ``log_message``. ``multiline`` keeps quoted
     line breaks whole. Where the data has none, pass False: Spark then splits
-    big files over many tasks. ``ordered`` adds ``line_order``. With multiline
-    Spark does not find files whose names hold glob characters.
+    big files over many tasks. ``ordered`` adds ``line_order``, ``keep_file`` the
+    file's path as ``file``. With multiline Spark does not find files whose names
+    hold glob characters.
     """
     listing = spark.read.option("recursiveFileLookup", recursive)
     if glob:
@@ -106,13 +107,14 @@ def scan_csv(
         names = [F.col(f"`{c}`") for c in df.columns]
         names += [] if "source" in df.columns else [file_stem().alias("source")]
         names += [line_order().alias("line_order")] if ordered else []
+        names += [F.col("_metadata.file_path").alias("file")] if keep_file else []
         parts.append(df.select(*names))
     return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def scan_text(
     spark: SparkSession, path: str | list[str], source: str | None = None, formats: Formats = DEFAULT_FORMATS,
-    recursive: bool = False, glob: str | None = None,
+    recursive: bool = False, glob: str | None = None, keep_file: bool = False,
 ) -> DataFrame:
     """Text lines, stripped, blank ones dropped, with the format of their file.
 
@@ -134,18 +136,23 @@ def scan_text(
     types = formats.batch_types(lines, ["_file"], ["line_order"])
     if file_count(raw) <= 10_000:
         types = F.broadcast(types)
-    return lines.join(types, "_file").select("source", "log_message", "log_type", "line_order")
+    kept = [F.col("_file").alias("file")] if keep_file else []
+    return lines.join(types, "_file").select("source", "log_message", "log_type", "line_order", *kept)
 
 
-def scan_directory(spark: SparkSession, path: str, recursive: bool = False) -> DataFrame:
-    """``source, log_message, line_order`` of all .log, .txt and .csv files of a folder."""
-    columns = ["source", "log_message", "line_order"]
+def scan_directory(spark: SparkSession, path: str, recursive: bool = False, keep_file: bool = False) -> DataFrame:
+    """``source, log_message, line_order`` of all .log, .txt and .csv files of a folder.
+
+    ``keep_file`` adds ``file``, the path: files of the same name in two folders
+    share their source, not their path, so reports per input go by that.
+    """
+    columns = ["source", "log_message", "line_order", *(["file"] if keep_file else [])]
     listing = spark.read.option("recursiveFileLookup", recursive)
     parts = []
     if file_count(listing.option("pathGlobFilter", TEXT_GLOB).text(path)):
-        parts.append(scan_text(spark, path, recursive=recursive, glob=TEXT_GLOB).select(*columns))
+        parts.append(scan_text(spark, path, recursive=recursive, glob=TEXT_GLOB, keep_file=keep_file).select(*columns))
     if file_count(listing.option("pathGlobFilter", CSV_GLOB).text(path)):
-        parts.append(scan_csv(spark, path, recursive=recursive, glob=CSV_GLOB, ordered=True).select(*columns))
+        parts.append(scan_csv(spark, path, recursive=recursive, glob=CSV_GLOB, ordered=True, keep_file=keep_file).select(*columns))
     if not parts:
         raise ValueError(f"no .log, .txt or .csv files in {path}")
     return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,15 +30,22 @@ def write_classified_rows(df: DataFrame, path: str) -> None:
     _csv(rows.select(*keep, *CLASSIFIED_COLUMNS), path)
 
 
-def write_analysis_json(analysis: Analysis, path: str, by: str = "source") -> None:
-    """One folder per report table, split by input file (``by``).
+#: Tables beside the reports: what may be long.
+LONG_TABLES = ("events", "ip_frequency", "suspicious_ips", "suspicious_patterns", "source_distribution")
+
+
+def write_analysis_json(analysis: Analysis, path: str, run: str | None = None) -> str:
+    """A folder for this run: a report per input (``analysis.by``) and the tables its lists are cut from; returns its path.
 
-    ``overview`` has one record per input; ``events`` and ``facts`` hold the
-    rest. Nothing is gathered: each table is written by the tasks that made it.
+    ``report`` holds one JSON record per input. The long tables are JSON lines
+    beside it, with the input's columns in each row. Nothing is gathered: each
+    table is written by the tasks that made it, and a run never replaces another.
     """
-    analysis.overview.write.mode("overwrite").partitionBy(by).json(f"{path}/overview")
-    analysis.facts.write.mode("overwrite").partitionBy(by).json(f"{path}/facts")
-    analysis.events.write.mode("overwrite").partitionBy(by).json(f"{path}/events")
+    folder = f"{path}/run={run or uuid.uuid4().hex}"
+    analysis.report.write.option("ignoreNullFields", False).json(f"{folder}/report")
+    for name in LONG_TABLES:
+        getattr(analysis, name).write.json(f"{folder}/{name}")
+    return folder
 
 
 FEEDBACK_SCHEMA = (

@@ -6,6 +6,9 @@ of them. The decode and classify steps are the batch expressions.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -148,22 +151,98 @@ def start_kafka(stream: DataFrame, servers: str, topic: str, checkpoint: str, in
     )
 
 
-def start_batches(
-    decoded: DataFrame, path: str, checkpoint: str, once: bool = False, interval: str = "1 second",
+Sink = Callable[[DataFrame, int, str], None]  # records (value), number of the micro-batch, type of the records
+
+
+def file_sink(path: str) -> Sink:
+    """A folder per micro-batch and record type; writing it again replaces it."""
+
+    def write(records: DataFrame, number: int, kind: str) -> None:
+        records.write.mode("overwrite").text(f"{path}/batch={number}/kind={kind}")
+
+    return write
+
+
+def kafka_sink(servers: str, topic: str) -> Sink:
+    """One topic for all records; each says in its headers which micro-batch and type it is of."""
+
+    def write(records: DataFrame, number: int, kind: str) -> None:
+        told = [F.struct(F.lit(k).alias("key"), F.lit(str(v)).cast("binary").alias("value")) for k, v in (("batch", number), ("kind", kind))]
+        writer = records.select("value", F.array(*told).alias("headers")).write.format("kafka")
+        writer.option("kafka.bootstrap.servers", servers).option("topic", topic).option("includeHeaders", True).save()
+
+    return write
+
+
+class Commits:
+    """Which writes of which micro-batches are done: an empty table per write, in a folder of its own.
+
+    A stream repeats at most its last micro-batch, so tables of earlier ones can be removed at any time.
+    """
+
+    def __init__(self, folder: str):
+        self.folder = folder
+
+    def _table(self, number: int, kind: str) -> str:
+        return f"{self.folder}/{number}-{kind}"
+
+    def done(self, spark: SparkSession, number: int, kind: str) -> bool:
+        try:
+            spark.read.schema("n int").parquet(self._table(number, kind))
+        except AnalysisException as why:
+            if why.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return False
+        return True
+
+    def add(self, spark: SparkSession, number: int, kind: str) -> None:
+        spark.range(0).select(F.col("id").cast("int").alias("n")).coalesce(1).write.mode("overwrite").parquet(self._table(number, kind))
+
+
+RECORDS: dict[str, Callable[[DataFrame], DataFrame]] = {"classification": classification_records, "analysis": lambda done: analyze_micro_batch(done)}
+
+
+def start_publishing(
+    decoded: DataFrame, sink: Sink, commits: str, checkpoint: str, once: bool = False, interval: str = "1 second",
     cascade: Cascade = DEFAULT_CASCADE,
 ) -> StreamingQuery:
-    """Both record types per micro-batch to one place: classifications, then the batch's analysis.
+    """Both record types of each micro-batch to one sink: classifications, then the batch's analysis.
 
-    A replayed batch rewrites its own folder, so a record is never doubled.
+    What has been written is noted in the folder ``commits``. If a write fails the
+    stream stops; started again it repeats the batch, and writes of it that are
+    noted are left out. Only a write that ends without its note being made is
+    repeated, which a sink that replaces (files) turns into nothing.
     """
+    noted = Commits(commits)
 
     def publish(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        todo = [kind for kind in RECORDS if not noted.done(spark, number, kind)]
+        if not todo:
+            return
         done = cascade.classify(batch).persist()
         try:
-            classification_records(done).write.mode("overwrite").text(f"{path}/batch={number}/kind=classification")
-            analyze_micro_batch(done).write.mode("overwrite").text(f"{path}/batch={number}/kind=analysis")
+            for kind in todo:
+                sink(RECORDS[kind](done), number, kind)
+                noted.add(spark, number, kind)
         finally:
             done.unpersist()
 
     writer = decoded.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=interval)).start()
+
+
+def start_batches(
+    decoded: DataFrame, path: str, checkpoint: str, once: bool = False, interval: str = "1 second",
+    cascade: Cascade = DEFAULT_CASCADE,
+) -> StreamingQuery:
+    """Both record types per micro-batch to a folder."""
+    return start_publishing(decoded, file_sink(path), f"{checkpoint}-commits", checkpoint, once, interval, cascade)
+
+
+def start_kafka_batches(
+    decoded: DataFrame, servers: str, topic: str, commits: str, checkpoint: str, once: bool = False, interval: str = "1 second",
+    cascade: Cascade = DEFAULT_CASCADE,
+) -> StreamingQuery:
+    """Both record types per micro-batch to one topic."""
+    return start_publishing(decoded, kafka_sink(servers, topic), commits, checkpoint, once, interval, cascade)
