@@ -524,6 +524,13 @@ ORACLE |= {
  CAST(0 AS BIGINT) AS differing FROM logs""",
 }
 
+ORACLE |= {
+    "a20_saved_model": "SELECT vec_id, true AS same_label, true AS same_anomaly FROM embeddings",
+    "d15_platt_scaling": "SELECT label, count(*) // 5 AS scored, count(*) // 5 AS sound FROM embeddings GROUP BY 1",
+    "h17_split_sizes": """WITH c AS (SELECT label, count(*) AS n, CAST(round(count(*) * 0.8) AS BIGINT) AS k FROM embeddings GROUP BY 1)
+ SELECT label, t AS is_test, CASE WHEN t THEN n - k ELSE k END AS n, CASE WHEN t THEN n - k ELSE k END AS ids FROM c, (VALUES (true), (false)) v(t)""",
+}
+
 # Each request of an address after the other: the times admitted before it, those that still count, the verdict.
 ORACLE["j6_request_limiter"] = """WITH RECURSIVE r AS (SELECT event_id, CAST(user_id AS VARCHAR) AS ip, epoch_us(ts) AS us,
    row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),

@@ -17,7 +17,7 @@ from logwarden.functions import formats as fm
 from logwarden.functions import privacy as pv
 from logwarden.functions.arrays import array_sum, softmax
 from logwarden.functions.text import folded, message
-from logwarden.operators import anomaly, calibrate, classify as cl, events as ev, explain, feedback as fb
+from logwarden.operators import anomaly, bundle, calibrate, classify as cl, events as ev, explain, feedback as fb
 from logwarden.operators import learn, metrics as mt, reports as rp, robustness as rb
 from logwarden.session import stored, tune, work_folder
 from logwarden.sources import files, sinks
@@ -599,18 +599,14 @@ def d14(spark, sf):
     )
 
 
-def held_out(spark, sf) -> tuple[DataFrame, learn.TextModel]:
-    rows, model = embedding_model(spark, sf)
-    return stored(model.predict(rows).select("vec_id", "label", "probabilities"), "probabilities"), model
-
-
 @query("d15_platt_scaling")
 def d15(spark, sf):
-    rows, model = held_out(spark, sf)
-    rows = rows.withColumn("truth", F.col("label").cast("string"))
-    platt = calibrate.fit_platt(rows, "probabilities", "truth", model.classes)
-    done = rows.withColumn("p", platt.apply(F.col("probabilities")))
-    return done.select("vec_id", r6(F.array_max("p")).alias("top"), r6(array_sum(F.col("p"))).alias("total"))
+    """Scored on rows that neither the model nor its calibration has seen."""
+    rows = learn.vectors(table(spark, sf, "embeddings")).select("vec_id", "label", "features")
+    _, _, done = learn.calibrated_holdout(rows, "label", "vec_id")
+    total = array_sum(F.col("calibrated"))
+    inside = F.forall("calibrated", lambda p: (p >= 0) & (p <= 1))
+    return done.groupBy("label").agg(F.count(F.lit(1)).alias("scored"), F.count_if((F.abs(total - 1) < 1e-9) & inside).alias("sound"))
 
 
 def logits(spark, sf) -> DataFrame:
@@ -1054,9 +1050,10 @@ def h14(spark, sf):
 
 @query("h15_train")
 def h15(spark, sf):
-    rows, model = embedding_model(spark, sf)
-    done = model.predict(rows).withColumn("truth", F.col("label").cast("string"))
-    return rounded(mt.evaluate(done, "truth", "predicted"))
+    """A model fitted on three folds of five, measured on the last."""
+    rows = learn.vectors(table(spark, sf, "embeddings")).select("vec_id", "label", "features")
+    _, _, done = learn.calibrated_holdout(rows, "label", "vec_id")
+    return rounded(mt.evaluate(done.withColumn("truth", F.col("label").cast("string")), "truth", "predicted"))
 
 
 @query("h16_cross_validation")
@@ -1072,6 +1069,12 @@ def h16_folds(spark, sf):
     return folds.groupBy("label", "fold").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("h17_split_sizes")
+def h17_sizes(spark, sf):
+    parts = learn.assign_split(table(spark, sf, "embeddings").select("vec_id", "label"), "label", "vec_id")
+    return parts.groupBy("label", "is_test").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("vec_id").alias("ids"))
+
+
 @query("h17_holdout_report")
 def h17(spark, sf):
     rows = learn.vectors(table(spark, sf, "embeddings")).select("vec_id", "label", "features")
@@ -1089,14 +1092,18 @@ def log_model(spark, sf) -> tuple[DataFrame, learn.TextModel]:
 
 @query("a20_saved_model")
 def a20(spark, sf):
+    """Models saved and loaded by their folder alone decide every row as before."""
     rows, model = embedding_model(spark, sf)
-    path = work_folder(spark, "model")
-    model.save(path)
-    again = learn.TextModel.load(path, model.classes)
     forest = anomaly.fit_forest(rows)
-    forest.save(spark, f"{path}-forest")
-    scored = anomaly.score_anomalies(again.predict(rows), anomaly.Forest.load(spark, f"{path}-forest"))
-    return scored.select("vec_id", "predicted", "is_anomaly")
+    path = work_folder(spark, "models")
+    bundle.Bundle(model, None, forest).save(spark, path)
+    again = bundle.Bundle.load(spark, path)
+    before = anomaly.score_anomalies(model.predict(rows), forest)
+    after = anomaly.score_anomalies(again.model.predict(rows), again.forest).select(
+        F.col("vec_id").alias("id"), F.col("predicted").alias("p"), F.col("is_anomaly").alias("a")
+    )
+    same = before.join(after, F.col("vec_id") == F.col("id"))
+    return same.select("vec_id", (F.col("predicted") == F.col("p")).alias("same_label"), (F.col("is_anomaly") == F.col("a")).alias("same_anomaly"))
 
 
 @query("i1_word_importance")

@@ -8,14 +8,17 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, SQLTransformer
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from logwarden import rules
+from logwarden.operators.calibrate import PlattModel, fit_platt
 from logwarden.operators.metrics import class_report, evaluate, pair_counts
 from logwarden.session import stored
 
-STRATUM_SLICES = 1024
+#: Rows of a label that are ranked together, about; a label's hash range is cut until its slices are that short.
+SLICE_ROWS = 4096
+_COARSE, _FINE = 12, 20  # bits of the first cut, bits of the second at most
 
 
 def text_features(text: str = "log_message", size: int = 4096) -> list:
@@ -76,10 +79,18 @@ class TextModel:
         return scored.withColumn("predicted", F.element_at(names, at))
 
     def save(self, path: str) -> None:
+        """The pipeline, and its classes beside it."""
         self.model.write().overwrite().save(path)
+        spark = SparkSession.active()
+        rows = spark.createDataFrame(list(enumerate(self.classes)), "pos int, class string")
+        rows.coalesce(1).write.mode("overwrite").parquet(f"{path}/classes")
 
     @staticmethod
-    def load(path: str, classes: list[str]) -> TextModel:
+    def load(path: str, classes: list[str] | None = None) -> TextModel:
+        """Read a model; its classes are those saved with it unless others are handed in."""
+        if classes is None:
+            rows = SparkSession.active().read.parquet(f"{path}/classes").orderBy("pos").collect()  # one row per class
+            classes = [r["class"] for r in rows]
         return TextModel(PipelineModel.load(path), classes)
 
 
@@ -94,27 +105,33 @@ def train(df: DataFrame, label: str, stages: list | None = None, classes: list[s
 # --- stratified splits ------------------------------------------------------
 
 
-def stratified_position(df: DataFrame, label: str, key: str, seed: int = 42) -> DataFrame:
+def stratified_position(df: DataFrame, label: str, key: str, seed: int = 42, slice_rows: int = SLICE_ROWS) -> DataFrame:
     """Add each row's shuffled position within its label and the label's size.
 
     One window per label would put a third of all rows in one task if a label
-    holds that many. Rows are ranked inside hash slices of their label instead;
-    the slice sizes, summed up per label, say where each slice starts.
+    holds that many. Two histograms over the hash say where a row stands: the
+    first cuts a label into 4,096 parts, the second each part into slices of
+    about ``slice_rows`` rows, as many as it needs. Only within a slice are rows
+    ranked, so no window grows with the table (up to 2^32 slices a label).
     """
-    order = F.xxhash64(F.col(key), F.lit(seed))
-    sliced = df.withColumns({"_h": order, "_slice": F.pmod(order, F.lit(STRATUM_SLICES))})
-    sizes = sliced.groupBy(label, "_slice").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(label).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.select(
-        label, "_slice",
-        F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"),
-        F.sum("_n").over(Window.partitionBy(label)).alias("stratum_size"),
+    sliced = df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))).withColumn("_part", F.shiftright("_h", 64 - _COARSE))
+    parts = sliced.groupBy(F.col(label).alias("_l"), F.col("_part").alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy("_l").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    bits = F.greatest(F.lit(0), F.least(F.lit(_FINE), F.ceil(F.log2(F.col("_n") / slice_rows)))).cast("int")
+    parts = parts.select(
+        "_l", "_p", bits.alias("_bits"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_start"),
+        F.sum("_n").over(Window.partitionBy("_l")).alias("stratum_size"),
     )
-    within = Window.partitionBy(label, "_slice").orderBy("_h", key)
-    ranked = sliced.withColumn("_rank", F.row_number().over(within) - 1)
-    starts = starts.withColumnsRenamed({label: "_label", "_slice": "_of"})
-    placed = ranked.join(starts, F.col(label).eqNullSafe(F.col("_label")) & (F.col("_slice") == F.col("_of")))
-    return placed.withColumn("position", F.col("_start") + F.col("_rank")).drop("_h", "_slice", "_rank", "_start", "_label", "_of")
+    same = F.col(label).eqNullSafe(F.col("_l")) & (F.col("_part") == F.col("_p"))
+    placed = sliced.join(parts, same).drop("_l", "_p")
+    placed = placed.withColumn("_slice", F.expr(f"shiftright(_h, {64 - _COARSE} - _bits)"))
+    slices = placed.groupBy(F.col(label).alias("_l"), F.col("_part").alias("_p"), F.col("_slice").alias("_s")).agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("_l", "_p").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    slices = slices.select("_l", "_p", "_s", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    within = Window.partitionBy(label, "_part", "_slice").orderBy("_h", key)
+    ranked = placed.withColumn("_rank", F.row_number().over(within) - 1).join(slices, same & (F.col("_slice") == F.col("_s")))
+    ranked = ranked.withColumn("position", F.col("_start") + F.col("_before") + F.col("_rank"))
+    return ranked.drop("_h", "_part", "_bits", "_start", "_slice", "_l", "_p", "_s", "_before", "_rank")
 
 
 def assign_folds(df: DataFrame, label: str, key: str, folds: int = rules.CV_FOLDS) -> DataFrame:
@@ -130,6 +147,24 @@ def assign_split(df: DataFrame, label: str, key: str, test_share: float = rules.
     return placed.withColumn("is_test", held).drop("position", "stratum_size")
 
 
+def calibrated_holdout(
+    df: DataFrame, label: str, key: str, stages: list | None = None, folds: int = rules.CV_FOLDS
+) -> tuple[TextModel, PlattModel, DataFrame]:
+    """A model, its calibration and the rows to judge both by, from three disjoint parts of every label.
+
+    Of the stratified folds the last is scored, the one before it calibrates, the
+    others train. The scored rows have ``probabilities``, ``predicted`` and ``calibrated``.
+    """
+    data = stored(assign_folds(df, label, key, folds), "folds")
+    classes = class_names(df, label)
+    model = train(data.where(F.col("fold") < folds - 2), label, stages, classes)
+    text = F.col(label).cast("string")
+    second = model.predict(data.where(F.col("fold") == folds - 2)).withColumn("_truth", text)
+    platt = fit_platt(second, "probabilities", "_truth", classes)
+    scored = model.predict(data.where(F.col("fold") == folds - 1))
+    return model, platt, scored.withColumn("calibrated", platt.apply(F.col("probabilities")))
+
+
 def cross_validate(df: DataFrame, label: str, key: str, stages: list | None = None, folds: int = rules.CV_FOLDS) -> DataFrame:
     """Macro F1 of every fold; the folded table is written once and read by all fits."""
     classes = class_names(df, label)

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-import functools
-import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, DataFrameReader, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from logwarden import rules
 from logwarden.functions.formats import DEFAULT_FORMATS, Formats
 from logwarden.functions.text import CASED, first_match, message, strip_text
-from logwarden.session import stored
+from logwarden.session import work_folder
 
 TEXT_GLOB = "*.{log,txt}"
 CSV_GLOB = "*.csv"
@@ -57,59 +56,92 @@ def clean_utf8(value: str) -> Column:
     return F.when(F.is_valid_utf8(text), text).otherwise(F.regexp_replace(F.make_valid_utf8(text), "\ufffd", ""))
 
 
-#: Different headers that the files of one scan may have; each is a part of the plan.
-MOST_HEADERS = 200
+#: Columns of a CSV file, and different column names of all files of a scan, at most.
+MOST_COLUMNS = 1024
 
 
-def by_header(reader: DataFrameReader, path: str | list[str]) -> list[str | list[str]]:
-    """``path`` divided into paths of files with the same first line, which is read in one distributed pass.
+def file_headers(spark: SparkSession, path: str | list[str], recursive: bool = False, glob: str | None = None) -> DataFrame:
+    """``file, header``: the column names of every CSV file that has a line, one row per file; written down.
 
-    Only the first split of each file is looked at. Files without a line are left out.
+    A file is a task of its own that stops after its first record, so of each file the beginning is read.
     """
-    name = F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))
-    raw = reader.text(path)
-    if file_count(raw) < 2:
-        return [path]
-    lines = raw.filter(F.col("_metadata.file_block_start") == 0).select(F.url_decode(name).alias("file"), "value", line_order().alias("n"))
-    first = lines.groupBy("file").agg(F.min_by("value", "n").alias("header"))
-    groups = stored(first.groupBy("header").agg(F.collect_list("file").alias("files")), "headers")
-    found = groups.count()
-    if found > MOST_HEADERS:
-        raise ValueError(f"{found} different CSV headers; {MOST_HEADERS} at most are read at once")
-    if found < 2:
-        return [path]
-    return [[re.sub(r"([\[\]{}*?\\])", r"\\\1", f) for f in row.files] for row in groups.orderBy("header").collect()]
+    own = spark.newSession()  # its settings give every file a task and hand on every record at once
+    for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.execution.arrow.maxRecordsPerBatch"):
+        own.conf.set(name, "1")
+    columns = [f"_c{i}" for i in range(MOST_COLUMNS)]
+    reader = own.read.option("multiLine", True).option("escape", '"').option("recursiveFileLookup", recursive)
+    reader = reader.option("pathGlobFilter", glob) if glob else reader
+    records = reader.schema(", ".join(f"{c} string" for c in columns)).csv(path)
+    held = F.expr(f"array_max(transform(array({', '.join(columns)}), (x, i) -> if(x is null, 0, i + 1)))")
+    records = records.select(F.col("_metadata.file_path").alias("file"), F.slice(F.array(*columns), F.lit(1), held).alias("header"))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = None
+        for batch in batches:
+            file = batch.column("file")[0].as_py() if batch.num_rows else seen
+            if file == seen and seen is not None:
+                return
+            if batch.num_rows:
+                seen = file
+                yield batch.slice(0, 1)
+
+    folder = work_folder(spark, "headers")
+    records.mapInArrow(first, "file string, header array<string>").write.parquet(folder)
+    named = F.transform("header", lambda x, i: F.coalesce(x, F.concat(F.lit("_c"), i.cast("string"))))
+    return spark.read.schema("file string, header array<string>").parquet(folder).withColumn("header", named)
 
 
 def scan_csv(
     spark: SparkSession, path: str | list[str], multiline: bool = True, recursive: bool = False,
     glob: str | None = None, ordered: bool = False, keep_file: bool = False,
+    needed: tuple[str, ...] = ("log_message",), source: str | None = None,
 ) -> DataFrame:
-    """CSV lines with a header, every column a string; ``source`` defaults to the file's stem.
+    """CSV lines with a header, every column a string; ``source`` defaults to the file's stem (or to the text handed in).
 
     Every file is read by its own header; a column that a file lacks is NULL in
-    its rows, and each must have ``log_message``. ``multiline`` keeps quoted
+    its rows, and each must have the columns ``needed``. Where headers differ the
+    files are read together by position, and each row finds its columns through
+    its file's header, a table joined to the rows. ``multiline`` keeps quoted
     line breaks whole. Where the data has none, pass False: Spark then splits
     big files over many tasks. ``ordered`` adds ``line_order``, ``keep_file`` the
     file's path as ``file``. With multiline Spark does not find files whose names
     hold glob characters.
     """
-    listing = spark.read.option("recursiveFileLookup", recursive)
-    if glob:
-        listing = listing.option("pathGlobFilter", glob)
-    parts = []
-    for group in by_header(listing, path):
-        reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
-        reader = reader.option("recursiveFileLookup", recursive)
-        if glob:
-            reader = reader.option("pathGlobFilter", glob)
-        df = require_columns(reader.csv(group), ["log_message"])
+    reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"')
+    reader = reader.option("recursiveFileLookup", recursive)
+    reader = reader.option("pathGlobFilter", glob) if glob else reader
+    origin = F.lit(source) if source else file_stem()
+    more = [line_order().alias("line_order")] if ordered else []
+    more += [F.col("_metadata.file_path").alias("file")] if keep_file else []
+    several = file_count(spark.read.option("recursiveFileLookup", recursive).options(**({"pathGlobFilter": glob} if glob else {})).text(path)) > 1
+    headers = file_headers(spark, path, recursive, glob) if several else None
+    if headers is None or headers.select("header").distinct().limit(2).count() < 2:
+        df = require_columns(reader.csv(path), list(needed))
         names = [F.col(f"`{c}`") for c in df.columns]
-        names += [] if "source" in df.columns else [file_stem().alias("source")]
-        names += [line_order().alias("line_order")] if ordered else []
-        names += [F.col("_metadata.file_path").alias("file")] if keep_file else []
-        parts.append(df.select(*names))
-    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        return df.select(*names, *([] if "source" in df.columns else [origin.alias("source")]), *more)
+
+    for name in needed:
+        lacking = headers.where(~F.array_contains("header", name)).first()
+        if lacking:
+            raise ValueError(f"missing required columns: {[name]} in {lacking.file}")
+    places = headers.select(F.posexplode("header").alias("at", "name")).groupBy("name").agg(F.min("at").alias("at"))
+    found = places.orderBy("at", "name").limit(MOST_COLUMNS + 1).collect()
+    if len(found) > MOST_COLUMNS:
+        raise ValueError(f"over {MOST_COLUMNS} different columns in {path}")
+    width = headers.agg(F.max(F.size("header"))).first()[0]
+    cells = [f"_c{i}" for i in range(width)]
+    rows = reader.schema(", ".join(f"{c} string" for c in cells)).csv(path)
+    rows = rows.select(F.array(*cells).alias("_cells"), F.col("_metadata.file_path").alias("_file"), origin.alias("_source"), *more)
+    headers = headers.withColumnsRenamed({"file": "_file", "header": "_header"})
+    rows = rows.join(F.broadcast(headers) if headers.count() <= 10_000 else headers, "_file")
+
+    def cell(name: str) -> Column:
+        value = F.get("_cells", F.array_position("_header", name).cast("int") - 1)
+        return F.when(F.array_contains("_header", name), value).otherwise(F.col("_source")) if name == "source" else value
+
+    names = [r.name for r in found]
+    columns = [cell(c).alias(c) for c in names] + ([] if "source" in names else [F.col("_source").alias("source")])
+    return rows.select(*columns, *[c for c, on in (("line_order", ordered), ("file", keep_file)) if on])
 
 
 def scan_text(
@@ -168,12 +200,10 @@ def blob_lines(df: DataFrame, blob: str, keys: list[str], source: str = "raw_inp
 # --- labelled sets ----------------------------------------------------------
 
 
-def scan_labelled(spark: SparkSession, path: str) -> DataFrame:
-    """Labelled CSV: ``source, log_message, target_label``; source defaults to 'unknown'."""
-    df = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
-    require_columns(df, ["log_message", "target_label"])
-    source = F.col("source") if "source" in df.columns else F.lit("unknown")
-    return df.select(source.alias("source"), "log_message", "target_label")
+def scan_labelled(spark: SparkSession, path: str, multiline: bool = True) -> DataFrame:
+    """Labelled CSV: ``source, log_message, target_label``; source defaults to 'unknown'. Files go by their own headers."""
+    df = scan_csv(spark, path, multiline, needed=("log_message", "target_label"), source="unknown")
+    return df.select("source", "log_message", "target_label")
 
 
 def label_hdfs(lines: DataFrame, text: str = "log_message", keys: tuple[str, ...] = ()) -> DataFrame:
