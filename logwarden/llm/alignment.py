@@ -26,8 +26,8 @@ from logwarden.session import stored
 BYTES, PIECES = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Texts are linked in chunks of so many bytes; a chunk asks for the count of each of its id pairs once.
 CHUNK = 8 << 20
-#: Products of matrices are worked out for so many terms at a time.
-TERMS = 1 << 19
+#: Segments whose links are worked out together, and terms of a product of matrices at a time.
+SEGMENTS, TERMS = 1 << 14, 1 << 19
 SPACE = "▁"
 _TWO_SPACES = re.compile(r"\s\s")
 _CUT = re.compile(r"(?<=\S)(?=[ \n])")
@@ -173,34 +173,47 @@ class Linked:
 
 
 _SUMS = ("n_a", "n_b", "n_groups", "n_links", "n_overlaps")
-_INT_LIST = pa.list_(pa.int32())
+#: Columns of a chunk's rows that are lists: a document's segments, then those of the chunk's own row.
+_LISTS = {"segments": pa.int32(), "sizes": pa.int32(), "pairs": pa.int32(), "links": pa.int64(), "a": pa.int32(), "b": pa.int32(), "docs": pa.int32()}
 
 
-def _lists(values: np.ndarray, ends: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(values, pa.int32()))
+def _lists(name: str, values: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(values, _LISTS[name]))
 
 
 def _chunk(pair: Pair, number: int, ids: pa.Array, texts: list[str], schema: pa.Schema) -> Iterator[pa.RecordBatch]:
     """A chunk's documents with their segments, then its segments and id pairs."""
     known: dict[str, int] = {}
-    of, ends = [], []
+    of: list[int] = []
+    ends: list[int] = []
     for text in texts:
         of += [known.setdefault(s, len(known)) for s in (segments(text) if text else ())]
         ends.append(len(of))
-    part = np.array(of, dtype=np.int32)
-    ends = np.array(ends)
-    a, b = pair.ids(list(known))
-    lost = np.array([x is None for x in b], dtype=bool)
-    linked = Linked(pair, [[] if x is None else y for x, y in zip(b, a, strict=True)], [x or [] for x in b])
-    del a, b, of
-    width = max(len(known), 1)
-    del known
-    found = list(linked.links())
-    segment, left, right, n = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, dtype=np.int64) for i in range(4))
-    pairs, pair_at = np.unique(left << 32 | right, return_inverse=True)
+    part, ends = np.array(of, dtype=np.int32), np.array(ends)
+    names, width = list(known), max(len(known), 1)
+    del known, of
+    lost, written = np.zeros(width, dtype=bool), []
+    sums = np.zeros((len(_SUMS), width), dtype=np.int64)
+    found: list[tuple[np.ndarray, ...]] = []
+    for lo in range(0, len(names), SEGMENTS):
+        a, b = pair.ids(names[lo : lo + SEGMENTS])
+        some = slice(lo, lo + len(a))
+        lost[some] = [x is None for x in b]
+        linked = Linked(pair, [[] if x is None else y for x, y in zip(b, a, strict=True)], [x or [] for x in b])
+        mine = [(at + lo, x << 32 | y, n) for at, x, y, n in linked.links()]
+        n_links = [np.bincount(at - lo, n, len(a)) for at, _, n in mine]
+        counts = (linked.a_of, linked.b_of, linked.group_of)
+        sums[:3, some] = [np.bincount(x, minlength=len(a)) for x in counts]
+        sums[3, some] = np.sum(n_links, axis=0) if n_links else 0
+        sums[4, some] = np.bincount(linked.a_of[linked.overlaps[0]], minlength=len(a))
+        written += [t.encode() for t in linked.texts()]
+        found += mine
+    segment, both, n = (np.concatenate([f[i] for f in found]) if found else np.zeros(0, dtype=np.int64) for i in range(3))
+    del names, found
+    pairs, pair_at = np.unique(both, return_inverse=True)
     by = np.argsort(segment, kind="stable")
-    segment, pair_at, n = segment[by], pair_at[by], n[by]
-    sums = [np.bincount(x, w, minlength=width) for x, w in ((linked.a_of, None), (linked.b_of, None), (linked.group_of, None), (segment, n), (linked.a_of[linked.overlaps[0]], None))]
+    segment, pair_at, n = segment[by].astype(np.int32), pair_at[by].astype(np.int32), n[by]
+    del both, by
     # documents in which B loses bytes have no tokens
     doc = np.repeat(np.arange(len(texts)), np.diff(np.append(0, ends)))
     bad = np.zeros(len(texts), dtype=bool)
@@ -223,20 +236,20 @@ def _chunk(pair: Pair, number: int, ids: pa.Array, texts: list[str], schema: pa.
         keys = np.unique(np.repeat(of_doc[some], size[some]) * np.int64(len(pairs)) + held)
         docs += np.bincount(keys % len(pairs), minlength=len(pairs))
         lo = hi
-    written = [t.encode() for t in linked.texts()]
     digests, whole = [], [written[p] for p in part.tolist()]
     for s, e in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True):
         digests.append(hashlib.sha256(b";".join(whole[s:e])).hexdigest() if e > s else "")
     rows = len(texts)
     totals = [pa.array(np.bincount(doc, s[part], minlength=rows).astype(np.int64)) for s in sums]
     chunk = pa.array(np.full(rows, number, dtype=np.int64))
-    arrays = [chunk, ids, *totals, pa.array(digests), _lists(part, ends)]
+    arrays = [chunk, ids, *totals, pa.array(digests), _lists("segments", part, ends)]
     for at_row in range(0, rows, 1024):
         some = [x.slice(at_row, 1024) for x in arrays]
         yield pa.RecordBatch.from_arrays([*some, *[pa.nulls(len(some[0]), f.type) for f in schema][len(some) :]], schema=schema)
     if not len(pairs):
         return
-    lists = [_lists(x, np.array([len(x)])) for x in (np.diff(at), pair_at, n, pairs >> 32, pairs & 0xFFFFFFFF, docs)]
+    own = (np.diff(at), pair_at, n, pairs >> 32, pairs & 0xFFFFFFFF, docs)
+    lists = [_lists(name, x, np.array([len(x)])) for name, x in zip(list(_LISTS)[1:], own, strict=True)]
     nulls = [pa.nulls(1, f.type) for f in schema][1 : len(arrays)]
     yield pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), *nulls, *lists], schema=schema)
 
@@ -250,8 +263,6 @@ def linked_chunks(docs: DataFrame, chunk: int = CHUNK, bytes_path: str | None =
     """
     paths = bytes_path or tokenizer_path(BYTES), pieces_path or tokenizer_path(PIECES)
     kind = docs.schema["doc_id"].dataType
-    lists = ("segments", "sizes", "pairs", "links", "a", "b", "docs")
-
     def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair, schema = _pair(*paths), None
         number = TaskContext.get().partitionId() << 32
@@ -259,7 +270,7 @@ def linked_chunks(docs: DataFrame, chunk: int = CHUNK, bytes_path: str | None =
         for batch in batches:
             if schema is None:
                 fields = [("chunk", pa.int64()), ("doc_id", batch.column("doc_id").type), *[(s, pa.int64()) for s in _SUMS], ("groups_sha256", pa.string())]
-                schema = pa.schema([*fields, *[(x, _INT_LIST) for x in lists]])
+                schema = pa.schema([*fields, *[(x, pa.list_(k)) for x, k in _LISTS.items()]])
             for i, text in enumerate(batch.column("text").to_pylist()):
                 ids.append(batch.column("doc_id").slice(i, 1))
                 texts.append(text or "")
@@ -271,7 +282,8 @@ def linked_chunks(docs: DataFrame, chunk: int = CHUNK, bytes_path: str | None =
             yield from _chunk(pair, number, pa.concat_arrays(ids), texts, schema)
 
     columns = f"chunk bigint, doc_id {kind.simpleString()}, {', '.join(f'{s} bigint' for s in _SUMS)}, groups_sha256 string"
-    rows = docs.select("doc_id", "text").mapInArrow(link, f"{columns}, {', '.join(f'{x} array<int>' for x in lists)}")
+    lists = ", ".join(f"{x} array<{'bigint' if k == pa.int64() else 'int'}>" for x, k in _LISTS.items())
+    rows = docs.select("doc_id", "text").mapInArrow(link, f"{columns}, {lists}")
     return stored(rows, "linked")
 
 
