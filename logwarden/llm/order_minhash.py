@@ -4,6 +4,9 @@ Order MinHash: of a text's k-mers, each numbered by its occurrence, some are cho
 order and hashed together. Two texts agree in such a hash if the same k-mers are chosen and stand in the same order. All
 components use one hash of (k-mer, occurrence), seen as a point on a circle: component j chooses the first ones from
 point j / components on, which is a random order of its own for every j.
+
+A k-mer is k tokens in a row. Tokens are what stands between spaces, empty ones too; where that is long, as in scripts
+that don't part words, its characters. Together they are the whole text, so every edit shows in some k-mer.
 """
 
 from __future__ import annotations
@@ -14,8 +17,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: UTF-8 bytes of a k-mer, components of a fingerprint, k-mers chosen for each.
-K, COMPONENTS, CHOSEN = 8, 64, 2
+#: Tokens of a k-mer, components of a fingerprint, k-mers chosen for each.
+K, COMPONENTS, CHOSEN = 3, 64, 2
+#: Code points of a word at most; longer ones are taken character by character.
+LONG = 64
 #: Rows of a range of ids, and ranges at most (their borders are broadcast, 8 bytes each).
 RANGE_ROWS, MOST_RANGES = 4096, 1 << 20
 _PLACE = 31  # bits of a place; the 32 above hold a hash
@@ -45,17 +50,22 @@ def _numbers(first: Column, last: Column) -> Column:
     return F.when(last >= first, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))
 
 
-def _kmers(text: Column, k: int) -> Column:
-    """Every k-mer's hash over its place from 1 on, sorted. A text shorter than k is one k-mer."""
-    data, size = text.cast("binary"), F.octet_length(text)
+def _tokens(text: Column) -> Column:
+    words = F.split(text, " ", -1)
+    cut = F.transform(words, lambda w: F.when(F.length(w) <= LONG, F.array(w)).otherwise(F.regexp_extract_all(w, F.lit("(?s)."), F.lit(0))))
+    none = F.array().cast("array<string>")
+    return F.when(text == "", none).when(text.rlike(f"[^ ]{{{LONG + 1}}}"), F.flatten(cut)).otherwise(words)
+
+
+def _kmers(tokens: Column, k: int) -> Column:
+    """Every k-mer's hash over its place from 1 on, sorted. A text of fewer tokens is one k-mer."""
 
-    def hashed(data: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(1), F.greatest(size - (k - 1), F.lit(1))),
-            lambda i: _packed(F.xxhash64(F.substring(data, i, F.lit(k))), i.cast("bigint")),
-        )
+    def hashed(i: Column) -> Column:
+        return _packed(F.xxhash64(*[F.get(tokens, i + j) for j in range(-1, k - 1)]), i.cast("bigint"))
 
-    return F.sort_array(F.when(size > 0, _let(data, hashed)).otherwise(F.array().cast("array<bigint>")))
+    size = F.size(tokens)
+    every = F.transform(F.sequence(F.lit(1), F.greatest(size - (k - 1), F.lit(1))), hashed)
+    return F.sort_array(F.when(size > 0, every).otherwise(F.array().cast("array<bigint>")))
 
 
 def _repeated(rest: Column) -> Column:
@@ -82,33 +92,25 @@ def with_fingerprint(rows: DataFrame, text: str, name: str, k: int = K, componen
     An empty text's fingerprint is the empty string. Work is linear in the text but for sorting its k-mers' hashes.
     """
     held = rows.columns
-    all_, first, rest, points, steps = (f"{name}__{i}" for i in range(5))
+    tokens, all_, first, rest, points, marked = (f"{name}__{i}" for i in range(6))
     # what a step makes is a column that the next one reads more than once, so that steps aren't merged
-    rows = rows.withColumn(all_, _kmers(F.coalesce(F.col(text), F.lit("")), k))
+    rows = rows.withColumn(tokens, _tokens(F.coalesce(F.col(text), F.lit(""))))
+    rows = rows.withColumn(all_, _kmers(F.col(tokens), k))
     new = F.filter(all_, lambda x, i: x.bitwiseXOR(F.get(F.col(all_), i - 1)) > _LOW)  # another hash than the one before
     rows = rows.withColumn(first, F.concat(F.slice(all_, 1, 1), new))
     rows = rows.withColumn(rest, F.array_except(all_, first))
     rows = rows.withColumn(points, F.sort_array(F.concat(F.col(first), _repeated(F.col(rest)))))
+    marks = F.array(*[F.lit((j << 32) // components << _PLACE).cast("bigint") for j in range(components)])
+    rows = rows.withColumn(marked, F.sort_array(F.concat(F.col(points), marks)))
     n = F.size(points)
-    rows = rows.withColumn(steps, F.filter(F.array(*[F.lit(1 << i) for i in range(30, -1, -1)]), lambda s: s <= n))
-
-    def below(mark: Column) -> Column:
-        """How many points lie below the mark, by halving."""
-        def step(found: Column, by: Column) -> Column:
-            return F.when((found + by <= n) & (F.get(F.col(points), found + by - 1) < mark), found + by).otherwise(found)
-
-        return F.aggregate(steps, F.lit(0), step)
-
-    def component(mark: Column) -> Column:
-        def hashed(start: Column) -> Column:
-            taken = F.transform(F.sequence(F.lit(0), F.least(F.lit(chosen), n) - 1), lambda t: F.get(F.col(points), F.pmod(start + t, n)))
-            placed = F.array_sort(F.transform(taken, lambda x: F.shiftleft(_place(x), 32) + _hash(x)))
-            code = F.xxhash64(F.transform(placed, lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))))
-            return F.lpad(F.lower(F.hex(code.bitwiseAND(F.lit(0xFFFF)))), 4, "0")
+    at = F.filter(F.sequence(F.lit(0), F.size(marked) - 1), lambda i: _place(F.get(F.col(marked), i)) == 0)  # where the marks are
 
-        return _let(below(mark), hashed)
+    def component(mark: Column, j: Column) -> Column:
+        taken = F.transform(F.sequence(F.lit(0), F.least(F.lit(chosen), n) - 1), lambda t: F.get(F.col(points), F.pmod(mark - j + t, n)))
+        placed = F.array_sort(F.transform(taken, lambda x: F.shiftleft(_place(x), 32) + _hash(x)))
+        code = F.xxhash64(F.transform(placed, lambda x: x.bitwiseAND(F.lit((1 << 32) - 1))))
+        return F.lpad(F.lower(F.hex(code.bitwiseAND(F.lit(0xFFFF)))), 4, "0")
 
-    at = F.array(*[F.lit((j << 32) // components << _PLACE).cast("bigint") for j in range(components)])
     return rows.select(*held, F.when(n > 0, F.array_join(F.transform(at, component), "")).otherwise("").alias(name))
 
 
@@ -164,8 +166,8 @@ def fingerprints(docs: DataFrame, k: int = K, components: int = COMPONENTS, chos
     the next document's, by doc_id; the first document follows the last. Near are the shares of equal components of the
     text's fingerprint with the edited text's and with the next document's.
 
-    Null counts as empty; two empty texts have likeness 1, an empty and another 0. A text shorter than a k-mer is one
-    k-mer. Null ids come first; rows of one id follow each other by a hash of their text. Repeated rows are rows of
+    Null counts as empty; two empty texts have likeness 1, an empty and another 0. A text of fewer tokens than a k-mer is
+    one k-mer. Null ids come first; rows of one id follow each other by a hash of their text. Repeated rows are rows of
     their own. Other columns are not looked at; no rows give no rows, and a single row is its own next one.
 
     Fingerprints are worked out where texts are read; texts are shuffled once, to stand beside the next one.

@@ -29,11 +29,14 @@ def chained(*numbers: int) -> int:
 def fingerprint(text, k=om.K, components=om.COMPONENTS, chosen=om.CHOSEN):
     if not text:
         return ""
-    data = text.encode()
-    kmers = [data[i : i + k] for i in range(max(1, len(data) - k + 1))]
+    tokens = [t.encode() for word in text.split(" ") for t in ([word] if len(word) <= om.LONG else word)]
+    kmers = [tokens[i : i + k] for i in range(max(1, len(tokens) - k + 1))]
     seen, points = Counter(), []
     for place, kmer in enumerate(kmers, 1):
-        h = signed(kmer) >> 32
+        h = 42
+        for t in kmer:
+            h = signed(t, h)
+        h >>= 32
         points.append(((chained(h, seen[h]) >> 32) if seen[h] else h, place))
         seen[h] += 1
     points.sort()
@@ -94,8 +97,8 @@ def test_order_and_edits_show(spark):
 
 def test_other_parameters(spark, rows):
     docs = spark.createDataFrame([(t,) for _, t in rows], "t string")
-    got = om.with_fingerprint(docs, "t", "f", k=3, components=10, chosen=4).collect()
-    assert all(r.f == fingerprint(r.t, 3, 10, 4) for r in got)
+    got = om.with_fingerprint(docs, "t", "f", k=2, components=10, chosen=4).collect()
+    assert all(r.f == fingerprint(r.t, 2, 10, 4) for r in got)
 
 
 def test_no_rows_and_one_row(spark):
