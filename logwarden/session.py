@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import contextvars
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,7 +38,19 @@ def work_folder(spark: SparkSession, name: str) -> str:
     return f"{tempfile.mkdtemp(prefix='run-', dir='/tmp')}/{name}"
 
 
-_WRITTEN: list[str] = []
+#: Lists of written paths that are being gathered, innermost last; each thread or task has its own.
+_GATHERING: contextvars.ContextVar[tuple[list[str], ...]] = contextvars.ContextVar("gathering", default=())
+
+
+@contextlib.contextmanager
+def gathered() -> Iterator[list[str]]:
+    """The paths of all tables that are stored inside the block, for ``release``."""
+    paths: list[str] = []
+    token = _GATHERING.set((*_GATHERING.get(), paths))
+    try:
+        yield paths
+    finally:
+        _GATHERING.reset(token)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -44,22 +59,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     The table stays until ``release`` removes it or the folder is cleaned.
     """
     path = work_folder(df.sparkSession, name)
-    _WRITTEN.append(path)
+    for paths in _GATHERING.get():
+        paths.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def mark() -> int:
-    """How many tables this process has stored so far, for ``release``."""
-    return len(_WRITTEN)
-
-
-def release(spark: SparkSession, since: int = 0, until: int | None = None) -> None:
-    """Removes tables that ``stored`` has written, those from number ``since`` to before ``until``; no result may still read them."""
+def release(spark: SparkSession, paths: list[str]) -> None:
+    """Removes the tables at ``paths``; no result may still read them."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
     conf = spark.sparkContext._jsc.hadoopConfiguration()
-    for i in range(since, len(_WRITTEN) if until is None else until):
-        if _WRITTEN[i]:
-            path = hadoop.Path(_WRITTEN[i])
-            path.getFileSystem(conf).delete(path, True)
-            _WRITTEN[i] = ""
+    while paths:
+        path = hadoop.Path(paths.pop())
+        path.getFileSystem(conf).delete(path, True)
