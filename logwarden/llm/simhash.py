@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from logwarden.llm.common import bounds, by_number, components, utf8, whole_groups
-from logwarden.session import stored
+from logwarden.session import gathered, release, stored
 
 SEED = 42
 #: A bucket of more fingerprints isn't compared pair by pair.
@@ -216,27 +216,58 @@ def _bucket_pairs(frames: Iterator[pd.DataFrame], similarity: float, crowd: int
                 yield part[list(types)].astype(types)
 
 
+def _parity(sets: list[np.ndarray]) -> list[bytes]:
+    """For each class of a set's shingles whether the set has an odd number of them, four to eight classes a shingle.
+
+    A set that has twice the classes of another folds to them by exclusive or of its halves.
+    """
+    out = []
+    for s in sets:
+        classes = 1 << max(9, int(4 * max(len(s), 1) - 1).bit_length())
+        out.append(np.packbits(np.bincount(s & (classes - 1), minlength=classes).astype(np.uint8) & 1, bitorder="little").tobytes())
+    return out
+
+
+def _folded(bits: list[bytes], rows: np.ndarray) -> np.ndarray:
+    """The parity bits of ``rows``, all folded to the fewest classes among them, as 64-bit words."""
+    words = [np.frombuffer(bits[r], dtype="<u8") for r in rows.tolist()]
+    least = min(len(w) for w in words)
+    return np.stack([np.bitwise_xor.reduce(w.reshape(-1, least), axis=0) for w in words])
+
+
 def _chunk_pairs(frames: Iterator[pd.DataFrame], similarity: float) -> Iterator[pd.DataFrame]:
-    """Pairs (a, b) of rows that can be similar and aren't in one component yet: those of chunks c and d of a key (of one chunk where c = d)."""
+    """Pairs (a, b) of rows that aren't in one component yet and whose sets can be similar: those of chunks c and d of a key.
+
+    Sizes and places come first, then parity bits: sets that differ in d shingles differ in at most d of them, and in
+    nearly as many, so that hardly a pair leaves the task that isn't a link.
+    """
     for frame in whole_groups(frames, ["key", "c", "d"]):
         cut = bounds(frame, ["key", "c", "d"])
         row, own, component = (frame[x].to_numpy() for x in ("row", "own", "component"))
-        size, place = frame["size"].to_numpy(), frame["place"].to_numpy()
+        size, place, bits = frame["size"].to_numpy(), frame["place"].to_numpy(), frame["bits"].tolist()
         c, d = frame["c"].to_numpy(), frame["d"].to_numpy()
         for lo, hi in zip(cut[:-1], cut[1:], strict=True):
             at = np.arange(lo, hi)
             first, second = (at, at) if c[lo] == d[lo] else (at[own[at] == c[lo]], at[own[at] == d[lo]])
-            for block in range(0, len(first), 256):
-                i, j = np.meshgrid(first[block : block + 256], second, indexing="ij")
+            for block in range(0, len(first), 64):
+                i, j = np.meshgrid(first[block : block + 64], second, indexing="ij")
                 i, j = i.ravel(), j.ravel()
                 ok = (component[i] != component[j]) & _possible(size, place, i, j, similarity)
                 ok &= (row[i] < row[j]) if c[lo] == d[lo] else True
-                if ok.any():
-                    i, j = i[ok], j[ok]
-                    yield pd.DataFrame({"a": np.minimum(row[i], row[j]), "b": np.maximum(row[i], row[j])})
-
-
-def _crowd_pairs(crowd: DataFrame, found: DataFrame, similarity: float, chunk: int) -> DataFrame:
+                i, j = i[ok], j[ok]
+                some = 0
+                while some < len(i):  # pairs of sets of about one size together
+                    x, y = i[some : some + 4096], j[some : some + 4096]
+                    some += 4096
+                    used, where = np.unique(np.concatenate([x, y]), return_inverse=True)
+                    words = _folded(bits, used)
+                    differing = np.bitwise_count(words[where[: len(x)]] ^ words[where[len(x) :]]).sum(axis=1)
+                    near = differing <= (1 - similarity) / (1 + similarity) * (size[x] + size[y]) + 1e-6
+                    if near.any():
+                        yield pd.DataFrame({"a": np.minimum(row[x[near]], row[y[near]]), "b": np.maximum(row[x[near]], row[y[near]])})
+
+
+def _crowd_pairs(docs: DataFrame, crowd: DataFrame, found: DataFrame, words: int, similarity: float, chunk: int) -> DataFrame:
     """Distinct pairs of rows of different components that share a key in ``crowd`` (key, row, size, place) and can be similar.
 
     The rows of a key are dealt into chunks by a hash, and each two chunks meet in a task of their own. Keys whose rows
@@ -246,10 +277,17 @@ def _crowd_pairs(crowd: DataFrame, found: DataFrame, similarity: float, chunk: i
     crowd = stored(crowd, "crowd")
     open_ = crowd.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y")
     chunks = F.ceil(F.col("n") / chunk).cast("int")
-    rows = crowd.join(open_.select("key", chunks.alias("chunks")), "key").withColumn("own", F.pmod(F.xxhash64(F.lit(37), "row"), "chunks").cast("int"))
+    rows = stored(crowd.join(open_.select("key", chunks.alias("chunks")), "key"), "open")
+
+    def bits(data: pd.Series) -> pd.Series:
+        return pd.Series(_parity([shingle_set(bytes(x), words) for x in data]), dtype=object)
+
+    bits.__annotations__ = {"data": pd.Series, "return": pd.Series}
+    texts = by_number(docs, rows.select("row").distinct(), "row").select("row", F.pandas_udf(bits, "binary")(utf8("text")).alias("bits"))
+    rows = rows.join(stored(texts, "parity"), "row").withColumn("own", F.pmod(F.xxhash64(F.lit(37), "row"), "chunks").cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("c"), F.greatest("own", "other").alias("d"), "own", "row", "size", "place", "component")
-    dealt = rows.repartition("key", "c", "d").sortWithinPartitions("key", "c", "d", "row")
+    rows = rows.select("key", F.least("own", "other").alias("c"), F.greatest("own", "other").alias("d"), "own", "row", "size", "place", "component", "bits")
+    dealt = rows.repartition("key", "c", "d").sortWithinPartitions("key", "c", "d", "size", "row")
     return dealt.mapInPandas(partial(_chunk_pairs, similarity=similarity), "a bigint, b bigint").distinct()
 
 
@@ -289,24 +327,27 @@ def _links(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) ->
     Sets that differ in d shingles differ in at most d parity bits, so only pairs that fail for sure are left out before
     the sets themselves meet.
     """
-    pairs = stored(pairs, "pairs")
-    of = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
-    parity = [f"p{k}" for k in range(PARITY)]
-
-    def sets_(data: pd.Series) -> pd.DataFrame:
-        return _sets(data, words)
-
-    sets_.__annotations__ = {"data": pd.Series, "return": pd.DataFrame}
-    udf = F.pandas_udf(sets_, "s array<bigint>, n int, " + ", ".join(f"{c} bigint" for c in parity))
-    sets = stored(by_number(docs, of, "row").select("row", udf(utf8("text")).alias("x")).select("row", "x.*"), "shingles")
-    side = lambda x, columns: sets.select(F.col("row").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in columns])
-    differing = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in parity), F.lit(0))
-    most = (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + 1e-6
-    close = pairs.join(side("a", ["n", *parity]), "a").join(side("b", ["n", *parity]), "b").where(differing <= most).select("a", "b")
-    both = stored(close, "close").join(side("a", ["s"]), "a").join(side("b", ["s"]), "b")
-    common = F.size(F.array_intersect("a_s", "b_s"))
-    either = F.size("a_s") + F.size("b_s") - common
-    return stored(both.where(common >= similarity * either).select("a", "b"), "links")
+    with gathered() as used:
+        pairs = stored(pairs, "pairs")
+        of = pairs.select(F.explode(F.array("a", "b")).alias("row")).distinct()
+        parity = [f"p{k}" for k in range(PARITY)]
+
+        def sets_(data: pd.Series) -> pd.DataFrame:
+            return _sets(data, words)
+
+        sets_.__annotations__ = {"data": pd.Series, "return": pd.DataFrame}
+        udf = F.pandas_udf(sets_, "s array<bigint>, n int, " + ", ".join(f"{c} bigint" for c in parity))
+        sets = stored(by_number(docs, of, "row").select("row", udf(utf8("text")).alias("x")).select("row", "x.*"), "shingles")
+        side = lambda x, columns: sets.select(F.col("row").alias(x), *[F.col(c).alias(f"{x}_{c}") for c in columns])
+        differing = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in parity), F.lit(0))
+        most = (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + 1e-6
+        close = pairs.join(side("a", ["n", *parity]), "a").join(side("b", ["n", *parity]), "b").where(differing <= most).select("a", "b")
+        both = stored(close, "close").join(side("a", ["s"]), "a").join(side("b", ["s"]), "b")
+        common = F.size(F.array_intersect("a_s", "b_s"))
+        either = F.size("a_s") + F.size("b_s") - common
+    links = stored(both.where(common >= similarity * either).select("a", "b"), "links")
+    release(docs.sparkSession, used)
+    return links
 
 
 def similar_groups(docs: DataFrame, row: str, words: int = 5, similarity: float = 0.8, crowd: int = CROWD, chunk: int = CHUNK) -> DataFrame:
@@ -324,15 +365,20 @@ def similar_groups(docs: DataFrame, row: str, words: int = 5, similarity: float
     texts = docs.select("row", utf8("text").alias("data"))
     keyed = texts.mapInPandas(partial(_keys, words=words, similarity=similarity, sent=sent), "key bigint, row bigint, size int, place int")
     dealt = keyed.repartition("key").sortWithinPartitions("key", "size", "row")
-    met = stored(dealt.mapInPandas(partial(_bucket_pairs, similarity=similarity, crowd=crowd), "a bigint, b bigint, key bigint, size int, place int"), "met")
-    links = _links(docs, met.where("key is null").select("a", "b").distinct(), words, similarity)
-    empty = stored(docs.where(F.coalesce("text", F.lit("")).rlike(r"\A[ \t\n\r\x0b\f]*\z")).select("row"), "empty")
-    least = empty.agg(F.min("row")).first()[0]
-    found = stored(components(links.unionByName(empty.select(F.lit(least).cast("bigint").alias("a"), F.col("row").alias("b")))), "components")
+    with gathered() as used:
+        met = stored(dealt.mapInPandas(partial(_bucket_pairs, similarity=similarity, crowd=crowd), "a bigint, b bigint, key bigint, size int, place int"), "met")
+        links = _links(docs, met.where("key is null").select("a", "b").distinct(), words, similarity)
+        empty = stored(docs.where(F.coalesce("text", F.lit("")).rlike(r"\A[ \t\n\r\x0b\f]*\z")).select("row"), "empty")
+        least = empty.agg(F.min("row")).first()[0]
+        first = components(links.unionByName(empty.select(F.lit(least).cast("bigint").alias("a"), F.col("row").alias("b"))))
+    found = stored(first, "components")
     members = met.where("key is not null").select("key", F.col("a").alias("row"), "size", "place")
-    more = _links(docs, _crowd_pairs(members, found, similarity, chunk), words, similarity)
-    if not more.isEmpty():
-        found = components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
+    with gathered() as later:
+        more = _links(docs, _crowd_pairs(docs, members, found, words, similarity, chunk), words, similarity)
+        joined = None if more.isEmpty() else components(found.select(F.col("component").alias("a"), F.col("node").alias("b")).unionByName(more))
+    if joined is not None:
+        found = stored(joined, "components")
+    release(docs.sparkSession, used + later)
     return docs.select("row").join(found.withColumnRenamed("node", "row"), "row", "left").select(
         F.col("row").alias(row), F.coalesce("component", "row").alias("component")
     )
