@@ -74,6 +74,7 @@ class Plan:
 
 def _units(vectors: list) -> np.ndarray:
     x = np.array([np.asarray(v, dtype=np.float64) for v in vectors])
+    x = np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])  # by a power of two: squares neither vanish nor overflow
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 

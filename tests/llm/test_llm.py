@@ -65,6 +65,14 @@ def roots(nodes, links):
     return {n: root(n) for n in nodes}
 
 
+def test_vectors_of_extreme_length_link(spark):
+    base = [0.5, -1.0, 0.25, 2.0]
+    rows = [(i, [x * scale for x in base], 1) for i, scale in enumerate((1e-200, 1e200, 1.0, 5e-308, 8e307))]
+    rows += [(10, [-x for x in base], 1), (11, [x * 1e200 for x in base], 2)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.linked_vectors(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>, label int")).collect()}
+    assert got == {**dict.fromkeys(range(5), (4, 0)), 10: (0, 10), 11: (0, 11)}
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(200)] + [(1000, 1000 + i) for i in range(1, 300)] + [(7, 7), (None, 3)]
     random.Random(1).shuffle(edges)
