@@ -270,3 +270,41 @@ def test_folds_keep_rows_without_label(spark):
 
     rows = spark.createDataFrame([(i, None if i % 3 == 0 else "a") for i in range(30)], "log_id bigint, y string")
     assert assign_folds(rows, "y", "log_id").count() == 30
+
+
+def test_models_load_by_their_folder(spark, lines, text_model, vectors, folder):
+    from logwarden.operators.bundle import Bundle
+
+    _, model = text_model
+    forest = anomaly.fit_forest(vectors)
+    platt = calibrate.PlattModel(model.classes, [1.0] * len(model.classes), [0.0] * len(model.classes))
+    Bundle(model, platt, forest).save(spark, f"{folder}/models")
+    again = Bundle.load(spark, f"{folder}/models")
+    assert (again.model.classes, again.platt.slope, again.forest.offset) == (model.classes, platt.slope, forest.offset)
+    df = lines("Backup completed successfully.", "zzz qqq")
+    key = lambda m: [(r.predicted, r.probabilities) for r in m.predict(df).orderBy("log_id").collect()]
+    assert key(again.model) == key(model)
+    Bundle(forest=forest).save(spark, f"{folder}/one")
+    assert Bundle.load(spark, f"{folder}/one").model is None
+    nothing = Bundle.load(spark, f"{folder}/not there")
+    assert nothing == Bundle()
+    done = cl.Cascade([*nothing.tiers(), cl.keyword_tier()]).classify(df)
+    assert {r.method for r in done.collect()} == {"llm"}
+
+
+def test_three_parts_of_a_held_out_run_are_disjoint(spark, vectors):
+    rows = learn.vectors(vectors).select("vec_id", "label", "features")
+    folds = learn.assign_folds(rows, "label", "vec_id")
+    parts = [{r.vec_id for r in folds.where(w).collect()} for w in ("fold < 3", "fold = 3", "fold = 4")]
+    assert sum(map(len, parts)) == len(set.union(*parts)) == rows.count()
+    _, _, scored = learn.calibrated_holdout(rows, "label", "vec_id")
+    got = scored.collect()
+    assert {r.vec_id for r in got} == parts[2] and all(sum(r.calibrated) == pytest.approx(1.0) for r in got)
+
+
+def test_slices_of_a_large_label_are_ranked_in_order(spark):
+    df = spark.range(5000).selectExpr("id", "if(id % 10 = 0, NULL, 'hot') AS label")
+    got = learn.stratified_position(df, "label", "id", slice_rows=1).collect()  # cuts every part further
+    for label, n in ((None, 500), ("hot", 4500)):
+        mine = [r for r in got if r.label == label]
+        assert sorted(r.position for r in mine) == list(range(n)) and {r.stratum_size for r in mine} == {n}

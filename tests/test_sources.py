@@ -101,12 +101,32 @@ def test_classified_csv_keeps_input_columns(spark, lines, folder):
     }
 
 
-def test_analysis_json_per_source(spark, lines, folder):
-    done = cl.classify(lines(("A", "failed login from 10.0.0.1"), ("B", "Backup ended")))
-    sinks.write_analysis_json(rp.analyze(done, ("source",)), f"{folder}/report")
-    rows = {r.source: r for r in spark.read.json(f"{folder}/report/overview").collect()}
-    assert rows["A"].event_count == 1 and rows["B"].event_count == 0
-    assert spark.read.json(f"{folder}/report/events").first().event_type == "Security Alert"
+def test_analysis_json_per_file(spark, folder):
+    put(folder, "in/a/app.log", "failed login from 10.0.0.1\n" * 6 + "GET /x?q=1 HTTP/1.1 status: 404\n")
+    put(folder, "in/b/app.log", "Backup ended\n")  # same name, another input
+    lines = files.scan_directory(spark, f"{folder}/in", recursive=True, keep_file=True)
+    analysis = rp.analyze(cl.classify(lines), ("file",), order="line_order", lines=lines)
+    runs = [sinks.write_analysis_json(analysis, f"{folder}/out") for _ in range(2)]
+    assert runs[0] != runs[1]
+    rows = {os.path.basename(os.path.dirname(r.file)): r for r in spark.read.schema(analysis.report.schema).json(f"{runs[0]}/report").collect()}
+    assert set(rows) == {"a", "b"}
+    a, b = rows["a"], rows["b"]
+    assert (a.time_analysis.total_logs, a.event_count, b.time_analysis.total_logs, b.event_count) == (7, 7, 1, 0)
+    assert [tuple(x) for x in a.ip_analysis.suspicious] == [("10.0.0.1", 6, "MEDIUM")] and b.ip_analysis.suspicious == []
+    assert [tuple(x) for x in a.url_analysis.top_urls] == [("/x", 1)] and a.url_analysis.total_unique_urls == 1
+    assert {x.label: x.n for x in a.time_analysis.label_distribution} == {"Security Alert": 6, "HTTP Status": 1}
+    assert b.highest_severity is None and b.mitre_coverage == [] and b.recommendations == []
+    assert [t.technique_id for t in a.mitre_coverage] == ["T1046"]
+    assert spark.read.json(f"{runs[0]}/events").count() == 7
+    assert {r.file.split("/")[-2] for r in spark.read.json(f"{runs[1]}/ip_frequency").collect()} == {"a"}
+
+
+def test_report_lists_are_bounded(spark):
+    facts = spark.range(5000).selectExpr("'f' AS file", "'ip' AS kind", "cast(id AS string) AS key", "id + 10 AS n", "id AS first_seen")
+    facts = facts.unionByName(spark.range(40).selectExpr("'f' AS file", "'url' AS kind", "concat('/', id) AS key", "5 AS n", "id AS first_seen"))
+    row = rp.report_rows(facts, ("file",)).first()
+    assert len(row.ip_analysis.suspicious) == rp.LISTED and row.ip_analysis.suspicious[0].ip == "4999" and row.ip_analysis.suspicious_count == 5000
+    assert [u.url for u in row.url_analysis.top_urls] == [f"/{i}" for i in range(20)]
 
 
 def test_reports_over_files_use_the_line_order(spark, folder):
@@ -125,3 +145,25 @@ def test_csv_files_are_read_by_their_own_headers(spark, tmp_path):
     (tmp_path / "f.csv").write_text("id,text\n1,no message\n")
     with pytest.raises(ValueError):
         files.scan_csv(spark, str(tmp_path))
+
+
+def test_headers_cost_one_record_a_file(spark, tmp_path):
+    for i in range(40):
+        head = "source,log_message" if i % 2 else "log_message,id"
+        body = "".join(f"s{i},m{k}\n" if i % 2 else f"m{k},{k}\n" for k in range(200))
+        (tmp_path / f"f{i:02}.csv").write_text(f"{head}\n{body}")
+    heads = files.file_headers(spark, str(tmp_path))
+    assert heads.count() == 40 and {tuple(r.header) for r in heads.collect()} == {("source", "log_message"), ("log_message", "id")}
+    rows = files.scan_csv(spark, str(tmp_path), ordered=True, keep_file=True)
+    assert rows.count() == 8000 and rows.where("log_message IS NULL OR NOT startswith(log_message, 'm')").count() == 0
+    per = {r.source: r.ids for r in rows.selectExpr("source", "id").groupBy("source").agg({"id": "count"}).withColumnRenamed("count(id)", "ids").collect()}
+    assert per["s1"] == 0 and per["f00"] == 200 and len(per) == 40
+
+
+def test_labelled_files_of_different_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("log_message,target_label\nx,Error\n")
+    (tmp_path / "b.csv").write_text('target_label,extra,source,log_message\nHTTP Status,1,S,"two\nlines"\n')
+    assert {tuple(r) for r in files.scan_labelled(spark, str(tmp_path)).collect()} == {("unknown", "x", "Error"), ("S", "two\nlines", "HTTP Status")}
+    (tmp_path / "c.csv").write_text("log_message\nx\n")
+    with pytest.raises(ValueError, match="target_label"):
+        files.scan_labelled(spark, str(tmp_path))
