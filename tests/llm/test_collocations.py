@@ -55,13 +55,15 @@ def rows():
     return texts
 
 
-@pytest.mark.parametrize(("coded", "block"), [(collocations.CODED, collocations.BLOCK), (0, 700), (6, 64), (1, 5000)])
-def test_collocations_against_brute_force(spark, rows, coded, block):
+@pytest.mark.parametrize(
+    ("coded", "block", "least", "share", "first"),
+    [(collocations.CODED, collocations.BLOCK, 2, 80, 2000), (0, 700, 3, 50, 7), (6, 64, 2, 50, 2000), (1, 5000, 3, 80, 7)],
+)
+def test_collocations_against_brute_force(spark, rows, coded, block, least, share, first):
     docs = spark.createDataFrame([(i, t, x, "s", 1, "f", 2, "p", "w") for i, (t, x) in enumerate(rows)], SCHEMA).repartition(5)
-    for least, share, first in ((2, 80, 2000), (3, 50, 7)):
-        got = collocations.collocations(docs, least, share, first, coded, block)
-        assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
-        assert sorted(map(tuple, got.collect())) == brute(rows, least, share, first)
+    got = collocations.collocations(docs, least, share, first, coded, block)
+    assert got.columns == ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
+    assert sorted(map(tuple, got.collect())) == brute(rows, least, share, first)
 
 
 def test_collocations_of_nothing(spark):
