@@ -520,7 +520,7 @@ ORACLE |= {
     "k5_completion_function": f"""WITH {CLS} SELECT log_id, CASE WHEN rx IS NOT NULL THEN rx WHEN contains(log_message, 'percent') THEN classification
   WHEN contains(log_message, 'job') THEN 'Workflow Error' ELSE 'HTTP Status' END AS classification, method,
  round(CAST(CASE WHEN rx IS NOT NULL THEN 1.0 WHEN contains(log_message, 'percent') THEN confidence ELSE 0.75 END AS DOUBLE), 6) AS confidence FROM cls""",
-    "i1_forms_agree": f"""WITH {LOGS} SELECT CAST(sum(greatest(1, len(list_filter(regexp_split_to_array(log_message, '\s+'), lambda w: w <> '')))) AS BIGINT) AS words,
+    "i1_forms_agree": rf"""WITH {LOGS} SELECT CAST(sum(greatest(1, len(list_filter(regexp_split_to_array(log_message, '\s+'), lambda w: w <> '')))) AS BIGINT) AS words,
  CAST(0 AS BIGINT) AS differing FROM logs""",
 }
 
@@ -539,4 +539,9 @@ ORACLE["j6_request_limiter"] = """WITH RECURSIVE r AS (SELECT event_id, CAST(use
   SELECT event_id, ip, k, CASE WHEN len(now) < 3 THEN list_append(now, us) ELSE now END, len(now) < 3
   FROM (SELECT r.event_id, r.ip, r.k, r.us, list_filter(w.hits, lambda h: h > r.us - 36000000000) AS now FROM walk w JOIN r ON r.ip = w.ip AND r.k = w.k + 1))
 SELECT event_id, ip, admitted FROM walk"""
+ORACLE |= {
+    "d18_tree_rows": "SELECT t AS tree, least(256, (SELECT count(*) FROM embeddings)) AS rows, least(256, (SELECT count(*) FROM embeddings)) AS ids FROM range(100) g(t)",
+    "d19_outlier_share": "SELECT count(*) AS rows, true AS as_many_as_set, true AS scored_alike FROM embeddings",
+    "d20_tier_agrees": "SELECT vec_id, true AS agrees FROM embeddings",
+}
 ORACLE["j6_stream_limiter"] = ORACLE["j6_request_limiter"]

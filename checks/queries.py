@@ -667,6 +667,34 @@ def d20(spark, sf):
     return done.select("vec_id", "classification", "method", r6("confidence").alias("confidence"))
 
 
+@query("d18_tree_rows")
+def d18_rows(spark, sf):
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    samples = anomaly.tree_samples(rows, "vec_id", rows.count(), rules.FOREST_TREES, rules.FOREST_SAMPLE, rules.FOREST_SEED)
+    return samples.groupBy(F.col("tree").cast("bigint").alias("tree")).agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("vec_id").alias("ids"))
+
+
+@query("d19_outlier_share")
+def d19_share(spark, sf):
+    """As many outliers as the set share, within the quantile's error; scores are 0 for inliers and between 0 and 1 for outliers."""
+    rows = table(spark, sf, "embeddings")
+    done = anomaly.score_anomalies(rows, anomaly.fit_forest(rows))
+    found, n, score = F.count_if("is_anomaly"), F.count(F.lit(1)), F.col("anomaly_score")
+    alike = F.when(F.col("is_anomaly"), (score > 0) & (score <= 1)).otherwise(score == 0)
+    return done.agg(n.alias("rows"), (F.abs(found - rules.FOREST_CONTAMINATION * n) <= 2 + n / 10_000).alias("as_many_as_set"), F.bool_and(alike).alias("scored_alike"))
+
+
+@query("d20_tier_agrees")
+def d20_agrees(spark, sf):
+    """The anomaly tier labels what the batch scores flag, with the score less its adjustment."""
+    rows = table(spark, sf, "embeddings").withColumn("log_message", F.lit("vector"))
+    forest = anomaly.fit_forest(rows)
+    done = cl.Cascade([cl.pattern_tier(), anomaly.anomaly_tier(forest), cl.keyword_tier()], entities=None).classify(anomaly.score_anomalies(rows, forest))
+    found = F.col("classification") == "Anomaly"
+    sure = F.greatest(F.lit(0.0), F.col("anomaly_score") - 0.05)
+    return done.select("vec_id", ((found == F.col("is_anomaly")) & F.when(found, F.abs(F.col("confidence") - sure) < 1e-9).otherwise(True)).alias("agrees"))
+
+
 # --- E: events and reports --------------------------------------------------
 
 

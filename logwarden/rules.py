@@ -10,22 +10,8 @@ that applies wins.
 
 SEVERITIES = ["CRITICAL", "HIGH", "MEDIUM", "LOW", "INFO"]
 
-LOG_TYPES = ["web_server", "syslog", "security", "openstack", "hdfs", "generic"]
-
 METHODS = ["regex", "bert", "llm", "anomaly"]
 
-MODEL_LABELS = [
-    "HTTP Status",
-    "Security Alert",
-    "Critical Error",
-    "Error",
-    "System Notification",
-    "User Action",
-    "Resource Usage",
-    "Workflow Error",
-    "Deprecation Warning",
-]
-
 UNCLASSIFIED = "Unclassified"
 
 # --- fixed values: format detection (searched anywhere in the line) ----------
