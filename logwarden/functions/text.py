@@ -10,7 +10,7 @@ every line. Two habits keep it low:
 * a pattern that is only a list of plain words becomes substring tests on a
   folded copy of the line (no regex engine at all);
 * any other pattern runs only on lines that hold a word the pattern cannot
-  match without (``REQUIRED_WORDS``), so most lines never reach the engine.
+  match without (``required_words``), so most lines never reach the engine.
 """
 
 from __future__ import annotations
@@ -27,20 +27,6 @@ CASELESS = "(?dUui)"
 ODD_LETTERS = "ſıİ"
 ODD_LETTERS_AS = "sii"
 
-# A match of the key is impossible unless the folded line holds one of these words.
-REQUIRED_WORDS: dict[str, list[str]] = {
-    r"admin.*escalat|privilege.*escalat": ["escalat"],
-    r"(?:GET|POST|PUT|DELETE|HEAD|OPTIONS)\s+\S+\s+HTTP/\d": ["http/"],
-    r"User\s+\w+\s+logged\s+(?:in|out)\b": ["logged"],
-    r"Account\s+with\s+ID\s+\S+\s+created\s+by\s+": ["account"],
-    r"Backup\s+(?:started|ended|completed)": ["backup"],
-    r"System\s+(?:updated|reboot)": ["system"],
-    r"File\s+\S+\s+uploaded\s+successfully\s+by\s+user\s+": ["uploaded"],
-    r"Disk\s+cleanup\s+completed\s+successfully": ["cleanup"],
-    r"(?:memory|disk|CPU)\s+usage": ["usage"],
-    r"(?:workflow|process|task)\s+failed": ["failed"],
-}
-
 _SPECIAL = set(r".^$*+?{}[]\|()")
 
 
@@ -162,6 +148,38 @@ def simplify_search(pattern: str) -> str:
     return "|".join(parts)
 
 
+def _literal(part: str) -> str:
+    """The longest plain text that every match of one alternative holds, in lower case."""
+    runs, depth, i = [""], 0, 0
+    while i < len(part):
+        c = part[i]
+        if c == "\\":
+            i += 1
+            runs.append("")
+        elif c == "[":
+            i = part.index("]", i + 2)
+            runs.append("")
+        elif c in "()":
+            depth += 1 if c == "(" else -1
+            runs.append("")
+        elif c in "*?{" and depth == 0:  # what stands before may be missing
+            runs[-1] = runs[-1][:-1]
+            i = part.index("}", i) if c == "{" else i
+            runs.append("")
+        elif c in _SPECIAL or depth:
+            runs.append("")
+        else:
+            runs[-1] += c
+        i += 1
+    return max(runs, key=len).lower()
+
+
+def required_words(pattern: str) -> list[str]:
+    """Words of which the folded line holds one if the caseless pattern matches; none if that can't be told."""
+    words = [_literal(part) for part in _alternatives(pattern)]
+    return words if all(len(w) > 2 and w.isascii() for w in words) else []
+
+
 def caseless_search(text: str, fold: str, pattern: str) -> str:
     """SQL text: case-insensitive ``search(pattern)`` as the cheapest equal expression."""
     pattern = simplify_search(pattern)
@@ -169,7 +187,7 @@ def caseless_search(text: str, fold: str, pattern: str) -> str:
     if all(w and w.isascii() and not (_SPECIAL & set(w)) for w in words):
         return contains_any(fold, [w.lower() for w in words])
     hit = f"{text} RLIKE {sql_text(CASELESS + pattern)}"
-    needs = REQUIRED_WORDS.get(pattern)
+    needs = required_words(pattern)
     return f"({contains_any(fold, needs)} AND {hit})" if needs else f"({hit})"
 
 

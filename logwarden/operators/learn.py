@@ -46,9 +46,17 @@ def vectors(df: DataFrame, embedding: str = "embedding") -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(embedding).cast("array<double>")))
 
 
+#: Classes of a model at most: each is a row of its weights and a branch of its verdict.
+MOST_CLASSES = 10_000
+
+
 def class_names(df: DataFrame, label: str) -> list[str]:
-    """The labels in order. A training set's classes are few by nature."""
-    return [r[0] for r in df.select(F.col(label).cast("string").alias("l")).distinct().orderBy("l").collect()]
+    """The labels in order; a label with too many different values is refused before they are gathered."""
+    names = df.select(F.col(label).cast("string").alias("l")).distinct().orderBy("l").limit(MOST_CLASSES + 1)
+    found = [r[0] for r in names.collect()]
+    if len(found) > MOST_CLASSES:
+        raise ValueError(f"{label} has over {MOST_CLASSES} different values")
+    return found
 
 
 def label_index(label: str, classes: list[str]) -> Column:

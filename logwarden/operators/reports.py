@@ -142,13 +142,15 @@ def summary_text(logs: Column, events: Column, critical: Column, high: Column, i
     def text(c: Column) -> Column:
         return c.cast("string")
 
+    def part(count: Column, wording: str) -> Column:
+        return F.when(count > 0, F.concat(text(count), F.lit(wording)))
+
+    head, middle, tail = rules.SUMMARY_TOTALS
     return F.concat_ws(
         " ",
-        F.concat(F.lit("Analysed "), text(logs), F.lit(" log entries, identified "), text(events), F.lit(" security events.")),
-        F.when(critical > 0, F.concat(text(critical), F.lit(" CRITICAL severity event(s) require immediate attention."))),
-        F.when(high > 0, F.concat(text(high), F.lit(" HIGH severity event(s) detected."))),
-        F.when(ips > 0, F.concat(text(ips), F.lit(" suspicious IP address(es) identified."))),
-        F.when(events == 0, F.lit("No security events detected in the analysed logs.")),
+        F.concat(F.lit(head), text(logs), F.lit(middle), text(events), F.lit(tail)),
+        part(critical, rules.SUMMARY_CRITICAL), part(high, rules.SUMMARY_HIGH), part(ips, rules.SUMMARY_ADDRESSES),
+        F.when(events == 0, F.lit(rules.SUMMARY_NOTHING)),
     )
 
 

@@ -108,6 +108,13 @@ KEYWORD_RULES = [
     ),
 ]
 KEYWORD_CONFIDENCE = 0.70
+# Fixed wording of the summary.
+SUMMARY_TOTALS = ("Analysed ", " log entries, identified ", " security events.")
+SUMMARY_CRITICAL = " CRITICAL severity event(s) require immediate attention."
+SUMMARY_HIGH = " HIGH severity event(s) detected."
+SUMMARY_ADDRESSES = " suspicious IP address(es) identified."
+SUMMARY_NOTHING = "No security events detected in the analysed logs."
+
 KEYWORD_REASON_PREFIX = "[Simulated] "
 KEYWORD_NO_REASON = "Unable to classify this log message."
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,13 +60,21 @@ def append_feedback(rows: DataFrame, path: str) -> None:
     rows.select(*names).write.mode("append").json(path)
 
 
-def read_feedback(spark: SparkSession, path: str) -> DataFrame:
-    """All feedback rows; an empty table if nothing was stored yet."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if not target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target):
+def read_feedback(spark: SparkSession, path: str, skip_broken: bool = False) -> DataFrame:
+    """All feedback rows; an empty table if nothing was stored yet.
+
+    A line that is no JSON object fails the read, or is left out with ``skip_broken``.
+    """
+    try:
+        lines = spark.read.text(path).filter(F.trim("value") != "")
+    except AnalysisException as why:
+        if why.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], FEEDBACK_SCHEMA)
-    lines = spark.read.text(path).filter(F.trim("value") != "")
-    return lines.select(F.from_json("value", FEEDBACK_SCHEMA).alias("f")).select("f.*")
+    if not skip_broken:
+        return lines.select(F.from_json("value", FEEDBACK_SCHEMA, {"mode": "FAILFAST"}).alias("f")).select("f.*")
+    read = lines.select(F.from_json("value", f"{FEEDBACK_SCHEMA}, _corrupt_record string").alias("f")).select("f.*")
+    return read.where("_corrupt_record is null").drop("_corrupt_record")
 
 
 def clear_feedback(spark: SparkSession, path: str) -> None:

@@ -161,6 +161,20 @@ def test_plain_word_patterns_never_reach_the_regex_engine():
     assert "RLIKE" in caseless_search("m", "f", r"task\s+failed")
 
 
+def test_required_words():
+    from logwarden.functions.text import required_words, simplify_search
+
+    assert required_words(r"abc*defg|xyz+w") == ["defg", "xyz"]
+    assert required_words(r"(?:GET|POST)\s+\S+\s+HTTP/\d") == ["http/"]
+    assert required_words(r"a{2}bcd|[xyz]q") == [] and required_words(r"\d+") == []
+    compiled = [re.compile(p, re.IGNORECASE) for p, _ in rules.PATTERN_RULES]
+    for text in WORDS:
+        for (pattern, _), search in zip(rules.PATTERN_RULES, compiled):
+            needs = required_words(simplify_search(pattern))
+            if needs and text.isascii() and search.search(text):
+                assert any(w in text.lower() for w in needs)
+
+
 def test_filter_on_the_outcome_does_not_repeat_the_cascade(spark, sf):
     from checks.logs_view import logs
 

@@ -81,3 +81,15 @@ def test_approach_with_a_python_tier(lines):
     df = lines("failed login", "blue").withColumn("target_label", F.lit("X"))
     mine = {"m": cl.Cascade([cl.pattern_tier(), cl.BatchTier("bert", always)], entities=None), "p": cl.Cascade([cl.pattern_tier()])}
     assert {r.approach: r.accuracy for r in mt.compare_approaches(df, mine).collect()} == {"m": 0.5, "p": 0.0}
+
+
+def test_broken_feedback_lines(spark, folder):
+    import os
+
+    os.makedirs(f"{folder}/store")
+    with open(f"{folder}/store/a.json", "w") as f:
+        f.write('{"id": "1", "log_message": "m", "is_correct": true}\n\nnot json\n')
+    assert [r.id for r in sinks.read_feedback(spark, f"{folder}/store", skip_broken=True).collect()] == ["1"]
+    with pytest.raises(Exception, match="MALFORMED|FAILFAST"):
+        sinks.read_feedback(spark, f"{folder}/store").collect()
+    assert sinks.read_feedback(spark, f"{folder}/nowhere").count() == 0
