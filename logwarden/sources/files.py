@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -56,24 +57,23 @@ def clean_utf8(value: str) -> Column:
     return F.when(F.is_valid_utf8(text), text).otherwise(F.regexp_replace(F.make_valid_utf8(text), "\ufffd", ""))
 
 
-#: Columns of a CSV file, and different column names of all files of a scan, at most.
+#: Different column names of all files of a scan, at most.
 MOST_COLUMNS = 1024
 
 
 def file_headers(spark: SparkSession, path: str | list[str], recursive: bool = False, glob: str | None = None) -> DataFrame:
     """``file, header``: the column names of every CSV file that has a line, one row per file; written down.
 
-    A file is a task of its own that stops after its first record, so of each file the beginning is read.
+    A file is a task of its own that stops after its first line, so of each file the beginning is read. Names can be
+    quoted, but not over a line's end.
     """
-    own = spark.newSession()  # its settings give every file a task and hand on every record at once
+    own = spark.newSession()  # its settings give every file a task and hand on every line at once
     for name in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.execution.arrow.maxRecordsPerBatch"):
         own.conf.set(name, "1")
-    columns = [f"_c{i}" for i in range(MOST_COLUMNS)]
-    reader = own.read.option("multiLine", True).option("escape", '"').option("recursiveFileLookup", recursive)
+    # read as whole lines: by a separator that no header holds, without quotes, a file undivided
+    reader = own.read.option("multiLine", True).option("sep", "\u0001").option("quote", "").option("recursiveFileLookup", recursive)
     reader = reader.option("pathGlobFilter", glob) if glob else reader
-    records = reader.schema(", ".join(f"{c} string" for c in columns)).csv(path)
-    held = F.expr(f"array_max(transform(array({', '.join(columns)}), (x, i) -> if(x is null, 0, i + 1)))")
-    records = records.select(F.col("_metadata.file_path").alias("file"), F.slice(F.array(*columns), F.lit(1), held).alias("header"))
+    lines = reader.schema("line string").csv(path).select(F.col("_metadata.file_path").alias("file"), "line")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = None
@@ -83,10 +83,12 @@ def file_headers(spark: SparkSession, path: str | list[str], recursive: bool = F
                 return
             if batch.num_rows:
                 seen = file
-                yield batch.slice(0, 1)
+                cells = next(csv.reader([(batch.column("line")[0].as_py() or "").rstrip("\r\n")]), [])
+                header = pa.array([[c or None for c in cells]], pa.list_(pa.string()))
+                yield pa.RecordBatch.from_arrays([pa.array([file]), header], ["file", "header"])
 
     folder = work_folder(spark, "headers")
-    records.mapInArrow(first, "file string, header array<string>").write.parquet(folder)
+    lines.mapInArrow(first, "file string, header array<string>").write.parquet(folder)
     named = F.transform("header", lambda x, i: F.coalesce(x, F.concat(F.lit("_c"), i.cast("string"))))
     return spark.read.schema("file string, header array<string>").parquet(folder).withColumn("header", named)
 
