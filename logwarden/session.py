@@ -53,7 +53,7 @@ def gathered() -> Iterator[list[str]]:
         _GATHERING.reset(token)
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Write ``df`` to the work folder and read it back: a cut in the lineage that survives lost executors.
 
     The table stays until ``release`` removes it or the folder is cleaned.
@@ -61,7 +61,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = work_folder(df.sparkSession, name)
     for paths in _GATHERING.get():
         paths.append(path)
-    df.write.parquet(path)
+    (df.write.option("compression", compression) if compression else df.write).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
