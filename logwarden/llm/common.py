@@ -19,7 +19,7 @@ def numbered(docs: DataFrame) -> DataFrame:
 
     Rows that repeat with all their columns can only be told apart by such a number.
     """
-    return stored(docs.drop(ROW).withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    return stored(docs.drop(ROW).withColumn(ROW, F.monotonically_increasing_id()), "numbered", "zstd")
 
 
 def utf8(text: str):

@@ -342,7 +342,9 @@ def _links(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) ->
         differing = sum((F.bit_count(F.col(f"a_{c}").bitwiseXOR(F.col(f"b_{c}"))) for c in parity), F.lit(0))
         most = (1 - similarity) / (1 + similarity) * (F.col("a_n") + F.col("b_n")) + 1e-6
         close = pairs.join(side("a", ["n", *parity]), "a").join(side("b", ["n", *parity]), "b").where(differing <= most).select("a", "b")
-        both = stored(close, "close").join(side("a", ["s"]), "a").join(side("b", ["s"]), "b")
+        close = stored(close, "close")
+        sets = by_number(sets, close.select(F.explode(F.array("a", "b")).alias("row")).distinct(), "row")  # no other set is sent
+        both = close.join(side("a", ["s"]), "a").join(side("b", ["s"]), "b")
         common = F.size(F.array_intersect("a_s", "b_s"))
         either = F.size("a_s") + F.size("b_s") - common
     links = stored(both.where(common >= similarity * either).select("a", "b"), "links")
