@@ -273,10 +273,29 @@ def adjust_confidence(raw: Column, method: str | Column) -> Column:
 REASONS = {"regex": rules.REASON_PATTERN, "bert": rules.REASON_MODEL, "llm": rules.REASON_COMPLETION}
 
 
+def hundredths(x: Column) -> Column:
+    """``x`` at two places by its exact binary value, a tie to the even digit; formatting alone rounds its shortest decimal form up.
+
+    A product that lands between two hundredths may have been rounded there: what it lost, exact by halves of 26 bits, decides.
+    """
+    x = x.cast("double")
+    p = x * 100
+    high = x * 134217729.0 - (x * 134217729.0 - x)
+    lost = (high * 100 - p) + (x - high) * 100
+    near = F.when(lost > 0, F.ceil(p)).otherwise(F.floor(p)).cast("double")
+    between = (p - F.floor(p) == 0.5) & (lost != 0)
+    return F.when(between, near).otherwise(F.rint(p)) / 100
+
+
 def reasoning(method: str, confidence: Column) -> Column:
     """The sentence that goes with a decision."""
     said = REASONS.get(method, "")
-    return F.format_string(said, confidence) if "%" in said else F.lit(said)
+    if "%" not in said:
+        return F.lit(said)
+    told = F.format_string(said, hundredths(confidence))
+    for odd, written in (("NaN", "nan"), ("Infinity", "inf")):
+        told = F.replace(told, F.lit(odd), F.lit(written))
+    return F.when(confidence.isNotNull(), told)
 
 
 OUTCOME = ["classification", "method", "confidence", "reasoning", "entities"]

@@ -200,3 +200,10 @@ def test_a_tier_that_fails_on_some_lines_keeps_the_others(spark):
             assert {r.log_id for r in done.where("classification = 'Found'").collect()} == set(range(40)) - {7}
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+
+
+def test_reasoning_writes_confidences_as_their_binary_values_round(spark):
+    values = [k / 1000 for k in range(1001)] + [0.125, 0.375, 0.5051, 1.0, float("nan"), float("inf"), None]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v double").select("i", cl.reasoning("bert", F.col("v")).alias("s"))
+    got = [r.s for r in df.orderBy("i").collect()]
+    assert got == [None if v is None else f"Classified with BERT embeddings (confidence: {v:.2f})." for v in values]
