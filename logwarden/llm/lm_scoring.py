@@ -8,7 +8,7 @@ import os
 import pickle
 from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,13 +22,17 @@ from logwarden.llm.tokens import ranked, tokenizer_path
 from logwarden.session import stored
 
 VOCABULARY = "byte_bpe_50k.json"
-#: Texts the model is trained on at most, those with the smallest hashes; of each a stretch of so many bytes.
+#: Texts that training starts with, at most, those with the smallest hashes; of each a stretch of so many bytes. All texts follow.
 SAMPLE, STRETCH = 6_000, 1_024
 #: Ids of a context window, and how many of them only lead in: every window but a text's first scores what follows these.
 CONTEXT, LEAD = 32, 8
 #: Sizes: embedding, hidden layer, ids that are predicted one by one (in classes of equal number), other classes.
 WIDTH, HIDDEN, FREQUENT, CLASSES, OTHER_CLASSES = 16, 32, 1024, 32, 16
 STEPS, BATCH, RATE = 1500, 64, 0.02
+#: Windows of a step, its rate at first, and steps whose windows are mixed, when all texts are gone through.
+ALL_BATCH, ALL_RATE, MIXED = 512, 0.01, 8
+#: Ids whose followers put ids into classes; ids that are put into classes by that, and how many of them are summed together.
+HUBS, SORTED, ROWS_A_BLOCK = 128, 8192, 128
 #: Words whose counts every task holds, the most frequent ones at most; the counts of all others are joined.
 COMMON = 1 << 17
 #: Logits stay within this of zero, so that sums need no shift and nothing underflows.
@@ -52,25 +56,25 @@ class Model:
     place: np.ndarray
     within: np.ndarray  # log share of each id in its class
 
-    def _layer(self, ids: np.ndarray) -> dict[str, np.ndarray]:
-        """ids: windows, positions. Everything up to the hidden layer."""
+    def _layer(self, ids: np.ndarray, skip: int = 0) -> dict[str, np.ndarray]:
+        """ids: windows, positions. Everything up to the hidden layer, which the first ``skip`` positions only lead in to."""
         v = self.values
         n, t = ids.shape
         x = v["embed"].take(ids, axis=0)
         x += v["position"][:t]
         flat = x.reshape(-1, WIDTH)
         all_ = (flat @ np.concatenate([v["query"] / math.sqrt(WIDTH), v["key"], v["value"]], axis=1)).reshape(n, t, 3 * WIDTH)
-        q, k = all_[:, :, :WIDTH], all_[:, :, WIDTH : 2 * WIDTH]
+        q, k = all_[:, skip:, :WIDTH], all_[:, :, WIDTH : 2 * WIDTH]
         u = np.ones((n, t, WIDTH + 1), x.dtype)  # the ones add the weights up
         u[:, :, :WIDTH] = all_[:, :, 2 * WIDTH :]
         a = np.matmul(q, k.transpose(0, 2, 1))
         np.clip(a, -FLOOR, FLOOR, out=a)
         np.exp(a, out=a)
-        a *= np.tril(np.ones((t, t), dtype=a.dtype))
+        a *= np.tril(np.ones((t, t), dtype=a.dtype))[skip:]
         o = np.matmul(a, u)
         sums = o[:, :, WIDTH:].copy()
         o = o[:, :, :WIDTH] / sums
-        h = flat @ v["near"]
+        h = (x[:, skip:].reshape(-1, WIDTH) if skip else flat) @ v["near"]
         h += o.reshape(-1, WIDTH) @ v["far"]
         h += v["bias"]
         return {"x": x, "q": q, "k": k, "u": u[:, :, :WIDTH], "a": a, "sums": sums, "o": o, "h": np.maximum(h, 0, out=h)}
@@ -79,9 +83,9 @@ class Model:
         """Natural log probability of each target after hidden state h; with ``grads`` also the mean loss's gradient in h."""
         v = self.values
         own = self.kind[target]
-        result, back = self.within[target], None
-        for lo in range(0, len(target), ROWS if grads is None else len(target)):
-            part = slice(lo, lo + ROWS) if grads is None else slice(None)
+        result, back = self.within[target], None if grads is None else np.empty_like(h)
+        for lo in range(0, len(target), ROWS):
+            part = slice(lo, lo + ROWS)
             c = h[part] @ v["class"]
             c += v["class_bias"]
             np.clip(c, -FLOOR, FLOOR, out=c)
@@ -90,13 +94,13 @@ class Model:
             np.exp(c, out=c)
             total = c @ np.ones(c.shape[1], c.dtype)
             result[part] -= np.log(total)
-        if grads is not None:
-            c /= total[:, None]
-            c[at, own] -= 1
-            c /= len(target)
-            grads["class"] += h.T @ c
-            grads["class_bias"] += c.sum(axis=0)
-            back = c @ v["class"].T
+            if grads is not None:
+                c /= total[:, None]
+                c[at, own[part]] -= 1
+                c /= len(target)
+                grads["class"] += h[part].T @ c
+                grads["class_bias"] += np.ones(len(c), c.dtype) @ c
+                back[part] = c @ v["class"].T
         order = np.argsort(own.astype(np.uint8), kind="stable")  # bytes are sorted by counting
         cut = np.append(0, np.cumsum(np.bincount(own, minlength=CLASSES)[:CLASSES]))
         order = order[: cut[-1]]
@@ -116,15 +120,15 @@ class Model:
                 w[at, seat[rows]] -= 1
                 w /= len(target)
                 grads["member"][k] += mine[rows].T @ w
-                grads["member_bias"][k] += w.sum(axis=0)
+                grads["member_bias"][k] += np.ones(len(w), w.dtype) @ w
                 back[order[rows]] += w @ v["member"][k].T
         result[order] += inside
         return result, back
 
-    def gradient(self, ids: np.ndarray, target: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean loss over all positions, and its gradient by backpropagation."""
+    def gradient(self, ids: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray, dict[str, np.ndarray]]:
+        """Mean loss over all positions, the different ids, and the loss's gradient by backpropagation, that of the embedding for these ids."""
         v, s = self.values, self._layer(ids)
-        grads = {k: np.zeros_like(x) for k, x in v.items()}
+        grads = {k: np.zeros_like(x) for k, x in v.items() if k != "embed"}
         logs, d = self.logs(s["h"], target.ravel(), grads)
         d = d * (s["h"] > 0)
         n, t = ids.shape
@@ -143,8 +147,10 @@ class Model:
             grads[name] = flat.T @ g.reshape(-1, WIDTH)
             dx = dx + g @ v[name].T
         grads["position"][:t] = dx.sum(axis=0)
-        np.add.at(grads["embed"], ids, dx)
-        return -float(logs.mean()), grads
+        order = np.argsort(ids.ravel(), kind="stable")
+        at, first = np.unique(ids.ravel()[order], return_index=True)
+        grads["embed"] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], first, axis=0)
+        return -float(logs.mean()), at, grads
 
     def score(self, texts: list[np.ndarray], at_once: int = 1024) -> np.ndarray:
         """log10 probability of each sequence of ids, each id scored once, given those before it in one context window."""
@@ -157,7 +163,7 @@ class Model:
         text = np.repeat(np.arange(len(texts)), many)
         lo = (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)) * step
         width = np.minimum(sizes[text] - lo, CONTEXT)
-        order = np.argsort(-width, kind="stable")
+        order = np.lexsort((-width, lo == 0))  # windows that are led in come first, of both kinds the widest
         begin, lead = (np.cumsum(sizes + 1) - sizes - 1)[text] + lo, np.where(lo > 0, LEAD, 0)
         for k in range(0, len(order), at_once):
             part = order[k : k + at_once]
@@ -165,33 +171,51 @@ class Model:
         return total / math.log(10)
 
     def _add(self, total: np.ndarray, ids: np.ndarray, text: np.ndarray, begin: np.ndarray, lead: np.ndarray, width: np.ndarray) -> None:
-        """Adds the scores of the windows of ``width`` ids from ``begin`` on to their texts' totals; the widest comes first."""
-        at = np.arange(width[0] + 1)
+        """Adds the scores of the windows of ``width`` ids from ``begin`` on to their texts' totals."""
+        at = np.arange(width.max() + 1)
         data = ids[begin[:, None] + at]
         used = (at[:-1] >= lead[:, None]) & (at[:-1] < width[:, None])
-        h = np.concatenate([self._layer(data[k : k + SLICE, :-1])["h"][used[k : k + SLICE].ravel()] for k in range(0, len(data), SLICE)])
+        h = []
+        for k in range(0, len(data), SLICE):
+            part = slice(k, k + SLICE)
+            skip = int(lead[part].min())
+            h.append(self._layer(data[part, :-1], skip)["h"][used[part, skip:].ravel()])
+        h = np.concatenate(h)
         logs, _ = self.logs(h, data[:, 1:][used])
         total += np.bincount(np.repeat(text, used.sum(axis=1)), logs, len(total))
 
 
-def classes(windows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def leading(counts: np.ndarray) -> np.ndarray:
+    """The ids that are put into classes by what they follow: the most frequent ones that occur."""
+    order = np.argsort(-counts, kind="stable")
+    return order[: max(min(int((counts > 0).sum()), SORTED), FREQUENT)]
+
+
+class Followers:
+    """How often each leading id follows each of the ``HUBS`` most frequent ones, one and two places behind it, as a flat table."""
+
+    def __init__(self, counts: np.ndarray):
+        seen = leading(counts)
+        self.hub, self.row = np.full(IDS, -1), np.full(IDS, -1)
+        self.hub[seen[:HUBS]] = np.arange(HUBS)
+        self.row[seen] = np.arange(len(seen))
+        self.table = np.zeros(len(seen) * 2 * HUBS, dtype=np.int64)
+
+    def add(self, ids: np.ndarray) -> None:
+        hub, row = self.hub[ids], self.row[ids]
+        for gap in (1, 2):
+            a, b = hub[:-gap], row[gap:]
+            ok = (a >= 0) & (b >= 0)
+            np.add.at(self.table, b[ok] * (2 * HUBS) + (gap - 1) * HUBS + a[ok], 1)
+
+
+def classes(table: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """kind, place and log share of every id: classes of ids that follow like ids, halved again and again along the main direction.
 
-    ``windows``: sampled sequences; ``counts``: how often each id occurs in the whole corpus.
+    ``table``: that of ``Followers``; ``counts``: how often each id occurs. Both are counts of the whole corpus.
     """
-    sampled = np.bincount(windows.ravel(), minlength=IDS)
-    order = np.argsort(-(sampled * 1e6 + np.minimum(counts, 1e5)), kind="stable")
-    known = int((sampled > 0).sum())
-    seen = order[: max(min(known, 8192), FREQUENT)]
-    hub = np.full(IDS, -1)
-    hub[order[:512]] = np.arange(512)
-    row = np.full(IDS, -1)
-    row[seen] = np.arange(len(seen))
-    table = np.zeros((len(seen), 1024))
-    for gap, part in ((1, 0), (2, 512)):
-        a, b = windows[:, :-gap].ravel(), windows[:, gap:].ravel()
-        ok = (hub[a] >= 0) & (row[b] >= 0)
-        np.add.at(table, (row[b[ok]], hub[a[ok]] + part), 1)
+    seen = leading(counts)
+    table = table.reshape(len(seen), 2 * HUBS).astype(float)
     expected = table.sum(axis=1, keepdims=True) * table.sum(axis=0) / max(table.sum(), 1)
     table = (table - expected) / np.sqrt(expected + 1)
     _, vectors = np.linalg.eigh(table.T @ table)
@@ -208,7 +232,7 @@ def classes(windows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
         half = len(rows) // 2
         return halved(rows[along[:half]], levels - 1) + halved(rows[along[half:]], levels - 1)
 
-    kind = np.full(IDS, CLASSES + OTHER_CLASSES, dtype=np.int64)  # ids the sample doesn't have
+    kind = np.full(IDS, CLASSES + OTHER_CLASSES, dtype=np.int64)  # the rarest ids
     place = np.zeros(IDS, dtype=np.int64)
     for k, rows in enumerate(halved(np.arange(FREQUENT), int(math.log2(CLASSES)))):
         kind[seen[rows]], place[seen[rows]] = k, np.arange(len(rows))
@@ -220,9 +244,41 @@ def classes(windows: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     return kind, place, within
 
 
-def train(windows: np.ndarray, counts: np.ndarray, steps: int = STEPS, seed: int = 2) -> Model:
-    """A model from windows of CONTEXT + 1 ids and the corpus counts of all ids, by Adam."""
-    kind, place, within = classes(windows, counts)
+class Learner:
+    """Adam on the values of a model; an embedding moves only with its own id's steps."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self.mean = {k: np.zeros_like(x) for k, x in model.values.items()}
+        self.square = {k: np.zeros_like(x) for k, x in model.values.items()}
+        self.steps = 0
+
+    def step(self, windows: np.ndarray, rate: float) -> None:
+        self.steps += 1
+        step, values = self.steps, self.model.values
+        _, at, grads = self.model.gradient(windows[:, :-1], windows[:, 1:])
+        for k, g in grads.items():
+            if k == "embed":
+                m, s = self.mean[k][at], self.square[k][at]
+                m += 0.1 * (g - m)
+                s += 0.02 * (g * g - s)
+                self.mean[k][at], self.square[k][at] = m, s
+                values[k][at] -= (rate * m / (np.sqrt(s) + 1e-7)).astype(np.float32)
+                continue
+            m, s = self.mean[k], self.square[k]
+            m += 0.1 * (g - m)
+            s += 0.02 * (g * g - s)
+            values[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.98**step)) + 1e-7)).astype(np.float32)
+
+
+def train(windows: np.ndarray, counts: np.ndarray, steps: int = STEPS, seed: int = 2, table: np.ndarray | None = None) -> Model:
+    """A model from windows of CONTEXT + 1 ids and the corpus counts of all ids, by Adam; ``table``: the corpus's followers."""
+    if table is None:
+        followers = Followers(counts)
+        for w in windows:
+            followers.add(w)
+        table = followers.table
+    kind, place, within = classes(table, counts)
     rng = np.random.default_rng(seed)
 
     def draw(*shape: int, scale: float = 0.2) -> np.ndarray:
@@ -248,28 +304,112 @@ def train(windows: np.ndarray, counts: np.ndarray, steps: int = STEPS, seed: int
     common = values["embed"][sampled].mean(axis=0)
     rare = np.setdiff1d(np.arange(IDS), sampled)
     values["embed"][rare] = common
-    mean = {k: np.zeros_like(x) for k, x in values.items()}
-    square = {k: np.zeros_like(x) for k, x in values.items()}
+    learner = Learner(model)
     for step in range(1, steps + 1):
-        batch = windows[rng.integers(0, len(windows), BATCH)]
-        _, grads = model.gradient(batch[:, :-1], batch[:, 1:])
         rate = RATE * min(1.0, step / 20) * min(1.0, (steps - step + 1) / (steps * 0.5))
-        for k, g in grads.items():
-            if k == "embed":  # only the batch's ids move
-                at = np.unique(batch[:, :-1])
-                m, s, g = mean[k][at], square[k][at], g[at]
-                m += 0.1 * (g - m)
-                s += 0.02 * (g * g - s)
-                mean[k][at], square[k][at] = m, s
-                values[k][at] -= (rate * m / (np.sqrt(s) + 1e-7)).astype(np.float32)
-                continue
-            m, s = mean[k], square[k]
-            m += 0.1 * (g - m)
-            s += 0.02 * (g * g - s)
-            values[k] -= (rate * (m / (1 - 0.9**step)) / (np.sqrt(s / (1 - 0.98**step)) + 1e-7)).astype(np.float32)
+        learner.step(windows[rng.integers(0, len(windows), BATCH)], rate)
     return model
 
 
+class Lesson:
+    """Goes on with a model through streams of ids; each id is learned once, in windows without overlap."""
+
+    def __init__(self, model: Model):
+        self.learner, self.rng = Learner(model), np.random.default_rng(3)
+        self.rest, self.held = [], 0
+        self.weight = np.zeros(IDS)
+
+    def add(self, ids: np.ndarray) -> None:
+        self.rest.append(ids)
+        self.held += len(ids)
+        if self.held > MIXED * ALL_BATCH * CONTEXT:
+            self._learn(False)
+
+    def _learn(self, last: bool) -> None:
+        ids = np.concatenate(self.rest)
+        n = (len(ids) - 1) // CONTEXT
+        windows = ids[np.arange(n)[:, None] * CONTEXT + np.arange(CONTEXT + 1)]
+        self.rng.shuffle(windows)
+        parts = [windows[lo : lo + ALL_BATCH] for lo in range(0, n, ALL_BATCH)]
+        ids = ids[n * CONTEXT :]
+        if last and len(ids) > 1:
+            parts.append(ids[None])
+            ids = ids[-1:]
+        for part in parts:
+            step = self.learner.steps
+            share = part[:, 1:].size / (ALL_BATCH * CONTEXT)  # a small step's gradient is a rough one
+            self.learner.step(part, ALL_RATE * min(1.0, (step + 1) / 20) / math.sqrt(1 + step / 100) * math.sqrt(share))
+            self.weight += np.bincount(part[:, :-1].ravel(), minlength=IDS)
+        self.rest, self.held = [ids], len(ids)
+
+    def sums(self) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Blocks, places in them and numbers: the values by how many ids they were learned from, then these weights.
+
+        Each block holds ``ROWS_A_BLOCK`` embeddings, weighted by their own ids; block -1 all other values.
+        """
+        if self.held > 1:
+            self._learn(True)
+        total = self.weight.sum()
+        if not total:
+            return
+        values = self.learner.model.values
+        flat = np.concatenate([values[k].ravel() for k in sorted(values) if k != "embed"]).astype(float)
+        yield -1, np.arange(len(flat) + 1), np.append(flat * total, total)
+        at = np.flatnonzero(self.weight)
+        for some in np.split(at, np.flatnonzero(np.diff(at // ROWS_A_BLOCK)) + 1):
+            w = self.weight[some][:, None]
+            x = np.concatenate([values["embed"][some] * w, w], axis=1)
+            place = (some % ROWS_A_BLOCK)[:, None] * (WIDTH + 1) + np.arange(WIDTH + 1)
+            yield int(some[0]) // ROWS_A_BLOCK, place.ravel(), x.ravel()
+
+
+def merged(model: Model, sums: dict[int, np.ndarray]) -> Model:
+    """``model`` with the weighted means of the values that the tasks have learned."""
+    values = dict(model.values)
+    if -1 in sums:
+        flat, lo = sums[-1][:-1] / sums[-1][-1], 0
+        for k in sorted(values):
+            if k != "embed":
+                values[k] = flat[lo : lo + values[k].size].reshape(values[k].shape).astype(np.float32)
+                lo += values[k].size
+    values["embed"] = values["embed"].copy()
+    for block, x in sums.items():
+        if block >= 0:
+            x = x.reshape(ROWS_A_BLOCK, WIDTH + 1)
+            at = np.flatnonzero(x[:, WIDTH])
+            values["embed"][block * ROWS_A_BLOCK + at] = x[at, :WIDTH] / x[at, WIDTH:]
+    return Model(values, model.kind, model.place, model.within)
+
+
+BLOCKS = "block int, place binary, x binary"
+
+
+def _blocks(found: Iterable[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    rows = [(b, place.astype("<i4").tobytes(), x.astype("<f8").tobytes()) for b, place, x in found]
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], ["block", "place", "x"])
+
+
+def summed(rows: DataFrame, size: Callable[[int], int]) -> dict[int, np.ndarray]:
+    """The sums of the numbers ``x`` at each ``place`` of each block; a block of ``size(block)`` numbers is added up by one task."""
+
+    def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, place, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if block not in total:
+                    total[block] = np.zeros(size(block))
+                total[block][np.frombuffer(place, "<i4")] += np.frombuffer(x, "<f8")
+        for block, x in total.items():
+            at = np.flatnonzero(x)
+            yield _blocks([(block, at, x[at])])
+
+    result = {}
+    for r in rows.repartition("block").mapInArrow(added, BLOCKS).collect():
+        x = result[r.block] = np.zeros(size(r.block))
+        x[np.frombuffer(r.place, "<i4")] = np.frombuffer(r.x, "<f8")
+    return result
+
+
 class Words(dict):
     """Ids of lower-cased words, each with a space in front, as little-endian 32-bit numbers; ``limit`` words are kept at most."""
 
@@ -356,11 +496,63 @@ def common_words(counts: DataFrame, most: int = COMMON) -> pd.DataFrame:
     return counts.where(F.col("n") >= least if least > 0 else F.lit(False)).toPandas()
 
 
+def _sequences(training: DataFrame, counts: np.ndarray, path: str) -> DataFrame:
+    """One pass over the texts: rows of ``ids`` (16-bit numbers, each text ending in an end), and rows of their ``Followers`` in blocks."""
+    sent = training.sparkSession.sparkContext.broadcast(counts)
+
+    def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, followers = worker_words(path), Followers(sent.value)
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 64):
+                texts = [words.text(split(x.as_py()))[1:] for x in batch.column(0).slice(lo, 64)]
+                ids = np.concatenate([[END], *texts])
+                followers.add(ids)
+                row = [ids[1:].astype("<u2").tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array(row, pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())], names)
+        at = np.flatnonzero(followers.table)
+        if len(at):
+            size = ROWS_A_BLOCK * 2 * HUBS
+            blocks = _blocks((int(some[0]) // size, some % size, followers.table[some]) for some in np.split(at, np.flatnonzero(np.diff(at // size)) + 1))
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(blocks), pa.binary()), *blocks.columns], names)
+
+    names = ["ids", "block", "place", "x"]
+    return training.select(utf8("text").alias("data")).mapInArrow(encoded, "ids binary, " + BLOCKS)
+
+
+def learn(training: DataFrame, windows: np.ndarray, counts: np.ndarray, path: str) -> Model:
+    """A model of all texts of ``training``, whose ids' counts are ``counts``.
+
+    It starts with ``windows``, some of the texts; then every task goes on from there through all its texts, and the means of
+    what they have learned, weighted by the ids that they have learned it from, are the model.
+    """
+    rows = stored(_sequences(training, counts, path), "sequences", "zstd")
+    size = ROWS_A_BLOCK * 2 * HUBS
+    followers = summed(rows.where("block is not null").select("block", "place", "x"), lambda block: size)
+    table = np.zeros(-(-len(leading(counts)) // ROWS_A_BLOCK) * size)
+    for block, x in followers.items():
+        table[block * size : (block + 1) * size] = x
+    start = train(windows, counts, table=table[: len(leading(counts)) * 2 * HUBS])
+    sent = training.sparkSession.sparkContext.broadcast(pickle.dumps(start))
+
+    def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lesson = Lesson(pickle.loads(sent.value))
+        lesson.add(np.array([END]))
+        for batch in batches:
+            for ids in batch.column(0):
+                lesson.add(np.frombuffer(ids.as_py(), "<u2").astype(np.int64))
+        for found in lesson.sums():
+            yield _blocks([found])
+
+    others = sum(x.size for k, x in start.values.items() if k != "embed") + 1
+    sums = summed(rows.where("ids is not null").select("ids").mapInArrow(learned, BLOCKS), lambda block: others if block < 0 else ROWS_A_BLOCK * (WIDTH + 1))
+    return merged(start, sums)
+
+
 def score_documents(docs: DataFrame, training: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs`` (doc_id, text).
 
-    ``training`` are the rows that are learned from: the counts of all their words and ids, and a bounded sample of
-    stretches that the model's other parameters are trained on. Tokens are lower-cased words and one end; base_score is the
+    ``training`` are the rows that are learned from, whole and each once: words, ids and their followers are counted, and the
+    model's other parameters are trained on all ids (``learn``). Tokens are lower-cased words and one end; base_score is the
     add-one unigram score over them, score the model's log10 probability of the text's subword ids and its end, each
     scored once within overlapping windows. Null and empty texts are an end alone. Repeated rows stay; other columns are
     not looked at; no rows give no rows.
@@ -382,7 +574,7 @@ def score_documents(docs: DataFrame, training: DataFrame, path: str | None = Non
     words = Words(file)
     windows = [ids[lo : lo + CONTEXT + 1] for d in sample["data"] for ids in [words.text(split(bytes(d)))] for lo in range(0, len(ids) - CONTEXT, CONTEXT)]
     windows = np.array(windows, dtype=np.int64).reshape(-1, CONTEXT + 1)
-    model = train(windows, id_counts(counts, file))
+    model = learn(training, windows, id_counts(counts, file), file)
     spark = docs.sparkSession
     sent = spark.sparkContext.broadcast(pickle.dumps((model, known)))
 
