@@ -60,7 +60,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 @stage
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each group of similar texts: five-word shingles, similarity 0.8 or more; the first row of the group stays."""
+    """One row of each group of similar texts: five-word shingles, similarity 0.8 or more; the first row of the group stays.
+
+    SimHash fingerprints under covering masks bring near copies together; an exact way for the rest adds links of prints further apart.
+    """
     rows = numbered(docs.select(*COLUMNS))
     gone = simhash.similar_groups(rows, ROW).where(F.col(ROW) != F.col("component")).select(ROW)
     return by_number(rows, gone, ROW, "left_anti").select(*COLUMNS)

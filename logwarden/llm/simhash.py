@@ -352,11 +352,32 @@ def _links(docs: DataFrame, pairs: DataFrame, words: int, similarity: float) ->
     return links
 
 
-def similar_groups(docs: DataFrame, row: str, words: int = 5, similarity: float = 0.8, crowd: int = CROWD, chunk: int = CHUNK) -> DataFrame:
+def print_pairs(docs: DataFrame, words: int, radius: int) -> DataFrame:
+    """Pairs (a, b) of rows whose fingerprints differ in at most ``radius`` bits: for each row but the first of its print that
+    first row, for each print the first row of its smallest neighbour. They connect what such prints connect."""
+    prints = stored(fingerprints(docs, words, "row"), "fingerprints")
+    distinct = prints.groupBy("fp").agg(F.min("row").alias("first"))
+    same = prints.join(distinct, "fp").where("row <> first").select(F.col("first").alias("a"), F.col("row").alias("b"))
+    near = near_pairs(distinct.select("fp"), radius).groupBy("b").agg(F.min("a").alias("a"))
+    first = lambda x: distinct.select(F.col("fp").alias(x), F.col("first").alias(f"{x}_row"))
+    near = near.join(first("a"), "a").join(first("b"), "b")
+    return same.unionByName(near.select(F.least("a_row", "b_row").alias("a"), F.greatest("a_row", "b_row").alias("b")))
+
+
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The ``pairs`` (a, b) whose rows are not in one component of ``found``."""
+    for x in ("a", "b"):
+        pairs = pairs.join(found.select(F.col("node").alias(x), F.col("component").alias(f"{x}_in")), x, "left")
+    return pairs.where(F.coalesce("a_in", "a") != F.coalesce("b_in", "b")).select("a", "b")
+
+
+def similar_groups(docs: DataFrame, row: str, words: int = 5, similarity: float = 0.8, crowd: int = CROWD, chunk: int = CHUNK, radius: int = 2) -> DataFrame:
     """``row`` and component (the smallest ``row`` reachable) for every row of ``docs`` (``row``: bigint, text).
 
     A link is a pair of texts whose sets of ``words``-word shingles have a Jaccard similarity of at least ``similarity``.
-    Candidates share one of their first shingles in an order that puts frequent shingles last (prefix filter), which every
+    Rows come together by their SimHash fingerprints first: covering masks find those that differ in at most ``radius`` bits, the
+    sets tell which are links. Links of prints further apart, which no covers of 64 bits reach, are completed by an exact way for the rest:
+    candidates that aren't in one component yet share one of their first shingles in an order that puts frequent shingles last (prefix filter), which every
     link does; the sizes and the shingle's places tell which of them can be links, the sets tell which are. The
     rows of a key with more than ``crowd`` texts are first compared with the row before and one leader; then those that aren't
     joined by that with each other, so no link is lost. That work grows with the square of the rows of a key that are not similar
@@ -367,10 +388,13 @@ def similar_groups(docs: DataFrame, row: str, words: int = 5, similarity: float
     texts = docs.select("row", utf8("text").alias("data"))
     keyed = texts.mapInPandas(partial(_keys, words=words, similarity=similarity, sent=sent), "key bigint, row bigint, size int, place int")
     dealt = keyed.repartition("key").sortWithinPartitions("key", "size", "row")
+    blank = F.coalesce("text", F.lit("")).rlike(r"\A[ \t\n\r\x0b\f]*\z")
     with gathered() as used:
+        near = _links(docs, print_pairs(docs.where(~blank), words, radius), words, similarity)
+        joined = stored(components(near), "joined")
         met = stored(dealt.mapInPandas(partial(_bucket_pairs, similarity=similarity, crowd=crowd), "a bigint, b bigint, key bigint, size int, place int"), "met")
-        links = _links(docs, met.where("key is null").select("a", "b").distinct(), words, similarity)
-        empty = stored(docs.where(F.coalesce("text", F.lit("")).rlike(r"\A[ \t\n\r\x0b\f]*\z")).select("row"), "empty")
+        links = near.unionByName(_links(docs, _apart(met.where("key is null").select("a", "b").distinct(), joined), words, similarity))
+        empty = stored(docs.where(blank).select("row"), "empty")
         least = empty.agg(F.min("row")).first()[0]
         first = components(links.unionByName(empty.select(F.lit(least).cast("bigint").alias("a"), F.col("row").alias("b"))))
     found = stored(first, "components")

@@ -214,6 +214,22 @@ def test_crowded_keys_against_brute_force(spark, crowd, most, chunk):
     assert recall(spark, texts, links, crowd=most, chunk=chunk) == 1
 
 
+def test_fingerprints_join_near_copies_by_themselves(spark, monkeypatch):
+    rng = random.Random(23)
+    texts = []
+    for _ in range(60):
+        base = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        texts += [" ".join(base), " ".join(base[:-1] + ["end"]), " ".join(base).upper()]
+    prints = [simhash.fingerprint(utf8(t), 5) for t in texts]
+    sets = [shingles_of(t) for t in texts]
+    near = [(i, j) for i in range(len(texts)) for j in range(i) if bin((prints[i] ^ prints[j]) & (2**64 - 1)).count("1") <= 2]
+    assert len(near) > 100 and all(len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) for i, j in near)
+    d = spark.createDataFrame(list(enumerate(texts)), f"{ROW} bigint, text string").repartition(3)
+    monkeypatch.setattr(simhash, "_keys", lambda frames, **_: iter(()))  # nothing comes by the way for the rest
+    got = {r[ROW]: r.component for r in simhash.similar_groups(d, ROW).collect()}
+    assert got == roots(range(len(texts)), near)
+
+
 def test_a_key_over_several_frames_keeps_its_leader():
     key, row = np.zeros(60, np.int64), np.arange(60)
     frame = pd.DataFrame({"key": key, "row": row, "size": np.full(60, 9, np.int32), "place": np.zeros(60, np.int32)})
