@@ -24,6 +24,8 @@ from logwarden.operators.learn import TextModel
 MIN_IMPORTANCE = 0.001
 #: Word hashes that a task keeps.
 KEPT = 200_000
+#: Words whose class scores are worked out at a time; a longer line is worked out alone.
+AT_ONCE = 16_384
 _WORDS = "array<struct<pos:int,word:string,importance:double>>"
 
 
@@ -70,7 +72,15 @@ class WordWeights:
         return self.table[[at[w] if w in at else word_hash(w.encode()) % size for w in words]]
 
     def explain(self, lines: pa.ListArray, n: int | None) -> pa.StructArray:
-        """Per line the best class (from 1), its probability and (pos, word, importance) of its words, or the ``n`` first."""
+        """Per line the best class (from 1), its probability and (pos, word, importance) of its words, or the ``n`` first.
+
+        Works through about ``AT_ONCE`` words at a time, so that memory doesn't grow with a batch's words.
+        """
+        block = np.cumsum(lines.value_lengths().to_numpy()) // AT_ONCE
+        cut = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), len(lines)]
+        return pa.concat_arrays([self._explain(lines.slice(lo, hi - lo), n) for lo, hi in zip(cut[:-1], cut[1:], strict=True)])
+
+    def _explain(self, lines: pa.ListArray, n: int | None) -> pa.StructArray:
         flat = lines.flatten().dictionary_encode()
         size = lines.value_lengths().to_numpy()
         line = np.repeat(np.arange(len(lines)), size)

@@ -308,3 +308,20 @@ def test_slices_of_a_large_label_are_ranked_in_order(spark):
     for label, n in ((None, 500), ("hot", 4500)):
         mine = [r for r in got if r.label == label]
         assert sorted(r.position for r in mine) == list(range(n)) and {r.stratum_size for r in mine} == {n}
+
+
+def test_explaining_many_words_takes_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    weights = explain.WordWeights.__new__(explain.WordWeights)
+    weights.table, weights.bias, weights._at = np.random.default_rng(0).normal(size=(64, 10)), np.zeros(10), {}
+    lines = pa.array([[f"w{(i * 7 + k) % 50}" for k in range(200)] if i % 9 else [] for i in range(3000)])
+    tracemalloc.start()
+    got = weights.explain(lines, None)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6  # all 533,200 words at once take over 100 MB
+    assert got.equals(pa.concat_arrays([weights.explain(lines.slice(k, 1), None) for k in range(len(lines))]))
+    assert len(weights.explain(lines.slice(0, 0), None)) == 0
