@@ -40,9 +40,33 @@ FLOOR = 30.0
 #: Windows, and positions, that are worked on at a time when scoring, so that their arrays stay in the processor's cache.
 SLICE, ROWS = 128, 4096
 END = 50_256
+#: Where the keys are, between the queries and the ones and values.
+KEY = slice(WIDTH, 2 * WIDTH)
 IDS = 50_257
 
 
+def across(a: np.ndarray, b: np.ndarray, rows: int = 128) -> np.ndarray:
+    """``a.T @ b``, so many rows at a time, as products over few rows are the faster ones."""
+    whole = len(a) // rows * rows
+    result = np.matmul(a[:whole].reshape(-1, rows, a.shape[1]).transpose(0, 2, 1), b[:whole].reshape(-1, rows, b.shape[1])).sum(axis=0)
+    return result + a[whole:].T @ b[whole:] if whole < len(a) else result
+
+
+def _chosen(c: np.ndarray, column: np.ndarray, n: int = 0) -> np.ndarray:
+    """Log probability of each row's ``column`` by the logits c; with n they become the gradient of the mean over n rows of its negative."""
+    np.clip(c, -FLOOR, FLOOR, out=c)
+    spot = np.arange(len(c)) * c.shape[1]
+    spot += column
+    logs = c.ravel().take(spot)
+    np.exp(c, out=c)
+    total = c @ np.ones(c.shape[1], c.dtype)
+    logs -= np.log(total)
+    if n:
+        c *= (1 / (n * total))[:, None]
+        c.ravel()[spot] -= c.dtype.type(1 / n)
+    return logs.astype(float)
+
+
 @dataclass
 class Model:
     """One layer of causal self-attention; an id's probability is its class's times its own within the class.
@@ -56,101 +80,120 @@ class Model:
     place: np.ndarray
     within: np.ndarray  # log share of each id in its class
 
+    def _inner(self) -> np.ndarray:
+        """From an embedding and a one to the query, the key, a one and the value."""
+        v = self.values
+        inner = np.zeros((WIDTH + 1, 3 * WIDTH + 1), v["query"].dtype)
+        inner[:WIDTH, :WIDTH], inner[:WIDTH, KEY], inner[:WIDTH, 2 * WIDTH + 1 :] = v["query"] / math.sqrt(WIDTH), v["key"], v["value"]
+        inner[WIDTH, 2 * WIDTH] = 1
+        return inner
+
+    def _outer(self) -> np.ndarray:
+        """From an embedding, a one and what attention brings to the hidden layer and a one."""
+        v = self.values
+        outer = np.zeros((2 * WIDTH + 1, HIDDEN + 1), v["near"].dtype)
+        outer[:WIDTH, :HIDDEN], outer[WIDTH, :HIDDEN], outer[WIDTH + 1 :, :HIDDEN] = v["near"], v["bias"], v["far"]
+        outer[WIDTH, HIDDEN] = 1
+        return outer
+
     def _layer(self, ids: np.ndarray, skip: int = 0) -> dict[str, np.ndarray]:
-        """ids: windows, positions. Everything up to the hidden layer, which the first ``skip`` positions only lead in to."""
+        """ids: windows, positions. Everything up to the hidden layer, which the first ``skip`` positions only lead in to.
+
+        The ones beside the values add the weights up; those beside the hidden layer bring in the biases of what follows.
+        """
         v = self.values
         n, t = ids.shape
-        x = v["embed"].take(ids, axis=0)
-        x += v["position"][:t]
-        flat = x.reshape(-1, WIDTH)
-        all_ = (flat @ np.concatenate([v["query"] / math.sqrt(WIDTH), v["key"], v["value"]], axis=1)).reshape(n, t, 3 * WIDTH)
-        q, k = all_[:, skip:, :WIDTH], all_[:, :, WIDTH : 2 * WIDTH]
-        u = np.ones((n, t, WIDTH + 1), x.dtype)  # the ones add the weights up
-        u[:, :, :WIDTH] = all_[:, :, 2 * WIDTH :]
-        a = np.matmul(q, k.transpose(0, 2, 1))
+        x = np.empty((n, t, 2 * WIDTH + 1), v["embed"].dtype)
+        np.add(v["embed"].take(ids, axis=0), v["position"][:t], out=x[:, :, :WIDTH])
+        x[:, :, WIDTH] = 1
+        all_ = (x.reshape(-1, 2 * WIDTH + 1)[:, : WIDTH + 1] @ self._inner()).reshape(n, t, -1)
+        if skip:
+            x = x[:, skip:].copy()
+        a = np.matmul(all_[:, skip:, :WIDTH], all_[:, :, KEY].transpose(0, 2, 1))
         np.clip(a, -FLOOR, FLOOR, out=a)
         np.exp(a, out=a)
-        a *= np.tril(np.ones((t, t), dtype=a.dtype))[skip:]
-        o = np.matmul(a, u)
-        sums = o[:, :, WIDTH:].copy()
-        o = o[:, :, :WIDTH] / sums
-        h = (x[:, skip:].reshape(-1, WIDTH) if skip else flat) @ v["near"]
-        h += o.reshape(-1, WIDTH) @ v["far"]
-        h += v["bias"]
-        return {"x": x, "q": q, "k": k, "u": u[:, :, :WIDTH], "a": a, "sums": sums, "o": o, "h": np.maximum(h, 0, out=h)}
+        a *= np.tri(t, dtype=a.dtype)[skip:]
+        o = np.matmul(a, all_[:, :, 2 * WIDTH :])
+        sums = o[:, :, :1]
+        np.divide(o[:, :, 1:], sums, out=x[:, :, WIDTH + 1 :])
+        h = x.reshape(-1, 2 * WIDTH + 1) @ self._outer()
+        return {"x": x, "all": all_, "a": a, "sums": sums, "h": np.maximum(h, 0, out=h)}
 
     def logs(self, h: np.ndarray, target: np.ndarray, grads: dict[str, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log probability of each target after hidden state h; with ``grads`` also the mean loss's gradient in h."""
-        v = self.values
-        own = self.kind[target]
-        result, back = self.within[target], None if grads is None else np.empty_like(h)
-        for lo in range(0, len(target), ROWS):
-            part = slice(lo, lo + ROWS)
-            c = h[part] @ v["class"]
-            c += v["class_bias"]
-            np.clip(c, -FLOOR, FLOOR, out=c)
-            at = np.arange(len(c))
-            result[part] += c[at, own[part]]
-            np.exp(c, out=c)
-            total = c @ np.ones(c.shape[1], c.dtype)
-            result[part] -= np.log(total)
-            if grads is not None:
-                c /= total[:, None]
-                c[at, own[part]] -= 1
-                c /= len(target)
-                grads["class"] += h[part].T @ c
-                grads["class_bias"] += np.ones(len(c), c.dtype) @ c
-                back[part] = c @ v["class"].T
+        v, n = self.values, len(target)
+        own = self.kind.take(target)
         order = np.argsort(own.astype(np.uint8), kind="stable")  # bytes are sorted by counting
         cut = np.append(0, np.cumsum(np.bincount(own, minlength=CLASSES)[:CLASSES]))
-        order = order[: cut[-1]]
-        mine, seat, inside = h[order], self.place[target[order]], np.zeros(len(order))
-        for k in range(CLASSES):
-            rows = slice(cut[k], cut[k + 1])
-            w = mine[rows] @ v["member"][k]
-            w += v["member_bias"][k]
-            np.clip(w, -FLOOR, FLOOR, out=w)
-            at = np.arange(len(w))
-            chosen = w[at, seat[rows]]
-            np.exp(w, out=w)
-            sums = w @ np.ones(w.shape[1], w.dtype)
-            inside[rows] = chosen - np.log(sums)
+        outside = np.concatenate([v["class"], v["class_bias"][None]])
+        inside = np.concatenate([v["member"], v["member_bias"][:, None]], axis=1)
+        result, back = self.within.take(target), None
+        if grads is not None:
+            back, outside_grad, inside_grad = np.empty_like(h), np.zeros_like(outside), np.zeros_like(inside)
+        for lo in range(0, n, ROWS):
+            some = order[lo : lo + ROWS]
+            mine, bounds = h.take(some, axis=0), np.clip(cut - lo, 0, len(some))
+            c, w = mine @ outside, np.empty((bounds[-1], inside.shape[2]), h.dtype)
+            parts = [(k, slice(bounds[k], bounds[k + 1])) for k in np.flatnonzero(np.diff(bounds))]
+            for k, rows in parts:
+                np.matmul(mine[rows], inside[k], out=w[rows])
+            mean = 0 if grads is None else n
+            found = _chosen(c, own.take(some), mean)
+            found[: len(w)] += _chosen(w, self.place.take(target.take(some[: len(w)])), mean)
+            result[some] += found
             if grads is not None:
-                w /= sums[:, None]
-                w[at, seat[rows]] -= 1
-                w /= len(target)
-                grads["member"][k] += mine[rows].T @ w
-                grads["member_bias"][k] += np.ones(len(w), w.dtype) @ w
-                back[order[rows]] += w @ v["member"][k].T
-        result[order] += inside
+                outside_grad += across(mine, c)
+                d, e = c @ outside.T, np.empty((len(w), h.shape[1]), h.dtype)
+                for k, rows in parts:
+                    inside_grad[k] += mine[rows].T @ w[rows]
+                    np.matmul(w[rows], inside[k].T, out=e[rows])
+                d[: len(w)] += e
+                back[some] = d
+        if grads is not None:
+            grads["class"], grads["class_bias"] = outside_grad[:-1], outside_grad[-1]
+            grads["member"], grads["member_bias"] = inside_grad[:, :-1], inside_grad[:, -1]
         return result, back
 
     def gradient(self, ids: np.ndarray, target: np.ndarray) -> tuple[float, np.ndarray, dict[str, np.ndarray]]:
         """Mean loss over all positions, the different ids, and the loss's gradient by backpropagation, that of the embedding for these ids."""
-        v, s = self.values, self._layer(ids)
-        grads = {k: np.zeros_like(x) for k, x in v.items() if k != "embed"}
-        logs, d = self.logs(s["h"], target.ravel(), grads)
-        d = d * (s["h"] > 0)
-        n, t = ids.shape
-        grads["near"] = s["x"].reshape(-1, WIDTH).T @ d
-        grads["far"] = s["o"].reshape(-1, WIDTH).T @ d
-        grads["bias"] = d.sum(axis=0)
-        dx = (d @ v["near"].T).reshape(n, t, WIDTH)
-        do = (d @ v["far"].T).reshape(n, t, WIDTH)
-        a = s["a"] / s["sums"]
-        du = np.matmul(a.transpose(0, 2, 1), do)
-        da = np.matmul(do, s["u"].transpose(0, 2, 1))
-        da = a * (da - (da * a).sum(axis=2, keepdims=True))
-        dq, dk = np.matmul(da, s["k"]) / math.sqrt(WIDTH), np.matmul(da.transpose(0, 2, 1), s["q"])
-        flat = s["x"].reshape(-1, WIDTH)
-        for name, g in (("query", dq), ("key", dk), ("value", du)):
-            grads[name] = flat.T @ g.reshape(-1, WIDTH)
-            dx = dx + g @ v[name].T
-        grads["position"][:t] = dx.sum(axis=0)
-        order = np.argsort(ids.ravel(), kind="stable")
-        at, first = np.unique(ids.ravel()[order], return_index=True)
-        grads["embed"] = np.add.reduceat(dx.reshape(-1, WIDTH)[order], first, axis=0)
-        return -float(logs.mean()), at, grads
+        v, t = self.values, ids.shape[1]
+        grads: dict[str, np.ndarray] = {}
+        parts = [self._layer(ids[lo : lo + SLICE]) for lo in range(0, len(ids), SLICE)]
+        h = np.concatenate([s["h"] for s in parts])
+        logs, d = self.logs(h, target.ravel(), grads)
+        d *= h > 0
+        inner, outer = self._inner(), self._outer()
+        inner_grad, outer_grad = np.zeros_like(inner), np.zeros_like(outer)
+        dx, lo = np.empty((len(d), WIDTH), d.dtype), 0
+        for s in parts:
+            n, x, all_ = len(s["x"]), s["x"].reshape(-1, 2 * WIDTH + 1), s["all"]
+            part = slice(lo, lo + n * t)
+            lo += n * t
+            outer_grad += across(x, d[part])
+            g = (d[part] @ outer.T).reshape(n, t, -1)
+            # beside the values' ones goes what makes the gradients of a position's weights add up to zero
+            do = g[:, :, WIDTH:]
+            do[:, :, 0] = -np.einsum("ntw,ntw->nt", do[:, :, 1:], s["x"][:, :, WIDTH + 1 :])
+            do /= s["sums"]
+            da = np.matmul(do, all_[:, :, 2 * WIDTH :].transpose(0, 2, 1))
+            da *= s["a"]
+            back = np.empty_like(all_)
+            np.matmul(da, all_[:, :, KEY], out=back[:, :, :WIDTH])
+            np.matmul(da.transpose(0, 2, 1), all_[:, :, :WIDTH], out=back[:, :, KEY])
+            np.matmul(s["a"].transpose(0, 2, 1), do, out=back[:, :, 2 * WIDTH :])
+            back = back.reshape(n * t, -1)
+            inner_grad += across(x[:, : WIDTH + 1], back)
+            np.matmul(back, inner[:WIDTH].T, out=dx[part])
+            dx[part] += g.reshape(n * t, -1)[:, :WIDTH]
+        grads["query"], grads["key"], grads["value"] = inner_grad[:WIDTH, :WIDTH] / math.sqrt(WIDTH), inner_grad[:WIDTH, KEY], inner_grad[:WIDTH, 2 * WIDTH + 1 :]
+        grads["near"], grads["bias"], grads["far"] = outer_grad[:WIDTH, :HIDDEN], outer_grad[WIDTH, :HIDDEN], outer_grad[WIDTH + 1 :, :HIDDEN]
+        grads["position"] = np.zeros_like(v["position"])
+        grads["position"][:t] = (np.ones(len(ids), dx.dtype) @ dx.reshape(len(ids), -1)).reshape(t, WIDTH)
+        order = np.argsort(ids.ravel().astype(np.uint16), kind="stable")  # 16 bits are sorted by counting, too
+        at = ids.ravel().take(order)
+        first = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
+        grads["embed"] = np.add.reduceat(dx.take(order, axis=0), first, axis=0)
+        return -float(logs.mean()), at[first], grads
 
     def score(self, texts: list[np.ndarray], at_once: int = 1024) -> np.ndarray:
         """log10 probability of each sequence of ids, each id scored once, given those before it in one context window."""
@@ -179,7 +222,8 @@ class Model:
         for k in range(0, len(data), SLICE):
             part = slice(k, k + SLICE)
             skip = int(lead[part].min())
-            h.append(self._layer(data[part, :-1], skip)["h"][used[part, skip:].ravel()])
+            some, here = self._layer(data[part, :-1], skip)["h"], used[part, skip:]
+            h.append(some if here.all() else some[here.ravel()])
         h = np.concatenate(h)
         logs, _ = self.logs(h, data[:, 1:][used])
         total += np.bincount(np.repeat(text, used.sum(axis=1)), logs, len(total))
@@ -328,8 +372,7 @@ class Lesson:
     def _learn(self, last: bool) -> None:
         ids = np.concatenate(self.rest)
         n = (len(ids) - 1) // CONTEXT
-        windows = ids[np.arange(n)[:, None] * CONTEXT + np.arange(CONTEXT + 1)]
-        self.rng.shuffle(windows)
+        windows = ids.take(self.rng.permutation(n)[:, None] * CONTEXT + np.arange(CONTEXT + 1))
         parts = [windows[lo : lo + ALL_BATCH] for lo in range(0, n, ALL_BATCH)]
         ids = ids[n * CONTEXT :]
         if last and len(ids) > 1:
@@ -496,45 +539,95 @@ def common_words(counts: DataFrame, most: int = COMMON) -> pd.DataFrame:
     return counts.where(F.col("n") >= least if least > 0 else F.lit(False)).toPandas()
 
 
-def _sequences(training: DataFrame, counts: np.ndarray, path: str) -> DataFrame:
-    """One pass over the texts: rows of ``ids`` (16-bit numbers, each text ending in an end), and rows of their ``Followers`` in blocks."""
-    sent = training.sparkSession.sparkContext.broadcast(counts)
+def keep_memory() -> None:
+    """Lets the C library keep memory that arrays give back, up to twice the block that is freed here.
+
+    Else it goes back to the system at every step, which hands it out again cleared, page by page.
+    """
+    bytearray((32 << 20) - (1 << 16))
+
+
+def _encoded(rows: DataFrame, counts: np.ndarray, common: dict[bytes, int], norm: float, path: str) -> DataFrame:
+    """One pass over the texts of ``rows`` (doc_id, held_out, row, learned, data), whose result has rows of three kinds.
+
+    Those with ``ids`` are texts (16-bit numbers, with an end): where ``row`` is not null with their tokens, how many of these are
+    ``common`` and their base score. Those with a ``word`` tell how often a row has another word. Those with a ``block`` are
+    ``Followers`` of the learned texts.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(pickle.dumps((counts, common)))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, followers = worker_words(path), Followers(sent.value)
+        frequency, known = pickle.loads(sent.value)
+        words, followers, logs = worker_words(path), Followers(frequency), {w: math.log10(c + 1) for w, c in known.items()}
+        get, blocks, fields = logs.get, ROWS_A_BLOCK * 2 * HUBS, []
+
+        def found(n: int, **columns: pa.Array) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([columns.get(name, pa.nulls(n, kind)) for name, kind in fields], [name for name, _ in fields])
+
         for batch in batches:
-            for lo in range(0, batch.num_rows, 64):
-                texts = [words.text(split(x.as_py()))[1:] for x in batch.column(0).slice(lo, 64)]
-                ids = np.concatenate([[END], *texts])
-                followers.add(ids)
-                row = [ids[1:].astype("<u2").tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array(row, pa.binary()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.binary())], names)
+            doc_id = ("doc_id", batch.schema.field("doc_id").type)
+            fields = [doc_id, *ENCODED]
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                texts, sizes, knowns, bases, rare = [], [], [], [], ([], [], [])
+                for row, value in zip(part.column("row").to_pylist(), part.column("data"), strict=True):
+                    w = split(value.as_py())
+                    texts.append(words.text(w)[1:])
+                    w.append(b"")
+                    some = [] if row is None else [x for x in map(get, w) if x is not None]
+                    if row is not None and len(some) < len(w):
+                        for x, k in Counter(x for x in w if x not in logs).items():
+                            rare[0].append(row)
+                            rare[1].append(x)
+                            rare[2].append(k)
+                    sizes.append(len(w))
+                    knowns.append(len(some))
+                    bases.append(math.fsum(some) - norm * len(w))
+                learned = [t for t, yes in zip(texts, part.column("learned").to_pylist(), strict=True) if yes]
+                if learned:
+                    followers.add(np.concatenate([[END], *learned]))
+                yield found(
+                    part.num_rows, **{k: part.column(k) for k in ("doc_id", "held_out", "row", "learned")},
+                    n_tokens=pa.array(sizes, pa.int64()), known=pa.array(knowns, pa.int64()), base=pa.array(bases, pa.float64()),
+                    ids=pa.array([t.astype("<u2").tobytes() for t in texts], pa.binary()),
+                )
+                if rare[0]:
+                    yield found(len(rare[0]), row=pa.array(rare[0], pa.int64()), word=pa.array(rare[1], pa.binary()), k=pa.array(rare[2], pa.int64()))
         at = np.flatnonzero(followers.table)
         if len(at):
-            size = ROWS_A_BLOCK * 2 * HUBS
-            blocks = _blocks((int(some[0]) // size, some % size, followers.table[some]) for some in np.split(at, np.flatnonzero(np.diff(at // size)) + 1))
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(blocks), pa.binary()), *blocks.columns], names)
+            b = _blocks((int(some[0]) // blocks, some % blocks, followers.table[some]) for some in np.split(at, np.flatnonzero(np.diff(at // blocks)) + 1))
+            yield found(b.num_rows, **dict(zip(b.schema.names, b.columns, strict=True)))
 
-    names = ["ids", "block", "place", "x"]
-    return training.select(utf8("text").alias("data")).mapInArrow(encoded, "ids binary, " + BLOCKS)
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(
+        encoded,
+        f"doc_id {kind}, held_out boolean, row bigint, learned boolean, n_tokens bigint, known bigint, base double, ids binary, word binary, k bigint, " + BLOCKS,
+    )
 
 
-def learn(training: DataFrame, windows: np.ndarray, counts: np.ndarray, path: str) -> Model:
-    """A model of all texts of ``training``, whose ids' counts are ``counts``.
+#: Columns of ``_encoded`` after doc_id.
+ENCODED = [
+    ("held_out", pa.bool_()), ("row", pa.int64()), ("learned", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()),
+    ("ids", pa.binary()), ("word", pa.binary()), ("k", pa.int64()), ("block", pa.int32()), ("place", pa.binary()), ("x", pa.binary()),
+]
+
+
+def learn(rows: DataFrame, windows: np.ndarray, counts: np.ndarray) -> Model:
+    """A model of all learned texts of ``rows`` (``_encoded``), whose ids' counts are ``counts``.
 
     It starts with ``windows``, some of the texts; then every task goes on from there through all its texts, and the means of
     what they have learned, weighted by the ids that they have learned it from, are the model.
     """
-    rows = stored(_sequences(training, counts, path), "sequences", "zstd")
     size = ROWS_A_BLOCK * 2 * HUBS
     followers = summed(rows.where("block is not null").select("block", "place", "x"), lambda block: size)
     table = np.zeros(-(-len(leading(counts)) // ROWS_A_BLOCK) * size)
     for block, x in followers.items():
         table[block * size : (block + 1) * size] = x
     start = train(windows, counts, table=table[: len(leading(counts)) * 2 * HUBS])
-    sent = training.sparkSession.sparkContext.broadcast(pickle.dumps(start))
+    sent = rows.sparkSession.sparkContext.broadcast(pickle.dumps(start))
 
     def learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_memory()
         lesson = Lesson(pickle.loads(sent.value))
         lesson.add(np.array([END]))
         for batch in batches:
@@ -544,15 +637,16 @@ def learn(training: DataFrame, windows: np.ndarray, counts: np.ndarray, path: st
             yield _blocks([found])
 
     others = sum(x.size for k, x in start.values.items() if k != "embed") + 1
-    sums = summed(rows.where("ids is not null").select("ids").mapInArrow(learned, BLOCKS), lambda block: others if block < 0 else ROWS_A_BLOCK * (WIDTH + 1))
+    sums = summed(rows.where("learned and ids is not null").select("ids").mapInArrow(learned, BLOCKS), lambda block: others if block < 0 else ROWS_A_BLOCK * (WIDTH + 1))
     return merged(start, sums)
 
 
-def score_documents(docs: DataFrame, training: DataFrame, path: str | None = None) -> DataFrame:
+def score_documents(docs: DataFrame, training: DataFrame | Column, path: str | None = None) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of ``docs`` (doc_id, text).
 
     ``training`` are the rows that are learned from, whole and each once: words, ids and their followers are counted, and the
-    model's other parameters are trained on all ids (``learn``). Tokens are lower-cased words and one end; base_score is the
+    model's other parameters are trained on all ids (``learn``). A condition on ``docs`` in its place means those rows of
+    ``docs``, whose texts are then encoded once for both. Tokens are lower-cased words and one end; base_score is the
     add-one unigram score over them, score the model's log10 probability of the text's subword ids and its end, each
     scored once within overlapping windows. Null and empty texts are an end alone. Repeated rows stay; other columns are
     not looked at; no rows give no rows.
@@ -561,12 +655,22 @@ def score_documents(docs: DataFrame, training: DataFrame, path: str | None = Non
     documents are joined with it, so no vocabulary is held whole anywhere.
     """
     file = path or tokenizer_path(VOCABULARY)
+    data = utf8("text")
+    both = isinstance(training, Column)
+    rows = docs.select(
+        "doc_id", held_out().alias("held_out"), F.monotonically_increasing_id().alias("row"),
+        (F.coalesce(training, F.lit(False)) if both else F.lit(False)).alias("learned"), data.alias("data"),
+    )
+    if both:
+        training = docs.where(training)
+    else:
+        only = {"doc_id": F.lit(None), "held_out": F.lit(None), "row": F.lit(None), "learned": F.lit(True), "data": data}
+        rows = rows.union(training.select(*(c.cast(rows.schema[k].dataType).alias(k) for k, c in only.items())))
     counts = stored(word_counts(training), "words")
     n, v = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     norm = math.log10(n + v + 1)
     frequent = common_words(counts)
     known = {bytes(w): int(c) for w, c in zip(frequent["word"], frequent["n"], strict=True)}
-    data = utf8("text")
     h = F.xxhash64(F.lit(29), "doc_id", "text")
     at = F.pmod(h, F.greatest(F.octet_length(data) - STRETCH, F.lit(0)) + 1).cast("int") + 1
     ends = counts.where(F.col("word") == F.lit(b"")).agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -574,51 +678,25 @@ def score_documents(docs: DataFrame, training: DataFrame, path: str | None = Non
     words = Words(file)
     windows = [ids[lo : lo + CONTEXT + 1] for d in sample["data"] for ids in [words.text(split(bytes(d)))] for lo in range(0, len(ids) - CONTEXT, CONTEXT)]
     windows = np.array(windows, dtype=np.int64).reshape(-1, CONTEXT + 1)
-    model = learn(training, windows, id_counts(counts, file), file)
-    spark = docs.sparkSession
-    sent = spark.sparkContext.broadcast(pickle.dumps((model, known)))
+    frequency = id_counts(counts, file)
+    rows = stored(_encoded(rows, frequency, known, norm, file), "texts", "zstd")
+    sent = docs.sparkSession.sparkContext.broadcast(pickle.dumps(learn(rows, windows, frequency)))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, common = pickle.loads(sent.value)
-        logs = {w: math.log10(c + 1) for w, c in common.items()}
-        encode, get = worker_words(file), logs.get
+        keep_memory()
+        net = pickle.loads(sent.value)
         for batch in batches:
             for lo in range(0, batch.num_rows, 256):
                 part = batch.slice(lo, 256)
-                texts, sizes, knowns, bases, rare = [], [], [], [], ([], [], [])
-                for row, value in zip(part.column("row").to_pylist(), part.column("data"), strict=True):
-                    w = split(value.as_py())
-                    texts.append(encode.text(w))
-                    w.append(b"")
-                    found = [x for x in map(get, w) if x is not None]
-                    if len(found) < len(w):
-                        for x, k in Counter(x for x in w if x not in logs).items():
-                            rare[0].append(row)
-                            rare[1].append(x)
-                            rare[2].append(k)
-                    sizes.append(len(w))
-                    knowns.append(len(found))
-                    bases.append(math.fsum(found) - norm * len(w))
-                none = [None] * len(rare[0])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.chunked_array([part.column("doc_id"), pa.nulls(len(rare[0]), part.column("doc_id").type)]).combine_chunks(),
-                        pa.array(part.column("held_out").to_pylist() + none, pa.bool_()),
-                        pa.array(part.column("row").to_pylist() + rare[0], pa.int64()),
-                        pa.array(sizes + none, pa.int64()), pa.array(knowns + none, pa.int64()), pa.array(bases + none, pa.float64()),
-                        pa.array(net.score(texts).tolist() + none, pa.float64()),
-                        pa.array([None] * len(texts) + rare[1], pa.binary()), pa.array([None] * len(texts) + rare[2], pa.int64()),
-                    ],
-                    ["doc_id", "held_out", "row", "n_tokens", "known", "base", "score", "word", "k"],
-                )
+                texts = [np.concatenate([[END], np.frombuffer(ids.as_py(), "<u2")]) for ids in part.column("ids")]
+                yield part.drop_columns(["ids"]).append_column("score", pa.array(net.score(texts), pa.float64()))
 
-    rows = docs.select("doc_id", held_out().alias("held_out"), F.monotonically_increasing_id().alias("row"), data.alias("data"))
+    texts = rows.where("ids is not null and row is not null").select("doc_id", "held_out", "row", "n_tokens", "known", "base", "ids")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    both = stored(rows.mapInArrow(scored, f"doc_id {kind}, held_out boolean, row bigint, n_tokens bigint, known bigint, base double, score double, word binary, k bigint"), "scores")
-    others = both.where("word is not null").select("row", "word", "k").join(counts, "word")
+    texts = stored(texts.mapInArrow(scored, f"doc_id {kind}, held_out boolean, row bigint, n_tokens bigint, known bigint, base double, score double"), "scores")
+    others = rows.where("word is not null").select("row", "word", "k").join(counts, "word")
     others = others.groupBy("row").agg(F.sum("k").alias("more"), F.sum(F.col("k") * F.log10(F.col("n") + 1)).alias("add"))
-    full = both.where("word is null").drop("word", "k").join(others, "row", "left")
-    return full.select(
+    return texts.join(others, "row", "left").select(
         "doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("more", F.lit(0))).alias("n_known"),
         F.lit(int(n)).cast("bigint").alias("train_tokens"), (F.col("base") + F.coalesce("add", F.lit(0.0))).alias("base_score"), "score",
     )

@@ -37,8 +37,7 @@ def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_attention_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return lm_scoring.score_documents(docs, docs.where(~lm_scoring.held_out()))
+    return lm_scoring.score_documents(documents(spark, sf_dir), ~lm_scoring.held_out())
 
 
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
