@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import functools
 import math
 import os
 import pickle
+import uuid
 from array import array
 from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
@@ -462,23 +462,57 @@ class Words(dict):
         self._limit = limit
 
     def __missing__(self, word: bytes) -> bytes:
-        ids = array("I", self._encode(" " + word.decode("utf-8", "replace"))).tobytes()
+        ids = self._new(word)
         if len(word) <= 64 and self._limit:
             if len(self) >= self._limit:
                 self.clear()
             self[word] = ids
         return ids
 
+    def _new(self, word: bytes) -> bytes:
+        return array("I", self._encode(" " + word.decode("utf-8", "replace"))).tobytes()
+
     def text(self, words: list[bytes]) -> np.ndarray:
         """The ids of a text with an end before and after."""
         inner = np.frombuffer(b"".join(map(self.__getitem__, words)), dtype="<u4")
         return np.concatenate([[END], inner, [END]]).astype(np.int64)
 
 
-@functools.cache
-def worker_words(path: str) -> Words:
-    """The words that a Python worker has met, over all its tasks."""
-    return Words(path)
+#: Marks the number of a word among ids.
+NUMBER = 1 << 31
+
+
+class NumberedWords(Words):
+    """``Words`` with a word's number before its ids, so that one look gives both: its place in ``common`` from one on, else zero.
+
+    The empty word is an end.
+    """
+
+    def __init__(self, path: str, common: dict[bytes, int]):
+        super().__init__(path)
+        self._numbers = {w: k for k, w in enumerate(common, 1)}
+        self.logs = np.log10(np.array([0, *common.values()], dtype=float) + 1)  # by number
+
+    def _new(self, word: bytes) -> bytes:
+        ids = super()._new(word) if word else array("I", [END]).tobytes()
+        return array("I", [NUMBER + self._numbers.get(word, 0)]).tobytes() + ids
+
+    def numbered(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of these words, and the words' numbers."""
+        both = np.frombuffer(b"".join(map(self.__getitem__, words)), dtype="<u4")
+        ids = both < NUMBER
+        return both[ids], both[~ids] - NUMBER
+
+
+_WORKER: dict[str, NumberedWords] = {}
+
+
+def worker_words(run: str, path: str, common: bytes) -> NumberedWords:
+    """The words that a Python worker has met, over all its tasks of one run; ``common``: that dictionary, pickled."""
+    if run not in _WORKER:
+        _WORKER.clear()
+        _WORKER[run] = NumberedWords(path, pickle.loads(common))
+    return _WORKER[run]
 
 
 def split(data: bytes) -> list[bytes]:
@@ -554,12 +588,11 @@ def _encoded(rows: DataFrame, counts: np.ndarray, common: dict[bytes, int], norm
     ``common`` and their base score. Those with a ``word`` tell how often a row has another word. Those with a ``block`` are
     ``Followers`` of the learned texts.
     """
-    sent = rows.sparkSession.sparkContext.broadcast(pickle.dumps((counts, common)))
+    run, sent = uuid.uuid4().hex, rows.sparkSession.sparkContext.broadcast((counts, pickle.dumps(common)))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequency, known = pickle.loads(sent.value)
-        words, followers, logs = worker_words(path), Followers(frequency), {w: math.log10(c + 1) for w, c in known.items()}
-        get, blocks, fields = logs.get, ROWS_A_BLOCK * 2 * HUBS, []
+        frequency, known = sent.value
+        words, followers, blocks, fields = worker_words(run, path, known), Followers(frequency), ROWS_A_BLOCK * 2 * HUBS, []
 
         def found(n: int, **columns: pa.Array) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([columns.get(name, pa.nulls(n, kind)) for name, kind in fields], [name for name, _ in fields])
@@ -571,21 +604,20 @@ def _encoded(rows: DataFrame, counts: np.ndarray, common: dict[bytes, int], norm
                 part = batch.slice(lo, 256)
                 texts, sizes, knowns, bases, rare = [], [], [], [], ([], [], [])
                 for row, value in zip(part.column("row").to_pylist(), part.column("data"), strict=True):
-                    w = split(value.as_py())
-                    texts.append(words.text(w)[1:])
-                    w.append(b"")
-                    some = [] if row is None else [x for x in map(get, w) if x is not None]
-                    if row is not None and len(some) < len(w):
-                        for x, k in Counter(x for x in w if x not in logs).items():
-                            rare[0].append(row)
-                            rare[1].append(x)
-                            rare[2].append(k)
+                    w = [*split(value.as_py()), b""]
+                    ids, numbers = words.numbered(w)
+                    texts.append(ids)
                     sizes.append(len(w))
-                    knowns.append(len(some))
-                    bases.append(math.fsum(some) - norm * len(w))
+                    knowns.append(np.count_nonzero(numbers))
+                    bases.append(words.logs.take(numbers).sum() - norm * len(w))
+                    if row is not None and knowns[-1] < len(w):
+                        others = Counter([w[i] for i in np.flatnonzero(numbers == 0)])
+                        rare[0].extend([row] * len(others))
+                        rare[1].extend(others.keys())
+                        rare[2].extend(others.values())
                 learned = [t for t, yes in zip(texts, part.column("learned").to_pylist(), strict=True) if yes]
                 if learned:
-                    followers.add(np.concatenate([[END], *learned]))
+                    followers.add(np.concatenate([[END], *learned], dtype=np.int64))
                 yield found(
                     part.num_rows, **{k: part.column(k) for k in ("doc_id", "held_out", "row", "learned")},
                     n_tokens=pa.array(sizes, pa.int64()), known=pa.array(knowns, pa.int64()), base=pa.array(bases, pa.float64()),

@@ -105,3 +105,14 @@ def test_texts_that_are_learned_and_scored_are_encoded_once(spark, monkeypatch):
         assert a[:5] == b[:5]
         assert a.base_score == pytest.approx(b.base_score)
         assert a.score == pytest.approx(b.score, rel=0.05)  # other tasks, other means
+
+
+def test_numbered_words():
+    path = lm_scoring.tokenizer_path(lm_scoring.VOCABULARY)
+    words, plain = lm_scoring.NumberedWords(path, {b"": 9, b"alpha": 99}), lm_scoring.Words(path)
+    text = [b"alpha", b"rare1", "ü$\xa0".encode(), b"alpha", b"x" * 99, b""]
+    for _ in range(2):
+        ids, numbers = words.numbered(text)
+        assert ids.tolist() == plain.text(text[:-1])[1:].tolist()
+        assert numbers.tolist() == [2, 0, 0, 2, 0, 1]
+    assert words.logs.tolist() == [0, 1, 2]
